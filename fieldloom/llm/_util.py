@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,19 @@ def scratch(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join.
+
+    ``df`` should be cheap to count, such as one that lineage has been cut for.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def slices(batches: Iterator[pa.Array], size: int = 2 << 20) -> Iterator[pa.Array]:
+    """The batches in slices of about ``size`` bytes, one row at least, so that a task's memory does not follow the batch size."""
+    for batch in batches:
+        step = max(1, int(len(batch) * size / max(1, batch.nbytes)))
+        for start in range(0, len(batch), step):
+            yield batch.slice(start, step)

@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm._util import slices
+
 #: Entries of a worker's cache of pieces, after which it starts anew; bounds memory, never results.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 #: Longest piece, in characters, that is cached.
 CACHED_CHARS = 64
 
@@ -206,7 +208,7 @@ def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = IdEncoder(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             parts = [encoder.packed(t) for t in batch.to_pylist()]
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int64) // 4
             ids = np.frombuffer(b"".join(parts), np.int32)
@@ -229,11 +231,11 @@ def bpe_decode(spark: SparkSession, ids: Column, path: str) -> Column:
         if v.byte_decoder:
             back = {c: b for b, c in enumerate(_byte_chars())}
             raw = [bytes(back[c] for c in t) if i not in set(v.special.values()) else t.encode() for i, t in enumerate(v.tokens)]
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.array([None if x is None else b"".join([raw[i] for i in x]).decode("utf-8", "replace") for x in batch.to_pylist()], pa.string())
             return
         tokens = pa.array(v.tokens, pa.large_string())
-        for batch in batches:
+        for batch in slices(batches):
             joined = pc.binary_join(_lists(batch, tokens), pa.scalar(" ", pa.large_string()))
             yield joined.cast(pa.string())
 

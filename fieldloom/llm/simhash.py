@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage
+from fieldloom.llm._util import cut_lineage, slices
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once.
@@ -57,7 +57,7 @@ def simhash(text: Column, width: int = 4, seed: int = 42) -> Column:
 
     @F.arrow_udf("long")
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([_fingerprint(t, width, seed) for t in batch.to_pylist()], pa.int64())
 
     return fingerprints(text)
