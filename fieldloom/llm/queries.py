@@ -7,7 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bpe import bpe_decode, bpe_encode
+from fieldloom.llm.chat import rotate_perspectives
+from fieldloom.llm.language import identify_languages
+from fieldloom.llm.mixing import mix_plan
+from fieldloom.llm.neighbours import nearest_neighbours
+from fieldloom.llm.quality import quality_verdicts
 from fieldloom.llm.simhash import simhash_components
+from fieldloom.llm.token_counts import count_tokens
+from fieldloom.llm.toxicity import score_toxicity
+from fieldloom.llm.url_rules import judge_urls
 from fieldloom.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -30,3 +38,203 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(table(spark, sf_dir, "documents"), k=4, width=4)
+
+
+_OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+rules(verdict, rule, h, p) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+ruled AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+good AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+hosts AS (
+  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k,
+         list_reverse(string_split(string_split(host, ':')[1], '.')) AS l
+  FROM parts LEFT JOIN good USING (page_id) GROUP BY host),
+named AS (SELECT host, n, k, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS domain FROM hosts),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
+m0 AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2.0) AS mean_0 FROM suffixes),
+kids AS (
+  SELECT 0 AS lvl, '' AS parent, n::DOUBLE AS n, k::DOUBLE AS k FROM suffixes WHERE n > 0
+  UNION ALL SELECT 1, suffix, n, k FROM domains WHERE n > 0
+  UNION ALL SELECT 2, domain, n, k FROM named WHERE n > 0),
+sums AS (SELECT lvl, parent, count(*) AS g, sum(n) AS t, sum(k) AS s, sum(n * n) AS q, sum(k * k / n) AS sc FROM kids GROUP BY 1, 2),
+alike AS (
+  SELECT lvl, parent, CASE WHEN t - q / t - (g - 1) > 0
+    THEN ((sc - s * (s / t)) / nullif(s / t * (1 - s / t), 0) - (g - 1)) / (t - q / t - (g - 1)) END AS a FROM sums),
+strength AS (SELECT lvl, parent, CASE WHEN a > 0 THEN greatest(2.0, least(1000.0, 1 / a - 1)) ELSE 1000.0 END AS st FROM alike),
+l1 AS (
+  SELECT suffix, (k + coalesce(st, 2.0) * mean_0) / (n + coalesce(st, 2.0)) AS mean_1
+  FROM suffixes CROSS JOIN m0 LEFT JOIN strength ON lvl = 0),
+l2 AS (
+  SELECT domain, (k + coalesce(st, 2.0) * mean_1) / (n + coalesce(st, 2.0)) AS mean_2
+  FROM domains JOIN l1 USING (suffix) LEFT JOIN strength ON lvl = 1 AND parent = suffix),
+l3 AS (
+  SELECT host, (k + coalesce(st, 2.0) * mean_2) / (n + coalesce(st, 2.0)) AS mean, n + coalesce(st, 2.0) AS size
+  FROM named JOIN l2 USING (domain) LEFT JOIN strength ON lvl = 2 AND parent = domain)
+SELECT parts.page_id, host, path, rule,
+       coalesce(ruled.verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN ruled USING (page_id) JOIN l3 USING (host)
+"""
+
+
+@REGISTRY.query("op3_urls", _OP3_SQL)
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; a page's outcome is the quality label that carries its id."""
+    labels = table(spark, sf_dir, "labels")
+    return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good")))
+
+
+_OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5('17:' || coalesce(doc_id::VARCHAR, '')) AS ord
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, (ARRAY[5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sizes),
+ranked AS (
+  SELECT *, (2 * source_size)::DOUBLE AS full_, (2 * source_size)::DOUBLE / weight AS ratio, sum(source_size) OVER () AS total FROM weighed),
+levels AS (
+  SELECT *, (1.5::DOUBLE * total::DOUBLE - coalesce(sum(full_) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY ratio, source ASC NULLS LAST) AS place
+  FROM ranked),
+open_ AS (SELECT ratio AS open_ratio, level AS open_level FROM levels WHERE ratio > level ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN open_ratio IS NULL OR ratio < open_ratio THEN full_ ELSE least(full_, open_level * weight) END AS target
+  FROM levels LEFT JOIN open_ ON true),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs, floor(target + 0.5)::BIGINT AS budget FROM targets),
+placed AS (
+  SELECT doc_id, size, source_size, target, epochs, budget - epochs * source_size AS rest,
+         sum(size) OVER (PARTITION BY sized.source ORDER BY ord) - size AS before
+  FROM sized JOIN budgets ON sized.source IS NOT DISTINCT FROM budgets.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM placed
+"""
+
+
+@REGISTRY.query("op4_mix", _OP4_SQL)
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
+_OP5_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<' || chr(8288) || '|') AS speaker, role IS NULL AS nobody,
+         replace(coalesce(text, ''), '<|', '<' || chr(8288) || '|') AS text
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id AS of_, speaker AS perspective FROM rows WHERE NOT nobody AND speaker <> 'system'),
+seen AS (
+  SELECT conv_id, perspective, turn, speaker, text, (speaker = perspective AND NOT nobody) AS own,
+    CASE WHEN speaker = perspective AND NOT nobody THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
+  FROM rows JOIN people ON conv_id IS NOT DISTINCT FROM of_),
+rendered AS (
+  SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ':' || speaker ELSE '' END || '|>' || chr(10) AS head FROM seen),
+messages AS (SELECT *, head || text || '<|end|>' || chr(10) AS message FROM rendered),
+placed AS (
+  SELECT *, (sum(length(message)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS end_
+  FROM messages)
+SELECT conv_id, perspective, turn, speaker, role, message, own::INT AS mask, (end_ - length(message))::BIGINT AS start, end_ AS "end",
+       CASE WHEN own THEN (end_ - length(message) + length(head))::BIGINT END AS text_from, CASE WHEN own THEN (end_ - 1)::BIGINT END AS text_to
+FROM placed
+"""
+
+
+@REGISTRY.query("op5_chat", _OP5_SQL)
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's perspective, one row for each turn."""
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+@REGISTRY.query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+_OP7_SQL = r"""
+WITH base AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g_lang, coalesce('=' || source, '-') AS g_source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM often, (VALUES (0), (1), (2)) AS offsets(o) GROUP BY doc_id),
+stats AS (
+  SELECT base.doc_id, g_lang, g_source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         CASE WHEN len(w) = 0 THEN 0 ELSE length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) END::BIGINT AS n_symbols,
+         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM base LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
+metrics AS (
+  SELECT *, least(1000 * n_symbols // greatest(n_words, 1), 5000) AS symbols, least(1000 * n_dup_lines // greatest(n_lines, 1), 5000) AS dup_lines,
+         least(1000 * n_repeat_words // greatest(n_words, 1), 5000) AS repeats, least(10 * word_chars // greatest(n_words, 1), 5000) AS chars
+  FROM judged),
+long AS (
+  UNPIVOT (SELECT g_lang, g_source, symbols, dup_lines, repeats, chars FROM metrics WHERE NOT base_failed)
+  ON symbols, dup_lines, repeats, chars INTO NAME metric VALUE bin),
+hist AS (
+  SELECT g_lang, g_source, metric, bin, count(*) AS n FROM long GROUP BY ALL
+  UNION ALL SELECT g_lang, '*', metric, bin, count(*) FROM long GROUP BY ALL
+  UNION ALL SELECT '*', '*', metric, bin, count(*) FROM long GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY g_lang, g_source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY g_lang, g_source, metric) AS total FROM hist),
+quartiles AS (
+  SELECT g_lang, g_source, metric, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
+  FROM ranked WHERE total >= 100 GROUP BY ALL),
+fences AS (
+  SELECT g_lang, g_source,
+         max(q3 + 3 * greatest(q3 - q1, 100)) FILTER (metric = 'symbols') AS symbols_top, max(q3 + 3 * greatest(q3 - q1, 150)) FILTER (metric = 'dup_lines') AS dup_top,
+         max(q3 + 3 * greatest(q3 - q1, 150)) FILTER (metric = 'repeats') AS repeats_top, max(q3 + 3 * greatest(q3 - q1, 20)) FILTER (metric = 'chars') AS chars_top,
+         max(q1 - 3 * greatest(q3 - q1, 8)) FILTER (metric = 'chars') AS chars_least
+  FROM quartiles GROUP BY ALL),
+matched AS (
+  SELECT m.*, coalesce(a.symbols_top, b.symbols_top, c.symbols_top) AS s, coalesce(a.dup_top, b.dup_top, c.dup_top) AS d,
+         coalesce(a.repeats_top, b.repeats_top, c.repeats_top) AS r, coalesce(a.chars_top, b.chars_top, c.chars_top) AS ch, coalesce(a.chars_least, b.chars_least, c.chars_least) AS cl
+  FROM metrics m LEFT JOIN fences a ON a.g_lang = m.g_lang AND a.g_source = m.g_source AND a.g_source <> '*'
+  LEFT JOIN fences b ON b.g_lang = m.g_lang AND b.g_source = '*' LEFT JOIN fences c ON c.g_lang = '*' AND c.g_source = '*')
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(symbols <= s, true) AND coalesce(dup_lines <= d, true) AND coalesce(repeats <= r, true)
+       AND coalesce(chars <= ch, true) AND coalesce(chars >= cl, true) AS kept
+FROM matched
+"""
+
+
+@REGISTRY.query("op7_quality", _OP7_SQL)
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of and verdict on every document."""
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.withColumn("n_tokens", count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@REGISTRY.query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.query("op10_neighbours")
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
