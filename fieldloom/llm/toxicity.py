@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-A zstandard dictionary is trained on toxic and another one on ordinary labelled text. A text's windows of whole words are compressed
-with either; toxic ones come out shorter with the toxic dictionary. Most words of toxic texts are ordinary, and would fill
-both dictionaries with different pieces of the same language, so each class's dictionary is trained on the words which that class
-has in clearly more contexts; a third dictionary, of ordinary text, stands before both. What a text's windows gain is turned
-into a score by thresholds (a logistic curve) calibrated on labelled texts that the dictionaries have not seen.
+One zstandard dictionary is trained on ordinary, another one on toxic labelled text. A text's windows of whole words are compressed
+with the ordinary one alone and with both, and toxic ones come out shorter with both. Most words of toxic texts are
+ordinary, and would fill a dictionary with other pieces of the same language, so the toxic one is trained on the words that toxic
+texts have in clearly more contexts. Where the toxic dictionary stands in one compressor, the other has as many bytes that no
+text contains, so that distances are alike. What the windows gain is turned into a score by thresholds (a logistic curve) calibrated
+on labelled texts that the dictionaries in use had not seen.
 
 Training takes a bounded sample of labelled windows on the driver; the dictionaries, some hundred kB, are broadcast.
 """
@@ -25,7 +26,7 @@ from fieldloom.llm._util import slices, small_side
 from fieldloom.llm.language import held_out
 
 #: Labelled rows of each class that are learnt from, and characters of each; bounds on what the driver holds.
-SAMPLE = {1: 2000, 0: 8000}
+SAMPLE = {1: 2000, 0: 6000}
 SAMPLE_CHARS = 2048
 WINDOW = 128
 _BASE, _OWN, _LEVEL = 112_640, 1500, 9
@@ -101,20 +102,25 @@ class ToxicModel:
 
     @classmethod
     def train(cls, toxic: list[str], ordinary: list[str]) -> "ToxicModel":
-        """The first two thirds of each list make the dictionaries, the rest calibrates."""
-        a, b = 2 * len(toxic) // 3, 2 * len(ordinary) // 3
-        plain = [w for t in ordinary[:b] for w in _windows(t)]
-        base = _trained(plain[:: max(1, len(plain) // 40_000)], _BASE)
-        marks, usual = _packed(_own_words(toxic[:a], ordinary[:b])), _packed(_own_words(ordinary[:b], toxic[:a]))
-        usual = usual or plain[: len(marks)]
-        model = cls(base + _trained(marks, _OWN, k=16, d=6), base + _trained(usual, _OWN, k=16, d=6), 0.0, (0.0, 0.0, 0.0))
-        gain = _Gains(model)
-        x = np.array([gain.of(t) for t in (*toxic[a:], *ordinary[b:])])
-        y = np.r_[np.ones(len(toxic) - a), np.zeros(len(ordinary) - b)]
-        model.drift = float(x[y == 0, 0].sum() / max(1.0, x[y == 0, 1].sum()))
-        model.weights = _logistic(_features(x, model.drift), y)
+        """Dictionaries from all texts; the curve from texts scored by dictionaries made of the other half."""
+        gains = []
+        for half in (0, 1):
+            gain = _Gains(cls._dictionaries(toxic[half::2], ordinary[half::2]))
+            gains.append([np.array([gain.of(t) for t in texts[1 - half :: 2]]) for texts in (toxic, ordinary)])
+        of_toxic, of_ordinary = (np.concatenate(x) for x in zip(*gains))
+        model = cls._dictionaries(toxic, ordinary)
+        model.drift = float(of_ordinary[:, 0].sum() / max(1.0, of_ordinary[:, 1].sum()))
+        y = np.r_[np.ones(len(of_toxic)), np.zeros(len(of_ordinary))]
+        model.weights = _logistic(_features(np.r_[of_toxic, of_ordinary], model.drift), y)
         return model
 
+    @classmethod
+    def _dictionaries(cls, toxic: list[str], ordinary: list[str]) -> "ToxicModel":
+        plain = [w for t in ordinary for w in _windows(t)]
+        base = _trained(plain[:: max(1, len(plain) // 40_000)], _BASE)
+        own = _trained(_packed(_own_words(toxic, ordinary)), _OWN, k=16, d=6)
+        return cls(base + own, base + b"\xff" * len(own), 0.0, (0.0, 0.0, 0.0))
+
 
 def _features(gains: np.ndarray, drift: float) -> np.ndarray:
     """Gain above the ordinary drift, by length and by its root, from (gain, bytes) of each text."""
