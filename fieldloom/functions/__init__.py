@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column functions and the small numeric helpers that Spark has no built-in for."""

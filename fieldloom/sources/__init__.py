@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers, reshaping and writers of the tables that the jobs start from and end in."""
