@@ -19,15 +19,16 @@ def _left_out_fit(df: DataFrame, group: Sequence[str], x: str, y: str, quadratic
         powers |= {"x3": c**3, "x4": c**4, "xxy": c * c * v}
     df = df.withColumns({f"__{k}": F.sum(p).over(w) - p for k, p in powers.items()})
     s = {k: F.col(f"__{k}") for k in powers}
-    mean_x, mean_y = s["x"] / s["n"], s["y"] / s["n"]
+    n = F.nullif(s["n"], F.lit(0.0))
+    mean_x, mean_y = s["x"] / n, s["y"] / n
     sxx, sxy = s["xx"] - s["x"] * mean_x, s["xy"] - s["x"] * mean_y
-    line = mean_y + F.coalesce(F.when(sxx > 1e-9, sxy / sxx), F.lit(0.0)) * (c - mean_x)
+    line = mean_y + F.coalesce(F.when(sxx > 1e-9, F.try_divide(sxy, sxx)), F.lit(0.0)) * (c - mean_x)
     fit = line
     if quadratic:
-        mean_q = s["xx"] / s["n"]
+        mean_q = s["xx"] / n
         sxq, sqq, sqy = s["x3"] - s["x"] * mean_q, s["x4"] - s["xx"] * mean_q, s["xxy"] - s["xx"] * mean_y
         det = sxx * sqq - sxq * sxq
-        b, a = (sxy * sqq - sqy * sxq) / det, (sqy * sxx - sxy * sxq) / det
+        b, a = F.try_divide(sxy * sqq - sqy * sxq, det), F.try_divide(sqy * sxx - sxy * sxq, det)
         fit = F.when(det > 1e-9 * sxx * sqq, mean_y + b * (c - mean_x) + a * (c * c - mean_q)).otherwise(line)
     return df.withColumn(out, F.when(s["n"] >= 1, fit)).drop("__c", "__y", *[f"__{k}" for k in powers])
 

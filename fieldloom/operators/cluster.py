@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.stats import correlation
+
 
 def pairwise_region_correlation(df: DataFrame, min_common: int = 5, value: str = "yield", blocks: int = 16) -> DataFrame:
     """(a, b, n, r): Pearson correlation of every pair of regions over the years that both have, at least ``min_common``.
@@ -20,7 +22,7 @@ def pairwise_region_correlation(df: DataFrame, min_common: int = 5, value: str =
     left = rows.select(F.col("adm").alias("a"), "harv_year", F.col("v").alias("x"), F.col("k").alias("i"), numbers.alias("j"))
     right = rows.select(F.col("adm").alias("b"), "harv_year", F.col("v").alias("y"), F.col("k").alias("j"), numbers.alias("i"))
     met = left.join(right, ["harv_year", "i", "j"]).where(F.col("a") <= F.col("b"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).where(F.col("n") >= min_common)
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), correlation("x", "y").alias("r")).where(F.col("n") >= min_common)
 
 
 def within_group_correlation(corr: DataFrame, clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -48,7 +50,7 @@ def between_feature_correlation(features: DataFrame, level: str = "season") -> D
         rows, on, by = features, ["adm", "harv_year", "step"], ["adm", "harv_year"]
     left = rows.select(*on, F.col("feature").alias("f"), F.col("value").alias("x"))
     right = rows.select(*on, F.col("feature").alias("g"), F.col("value").alias("y"))
-    each = left.join(right, on).where(F.col("f") < F.col("g")).groupBy("f", "g", *by).agg(F.corr("x", "y").alias("r"))
+    each = left.join(right, on).where(F.col("f") < F.col("g")).groupBy("f", "g", *by).agg(correlation("x", "y").alias("r"))
     return each.where(F.col("r").isNotNull() & ~F.isnan("r")).groupBy("f", "g").agg(F.avg("r").alias("r"))
 
 
@@ -58,7 +60,7 @@ def feature_target_correlation(features: DataFrame, target: str = "yield", metho
     ``kendall`` is tau-b; a region's rows are its years, so pairs of years in it are few. Undefined ones are skipped.
     """
     if method == "pearson":
-        each = features.groupBy("adm", "feature").agg(F.corr("value", target).alias("r"))
+        each = features.groupBy("adm", "feature").agg(correlation("value", target).alias("r"))
     else:
         rows = features.select("adm", "feature", "harv_year", "value", F.col(target).alias("y")).dropna()
         later = rows.select("adm", "feature", F.col("harv_year").alias("h2"), F.col("value").alias("v2"), F.col("y").alias("y2"))

@@ -94,8 +94,9 @@ def study_runtime(trials: DataFrame, studies: DataFrame | None = None) -> DataFr
 
     ``studies`` (run_id, study) adds those without trials, with zeros.
     """
-    duration = (F.unix_micros("t_complete") - F.unix_micros("t_start")) / 1e6
-    whole = (F.max(F.struct("trial", F.unix_micros("t_complete").alias("t")))["t"] - F.min(F.struct("trial", F.unix_micros("t_start").alias("t")))["t"]) / 1e6
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    duration = (micros("t_complete") - micros("t_start")) / 1e6
+    whole = (F.max(F.struct("trial", micros("t_complete").alias("t")))["t"] - F.min(F.struct("trial", micros("t_start").alias("t")))["t"]) / 1e6
     out = trials.groupBy("run_id", "study").agg(F.when(F.max("sequential"), F.sum(duration)).otherwise(whole).alias("seconds"), F.count("*").alias("trials"))
     if studies is not None:
         out = studies.select("run_id", "study").distinct().join(out, ["run_id", "study"], "left")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import points_in_rings
+from fieldloom.functions.stats import correlation
 
 #: Mask rows (region, cell) up to which the mask is broadcast.
 BROADCAST_CELLS = 2_000_000
@@ -222,7 +223,7 @@ def monthly_quality(quality: DataFrame, by: str = "country") -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b, r): Pearson correlation of each pair of columns, in one aggregation."""
     pairs = list(combinations(cols, 2))
-    sums = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    sums = df.groupBy(*by).agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return sums.select(*by, F.explode(rows).alias("p")).select(*by, "p.*")
 

@@ -7,4 +7,9 @@ from fieldloom.plans.registry import Registry
 
 def all_queries() -> Registry:
     """Every registered query of the crop-yield library."""
-    return Registry()
+    from fieldloom.plans import fields, learning, yields
+
+    registry = Registry()
+    for module in (yields, fields, learning):
+        registry.merge(module.REGISTRY)
+    return registry

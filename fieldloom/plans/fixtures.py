@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.plans.registry import table
@@ -41,6 +43,33 @@ def sql(names: str, body: str) -> str:
     return "WITH " + ",\n".join(CTES[n] for n in names.split()) + ("," if body.lstrip().startswith("+") else "") + "\n" + body.lstrip().removeprefix("+")
 
 
+#: Added before rounding, so that exact halves go the same way whatever order they were summed in.
+NUDGE = 1e-9
+
+
+def rnd(c: Column | str, digits: int) -> Column:
+    """Rounded, exact halves upwards, and never minus zero."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + NUDGE, digits) + F.lit(0.0)
+
+
+def steady(text: str) -> str:
+    """SQL with each ``round(x, digits)`` as ``rnd`` does it."""
+    out, at = "", 0
+    for found in re.finditer(r"\bround\(", text):
+        if found.start() < at:
+            continue
+        depth, end, comma = 1, found.end(), None
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            comma = end if text[end] == "," and depth == 1 else comma
+            end += 1
+        if comma is None:
+            continue
+        out += f"{text[at:found.start()]}(round(({text[found.end():comma]}) + {NUDGE}::DOUBLE, {text[comma + 1:end - 1].strip()}) + 0.0::DOUBLE)"
+        at = end
+    return out + text[at:]
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -138,5 +167,6 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     trial = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf_dir, "events").withColumn("trial", trial)
-    end = F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 100).cast("long") * 10000)
-    return rows.select(F.concat(F.lit("run"), (F.col("user_id") % 3).cast("string")).alias("run_id"), F.col("user_id").cast("string").alias("study"), "trial", (F.col("user_id") % 2 == 0).alias("sequential"), F.col("ts").alias("t_start"), end.alias("t_complete"))
+    start = F.col("ts").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(start) + F.round(F.col("value") * 100).cast("long") * 10000)
+    return rows.select(F.concat(F.lit("run"), (F.col("user_id") % 3).cast("string")).alias("run_id"), F.col("user_id").cast("string").alias("study"), "trial", (F.col("user_id") % 2 == 0).alias("sequential"), start.alias("t_start"), end.alias("t_complete"))
