@@ -79,7 +79,7 @@ l3 AS (
   SELECT host, (k + coalesce(st, 2.0) * mean_2) / (n + coalesce(st, 2.0)) AS mean, n + coalesce(st, 2.0) AS size
   FROM named JOIN l2 USING (domain) LEFT JOIN strength ON lvl = 2 AND parent = domain)
 SELECT parts.page_id, host, path, rule,
-       coalesce(ruled.verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(ruled.verdict, CASE WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN ruled USING (page_id) JOIN l3 USING (host)
 """
 

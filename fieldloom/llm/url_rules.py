@@ -2,7 +2,7 @@
 
 Labelled page outcomes give every host, registered domain and suffix a count of good pages. A host's rate is shrunk towards its
 domain's through a beta-binomial prior, the domain's towards its suffix's, the suffix's towards all pages'. How strongly, is
-estimated by moments from how much the rates at that level differ. A url is blocked if the posterior's lower bound is too low.
+estimated by moments from how much the rates at that level differ. A url is blocked if even the posterior's upper bound is too low.
 """
 
 from __future__ import annotations
@@ -110,13 +110,14 @@ def judge_urls(
     """(id_col, host, path, rule, verdict) for every row of ``pages``.
 
     ``outcomes`` has (id_col, good): labelled pages, good 1 or 0; repeated ids count once, as good only if all say so. The longest
-    rule decides; where none fits, a host is blocked whose posterior rate of good pages may lie below ``least_rate``: its mean less
-    ``deviations`` standard deviations does. A null url or one without ``://`` has host and path empty and is judged as that host.
+    rule decides; where none fits, a host is blocked if its posterior rate of good pages is below ``least_rate`` even at its mean plus
+    ``deviations`` standard deviations, so hosts without enough evidence pass. A null url or one without ``://`` has host and path
+    empty and is judged as that host. An empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = outcomes.where(F.col("good").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("good").alias("good"))
     reputation = host_reputation(rows.join(labels, "id", "left").select("host", "good"))
-    bad = F.col("mean") - deviations * F.col("deviation") < least_rate
+    bad = F.col("mean") + deviations * F.col("deviation") < least_rate
     blocked = cut_lineage(reputation.where(bad).select("host", F.lit(True).alias("bad")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     # Only blocked hosts are joined.
