@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Continuous forms of the batch operators, for images and reports that keep arriving."""
