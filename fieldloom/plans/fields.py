@@ -119,12 +119,13 @@ def o40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hist.select("adm", F.posexplode("histogram").alias("bin", "percent")), "percent")
 
 
-@query("o41_zonal_static", sql("mask", """+ s AS (SELECT (p_partkey % 64)::INT AS row, (p_partkey // 64 % 64)::INT AS col, p_size, p_retailprice FROM part), m AS (SELECT * FROM mask WHERE row < 24 AND col < 24)
+@query("o41_zonal_static", sql("mask", """+ s AS (SELECT (p_partkey % 64)::INT AS row, (p_partkey // 64 % 64)::INT AS col, p_size, p_retailprice FROM part), m AS (SELECT * FROM mask SEMI JOIN s USING (row, col))
   SELECT adm, round(count(*) * (0.0025 / 360 * 400300) ** 2, 4) AS est_cropland_area, any_value(size) AS size, any_value(price) AS price FROM m JOIN (SELECT adm, round(avg(p_size), 6) AS size, round(avg(p_retailprice), 4) AS price FROM m JOIN s USING (row, col) GROUP BY adm) USING (adm) GROUP BY adm"""))
 def o41(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = table(spark, sf_dir, "part").select((F.col("p_partkey") % 64).cast("int").alias("row"), F.expr("cast(p_partkey div 64 % 64 as int)").alias("col"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     maps = cell.unpivot(["row", "col"], ["size", "price"], "property", "value")
-    out = zonal.zonal_static(maps, fx.mask(spark).where("row < 24 AND col < 24"), ["size", "price"])
+    known = fx.mask(spark).join(maps.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    out = zonal.zonal_static(maps, known, ["size", "price"])
     return rounded(rounded(out, "size"), "est_cropland_area", "price", digits=4)
 
 
