@@ -2,7 +2,7 @@
 
 Coarse centroids and residual codebooks are trained on the driver on a bounded sample of vectors; every vector is indexed. A query
 visits the lists whose centroids have the largest inner product with it, scores their codes by asymmetric distance tables, and
-reranks the best on the original vectors. How many lists it takes for the wanted recall is measured on the sample. Lists and the
+reranks on the original vectors the best and all that their codes' errors leave in doubt. How many lists it takes for the wanted recall is measured on the sample. Lists and the
 queries that visit them are dealt into blocks of bounded size, so that a popular list is spread over tasks.
 """
 
@@ -47,6 +47,11 @@ class Quantiser:
             at += book.shape[1]
         return np.stack(parts, axis=1)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what each vector's code leaves out."""
+        coded = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.codebooks)], axis=1)
+        return np.sqrt(((x - self.centroids[lists] - coded) ** 2).sum(axis=1))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with the codes: (parts, codes, queries)."""
         q = queries.reshape(len(queries), len(self.codebooks), -1)
@@ -130,10 +135,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
             x = _matrix(batch.column("vector"))
             own = shared.value.lists(x.astype(np.float32))
             codes = shared.value.codes(x.astype(np.float32), own)
-            columns = [batch.column("id"), batch.column("vector"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "list", "code"])
+            error = shared.value.errors(x, own, codes)
+            columns = [batch.column("id"), batch.column("vector"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "list", "code", "error"])
 
-    indexed = cut_lineage(rows.mapInArrow(index, "id long, vector array<double>, list int, code binary"))
+    indexed = cut_lineage(rows.mapInArrow(index, "id long, vector array<double>, list int, code binary, error double"))
     counts = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list, 1024 at most
     sizes = np.array([counts.get(i, 0) for i in range(len(quantiser.centroids))])
 
@@ -181,6 +187,8 @@ def _search(q: Quantiser, rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
     own, asking = q.centroids[rows["list"][0].as_py()], asked["id"].to_numpy()
     queries = _matrix(asked["vector"].combine_chunks())
+    # A code's error moves an inner product by about its length over the root of the size; twice that is allowed for.
+    doubt = 2 * rows["error"].to_numpy()[order] / np.sqrt(vectors.shape[1])
     keep, out = min(len(ids), 2 * k + 8), []
     for start in range(0, len(asking), 64):
         block = queries[start : start + 64]
@@ -193,6 +201,11 @@ def _search(q: Quantiser, rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
             near = np.flatnonzero(approximate[:, i] >= least[i])  # ties at the limit all stay
             near = near[ids[near] != asking[start + i]]
             score = (vectors[near] * query).sum(axis=1)
+            if len(near) >= k:  # all that may still be better than the k-th
+                limit = np.partition(score, len(score) - k)[len(score) - k]
+                near = np.union1d(near, np.flatnonzero(approximate[:, i] + doubt * np.sqrt(query @ query) >= limit))
+                near = near[ids[near] != asking[start + i]]
+                score = (vectors[near] * query).sum(axis=1)
             best = np.lexsort((ids[near], -score))[:k]
             out.append((np.full(len(best), asking[start + i]), ids[near][best], score[best]))
     a, b, c = (np.concatenate(x) for x in zip(*out))
