@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm._util import slices
 
-#: Entries of a worker's cache of pieces, after which it starts anew; bounds memory, never results.
+#: Entries of a worker's cache of pieces; bounds memory, never results.
 CACHE_ENTRIES = 100_000
 #: Longest piece, in characters, that is cached.
 CACHED_CHARS = 64
@@ -114,16 +114,19 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
 
 
 class _Cache(dict):
-    """Bounded memo of a function of short strings."""
+    """Bounded memo of a function of short strings, in two generations: what is still in use outlives a full one."""
 
     def __init__(self, f) -> None:
         super().__init__()
-        self.f = f
+        self.f, self.before = f, {}
 
     def __missing__(self, key: str):
-        value = self.f(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.f(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
