@@ -136,14 +136,9 @@ def fences(sketches: DataFrame, metrics: tuple[Metric, ...] = METRICS, least_gro
     return quartiles.groupBy("g_lang", "g_source").agg(*fence)
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(id_col, the counts of ``text_stats``, base_failed, kept) for every row of ``docs``.
-
-    Fences are learnt from all rows that pass the fixed rules; rows inside all fences of their language and source are kept.
-    Nulls in language or source form groups of their own. Where not even all rows together suffice for a sketch, only the fixed rules
-    hold. Rows with repeated or null ids are judged one by one. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), text_stats(F.col(text_col)).alias("stats"), _group(F.col(lang_col)).alias("g_lang"), _group(F.col(source_col)).alias("g_source"))
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, **carried: Column) -> DataFrame:
+    """(the ``carried`` columns, stats, base_failed, kept) for every row of ``docs``, each row by its own counts."""
+    rows = docs.select(*[c.alias(name) for name, c in carried.items()], text_stats(F.col(text_col)).alias("stats"), _group(F.col(lang_col)).alias("g_lang"), _group(F.col(source_col)).alias("g_source"))
     rows = cut_lineage(rows.withColumn("base_failed", base_failed(F.col("stats"))))
     limits = cut_lineage(fences(quantile_sketches(rows.where(~F.col("base_failed")))))
     levels = [limits.where(F.col("g_source") != "*"), limits.where((F.col("g_source") == "*") & (F.col("g_lang") != "*")), limits.where(F.col("g_lang") == "*")]
@@ -156,14 +151,23 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for m in METRICS:
         fence = F.coalesce(*[F.col(f"{m.name}_{level}") for level in range(3)])
         inside = inside & F.coalesce(values[m.name] <= fence if m.above else values[m.name] >= fence, F.lit(True))
-    return out.select(F.col("id").alias(id_col), "stats.*", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+    return out.select(*carried, "stats", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(id_col, the counts of ``text_stats``, base_failed, kept) for every row of ``docs``.
+
+    Fences are learnt from all rows that pass the fixed rules; rows inside all fences of their language and source are kept.
+    Nulls in language or source form groups of their own. Where not even all rows together suffice for a sketch, only the fixed rules
+    hold. Rows with repeated or null ids are judged one by one. An empty table gives an empty result.
+    """
+    out = _judged(docs, text_col, lang_col, source_col, id=F.col(id_col))
+    return out.select(F.col("id").alias(id_col), "stats.*", "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass the fixed rules and their group's fences, columns as they are.
 
-    Rows without an id are dropped only if a row without an id is rejected; ids are expected to be unique.
+    Each row goes by its own verdict, whatever its id; the row travels with its counts, so nothing is joined by id.
     """
-    verdicts = quality_verdicts(docs, id_col, text_col, lang_col, source_col)
-    rejected = verdicts.where(~F.col("kept")).select(F.col(id_col).alias("__rejected")).distinct()
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["__rejected"]), "left_anti")
+    return _judged(docs, text_col, lang_col, source_col, row=F.struct("*")).where("kept").select("row.*")

@@ -51,3 +51,14 @@ def test_empty_table_and_few_rows(spark):
     few = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(55)), "en", "s")] * 2, schema)
     assert [r.kept for r in quality_verdicts(few).collect()] == [True, True]
     assert {m.name for m in METRICS} >= {"symbols", "repeats"}
+
+
+def test_filter_judges_each_row_by_itself(spark):
+    """Rows that share an id with a rejected one, or have none as a rejected one has, stay."""
+    good = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, good(i), "en", "s", 2 * i) for i in range(150)] + [(None, good(1000 + i), "en", "s", i) for i in range(20)]
+    rows += [(None, "too short", "en", "s", -1), (7, "too short", "en", "s", -2), (7, good(3000), "en", "s", -3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept long")
+    kept = quality_filter(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.where("text <> 'too short'").collect()))
