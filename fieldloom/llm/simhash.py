@@ -209,6 +209,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels if labels is not None else edges.select(a.alias("id"), b.alias("root"))
 
 
+def _rooted(points: DataFrame, k: int) -> DataFrame:
+    """``points``, one row for each fingerprint ``fp``, with the ``root`` of its component."""
+    roots = components(near_links(points.select("fp"), k)).withColumnRenamed("id", "fp")
+    return points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, width: int = 4) -> DataFrame:
     """(id_col, fingerprint, component_id): fingerprints in hexadecimal and each component's smallest id.
 
@@ -217,9 +223,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = cut_lineage(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("fp")))
     points = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(points.select("fp"), k)).withColumnRenamed("id", "fp")
     # A component's smallest document: the minimum over its fingerprints.
-    rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(points, k)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     out = prints.join(classes, "fp")
@@ -227,11 +232,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, width: int = 4) -> DataFrame:
-    """Keep one row of each component of near-duplicates, the one with the smallest id; columns as they are.
+    """Keep one row of each component of near-duplicates; columns as they are.
 
-    All rows of a kept id stay, and so do rows without an id.
+    It is the row with the smallest id, null ids last, then by a hash of the text; rows alike in both are told apart by a number
+    that is stored with the fingerprints. Rows with neither id nor text are not taken for copies of anything and stay.
     """
-    found = simhash_components(docs.select(id_col, text_col), id_col, text_col, k, width)
-    keep = found.where(F.col("component_id").isNull() | F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
-    keep = keep.select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__kept"]), "left_semi")
+    doc_id, text = F.col(id_col), F.col(text_col)
+    first = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("n"))
+    rows = docs.select(F.struct("*").alias("row"), simhash(text, width).alias("fp"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
+    rows = cut_lineage(rows)
+    points = cut_lineage(rows.where(~F.col("void")).groupBy("fp").agg(F.min("first").alias("first")))
+    kept = _rooted(points, k).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("kept"))
+    found = rows.select("row", "void", "first.n").join(kept, F.col("n") == F.col("kept"), "left")
+    return found.where(F.col("void") | F.col("kept").isNotNull()).select("row.*")

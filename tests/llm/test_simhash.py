@@ -108,3 +108,13 @@ def test_dedup_keeps_one_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     assert sorted((r.doc_id or -1, r.component_id) for r in simhash_dedup(df).collect()) == [(-1, 4), (2, 2), (7, 5), (9, 3)]
     assert simhash_dedup(df.limit(0)).count() == 0
+
+
+def test_dedup_keeps_one_row_without_ids_and_with_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, i) for i in range(6)] + [(1, a, 6)] + [(None, b, 7 + i) for i in range(5)] + [(2, c, 12)] * 4 + [(3, d, 13), (2, d, 14), (None, d, 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(5)
+    kept = simhash_dedup(df)
+    assert kept.columns == df.columns
+    got = sorted((r.text[0], r.doc_id or -1) for r in kept.collect())
+    assert got == [("a", 1), ("b", -1), ("c", 2), ("d", 2)]
