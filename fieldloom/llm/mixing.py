@@ -1,10 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Targets come from filling up: each source gets its weight's share until it meets its limit, and what it leaves goes to the
-others by weight. Rows of a source are ordered by a hash of their id. A source's order is cut into ranges of that hash, so many
-that each holds about ``rows_per_range`` rows; the ranges' word counts and their running sums tell in which range the source's budget
-ends, and only that range is sorted to find the exact row and word. Every row then compares its hash with its source's cut, so
-documents are not shuffled, and a source with most of the rows is as evenly spread as any other.
+others by weight. Rows of a source are ordered by a hash of their id, and rows that share that by a hash of their text. A source's
+order is cut into ranges of that hash, so many that each holds about ``rows_per_range`` rows; the ranges' word counts and their
+running sums tell in which range the source's budget ends, and only that range is sorted to find the exact row and word. Every row
+then compares its hash with its source's cut, so documents are not shuffled, and a source with most of the rows is as evenly spread
+as any other.
 """
 
 from __future__ import annotations
@@ -18,9 +19,17 @@ from fieldloom.llm._util import cut_lineage, size_words, small_side
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-def _order(id_col: Column, seed: int) -> Column:
-    """A hash-random key, the same in every run and engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+#: Hexadecimal digits of a hash; an order is three of them.
+_HASH = 32
+
+
+def _order(id_col: Column, text_col: Column, seed: int) -> Column:
+    """A hash-random key of each row: by id, the same in every run and engine, then by text, then by a number of the row.
+
+    It has to be stored where it is read more than once, as the number may differ when it is computed again.
+    """
+    parts = [F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))), F.coalesce(text_col, F.lit("")), F.monotonically_increasing_id().cast("string")]
+    return F.concat(*map(F.md5, parts))
 
 
 def mix_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: int = 2) -> DataFrame:
@@ -51,27 +60,33 @@ def mix_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
 def mix_cuts(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, rows_per_range: int = 1000) -> DataFrame:
     """For each source of rows (source, size, order): size, target, whole epochs, and where its last epoch ends.
 
+    ``sized`` is stored, and no two rows have one ``order``.
     A row takes ``epochs`` times its size, and once more if its ``order`` is below ``cut``; at the cut it takes ``cut_words``.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    digits = F.ceil(F.log(16.0, F.greatest(F.col("n_rows") / rows_per_range, F.lit(1.0)))).cast("int")
     targets = mix_targets(sizes, weights, share, limit).withColumn("epochs", whole).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-    targets = cut_lineage(targets.withColumn("digits", digits))
-
-    plan = small_side(targets.select(F.col("source").alias("of"), "digits", "rest"))
-    ranged = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.expr("substring(`order`, 1, digits)"))
-    sums = ranged.groupBy("source", "range", "rest").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
-    ends = cut_lineage(ends.select(F.col("source").alias("of"), F.col("range").alias("last"), "before"))
-    last = ranged.join(small_side(ends), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("last"))).drop("of")
-    upto = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("order"))
+    targets = cut_lineage(targets)
+
+    here = F.col("source").eqNullSafe(F.col("of")) & F.expr("startswith(`order`, last)")
+    digits = F.ceil(F.log(16.0, F.greatest(F.col("n") / rows_per_range, F.lit(1.0)))).cast("int")
+    ends = targets.where("rest > 0").select(F.col("source").alias("of"), "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("last"), F.col("n_rows").alias("n"))
+    # One pass, unless many rows share an id, or an id and a text: then on to the next hash, which tells them apart.
+    for length in (digits, F.lit(_HASH), _HASH + digits, F.lit(2 * _HASH), 2 * _HASH + digits):
+        ranged = sized.join(small_side(ends.withColumn("length", length)), here).withColumn("range", F.expr("substring(`order`, 1, length)"))
+        sums = ranged.groupBy("of", "rest", "before", "range").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        lower = F.coalesce(F.sum("words").over(W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumn("before", F.col("before") + lower)
+        ends = sums.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
+        ends = cut_lineage(ends.select("of", "rest", "before", F.col("range").alias("last"), "n"))
+        if ends.where(F.col("n") > 4 * rows_per_range + 64).isEmpty():
+            break
+    last = sized.join(small_side(ends), here)
+    upto = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("order").rowsBetween(W.unboundedPreceding, 0))
     words = last.withColumn("upto", upto).where(F.col("upto") >= F.col("rest"))
-    # Rows that repeat an id have one order and stand together at the cut.
-    cut = words.groupBy("source").agg(F.min(F.struct("order", F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size")).alias("cut_words"))).alias("at"))
-    cut = cut.select(F.col("source").alias("of"), F.col("at.order").alias("cut"), F.greatest("at.cut_words", F.lit(0)).alias("cut_words"))
+    cut = words.groupBy("source").agg(F.min(F.struct("order", (F.col("rest") - F.col("upto") + F.col("size")).alias("cut_words"))).alias("at"))
+    cut = cut.select(F.col("source").alias("of"), F.col("at.order").alias("cut"), "at.cut_words")
     return cut_lineage(
         targets.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select(
             "source", "source_size", "target", "epochs", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("cut_words", F.lit(0)).cast("long").alias("cut_words")
@@ -88,9 +103,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """(id_col, size, source_size, target, taken) for every row: the words that the mix takes of it, repeats counted.
 
     Null texts and wordless texts have size 0 and are never taken; a null source is a source like any other. A row takes at
-    most ``limit`` times its size. Rows that repeat an id share its place in the order.
+    most ``limit`` times its size. Rows without an id or with a repeated one stand together in the order, by a hash of their text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_words(F.col(text_col)).alias("size"), _order(F.col(id_col), seed).alias("order"))
+    order = _order(F.col(id_col), F.col(text_col), seed)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_words(F.col(text_col)).alias("size"), order.alias("order"))
     rows = cut_lineage(rows)
     cuts = mix_cuts(rows.select("source", "size", "order"), **how).withColumnRenamed("source", "of")
     found = rows.join(small_side(cuts), F.col("source").eqNullSafe(F.col("of")))
@@ -102,15 +118,17 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Documents that the mix takes no word of, wordless ones included, are left out.
     """
-    size, order = size_words(F.col(text_col)), _order(F.col(id_col), seed)
-    cuts = mix_cuts(docs.select(F.col(source_col).alias("source"), size.alias("size"), order.alias("order")), **how)
-    cuts = small_side(cuts.select(F.struct(*cuts.columns).alias("__mix")))
-    found = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("__mix.source")))
-    m = F.col("__mix")
+    order = _order(F.col(id_col), F.col(text_col), seed)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), size_words(F.col(text_col)).alias("size"), order.alias("order"))
+    rows = cut_lineage(rows)
+    cuts = mix_cuts(rows.select("source", "size", "order"), **how)
+    cuts = small_side(cuts.select(F.struct(*cuts.columns).alias("mix")))
+    found = rows.join(cuts, F.col("source").eqNullSafe(F.col("mix.source")))
+    m, size, order = F.col("mix"), F.col("size"), F.col("order")
     once = F.when(order < m["cut"], size).when(order == m["cut"], F.least(size, m["cut_words"])).otherwise(F.lit(0))
     copies = F.array_repeat(F.lit(-1).cast("long"), m["epochs"])
     part = F.when(once >= size, F.array(F.lit(-1).cast("long"))).when(once > 0, F.array(once.cast("long"))).otherwise(F.array().cast("array<long>"))
-    found = found.where(size > 0).withColumn("__words", F.explode(F.concat(copies, part)))
+    found = found.where(size > 0).select("row.*", F.explode(F.concat(copies, part)).alias("__words"))
     prefix = F.expr(f"array_join(slice(filter(split(`{text_col}`, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> ''), 1, cast(__words as int)), ' ')")
     text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(prefix)
     return found.withColumn(text_col, text).select(*docs.columns)

@@ -77,3 +77,17 @@ def test_rows_hold_the_taken_words(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_plan(df).count() == 0 and mix_rows(df).count() == 0
+
+
+@pytest.mark.parametrize("ids", [lambda i: None if i % 3 == 0 else i, lambda i: None, lambda i: i % 4])
+@pytest.mark.parametrize("same_text", [False, True])
+def test_rows_that_share_an_id_are_cut_one_by_one(spark, ids, same_text):
+    """900 rows of 100 words: the cut falls within the rows that share an id, and the target is met to the word."""
+    texts = [" ".join([f"w{0 if same_text else i}"] * 100) for i in range(900)]
+    df = spark.createDataFrame([(ids(i), t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    for rest in (45_050, 74_950, 89_000):
+        how = {"share": 1 + rest / 90_000, "rows_per_range": 10}
+        taken = sorted(r.taken for r in mix_plan(df, **how).collect())
+        whole, part = divmod(rest, 100)
+        assert taken == sorted([200] * whole + [100 + part] * (part > 0) + [100] * (900 - whole - (part > 0)))
+    assert sum(len(r.text.split()) for r in mix_rows(df, **how).collect()) == 90_000 + rest
