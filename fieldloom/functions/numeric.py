@@ -127,19 +127,49 @@ def points_in_rings(lon: np.ndarray, lat: np.ndarray, rings: list[np.ndarray]) -
     return inside
 
 
+def _within(values: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each value how many values, itself included, lie closer than its ``reach``."""
+    u, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    upto, last = np.r_[0, np.cumsum(counts)], len(u) - 1
+    near = lambda i: np.abs(u[np.clip(i, 0, last)] - values) < reach
+    low, high = np.searchsorted(u, values - reach, "right"), np.searchsorted(u, values + reach, "left") - 1
+    low, high = np.minimum(low, place), np.maximum(high, place)
+    # The sums above are rounded; the differences decide.
+    low = np.where((low > 0) & near(low - 1), low - 1, np.where((low < place) & ~near(low), low + 1, low))
+    high = np.where((high < last) & near(high + 1), high + 1, np.where((high > place) & ~near(high), high - 1, high))
+    return np.where(reach > 0, upto[high + 1] - upto[low], 0)
+
+
+def _neighbour_reach(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Chebyshev distance of each point to its k-th neighbour; ``x`` is sorted, and windows of it widen until nothing outside is nearer."""
+    n, reach, left, half = len(x), np.empty(len(x)), np.arange(len(x)), 32
+    while left.size:
+        size, open_ = min(n, 2 * half + 1), []
+        step = max(1, (1 << 20) // size)
+        for start in range(0, left.size, step):
+            i = left[start : start + step]
+            low = np.clip(i - half, 0, n - size)
+            at = low[:, None] + np.arange(size)
+            r = np.partition(np.maximum(np.abs(x[i, None] - x[at]), np.abs(y[i, None] - y[at])), k, axis=1)[:, k]
+            edge = np.minimum(np.where(low > 0, x[i] - x[low], np.inf), np.where(low + size < n, x[low + size - 1] - x[i], np.inf))
+            reach[i] = r
+            open_.append(i[r > edge])
+        left, half = np.concatenate(open_), 4 * half
+    return reach
+
+
 def knn_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Mutual information in nats by the nearest-neighbour estimator of Kraskov et al. (2004), not below 0; ties stay ties."""
     n = len(x)
     if n <= k + 1:
         return 0.0
     x, y = ((v - v.mean()) / (v.std() or 1.0) for v in (np.asarray(x, float), np.asarray(y, float)))
-    counts_x, counts_y = np.empty(n), np.empty(n)
-    for start in range(0, n, 512):  # blocks of rows keep the distances small
-        rows = slice(start, min(n, start + 512))
-        dx, dy = np.abs(x[rows, None] - x[None]), np.abs(y[rows, None] - y[None])
-        reach = np.partition(np.maximum(dx, dy), k, axis=1)[:, k]
-        counts_x[rows] = (dx < reach[:, None]).sum(1) - (reach > 0)
-        counts_y[rows] = (dy < reach[:, None]).sum(1) - (reach > 0)
+    if len(np.unique(y)) > len(np.unique(x)):  # the estimate is symmetric, and windows are short where values differ
+        x, y = y, x
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    reach = _neighbour_reach(x, y, k)
+    counts_x, counts_y = (_within(v, reach) - (reach > 0) for v in (x, y))
     value = digamma(np.array([float(k)]))[0] + digamma(np.array([float(n)]))[0] - (digamma(np.maximum(counts_x, 0) + 1) + digamma(np.maximum(counts_y, 0) + 1)).mean()
     return max(0.0, float(value))
 

@@ -13,23 +13,19 @@ from pyspark.sql import functions as F
 from fieldloom.functions.numeric import greedy_vif, knn_information
 
 FOLD = ("split", "year_out")
-#: Rows of one fold and feature that the neighbour estimate looks at; more are thinned out by a hash of their place.
-MOST_ROWS = 20_000
 
 
-def mutual_information(rows: DataFrame, features: Sequence[str], y: str, k: int = 3, least: float = 1e-3, seed: int = 42) -> DataFrame:
+def mutual_information(rows: DataFrame, features: Sequence[str], y: str, k: int = 3, least: float = 1e-3) -> DataFrame:
     """(split, year_out, feature, mi) above ``least``: information on ``y`` in each feature over the rows of each fold.
 
     ``rows`` has (split, year_out, features, y) and holds the training rows. Up to five rows the size of Pearson's correlation
-    stands in. Each task gets one fold and feature as two columns.
+    stands in. Each task gets one fold and feature as two columns, all of their rows.
     """
     long = rows.select(*FOLD, F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).unpivot([*FOLD, "y"], list(features), "feature", "x")
     long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
     def estimate(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["x", "y"], kind="stable")
-        if len(part) > MOST_ROWS:
-            part = part.sample(MOST_ROWS, random_state=seed)
         x, t = part["x"].to_numpy(), part["y"].to_numpy()
         if len(part) <= 5:
             mi = abs(float(np.corrcoef(x, t)[0, 1])) if len(part) > 1 and x.std() and t.std() else 0.0

@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions.numeric import digamma, knn_information
 from fieldloom.operators import cluster, folds, metrics, models, selection, soil
 
 
@@ -164,3 +166,21 @@ def test_clusters_and_events(spark):
     events = spark.createDataFrame([(2000, 3), (2000, 4), (2005, 1)], "year int, fatalities int")
     yields = spark.createDataFrame([(2001, 1.0), (2001, 3.0), (2002, 9.0)], "harv_year int, yield double")
     assert list(map(tuple, cluster.lagged_event_join(yields, events).collect())) == [(2001, 2.0, 7)]
+
+
+def test_information_takes_all_rows(spark):
+    """By brute force on values with and without ties; and a fold of more than 20,000 rows is not thinned out."""
+    rng = np.random.default_rng(4)
+    for n, digits in ((300, 1), (300, 9), (900, 0)):
+        x = rng.normal(size=n).round(digits)
+        y = (x + rng.normal(size=n)).round(digits)
+        a, b = ((v - v.mean()) / v.std() for v in (x, y))
+        dx, dy = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
+        reach = np.sort(np.maximum(dx, dy), axis=1)[:, 3:4]
+        counts = [np.maximum((d < reach).sum(1) - (reach[:, 0] > 0), 0) for d in (dx, dy)]
+        want = digamma(np.array([3.0]))[0] + digamma(np.array([float(n)]))[0] - sum(digamma(c + 1).mean() for c in counts)
+        assert knn_information(x, y) == pytest.approx(max(0.0, want), abs=1e-9)
+    x = rng.normal(size=25_000)
+    y = x + rng.normal(size=25_000)
+    df = spark.createDataFrame(pd.DataFrame({"split": "s", "year_out": 1, "a": x, "yield": y}))
+    assert selection.mutual_information(df, ["a"], "yield").head().mi == pytest.approx(knn_information(x, y), abs=1e-9)
