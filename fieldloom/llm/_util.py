@@ -43,8 +43,6 @@ def scratch(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
-
-
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join.
 
@@ -59,3 +57,18 @@ def slices(batches: Iterator[pa.Array], size: int = 2 << 20) -> Iterator[pa.Arra
         step = max(1, int(len(batch) * size / max(1, batch.nbytes)))
         for start in range(0, len(batch), step):
             yield batch.slice(start, step)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make):
+    """What ``make`` gave for ``key`` in this Python worker. Workers serve many tasks, so an object's caches outlive a task.
+
+    A worker keeps the latest two objects. ``key`` is made on the driver and names one object for good.
+    """
+    if key not in _KEPT:
+        while len(_KEPT) > 1:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]

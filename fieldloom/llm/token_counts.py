@@ -2,7 +2,8 @@
 
 A first pass sums up in every task which pre-tokens are frequent, in a summary of bounded size; the summaries (not the pre-tokens)
 merge in a tree of small tasks into one table. The table of the frequent pre-tokens' lengths is broadcast. A second pass looks up
-each pre-token there, then in its worker's own cache, and encodes what neither holds. Whether a pre-token is in a tier changes the
+each pre-token there, then in its worker's own caches, which outlive a task, and merges what neither holds, the misses of some
+megabytes of text at once. Only lengths are kept, no ids. Whether a pre-token is in a tier changes the
 speed only, never a count, and no pre-token is shuffled.
 """
 
@@ -11,13 +12,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices
-from fieldloom.llm.bpe import Encoder, Vocabulary, _Cache
+from fieldloom.llm._util import cut_lineage, kept_in_worker, slices
+from fieldloom.llm.bpe import CACHED_CHARS, Cache, Encoder, Vocabulary
 
 #: Pre-tokens in the broadcast table, and in every summary.
 TABLE = 16_384
@@ -55,13 +57,13 @@ def frequent_pieces(docs: DataFrame, text_col: str, path: str, size: int = TABLE
                     first[chunks[0]] += 1
                     later.update(chunks[1:])
             for counts in (first, later):
-                if len(counts) > 6 * size:
-                    kept = _cut(counts, 3 * size)
+                if len(counts) > 16 * size:
+                    kept = _cut(counts, 4 * size)
                     counts.clear()
                     counts.update(kept)
         pieces = Counter()
         for counts, before in ((first, ""), (later, "" if encoder.v.lower else " ")):
-            for chunk, n in counts.items():
+            for chunk, n in _cut(counts, 2 * size).items():
                 if len(chunk) < 256:  # the table is for the frequent ones
                     for piece in encoder.pieces(before + chunk):
                         pieces[piece] += n
@@ -84,24 +86,117 @@ def frequent_pieces(docs: DataFrame, text_col: str, path: str, size: int = TABLE
     return found[0].pieces if found else []
 
 
-class _LengthEncoder(Encoder):
+#: Byte lengths up to which pieces are merged many at once, as rows of one matrix each.
+_ROWS = (8, 16, 32)
+
+
+class LengthCounter:
+    """Counts tokens in one process: pre-tokens' lengths from the table, else from this worker's caches, else merged."""
+
     def __init__(self, vocabulary: Vocabulary, table: dict[str, int]) -> None:
-        super().__init__(vocabulary)
-        rare = _Cache(lambda p: len(self.piece_ids(p)))
-        known = table.get
-        length = lambda p: known(p) or rare[p]
-        self.of_first = _Cache(lambda c: sum(map(length, self.pieces(c))))
-        self.of_chunk = self.of_first if vocabulary.lower else _Cache(lambda c: sum(map(length, self.pieces(" " + c))))
-
-    def count(self, text: str | None) -> int:
-        total = 0
-        for k, segment in enumerate(self.segments(text or "")):
-            if k % 2:
-                total += 1
-            elif segment:
-                chunks = self.chunks(self.normalize(segment) if self.v.lower else segment)
-                total += self.of_first[chunks[0]] + sum(map(self.of_chunk.__getitem__, chunks[1:]))
-        return total
+        self.encoder, self.v, self.table = Encoder(vocabulary), vocabulary, table
+        self.of_piece, self.of_chunk = Cache(), Cache()
+        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in vocabulary.merges.items())
+        self.pairs, self.ranks, self.new = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ([-1], [0], [0])))
+        self.first, self.last = np.array(vocabulary.first, np.int64), np.array(vocabulary.last, np.int64)
+
+    def _places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each pair of symbols stands among the merges, and its rank, one beyond all for no merge or padding."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return at, np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], len(self.ranks))
+
+    def _merged(self, data: list[bytes], width: int) -> np.ndarray:
+        """Tokens of each of ``data``, none empty or longer than ``width`` bytes: each round merges every row's best pair."""
+        n, rows = len(data), np.arange(len(data))
+        length = np.array([len(x) for x in data])
+        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in data]), np.uint8).reshape(n, width)
+        symbols = np.where(np.arange(width) < length[:, None], self.first[raw], -1)
+        symbols[rows, length - 1] = self.last[raw[rows, length - 1]]
+        symbols = np.concatenate([symbols, np.full((n, 1), -1)], axis=1)
+        rank, column = self._places(symbols[:, :-1], symbols[:, 1:])[1], np.arange(width + 1)
+        while len(rows):
+            best = rank.argmin(axis=1)  # the leftmost one of a rank
+            live = rank[np.arange(len(rows)), best] < len(self.ranks)
+            rows, best, symbols, rank = rows[live], best[live], symbols[live], rank[live]
+            here = np.arange(len(rows))
+            length[rows] -= 1
+            at = self._places(symbols[here, best], symbols[here, best + 1])[0]
+            moved = column > best[:, None]
+            symbols = np.where(moved, np.concatenate([symbols[:, 1:], np.full((len(rows), 1), -1)], axis=1), symbols)
+            rank = np.where(moved[:, :-1], np.concatenate([rank[:, 1:], np.full((len(rows), 1), len(self.ranks))], axis=1), rank)
+            symbols[here, best] = self.new[at]
+            rank[here, best] = self._places(symbols[here, best], symbols[here, best + 1])[1]
+            before = np.maximum(best - 1, 0)
+            rank[here, before] = np.where(best > 0, self._places(symbols[here, before], symbols[here, before + 1])[1], rank[here, before])
+        return length
+
+    def piece_lengths(self, pieces: list[str]) -> dict[str, int]:
+        """Tokens of each of these pre-tokens."""
+        data = [p.encode("utf-8", "replace") for p in pieces]
+        out, least = {}, 0
+        for width in _ROWS:
+            some = [i for i, d in enumerate(data) if least < len(d) <= width]
+            if some:
+                out.update(zip([pieces[i] for i in some], self._merged([data[i] for i in some], width).tolist()))
+            least = width
+        out.update({p: len(self.encoder.piece_ids(p)) for p, d in zip(pieces, data) if len(d) > least})
+        return out
+
+    def _pieces(self, chunks: list[str], before: str) -> list[list[str]]:
+        """Each chunk's pre-tokens."""
+        cut = self.encoder.pieces
+        return [[before + c] if c.isascii() and c.isalpha() else cut(before + c) for c in chunks]
+
+    def _new_chunks(self, chunks: list[str], before: str) -> list[int]:
+        """Tokens of each of these distinct chunks."""
+        pieces = self._pieces(chunks, before)
+        lengths, missing = {}, []
+        table, recent, older = self.table, self.of_piece, self.of_piece.before
+        for p in set().union(*pieces):
+            n = table.get(p) or recent.get(p) or older.get(p)
+            if n:
+                lengths[p] = n
+            else:
+                missing.append(p)
+        new = self.piece_lengths(missing)
+        self.of_piece.keep_all(new)
+        lengths |= new
+        get = lengths.__getitem__
+        return [sum(map(get, p)) for p in pieces]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """Tokens of each text."""
+        encoder, special, parts, firsts, rests = self.encoder, [], [], [], []
+        for text in texts:
+            cut = encoder.segments(text or "")
+            special.append(len(cut) // 2)
+            chunks = [encoder.chunks(encoder.normalize(x) if self.v.lower else x) for x in cut[::2] if x]
+            parts.append((len(chunks), sum(map(len, chunks)) - len(chunks)))
+            for c in chunks:
+                firsts.append(c[0])
+                rests += c[1:]
+        starts = list(set(firsts))
+        of_start = dict(zip(starts, self._new_chunks(starts, "")))
+        blank, cache = "" if self.v.lower else " ", self.of_chunk
+        lengths = list(map(cache.get, rests))
+        places = [i for i, n in enumerate(lengths) if n is None]
+        if places:
+            found, missing, older = {}, [], cache.before
+            for c in {rests[i] for i in places}:
+                if n := older.get(c):
+                    found[c] = n
+                else:
+                    missing.append(c)
+            found.update(zip(missing, self._new_chunks(missing, blank)))
+            for i in places:
+                lengths[i] = found[rests[i]]
+            cache.keep_all(found)
+        sums = []
+        for n, many in zip(([of_start[c] for c in firsts], lengths), np.array(parts, np.int64).reshape(-1, 2).T):
+            upto, ends = np.cumsum(np.array([0, *n], np.int64)), np.cumsum(many)
+            sums.append(upto[ends] - upto[ends - many])
+        return np.array(special, np.int64) + sums[0] + sums[1]
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", table: list[str] | None = None) -> Column:
@@ -112,14 +207,14 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", table: list
     """
     vocabulary = Vocabulary.load(path)
     pieces = frequent_pieces(docs, text_col, path) if table is None else table
-    encoder = Encoder(vocabulary)
-    lengths = {p: len(encoder.piece_ids(p)) for p in pieces}
+    lengths = LengthCounter(vocabulary, {}).piece_lengths(pieces)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, lengths))
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = _LengthEncoder(*shared.value)
+        vocabulary, table = shared.value
+        counter = kept_in_worker(f"{vocabulary.key} lengths", lambda: LengthCounter(vocabulary, table))
         for batch in slices(batches):
-            yield pa.array([counter.count(t) for t in batch.to_pylist()], pa.int64())
+            yield pa.array(counter.counts(batch.to_pylist()))
 
     return count(F.col(text_col))
