@@ -1,9 +1,13 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Each document gets a few ratios as whole numbers (per mille of words or lines). Their distribution in every language and source
-is summed up in a quantile sketch: a histogram of bounded size whose bins add up, so sketches of parts merge exactly and in any
-order. Fences around each sketch's quartiles replace fixed cutoffs; groups too small for quartiles fall back on the merged
-sketches of their language, and then of everything. Rows are filtered by joining them with their group's fences.
+Each document gets a few ratios as whole numbers (such as per mille of words). Their distribution in every language and source is
+summed up in a quantile sketch with bins of bounded relative width, as in DDSketch (Masson et al., 2019): a value counts in the bin of
+its leading ``BITS`` binary digits. Bins add up, so sketches of parts merge exactly, in any order and number; a quantile's rank is exact, and
+its value is too low by less than one part in ``2 ** (BITS - 1)``. A sketch has at most ``64 * 2 ** (BITS - 1)`` bins, and no value is clipped.
+
+Fences come from quantiles of these sketches. A source's sketch is merged with its language's, scaled down to ``PRIOR`` documents, and a
+language's with the one of everything: groups with few documents lean on their parent, without a switch. As a group full of junk
+would lift its own fences, a fence lies at most ``REACH`` times as far from the parent's median as the parent's own fence does.
 """
 
 from __future__ import annotations
@@ -11,7 +15,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,23 +30,38 @@ _BLANKS = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Metric:
-    """A ratio in whole units; a document is an outlier above (or below) the quartile by ``spreads`` interquartile ranges.
+    """A ratio in whole units. Its fence lies ``stretch`` times as far from the median as the ``percent`` quantile does.
 
-    ``least_spread`` is the smallest range that counts, so that a group in which nearly all are alike rejects no small deviation.
+    ``least`` is the smallest distance that counts, so that a group in which nearly all are alike doesn't reject small deviations.
+    Fences of percentages above 50 are upper ones.
     """
 
     name: str
-    above: bool
-    least_spread: int
-    spreads: int = 3
+    value: str
+    percent: int
+    stretch: int
+    least: int
+
+    @property
+    def sign(self) -> int:
+        return 1 if self.percent > 50 else -1
 
 
 #: Symbols per word, repeated lines per line, words in repeated windows per word, all per mille; tenths of characters per word.
-METRICS = (Metric("symbols", True, 100), Metric("dup_lines", True, 150), Metric("repeats", True, 150), Metric("long_words", True, 20), Metric("short_words", False, 8))
-#: Values at or above this share the sketch's last bin, which bounds its size.
-LAST_BIN = 5000
-#: Documents that a group's own sketch needs.
-LEAST_GROUP = 100
+METRICS = (
+    Metric("symbols", "symbols", 90, 3, 30), Metric("dup_lines", "dup_lines", 99, 3, 40), Metric("repeats", "repeats", 99, 3, 40),
+    Metric("long_words", "chars", 90, 5, 4), Metric("short_words", "chars", 5, 5, 3),
+)
+#: Binary digits of a value that its bin keeps.
+BITS = 8
+#: Documents that a parent's sketch counts for in its children's.
+PRIOR = 100
+#: What a document counts in a merged sketch, so that the parent's share comes in whole numbers.
+_UNIT = 1000
+#: How many times as far as the parent's own fence a fence may lie from the parent's median.
+REACH = 1.5
+#: Lines and words that every text is taken to have besides its own, without repeats, so that one repeat in few is not much.
+MORE_LINES, MORE_WORDS = 5, 50
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -93,14 +111,12 @@ def base_failed(s: Column) -> Column:
 
 
 def _values(s: Column) -> dict[str, Column]:
-    ratio = lambda a, b, unit: F.least(F.floor(F.lit(unit) * a / F.greatest(b, F.lit(1))), F.lit(LAST_BIN)).cast("int")
-    length = ratio(s["word_chars"], s["n_words"], 10)
+    ratio = lambda a, b, unit: F.floor(F.lit(unit) * a / F.greatest(b, F.lit(1))).cast("long")
     return {
         "symbols": ratio(s["n_symbols"], s["n_words"], 1000),
-        "dup_lines": ratio(s["n_dup_lines"], s["n_lines"], 1000),
-        "repeats": ratio(s["n_repeat_words"], s["n_words"], 1000),
-        "long_words": length,
-        "short_words": length,
+        "dup_lines": ratio(s["n_dup_lines"], s["n_lines"] + MORE_LINES, 1000),
+        "repeats": ratio(s["n_repeat_words"], s["n_words"] + MORE_WORDS, 1000),
+        "chars": ratio(s["word_chars"], s["n_words"], 10),
     }
 
 
@@ -109,57 +125,83 @@ def _group(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
 
 
-def quantile_sketches(stats: DataFrame) -> DataFrame:
-    """Mergeable sketches (g_lang, g_source, metric, bin, n) of rows (g_lang, g_source, stats).
-
-    ``"*"`` stands for all sources of a language, or for everything.
-    """
-    values = _values(F.col("stats"))
-    long = stats.select("g_lang", "g_source", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("metric", "bin"))
-    own = cut_lineage(long.groupBy("g_lang", "g_source", "metric", "bin").agg(F.count("*").alias("n")))
-    merged = [own]
-    for levels in (("g_lang",), ()):
-        columns = [F.col(c) if c in levels else F.lit("*").alias(c) for c in ("g_lang", "g_source")]
-        merged.append(own.groupBy(*levels, "metric", "bin").agg(F.sum("n").alias("n")).select(*columns, "metric", "bin", "n"))
-    return reduce(DataFrame.unionAll, merged)
-
-
-def fences(sketches: DataFrame, metrics: tuple[Metric, ...] = METRICS, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(g_lang, g_source, total, one fence per metric) from the sketches' quartiles, for groups of ``least_group`` rows or more."""
-    group = ("g_lang", "g_source", "metric")
-    up = W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sketches.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(W.partitionBy(*group)))
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bin")))
-    quartiles = ranked.where(F.col("total") >= least_group).groupBy(*group, "total").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    spread = lambda m: m.spreads * F.greatest(F.col("q3") - F.col("q1"), F.lit(m.least_spread))
-    fence = [F.max(F.when(F.col("metric") == m.name, F.col("q3") + spread(m) if m.above else F.col("q1") - spread(m))).alias(m.name) for m in metrics]
-    return quartiles.groupBy("g_lang", "g_source").agg(*fence)
+def bin_of(value: str) -> Column:
+    """The least value with the same leading ``BITS`` binary digits as the one in column ``value``."""
+    cut = f"greatest(length(bin({value})) - {BITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({value}, {cut}), {cut})")
+
+
+def quantile_sketches(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Sketches (by, metric, bin, n) of rows (by, metric, value)."""
+    return merged(values.select(*by, "metric", bin_of("value").alias("bin"), F.lit(1).cast("long").alias("n")), by)
+
+
+def merged(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """One sketch for each ``by`` from any number of partial ones."""
+    return sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
+
+
+def _with_prior(own: DataFrame, by: tuple[str, ...], parent: DataFrame | None, on: tuple[str, ...]) -> DataFrame:
+    """Sketches of the groups of ``own``, in units, each merged with that of its parent, scaled down to ``PRIOR`` documents."""
+    scaled = own.withColumn("n", F.col("n") * _UNIT)
+    if parent is None:
+        return scaled
+    share = F.expr(f"n * {PRIOR * _UNIT} div sum(n) OVER (PARTITION BY {', '.join((*on, 'metric'))})")
+    prior = parent.select(*on, "metric", "bin", share.alias("n")).where("n > 0")
+    groups = own.select(*by, "metric").distinct()
+    added = groups.join(prior, [*on, "metric"]).select(*by, "metric", "bin", "n")  # as many rows as groups and bins
+    return merged(scaled.unionByName(added), by)
+
+
+def fences(own: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
+    """(g_lang, g_source, one fence per metric) for each group of the sketches (g_lang, g_source, metric, bin, n)."""
+    levels = [(), ("g_lang",), ("g_lang", "g_source")]
+    parent = limits = None
+    for depth, by in enumerate(levels):
+        on = levels[max(0, depth - 1)]
+        parent = cut_lineage(_with_prior(own if by == levels[-1] else merged(own, by), by, parent, on))
+        group = W.partitionBy(*by, "metric")
+        ranked = parent.withColumn("upto", F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
+        at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bin")))
+        found = ranked.groupBy(*by, "metric").agg(at(50).alias("median"), *[at(p).alias(f"q{p}") for p in sorted({m.percent for m in metrics})])
+        columns = []
+        for m in metrics:
+            far = F.greatest(m.sign * (F.col(f"q{m.percent}") - F.col("median")), F.lit(m.least))
+            fence = F.struct(F.col("median").alias("median"), (F.col("median") + m.sign * m.stretch * far).cast("double").alias("fence"))
+            columns.append(F.max(F.when(F.col("metric") == m.value, fence)).alias(m.name))
+        found = found.groupBy(*by).agg(*columns)
+        if depth:
+            above = limits.select(*on, *[F.col(m.name).alias(f"{m.name}_above") for m in metrics])
+            found = found.join(F.broadcast(above), list(on)) if on else found.join(F.broadcast(above), F.lit(True))  # one row, then one a language
+            for m in metrics:
+                x, up = F.col(m.name), F.col(f"{m.name}_above")
+                bound = up["median"] + REACH * (up["fence"] - up["median"])
+                fence = F.least(x["fence"], bound) if m.sign > 0 else F.greatest(x["fence"], bound)
+                found = found.withColumn(m.name, F.struct(x["median"].alias("median"), fence.alias("fence")))
+        limits = cut_lineage(found.select(*by, *[m.name for m in metrics]))
+    return limits.select("g_lang", "g_source", *[F.col(m.name)["fence"].alias(m.name) for m in metrics])
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, **carried: Column) -> DataFrame:
     """(the ``carried`` columns, stats, base_failed, kept) for every row of ``docs``, each row by its own counts."""
     rows = docs.select(*[c.alias(name) for name, c in carried.items()], text_stats(F.col(text_col)).alias("stats"), _group(F.col(lang_col)).alias("g_lang"), _group(F.col(source_col)).alias("g_source"))
     rows = cut_lineage(rows.withColumn("base_failed", base_failed(F.col("stats"))))
-    limits = cut_lineage(fences(quantile_sketches(rows.where(~F.col("base_failed")))))
-    levels = [limits.where(F.col("g_source") != "*"), limits.where((F.col("g_source") == "*") & (F.col("g_lang") != "*")), limits.where(F.col("g_lang") == "*")]
-    out = rows
-    for level, (on, side) in enumerate(zip((["g_lang", "g_source"], ["g_lang"], []), levels)):
-        side = side.select(*on, *[F.col(m.name).alias(f"{m.name}_{level}") for m in METRICS])
-        out = out.join(small_side(side), on, "left") if on else out.join(F.broadcast(side), F.lit(True), "left")  # one row at most
     values = _values(F.col("stats"))
+    long = rows.where(~F.col("base_failed")).select("g_lang", "g_source", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("metric", "value"))
+    limits = fences(cut_lineage(quantile_sketches(long, ("g_lang", "g_source"))))
+    out = rows.join(small_side(limits), ["g_lang", "g_source"], "left")
     inside = F.lit(True)
     for m in METRICS:
-        fence = F.coalesce(*[F.col(f"{m.name}_{level}") for level in range(3)])
-        inside = inside & F.coalesce(values[m.name] <= fence if m.above else values[m.name] >= fence, F.lit(True))
+        inside = inside & F.coalesce(m.sign * values[m.value] <= m.sign * F.col(m.name), F.lit(True))
     return out.select(*carried, "stats", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id_col, the counts of ``text_stats``, base_failed, kept) for every row of ``docs``.
 
-    Fences are learnt from all rows that pass the fixed rules; rows inside all fences of their language and source are kept.
-    Nulls in language or source form groups of their own. Where not even all rows together suffice for a sketch, only the fixed rules
-    hold. Rows with repeated or null ids are judged one by one. An empty table gives an empty result.
+    Fences are learnt from all rows that pass the fixed rules; rows on or inside all fences of their language and source are kept.
+    Nulls in language or source form groups of their own. Rows with repeated or null ids are judged one by one. An empty table gives
+    an empty result.
     """
     out = _judged(docs, text_col, lang_col, source_col, id=F.col(id_col))
     return out.select(F.col("id").alias(id_col), "stats.*", "base_failed", "kept")

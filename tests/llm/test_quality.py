@@ -1,7 +1,10 @@
 import re
 from collections import Counter
 
-from fieldloom.llm.quality import METRICS, quality_filter, quality_verdicts
+import numpy as np
+from pyspark.sql import functions as F
+
+from fieldloom.llm.quality import BITS, METRICS, merged, quality_filter, quality_verdicts, quantile_sketches
 
 
 def brute(text):
@@ -32,21 +35,54 @@ def test_counts_against_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def plain(i, n):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
 def test_fences_follow_the_source(spark):
-    """Symbols that are usual in one source are rejected in another; small groups fall back on all rows."""
-    plain = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
-    rows = [(i, plain(i, 80), "en", "prose") for i in range(150)] + [(1000 + i, plain(i, 60) + " #" * 60, "en", "code") for i in range(150)]
-    rows += [(5000, plain(1, 60) + " #" * 60, "en", "prose"), (5001, plain(2, 60) + " #" * 60, "en", "code"), (5002, plain(3, 60), None, None), (None, plain(4, 70), "en", "prose")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    """Repeated lines that are usual in one source are rejected in another."""
+    lines = lambda i, n, again: "\n".join([plain(f"{i}l{k}", 8) for k in range(n - again)] + [plain(f"{i}l0", 8)] * again)
+    rows = [(i, lines(i, 30, 0), "en", "prose") for i in range(400)] + [(1000 + i, lines(i, 30, i % 12), "en", "forum") for i in range(400)]
+    rows += [(5000, lines("a", 40, 15), "en", "prose"), (5001, lines("b", 40, 13), "en", "forum"), (5002, lines("c", 30, 1), None, None), (None, lines("d", 30, 2), "en", "prose")]
+    df = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r.kept for r in quality_verdicts(df).collect()}
     assert not got[5000] and got[5001] and got[5002] and got[None]
-    assert all(got[i] for i in range(150)) and all(got[1000 + i] for i in range(150))
+    assert all(got[i] for i in range(400)) and all(got[1000 + i] for i in range(400))
     kept = quality_filter(df)
     assert kept.columns == df.columns and kept.count() == len(rows) - 1
 
 
+def test_a_source_full_of_junk_does_not_lift_its_fences(spark):
+    """Symbols in two fifths of a source: its own quantiles are junk, its language's are not."""
+    rows = [(i, plain(i, 80), "en", "good") for i in range(600)]
+    rows += [(1000 + i, plain(i, 60) + " #" * 60 * (i % 5 < 2), "en", "bad") for i in range(100)]
+    got = {r.doc_id: r.kept for r in quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] for i in range(600))
+    assert all(got[1000 + i] == (i % 5 >= 2) for i in range(100))
+
+
+def test_sketches_merge_in_any_order(spark):
+    """Parts merged in any grouping and order are the sketch of all; ranks are exact and values within their bins."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.integers(0, 50, 300), (10 ** rng.uniform(0, 9, 700)).astype(int), [0, 127, 128, 255, 256, 2**40]])
+    rows = spark.createDataFrame([(int(i % 7), "m", int(v)) for i, v in enumerate(values)], "part int, metric string, value long")
+    by_part = quantile_sketches(rows, ("part",))
+    whole = quantile_sketches(rows, ())
+    table = lambda df: sorted((r.bin, r.n) for r in df.collect())
+    first = by_part.where("part < 3")
+    again = merged(first, ()).unionByName(by_part.where("part >= 3").drop("part").orderBy(F.rand(1)))
+    assert table(merged(by_part, ())) == table(merged(again, ())) == table(whole)
+    bins = np.repeat(*np.array(table(whole)).T)
+    exact = np.sort(values)
+    assert len(bins) == len(values) and (bins <= exact).all() and (exact - bins <= exact / 2 ** (BITS - 1)).all()
+    assert len(table(whole)) <= 64 * 2 ** (BITS - 1)
+
+
 def test_empty_table_and_few_rows(spark):
-    schema = "doc_id long, text string, lang string, source string"
+    schema = SCHEMA
     assert quality_verdicts(spark.createDataFrame([], schema)).count() == 0
     few = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(55)), "en", "s")] * 2, schema)
     assert [r.kept for r in quality_verdicts(few).collect()] == [True, True]
