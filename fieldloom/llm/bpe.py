@@ -24,12 +24,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Regex, normalizers, pre_tokenizers
 
 from fieldloom.llm._util import kept_in_worker, slices
 
 #: About how many bytes a cache of a worker holds; bounds memory, never results.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 24 << 20
 #: Longest piece, in characters, that is cached.
 CACHED_CHARS = 64
 
@@ -68,6 +67,8 @@ def _ranges(points: list[int]) -> str:
 @cache
 def library_classes() -> dict[str, str]:
     """The library's letters (``p{L}``), numbers (``p{N}``) and white space (``s``), each as the inside of a class of ``re``."""
+    from tokenizers import Regex, pre_tokenizers  # on the driver only
+
     kinds = {"p{L}": [], "p{N}": [], "s": []}
     any_of = pre_tokenizers.Split(Regex("|".join(f"\\{k}+" for k in kinds)), "isolated")
     one_of = {k: pre_tokenizers.Split(Regex(f"^\\{k}$"), "removed") for k in kinds}
@@ -82,6 +83,8 @@ def library_classes() -> dict[str, str]:
 @cache
 def library_lower() -> dict[int, str]:
     """Characters whose lower case in the library is not ``str.lower``'s."""
+    from tokenizers import normalizers
+
     lower, out = normalizers.Lowercase(), {}
     for block in _blocks():
         chars = [chr(i) for i in block if i != 10]
@@ -261,7 +264,6 @@ class Encoder:
         self._odd = _odd_search(_ranges(sorted(v.lower_of))) if v.lower else None
         self.special = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
         self.hints = sorted({s[:2] for s in v.special})
-        self._library = normalizers.NFC().normalize_str
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
@@ -275,7 +277,7 @@ class Encoder:
         if not text.isascii():
             odd = self._odd(text)
             if odd or not unicodedata.is_normalized("NFC", text):
-                text = self._library(text)  # its Unicode version decides
+                text = _library_nfc()(text)  # its Unicode version decides
             if odd:
                 text = text.translate(self.v.lower_of)
             if "Σ" in text:  # a capital sigma's lower case depends on what follows only in str.lower
@@ -293,6 +295,13 @@ class Encoder:
         return self._space(segment) if self._breaks(segment) else segment.split(" ")
 
 
+@cache
+def _library_nfc():
+    from tokenizers import normalizers  # few texts need it
+
+    return normalizers.NFC().normalize_str
+
+
 @cache
 def _odd_search(others: str):
     """Finds characters that Python's Unicode tables don't know, those of the class ``others``, and all beyond the first plane."""
@@ -322,17 +331,13 @@ class IdEncoder(Encoder):
         return b"".join(out)
 
 
-def _shared(spark: SparkSession, vocabulary: Vocabulary):
-    return spark.sparkContext.broadcast(vocabulary)
-
-
 def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
     """Token ids, ``array<int>``, of each text, as the file's own library gives them without added special tokens.
 
     Null and empty texts give an empty array. Special tokens written out inside a text become their ids, the library's
     default. Texts of any length are encoded whole.
     """
-    shared = _shared(spark, Vocabulary.load(path))
+    shared = spark.sparkContext.broadcast(Vocabulary.load(path))
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -352,18 +357,19 @@ def bpe_decode(spark: SparkSession, ids: Column, path: str) -> Column:
     Without a decoder in the file the vocabulary strings are joined by blanks, as its library does; a byte-level decoder
     concatenates them and reads the bytes as UTF-8 with replacement characters for what is none.
     """
-    shared = _shared(spark, Vocabulary.load(path))
+    v = Vocabulary.load(path)
+    shared = spark.sparkContext.broadcast((v.tokens, set(v.special.values()), v.byte_decoder))
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = shared.value
-        if v.byte_decoder:
+        vocabulary, special, byte_decoder = shared.value
+        if byte_decoder:
             back = {c: b for b, c in enumerate(_byte_chars())}
-            raw = [bytes(back[c] for c in t) if i not in set(v.special.values()) else t.encode() for i, t in enumerate(v.tokens)]
+            raw = [bytes(back[c] for c in t) if i not in special else t.encode() for i, t in enumerate(vocabulary)]
             for batch in slices(batches):
                 yield pa.array([None if x is None else b"".join([raw[i] for i in x]).decode("utf-8", "replace") for x in batch.to_pylist()], pa.string())
             return
-        tokens = pa.array(v.tokens, pa.large_string())
+        tokens = pa.array(vocabulary, pa.large_string())
         for batch in slices(batches):
             joined = pc.binary_join(_lists(batch, tokens), pa.scalar(" ", pa.large_string()))
             yield joined.cast(pa.string())

@@ -24,6 +24,8 @@ from fieldloom.llm.bpe import CACHED_CHARS, Cache, Encoder, Vocabulary
 #: Pre-tokens in the broadcast table, and in every summary.
 TABLE = 16_384
 _FAN = 32
+#: Memory of each of a worker's two caches, of pieces and of chunks.
+CACHE_BYTES = 64 << 20
 
 
 def _cut(counts: Counter, size: int) -> Counter:
@@ -95,7 +97,7 @@ class LengthCounter:
 
     def __init__(self, vocabulary: Vocabulary, table: dict[str, int]) -> None:
         self.encoder, self.v, self.table = Encoder(vocabulary), vocabulary, table
-        self.of_piece, self.of_chunk = Cache(), Cache()
+        self.of_piece, self.of_chunk = Cache(size=CACHE_BYTES), Cache(size=CACHE_BYTES)
         pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in vocabulary.merges.items())
         self.pairs, self.ranks, self.new = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ([-1], [0], [0])))
         self.first, self.last = np.array(vocabulary.first, np.int64), np.array(vocabulary.last, np.int64)
