@@ -1,18 +1,17 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary, another one on toxic labelled text. A text's windows of whole words are compressed
-with the ordinary one alone and with both, and toxic ones come out shorter with both. Most words of toxic texts are
-ordinary, and would fill a dictionary with other pieces of the same language, so the toxic one is trained on the words that toxic
-texts have in clearly more contexts. Where the toxic dictionary stands in one compressor, the other has as many bytes that no
-text contains, so that distances are alike. What the windows gain is turned into a score by thresholds (a logistic curve) calibrated
-on labelled texts that the dictionaries in use had not seen.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary labelled text, each on what ordinary text doesn't explain: the
+stretches of its samples that share no ``GRAM`` bytes with the reference part of the ordinary sample. (Whole samples of either class
+hold mostly the same ordinary pieces, and dictionaries of these hardly differ.) Both stand behind one and the same dictionary of
+ordinary text, so that two compressors result that differ in those bytes only. A window of whole words is compressed by both; the bytes
+that the toxic one saves are its gain. A text's gains are turned into a score by thresholds (steps at ``STEPS`` bytes and a logistic
+curve) calibrated on labelled texts that the dictionaries in use had not seen.
 
 Training takes a bounded sample of labelled windows on the driver; the dictionaries, some hundred kB, are broadcast.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +27,15 @@ from fieldloom.llm.language import held_out
 #: Labelled rows of each class that are learnt from, and characters of each; bounds on what the driver holds.
 SAMPLE = {1: 2000, 0: 6000}
 SAMPLE_CHARS = 2048
-WINDOW = 128
-_BASE, _OWN, _LEVEL = 112_640, 1500, 9
-_EDGES = b".,;:!?|\"'()"
+#: Bytes of a window, and of a stretch that makes text ordinary.
+WINDOW, GRAM = 96, 8
+#: Share of the ordinary sample that is the reference, and folds of the rest and of the toxic one for the calibration.
+REFERENCE, FOLDS = 0.6, 4
+#: Bytes of the common dictionary and of each class's own, and bytes of a class's dictionary's pieces.
+BASE, OWN, PIECE = 112_640, 2048, 16
+#: A window's gain counts from the first and up to the second number of bytes, so that no single passage decides; see ``_features``.
+STEPS = (3, 10)
+_LEVEL = 9
 
 
 def _words(text: str) -> list[bytes]:
@@ -68,92 +73,96 @@ def _trained(samples: list[bytes], size: int, **how) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _own_words(texts: list[str], others: list[str]) -> list[bytes]:
-    """All occurrences of the words that have clearly more contexts in ``texts`` than in ``others``.
-
-    A context is the word before. Copies of a text add none, so a word that one passage repeats is not taken for typical.
-    """
-
-    def contexts(rows: list[str]) -> Counter:
-        seen = set()
-        for text in rows:
-            words = [w.strip(_EDGES) for w in _words(text)]
-            seen.update(zip([b"", *words], words))
-        return Counter(word for _, word in seen)
-
-    mine, theirs = contexts(texts), contexts(others)
-    least, factor = max(4, int(0.014 * len(texts))), 15 * len(texts) / max(1, len(others))
-    own = {w for w, n in mine.items() if n >= least and len(w) >= 4 and n >= factor * (theirs[w] + 1)}
-    return [w for text in texts for x in _words(text) if (w := x.strip(_EDGES)) in own]
+def _grams(data: bytes) -> np.ndarray:
+    """All stretches of GRAM bytes, as numbers."""
+    if len(data) < GRAM:
+        return np.zeros(0, np.uint64)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), GRAM)).view(np.uint64).ravel()
 
 
-def _packed(words: list[bytes], n: int = 8) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
+def _unexplained(text: str, reference: np.ndarray) -> bytes:
+    """The bytes of a text that lie in no stretch that ``reference`` (sorted) has too."""
+    data = b" " + b" ".join(_words(text)) + b" "
+    grams = _grams(data)
+    if not len(grams) or not len(reference):
+        return data
+    at = np.minimum(np.searchsorted(reference, grams), len(reference) - 1)
+    edges = np.zeros(len(data) + 1, np.int64)
+    known = np.flatnonzero(reference[at] == grams)
+    np.add.at(edges, known, 1)
+    np.add.at(edges, known + GRAM, -1)
+    return np.frombuffer(data, np.uint8)[np.cumsum(edges[:-1]) == 0].tobytes()
 
 
 @dataclass
 class ToxicModel:
-    """Dictionaries (toxic, ordinary), the ordinary windows' mean gain a byte, and the calibrated curve; see ``score``."""
+    """Both compressors' dictionaries and the calibrated curve's weights."""
 
     toxic: bytes
     ordinary: bytes
-    drift: float
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
     @classmethod
     def train(cls, toxic: list[str], ordinary: list[str]) -> "ToxicModel":
-        """Dictionaries from all texts; the curve from texts scored by dictionaries made of the other half."""
-        gains = []
-        for half in (0, 1):
-            gain = _Gains(cls._dictionaries(toxic[half::2], ordinary[half::2]))
-            gains.append([np.array([gain.of(t) for t in texts[1 - half :: 2]]) for texts in (toxic, ordinary)])
-        of_toxic, of_ordinary = (np.concatenate(x) for x in zip(*gains))
-        model = cls._dictionaries(toxic, ordinary)
-        model.drift = float(of_ordinary[:, 0].sum() / max(1.0, of_ordinary[:, 1].sum()))
-        y = np.r_[np.ones(len(of_toxic)), np.zeros(len(of_ordinary))]
-        model.weights = _logistic(_features(np.r_[of_toxic, of_ordinary], model.drift), y)
-        return model
+        """Dictionaries from all texts; the curve from texts scored by dictionaries made without their fold."""
+        cut = max(1, int(REFERENCE * len(ordinary)))
+        base = _trained([w for t in ordinary[:cut] for w in _windows(t)], BASE)
+        reference = np.unique(_grams(b"".join(b" " + b" ".join(_words(t)) + b" " for t in ordinary[:cut])))
+        texts = toxic, ordinary[cut:]
+        rests = [[_unexplained(t, reference) for t in part] for part in texts]
+        del reference
+        gains = [[], []]
+        for fold in range(FOLDS):
+            own = cls._of(base, *([r for i, r in enumerate(rest) if i % FOLDS != fold] for rest in rests))
+            for found, part in zip(gains, texts):
+                found += [own.features(t) for t in part[fold::FOLDS]]
+        model = cls._of(base, *rests)
+        x, y = np.array([*gains[0], *gains[1]]), np.r_[np.ones(len(gains[0])), np.zeros(len(gains[1]))]
+        # The classes weigh as much as they have texts, those of the reference included.
+        weight = np.where(y == 1, 1.0, len(ordinary) / max(1, len(texts[1])))
+        return cls(model.model.toxic, model.model.ordinary, _logistic(x, y, weight / weight.mean()))
 
     @classmethod
-    def _dictionaries(cls, toxic: list[str], ordinary: list[str]) -> "ToxicModel":
-        plain = [w for t in ordinary for w in _windows(t)]
-        base = _trained(plain[:: max(1, len(plain) // 40_000)], _BASE)
-        own = _trained(_packed(_own_words(toxic, ordinary)), _OWN, k=16, d=6)
-        return cls(base + own, base + b"\xff" * len(own), 0.0, (0.0, 0.0, 0.0))
+    def _of(cls, base: bytes, toxic: list[bytes], ordinary: list[bytes]) -> "_Scorer":
+        """Dictionaries of equal size from both classes' unexplained stretches."""
+        parts = [[r for r in rest if len(r) >= GRAM] for rest in (toxic, ordinary)]
+        own = [_trained(part, OWN, k=PIECE, d=GRAM) for part in parts]
+        size = max(map(len, own))
+        return _Scorer(cls(*(base + part.rjust(size, b"\xff") for part in own), ()))
 
 
-def _features(gains: np.ndarray, drift: float) -> np.ndarray:
-    """Gain above the ordinary drift, by length and by its root, from (gain, bytes) of each text."""
-    above = gains[:, 0] - drift * gains[:, 1]
-    return np.stack([100 * above / (gains[:, 1] + 300), np.clip(above / np.sqrt(gains[:, 1] + 100), -4, 8)], axis=1)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
     """Weights of the features and the offset, by Newton steps."""
     z, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(z) * np.eye(len(w)) * np.r_[np.ones(len(w) - 1), 1e-6]
-        step = np.linalg.solve(hessian, z.T @ (p - y) + ridge * len(z) * np.r_[w[:-1], 0])
+        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * len(z) * np.eye(len(w)) * np.r_[np.ones(len(w) - 1), 1e-6]
+        step = np.linalg.solve(hessian, z.T @ (weight * (p - y)) + ridge * len(z) * np.r_[w[:-1], 0])
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(map(float, w))
 
 
-class _Gains:
-    """Bytes that the toxic dictionary saves over the ordinary one."""
+class _Scorer:
+    """Scores texts in one process."""
 
     def __init__(self, model: ToxicModel) -> None:
         self.model, self.toxic, self.ordinary = model, _compressor(model.toxic).compress, _compressor(model.ordinary).compress
 
-    def of(self, text: str | None) -> tuple[float, float]:
-        """Sum over the windows, each within a range that one passage can't leave, and their bytes."""
-        gain = size = 0
-        for window in _windows(text or ""):
-            gain += min(16, max(-4, len(self.ordinary(window)) - len(self.toxic(window))))
-            size += len(window)
-        return float(gain), float(size)
+    def features(self, text: str | None) -> list[float]:
+        """Of the gains of a text's windows: means from zero and from STEPS[0] bytes on, and the latter by the root of the windows' number."""
+        low, high = STEPS
+        windows = _windows(text or "")
+        gains = [len(self.ordinary(w)) - len(self.toxic(w)) for w in windows]
+        n = len(gains)
+        plain, above = sum(min(max(g, 0), high) for g in gains), sum(min(max(g - low, 0), high) for g in gains)
+        return [plain / (n + 2), above / (n + 2), above / (n + 1) ** 0.5]
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
+        z = x @ np.array(self.model.weights[:-1]) + self.model.weights[-1] if len(texts) else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> ToxicModel | None:
@@ -189,15 +198,9 @@ def toxicity(docs: DataFrame, model: ToxicModel | None, text_col: str = "text")
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
-        gains = _Gains(model) if model else None
+        scorer = _Scorer(shared.value) if shared.value else None
         for batch in slices(batches):
-            if not gains:
-                yield pa.array([0.0] * len(batch), pa.float64())
-                continue
-            x = np.array([gains.of(t) for t in batch.to_pylist()]).reshape(-1, 2)
-            z = _features(x, model.drift) @ np.array(model.weights[:2]) + model.weights[2]
-            yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
+            yield pa.array(scorer.scores(batch.to_pylist()) if scorer else [0.0] * len(batch), pa.float64())
 
     return score(F.col(text_col))
 
