@@ -54,9 +54,15 @@ ruled AS (
 good AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 hosts AS (
   SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k,
-         list_reverse(string_split(string_split(host, ':')[1], '.')) AS l
+         regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\.+$', '') AS name
   FROM parts LEFT JOIN good USING (page_id) GROUP BY host),
-named AS (SELECT host, n, k, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS domain FROM hosts),
+split_ AS (SELECT *, list_reverse(string_split(name, '.')) AS l, regexp_matches(name, '^\[|^[0-9]+(\.[0-9]+){3}$') AS address FROM hosts),
+sites AS (
+  SELECT *, CASE WHEN len(l) > 2 AND length(l[1]) = 2
+    AND l[2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gov', 'gouv', 'ltd', 'me', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'plc', 'sch') THEN 2 ELSE 1 END AS s FROM split_),
+named AS (
+  SELECT host, n, k, CASE WHEN address THEN 'address' ELSE array_to_string(list_reverse(l[1:s]), '.') END AS suffix,
+         CASE WHEN address THEN name ELSE array_to_string(list_reverse(l[1:s + 1]), '.') END AS domain FROM sites),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
 m0 AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2.0) AS mean_0 FROM suffixes),
@@ -77,10 +83,17 @@ l2 AS (
   FROM domains JOIN l1 USING (suffix) LEFT JOIN strength ON lvl = 1 AND parent = suffix),
 l3 AS (
   SELECT host, (k + coalesce(st, 2.0) * mean_2) / (n + coalesce(st, 2.0)) AS mean, n + coalesce(st, 2.0) AS size
-  FROM named JOIN l2 USING (domain) LEFT JOIN strength ON lvl = 2 AND parent = domain)
+  FROM named JOIN l2 USING (domain) LEFT JOIN strength ON lvl = 2 AND parent = domain),
+ab AS (SELECT host, mean, mean * size AS a, (1 - mean) * size AS b, 8 * sqrt(1 / (mean * size) + 1 / ((1 - mean) * size)) AS reach FROM l3 WHERE mean < 0.5),
+ends_ AS (SELECT *, ln(a / b) - reach - 30 / a AS low, ln(a / b) + reach + 30 / b AS high FROM ab),
+cuts AS (SELECT *, least(greatest(0.0, low), high) AS at_, -a * ln(1 + b / a) - b * ln(1 + a / b) AS top FROM ends_),
+areas AS (
+  SELECT host, sum(CASE WHEN side = 0 THEN (at_ - low) * w * exp(-a * ln(1 + exp(-(low + (at_ - low) * i / 400))) - b * ln(1 + exp(low + (at_ - low) * i / 400)) - top) ELSE 0 END) AS below,
+         sum(CASE WHEN side = 1 THEN (high - at_) * w * exp(-a * ln(1 + exp(-(at_ + (high - at_) * i / 400))) - b * ln(1 + exp(at_ + (high - at_) * i / 400)) - top) ELSE 0 END) AS above
+  FROM cuts, (SELECT range AS i, CASE WHEN range IN (0, 400) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 401)), (VALUES (0), (1)) AS sides(side) GROUP BY host)
 SELECT parts.page_id, host, path, rule,
-       coalesce(ruled.verdict, CASE WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN ruled USING (page_id) JOIN l3 USING (host)
+       coalesce(ruled.verdict, CASE WHEN above / (below + above) < 0.05 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN ruled USING (page_id) LEFT JOIN areas USING (host)
 """
 
 
