@@ -1,15 +1,17 @@
 """Nearest neighbours by largest inner product: an inverted file with product-quantised residuals and exact reranking.
 
 Coarse centroids and residual codebooks are trained on the driver on a bounded sample of vectors; every vector is indexed. A query
-visits the lists whose centroids have the largest inner product with it, scores their codes by asymmetric distance tables, and
-reranks on the original vectors the best and all that their codes' errors leave in doubt. How many lists it takes for the wanted recall is measured on the sample. Lists and the
-queries that visit them are dealt into blocks of bounded size, so that a popular list is spread over tasks.
+visits the lists whose centroids have the largest inner product with it, scores their codes by asymmetric distance tables, and its best
+``RERANK`` times ``k`` candidates are reranked on the original vectors. How many lists it takes for the wanted recall is measured on the
+sample. Only codes and ids go to the search: vectors are met again in the reranking, by a join of the few candidates. Lists are packed into
+buckets of bounded size, a long list into several, and queries into blocks; a task searches one bucket for one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage
+from fieldloom.llm._util import cut_lineage, small_side
 
 #: Vectors that centroids and codebooks are trained on; a bound on what the driver holds.
 SAMPLE = 16_384
-#: Rows of a list, and queries that visit it, that meet in one task.
-BLOCK = 8192
+#: Lists are this times the root of the number of rows, but each has PER_LIST vectors of the sample on average at least.
+LISTS, PER_LIST = 2.0, 16
+#: Rows of a bucket, and queries, that meet in one task.
+BLOCK = 16_384
 QUERY_BLOCK = 2048
+#: Candidates by their codes, in multiples of ``k``, that are reranked.
+RERANK = 5
 
 
 @dataclass
@@ -47,11 +53,6 @@ class Quantiser:
             at += book.shape[1]
         return np.stack(parts, axis=1)
 
-    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Length of what each vector's code leaves out."""
-        coded = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.codebooks)], axis=1)
-        return np.sqrt(((x - self.centroids[lists] - coded) ** 2).sum(axis=1))
-
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with the codes: (parts, codes, queries)."""
         q = queries.reshape(len(queries), len(self.codebooks), -1)
@@ -75,10 +76,10 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return centroids
 
 
-def train_quantiser(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.97, part: int = 4, seed: int = 3) -> Quantiser:
+def train_quantiser(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.93, part: int = 2, seed: int = 3) -> Quantiser:
     """Fit on a sample of ``rows`` vectors; visits suffice for ``recall`` of the ``k`` nearest among the sample's own vectors."""
     rng, x = np.random.default_rng(seed), sample.astype(np.float32)
-    n_lists = int(min(1024, max(1, len(x) // 32), max(1, np.sqrt(rows) / 4)))
+    n_lists = int(max(1, min(len(x) // PER_LIST, LISTS * np.sqrt(rows))))
     centroids = _kmeans(x, n_lists, rng)
     own = _nearest(x, centroids)
     residual = x - centroids[own]
@@ -101,112 +102,146 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector) of the rows that take part: not null, not zero, all components finite, of the most frequent length, with an id."""
+    """(row, id, vector) of the rows that take part: with an id, not null, not zero, all components finite; ``row`` numbers them."""
     v = F.col("vector")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull())
     rows = rows.where(v.isNotNull() & (F.size(v) > 0) & ~bad).where(F.exists(v, lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (lengths[0].n if lengths else -1))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector")
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.97) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.93) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` on column ``id`` its ``k`` nearest other rows.
 
     Nearness is the inner product in double precision, ties go to the smaller id, fewer than ``k`` rows come only where fewer
-    candidates exist. Null and zero vectors, vectors with null or non-finite components or of a rare length, and null ids take no
-    part. Of repeated ids each row is a candidate, but for the query's own id, and each repeated query id is one query for the
-    first of its vectors. An empty table gives an empty result.
+    candidates exist. Null and zero vectors, vectors with null or non-finite components, and null ids take no part. Vectors of different
+    lengths have no inner product: each length has an index of its own. Of repeated ids each row is a candidate, but for the query's own
+    id, and each repeated query id is one query for the first of its vectors of a length. An empty table gives an empty result.
     """
     rows = cut_lineage(valid_vectors(vectors, id_col, vector_col))
+    lengths = [r.n for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]  # a few
+    found = [_of_one_length(rows.where(F.size("vector") == n) if len(lengths) > 1 else rows, is_query, k, recall) for n in lengths]
+    found = reduce(DataFrame.unionAll, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def fit(rows: DataFrame, k: int, recall: float) -> Quantiser:
+    """A quantiser for rows (row, id, vector), from a sample by hashes of the rows' numbers, or all if they are few."""
     total = rows.count()
-    spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
-    if total < 2:
-        return spark.createDataFrame([], schema)
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < int(1.2e6 * SAMPLE / total) + 1)
-    sample = sorted((r.id, r.vector) for r in chosen.limit(2 * SAMPLE).collect())[:SAMPLE]
-    if len(sample) < min(total, 256):  # few rows: all of them
-        sample = sorted((r.id, r.vector) for r in rows.limit(SAMPLE).collect())
-    quantiser = train_quantiser(np.array([v for _, v in sample]), total, k, recall)
-    shared = spark.sparkContext.broadcast(quantiser)
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1_000_000)) < int(1.2e6 * SAMPLE / max(1, total)) + 1)
+    sample = sorted((r.row, r.vector) for r in chosen.select("row", "vector").limit(2 * SAMPLE).collect())[:SAMPLE]
+    if len(sample) < min(total, 256):
+        sample = sorted((r.row, r.vector) for r in rows.select("row", "vector").limit(SAMPLE).collect())
+    return train_quantiser(np.array([v for _, v in sample]), total, k, recall)
+
+
+def _buckets(sizes: np.ndarray) -> list[list[int]]:
+    """For each list the buckets that hold it: several for a list over BLOCK rows, else one, shared with lists that fit in."""
+    out, bucket, room = [], -1, 0
+    for n in sizes.tolist():
+        if n > BLOCK:
+            parts = -(-n // BLOCK)
+            out.append(list(range(bucket + 1, bucket + 1 + parts)))
+            bucket, room = bucket + parts, 0
+            continue
+        if n > room or bucket < 0:
+            bucket, room = bucket + 1, BLOCK
+        room -= n
+        out.append([bucket])
+    return out
+
+
+def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score) of the candidates, reranked, for vectors of one length."""
+    quantiser = fit(rows, k, recall)
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(quantiser)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("vector"))
-            own = shared.value.lists(x.astype(np.float32))
-            codes = shared.value.codes(x.astype(np.float32), own)
-            error = shared.value.errors(x, own, codes)
-            columns = [batch.column("id"), batch.column("vector"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "list", "code", "error"])
-
-    indexed = cut_lineage(rows.mapInArrow(index, "id long, vector array<double>, list int, code binary, error double"))
-    counts = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list, 1024 at most
+            x = _matrix(batch.column("vector")).astype(np.float32)
+            own = shared.value.lists(x)
+            codes = [c.tobytes() for c in shared.value.codes(x, own)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(own, pa.int32()), pa.array(codes, pa.binary())], ["row", "id", "list", "code"])
+
+    indexed = cut_lineage(rows.mapInArrow(index, "row long, id long, list int, code binary"))
+    counts = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
     sizes = np.array([counts.get(i, 0) for i in range(len(quantiser.centroids))])
+    buckets = context.broadcast(_buckets(sizes))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lists of each query: the best, and more until they hold enough rows."""
+        """The lists of each query, by bucket: the best ones, and more until they hold enough rows."""
         for batch in batches:
             x = _matrix(batch.column("vector")).astype(np.float32)
             order = np.argsort(-(x @ shared.value.centroids.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             needed = np.maximum(shared.value.visits, (held < 2 * k + 2).sum(axis=1) + 1)
-            lists = [o[:n][sizes[o[:n]] > 0].tolist() for o, n in zip(order, needed)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(lists, pa.list_(pa.int32()))], ["id", "vector", "lists"])
-
-    queries = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    visits = queries.mapInArrow(visit, "id long, vector array<double>, lists array<int>").select("id", "vector", F.explode("lists").alias("list"))
-    # A task gets one block of a list's rows and one block of the queries that visit it.
-    by_list = cut_lineage(visits.groupBy("list").agg(F.count("*").alias("n")))
-    visitors = {r.list: r.n for r in by_list.collect()}
-    blocks = F.create_map(*[x for i, n in counts.items() for x in (F.lit(i), F.lit(int(-(-n // BLOCK))))])
-    query_blocks = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(int(-(-visitors.get(i, 0) // QUERY_BLOCK))))])
-    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    left = indexed.withColumn("block", deal(blocks[F.col("list")])).withColumn("queries", F.explode(_numbers(query_blocks[F.col("list")])))
-    right = visits.withColumn("queries", deal(query_blocks[F.col("list")])).withColumn("block", F.explode(_numbers(blocks[F.col("list")])))
-    key = ["list", "block", "queries"]
-
-    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not rows.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return _search(shared.value, rows.combine_chunks(), asked.combine_chunks(), k)
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
-    # Every task sends k rows a query at most; of these, k a query are kept before and after the shuffle.
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _numbers(n: Column) -> Column:
-    """0 .. n - 1; empty for 0."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _search(q: Quantiser, rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    order = np.argsort(rows["id"].to_numpy(), kind="stable")
-    ids, vectors = rows["id"].to_numpy()[order], _matrix(rows["vector"].combine_chunks())[order]
+            of, where, lists = [], [], []
+            for i, (o, n) in enumerate(zip(order, needed)):
+                by_bucket: dict[int, list[int]] = {}
+                for one in o[:n].tolist():
+                    for bucket in buckets.value[one] if sizes[one] else ():
+                        by_bucket.setdefault(bucket, []).append(one)
+                of += [i] * len(by_bucket)
+                where += by_bucket
+                lists += by_bucket.values()
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("vector").take(of), pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["id", "vector", "bucket", "lists"])
+
+    asked = cut_lineage(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    right = asked.mapInArrow(visit, "id long, vector array<double>, bucket int, lists array<int>").withColumn("queries", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    first = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(buckets.value[i][0]))]) if counts else F.lit(None)
+    parts = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(len(buckets.value[i])))]) if counts else F.lit(None)
+    bucket = (first[F.col("list")] + F.pmod(F.xxhash64("row"), parts[F.col("list")])).cast("int")
+    left = indexed.withColumn("bucket", bucket).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keep = RERANK * k
+
+    def search(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        if not codes.num_rows or not asked.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
+        return _search(shared.value, codes.combine_chunks(), asked.combine_chunks(), keep)
+
+    key = ["bucket", "queries"]
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, row long, vec_id long, near float")
+    # Every task sends the best of its bucket for each query; the best of all are met with their vectors.
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "row"))
+    best = near.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "row", "vec_id")
+    best = best.join(rows.select("row", "vector"), "row").join(small_side(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))), "query_id")
+    score = F.aggregate(F.zip_with("vector", "asked", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return best.select("query_id", "vec_id", score.alias("score"))
+
+
+def _search(q: Quantiser, rows: pa.Table, asked: pa.Table, keep: int) -> pa.Table:
+    """Each query's ``keep`` best rows of the lists that it visits, by their codes; ties by id."""
+    order = np.lexsort((rows["row"].to_numpy(), rows["id"].to_numpy()))
+    ids, numbers, lists = (rows[c].to_numpy()[order] for c in ("id", "row", "list"))
     codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-    own, asking = q.centroids[rows["list"][0].as_py()], asked["id"].to_numpy()
-    queries = _matrix(asked["vector"].combine_chunks())
-    # A code's error moves an inner product by about its length over the root of the size; twice that is allowed for.
-    doubt = 2 * rows["error"].to_numpy()[order] / np.sqrt(vectors.shape[1])
-    keep, out = min(len(ids), 2 * k + 8), []
+    members = {i: np.flatnonzero(lists == i) for i in np.unique(lists).tolist()}
+    asking, vectors, visits = asked["id"].to_numpy(), _matrix(asked["vector"].combine_chunks()).astype(np.float32), asked["lists"].to_pylist()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(asking), 64):
-        block = queries[start : start + 64]
-        tables = q.tables(block.astype(np.float32))
-        approximate = np.zeros((len(ids), len(block)), np.float32) + (block.astype(np.float32) @ own)
-        for m in range(codes.shape[1]):
-            approximate += tables[m].take(codes[:, m], axis=0)
-        least = np.partition(approximate, len(ids) - keep, axis=0)[len(ids) - keep]
-        for i, query in enumerate(block):
-            near = np.flatnonzero(approximate[:, i] >= least[i])  # ties at the limit all stay
-            near = near[ids[near] != asking[start + i]]
-            score = (vectors[near] * query).sum(axis=1)
-            if len(near) >= k:  # all that may still be better than the k-th
-                limit = np.partition(score, len(score) - k)[len(score) - k]
-                near = np.union1d(near, np.flatnonzero(approximate[:, i] + doubt * np.sqrt(query @ query) >= limit))
-                near = near[ids[near] != asking[start + i]]
-                score = (vectors[near] * query).sum(axis=1)
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append((np.full(len(best), asking[start + i]), ids[near][best], score[best]))
-    a, b, c = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+        block = vectors[start : start + 64]
+        tables, near = q.tables(block), np.full((len(block), len(ids)), -np.inf, np.float32)
+        wants: dict[int, list[int]] = {}
+        for i, lists_of in enumerate(visits[start : start + 64]):
+            for one in lists_of:
+                wants.setdefault(one, []).append(i)
+        for one, who in wants.items():
+            at = members.get(one)
+            if at is None:
+                continue
+            sums = np.zeros((len(at), len(who)), np.float32) + block[who] @ q.centroids[one]
+            chosen = tables[:, :, who]
+            for m in range(codes.shape[1]):
+                sums += chosen[m].take(codes[at, m], axis=0)
+            near[np.ix_(who, at)] = sums.T
+        for i, scores in enumerate(near):
+            scores[ids == asking[start + i]] = -np.inf
+            least = np.partition(scores, len(ids) - keep)[len(ids) - keep] if len(ids) > keep else -np.inf
+            some = np.flatnonzero((scores >= least) & (scores > -np.inf))
+            some = some[np.argsort(-scores[some], kind="stable")][:keep]  # rows are in order of ids
+            out.append((np.full(len(some), start + i), some, scores[some]))
+    who, some, near = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"query_id": pa.array(asking[who], pa.int64()), "row": pa.array(numbers[some], pa.int64()), "vec_id": pa.array(ids[some], pa.int64()), "near": pa.array(near, pa.float32())})

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -104,10 +105,13 @@ def test_token_counts_equal_the_library(spark, name):
 
 
 def brute_neighbours(rows, k):
-    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    asked = {}
     for q, x in ok:
         if q % 20 == 0:
-            yield q, sorted(((-(v * x).sum(), i) for i, v in ok if i != q))[:k]
+            asked[q] = min(asked.get(q, x.tolist()), x.tolist())
+    for q, x in asked.items():
+        yield q, sorted(((-(v * np.array(x)).sum(), i) for i, v in ok if i != q and len(v) == len(x)))[:k]
 
 
 def test_neighbours_recall_and_ties(spark, monkeypatch):
@@ -115,7 +119,9 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(900)] + [(1000 + i, [1.0] * 8) for i in range(300)]
-    odd = [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [None] + [1.0] * 7), (2080, [1.0] * 3), (2100, [float("inf")] * 8), (None, [1.0] * 8)]
+    rows += [(i, rng.standard_normal(8).tolist()) for i in (7, 7, 7, 20, 11)]  # repeated ids
+    rows += [(3000 + i, rng.standard_normal(3).tolist()) for i in range(30)]  # another length
+    odd = [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [None] + [1.0] * 7), (2100, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<double>, rank int").repartition(5)
     got = {}
     for r in nearest_neighbours(df, F.col("id") % 20 == 0, k=20).collect():
@@ -123,11 +129,11 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     hits = total = 0
     for q, best in brute_neighbours(rows, 20):
         mine = sorted(got.pop(q))
-        assert [m[0] for m in mine] == list(range(1, 21))
+        assert [m[0] for m in mine] == list(range(1, len(best) + 1))
         assert sorted(((-s, i) for _, i, s in mine)) == [(-s, i) for _, i, s in mine]
-        hits += len({i for _, i in best} & {m[1] for m in mine})
-        total += 20
-    assert not got and hits / total > 0.95
+        hits += (Counter(i for _, i in best) & Counter(m[1] for m in mine)).total()
+        total += len(best)
+    assert not got and hits / total > 0.9
 
 
 def test_neighbours_of_few_rows(spark):
