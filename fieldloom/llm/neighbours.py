@@ -29,16 +29,17 @@ LISTS, PER_LIST = 2.0, 16
 BLOCK = 16_384
 QUERY_BLOCK = 2048
 #: Candidates by their codes, in multiples of ``k``, that are reranked.
-RERANK = 5
+RERANK = 8
 
 
 @dataclass
 class Quantiser:
-    """Centroids (lists, size), codebooks (parts, codes, size of a part), and lists that a query visits."""
+    """Centroids (lists, size), codebooks (parts, codes, size of a part), lists that a query visits, and the sample as its codes tell it."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
     visits: int
+    sample: np.ndarray
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each vector."""
@@ -53,6 +54,15 @@ class Quantiser:
             at += book.shape[1]
         return np.stack(parts, axis=1)
 
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What lists and codes say of the vectors."""
+        return self.centroids[lists] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.codebooks)], axis=1)
+
+    def least(self, queries: np.ndarray, wanted: int, rows: int) -> np.ndarray:
+        """A score that about ``wanted`` of ``rows`` rows reach for each query, going by the sample; from its third place on."""
+        place = min(len(self.sample), max(3, 2 + wanted * len(self.sample) // max(1, rows)))
+        return np.partition(queries @ self.sample.T, len(self.sample) - place, axis=1)[:, len(self.sample) - place]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with the codes: (parts, codes, queries)."""
         q = queries.reshape(len(queries), len(self.codebooks), -1)
@@ -76,7 +86,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return centroids
 
 
-def train_quantiser(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.93, part: int = 2, seed: int = 3) -> Quantiser:
+def train_quantiser(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.94, part: int = 2, seed: int = 3) -> Quantiser:
     """Fit on a sample of ``rows`` vectors; visits suffice for ``recall`` of the ``k`` nearest among the sample's own vectors."""
     rng, x = np.random.default_rng(seed), sample.astype(np.float32)
     n_lists = int(max(1, min(len(x) // PER_LIST, LISTS * np.sqrt(rows))))
@@ -92,7 +102,9 @@ def train_quantiser(sample: np.ndarray, rows: int, k: int = 20, recall: float =
     np.put_along_axis(rank, order, np.arange(len(centroids))[None], 1)
     needed = np.sort(np.take_along_axis(rank, own[near], 1).ravel()) + 1
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 1
-    return Quantiser(centroids, books, visits)
+    quantiser = Quantiser(centroids, books, visits, x)
+    quantiser.sample = quantiser.decoded(own, quantiser.codes(x, own)).astype(np.float32)
+    return quantiser
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -110,7 +122,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector")
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.93) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.94) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` on column ``id`` its ``k`` nearest other rows.
 
     Nearness is the inner product in double precision, ties go to the smaller id, fewer than ``k`` rows come only where fewer
@@ -167,7 +179,8 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
 
     indexed = cut_lineage(rows.mapInArrow(index, "row long, id long, list int, code binary"))
     counts = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
-    sizes = np.array([counts.get(i, 0) for i in range(len(quantiser.centroids))])
+    sizes, keep = np.array([counts.get(i, 0) for i in range(len(quantiser.centroids))]), RERANK * k
+    total = int(sizes.sum())
     buckets = context.broadcast(_buckets(sizes))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +190,7 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
             order = np.argsort(-(x @ shared.value.centroids.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             needed = np.maximum(shared.value.visits, (held < 2 * k + 2).sum(axis=1) + 1)
+            least = shared.value.least(x, keep, total)
             of, where, lists = [], [], []
             for i, (o, n) in enumerate(zip(order, needed)):
                 by_bucket: dict[int, list[int]] = {}
@@ -187,16 +201,16 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
                 where += by_bucket
                 lists += by_bucket.values()
             of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("vector").take(of), pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["id", "vector", "bucket", "lists"])
+            least = pa.array(least, pa.float32()).take(of)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("vector").take(of), pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32())), least], ["id", "vector", "bucket", "lists", "least"])
 
     asked = cut_lineage(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    right = asked.mapInArrow(visit, "id long, vector array<double>, bucket int, lists array<int>").withColumn("queries", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    right = asked.mapInArrow(visit, "id long, vector array<double>, bucket int, lists array<int>, least float").withColumn("queries", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     first = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(buckets.value[i][0]))]) if counts else F.lit(None)
     parts = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(len(buckets.value[i])))]) if counts else F.lit(None)
     bucket = (first[F.col("list")] + F.pmod(F.xxhash64("row"), parts[F.col("list")])).cast("int")
     left = indexed.withColumn("bucket", bucket).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keep = RERANK * k
 
     def search(codes: pa.Table, asked: pa.Table) -> pa.Table:
         if not codes.num_rows or not asked.num_rows:
@@ -205,7 +219,7 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
 
     key = ["bucket", "queries"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, row long, vec_id long, near float")
-    # Every task sends the best of its bucket for each query; the best of all are met with their vectors.
+    # Every task sends what reaches a query's least score, its bucket's ``keep`` best at most; the best of all are met with their vectors.
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "row"))
     best = near.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "row", "vec_id")
     best = best.join(rows.select("row", "vector"), "row").join(small_side(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))), "query_id")
@@ -214,12 +228,12 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
 
 
 def _search(q: Quantiser, rows: pa.Table, asked: pa.Table, keep: int) -> pa.Table:
-    """Each query's ``keep`` best rows of the lists that it visits, by their codes; ties by id."""
+    """Each query's ``keep`` best rows of the lists that it visits, by their codes, from its least score on; ties by id."""
     order = np.lexsort((rows["row"].to_numpy(), rows["id"].to_numpy()))
     ids, numbers, lists = (rows[c].to_numpy()[order] for c in ("id", "row", "list"))
     codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
     members = {i: np.flatnonzero(lists == i) for i in np.unique(lists).tolist()}
-    asking, vectors, visits = asked["id"].to_numpy(), _matrix(asked["vector"].combine_chunks()).astype(np.float32), asked["lists"].to_pylist()
+    asking, least, vectors, visits = asked["id"].to_numpy(), asked["least"].to_numpy(), _matrix(asked["vector"].combine_chunks()).astype(np.float32), asked["lists"].to_pylist()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(asking), 64):
         block = vectors[start : start + 64]
@@ -232,15 +246,13 @@ def _search(q: Quantiser, rows: pa.Table, asked: pa.Table, keep: int) -> pa.Tabl
             at = members.get(one)
             if at is None:
                 continue
-            sums = np.zeros((len(at), len(who)), np.float32) + block[who] @ q.centroids[one]
-            chosen = tables[:, :, who]
-            for m in range(codes.shape[1]):
-                sums += chosen[m].take(codes[at, m], axis=0)
-            near[np.ix_(who, at)] = sums.T
+            sums = np.zeros((len(at), len(block)), np.float32)
+            for m, column in enumerate(codes[at].T):
+                sums += tables[m].take(column, axis=0)  # for the whole block, which is cheaper than to choose columns
+            near[np.ix_(who, at)] = sums.T[who] + (block[who] @ q.centroids[one])[:, None]
         for i, scores in enumerate(near):
             scores[ids == asking[start + i]] = -np.inf
-            least = np.partition(scores, len(ids) - keep)[len(ids) - keep] if len(ids) > keep else -np.inf
-            some = np.flatnonzero((scores >= least) & (scores > -np.inf))
+            some = np.flatnonzero(scores >= least[start + i])
             some = some[np.argsort(-scores[some], kind="stable")][:keep]  # rows are in order of ids
             out.append((np.full(len(some), start + i), some, scores[some]))
     who, some, near = (np.concatenate(x) for x in zip(*out))
