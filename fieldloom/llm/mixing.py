@@ -2,8 +2,8 @@
 
 Targets come from filling up: each source gets its weight's share until it meets its limit, and what it leaves goes to the
 others by weight. Rows of a source are ordered by a hash of their id, and rows that share that by a hash of their text. A source's
-order is cut into ranges of that hash, so many that each holds about ``rows_per_range`` rows; the ranges' word counts and their
-running sums tell in which range the source's budget ends, and only that range is sorted to find the exact row and word. Every row
+order is cut into ranges of that hash, a fixed number of them; the ranges' word counts and their running sums tell in which range the
+source's budget ends, and that range is cut again, until it holds few rows, which are sorted to find the exact row and word. Every row
 then compares its hash with its source's cut, so documents are not shuffled, and a source with most of the rows is as evenly spread
 as any other.
 """
@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, size_words, small_side
+from fieldloom.llm._util import SPACE, cut_lineage, scratch, size_words, small_side
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-#: Hexadecimal digits of a hash; an order is three of them.
-_HASH = 32
+#: Hexadecimal digits of a hash, of which an order has three, and how many of them tell ranges apart in one pass.
+_HASH, _DIGITS = 32, 3
+#: Ends of the digits that a pass looks at; past four passes into one hash only ties are left, which the next hash tells apart.
+_PASSES = tuple(start * _HASH + _DIGITS * i for start in range(3) for i in range(1, 5))
 
 
 def _order(id_col: Column, text_col: Column, seed: int) -> Column:
@@ -70,18 +72,16 @@ def mix_cuts(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     targets = cut_lineage(targets)
 
     here = F.col("source").eqNullSafe(F.col("of")) & F.expr("startswith(`order`, last)")
-    digits = F.ceil(F.log(16.0, F.greatest(F.col("n") / rows_per_range, F.lit(1.0)))).cast("int")
     ends = targets.where("rest > 0").select(F.col("source").alias("of"), "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("last"), F.col("n_rows").alias("n"))
-    # One pass, unless many rows share an id, or an id and a text: then on to the next hash, which tells them apart.
-    for length in (digits, F.lit(_HASH), _HASH + digits, F.lit(2 * _HASH), 2 * _HASH + digits):
-        ranged = sized.join(small_side(ends.withColumn("length", length)), here).withColumn("range", F.expr("substring(`order`, 1, length)"))
+    for length in _PASSES:
+        if ends.where(F.col("n") > 4 * rows_per_range).isEmpty():
+            break
+        ranged = sized.join(small_side(ends), here).withColumn("range", F.expr(f"substring(`order`, 1, {length})"))
         sums = ranged.groupBy("of", "rest", "before", "range").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         lower = F.coalesce(F.sum("words").over(W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         sums = sums.withColumn("before", F.col("before") + lower)
         ends = sums.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
         ends = cut_lineage(ends.select("of", "rest", "before", F.col("range").alias("last"), "n"))
-        if ends.where(F.col("n") > 4 * rows_per_range + 64).isEmpty():
-            break
     last = sized.join(small_side(ends), here)
     upto = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("order").rowsBetween(W.unboundedPreceding, 0))
     words = last.withColumn("upto", upto).where(F.col("upto") >= F.col("rest"))
@@ -116,7 +116,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
     """The mix itself: each row as often as it is taken, columns as they are; a last, partial copy has its first words only.
 
-    Documents that the mix takes no word of, wordless ones included, are left out.
+    White space between those words stays as it is. Documents that the mix takes no word of, wordless ones included, are left out.
     """
     order = _order(F.col(id_col), F.col(text_col), seed)
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), size_words(F.col(text_col)).alias("size"), order.alias("order"))
@@ -128,7 +128,11 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     once = F.when(order < m["cut"], size).when(order == m["cut"], F.least(size, m["cut_words"])).otherwise(F.lit(0))
     copies = F.array_repeat(F.lit(-1).cast("long"), m["epochs"])
     part = F.when(once >= size, F.array(F.lit(-1).cast("long"))).when(once > 0, F.array(once.cast("long"))).otherwise(F.array().cast("array<long>"))
-    found = found.where(size > 0).select("row.*", F.explode(F.concat(copies, part)).alias("__words"))
-    prefix = F.expr(f"array_join(slice(filter(split(`{text_col}`, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> ''), 1, cast(__words as int)), ' ')")
-    text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(prefix)
-    return found.withColumn(text_col, text).select(*docs.columns)
+    (words,) = scratch(docs.columns, "words")
+    found = found.where(size > 0).select("row.*", F.explode(F.concat(copies, part)).alias(words))
+    # Each piece is a word and the white space after it; a text's leading white space is a piece of its own.
+    pieces = F.split(F.col(text_col), f"(?<=[{SPACE}])(?=[^{SPACE}])")
+    leading = F.col(text_col).rlike(f"^[{SPACE}]").cast("int")
+    prefix = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int") + leading), ""), F.lit(" \t\n\x0b\x0c\r"))
+    text = F.when(F.col(words) < 0, F.col(text_col)).otherwise(prefix)
+    return found.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns])

@@ -74,6 +74,14 @@ def test_rows_hold_the_taken_words(spark):
     assert got == {i: n for i, n in plan.items() if n}
 
 
+def test_a_cut_copy_keeps_its_white_space(spark):
+    text = "\n  one\ttwo  three\n\nfour five\u00a0six "
+    df = spark.createDataFrame([(1, text, "s", -7, "m")], "doc_id long, text string, source string, words long, mix string")
+    for share, want in ((1.2, "\n  one"), (1.4, "\n  one\ttwo"), (1.6, "\n  one\ttwo  three"), (1.8, "\n  one\ttwo  three\n\nfour")):
+        got = mix_rows(df, share=share).collect()
+        assert sorted(r.text for r in got) == sorted([text, want]) and all((r.words, r.mix) == (-7, "m") for r in got)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_plan(df).count() == 0 and mix_rows(df).count() == 0
