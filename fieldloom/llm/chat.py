@@ -21,9 +21,20 @@ RANGE_TURNS = 256
 UNKNOWN = "unknown"
 
 
+#: The word joiner parts what would read like a mark; where a text has one itself, it is doubled, so that different texts stay different.
+_PART = "\u2060"
+
+
 def _plain(c: Column) -> Column:
-    """Text in which nothing reads like a mark of this format: a word joiner parts ``<`` and ``|``."""
-    return F.replace(F.coalesce(c, F.lit("")), F.lit(OPEN), F.lit("<\u2060|"))
+    """Text in which nothing reads like the opening of a mark of this format."""
+    doubled = F.replace(F.coalesce(c, F.lit("")), F.lit(_PART), F.lit(_PART * 2))
+    return F.replace(doubled, F.lit(OPEN), F.lit(f"<{_PART}|"))
+
+
+def _name(c: Column) -> Column:
+    """A speaker's name in which, besides, nothing closes a mark or ends its line."""
+    closed = F.replace(_plain(c), F.lit(CLOSE), F.lit(f"|{_PART}>"))
+    return F.replace(F.replace(closed, F.lit("\n"), F.lit(f"{_PART}n")), F.lit("\r"), F.lit(f"{_PART}r"))
 
 
 def rotate_perspectives(
@@ -35,11 +46,11 @@ def rotate_perspectives(
     ``user``. ``message`` is the rendered turn, ``mask`` 1 where its text counts; ``text_from`` and ``text_to`` bound that text
     in the perspective's string, and ``start`` and ``end`` the whole turn, in characters from 0.
 
-    Null text is empty. A null speaker is named ``unknown`` and is no participant. Turns are ordered by number, null first, then
+    Marks inside texts and names are parted by a word joiner, see ``_plain``. Null text is empty. A null speaker is named ``unknown`` and is no participant. Turns are ordered by number, null first, then
     by speaker and text; equal rows all stay. Null dialogue ids form one dialogue. A dialogue without participants has no rows.
     """
     rows = turns.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), _plain(F.coalesce(F.col(speaker_col), F.lit(UNKNOWN))).alias("speaker"),
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), _name(F.coalesce(F.col(speaker_col), F.lit(UNKNOWN))).alias("speaker"),
         F.col(speaker_col).isNull().alias("nobody"), _plain(F.col(text_col)).alias("text"),
     )
     system = F.col("speaker").isin(*never)

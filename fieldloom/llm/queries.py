@@ -143,8 +143,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP5_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<' || chr(8288) || '|') AS speaker, role IS NULL AS nobody,
-         replace(coalesce(text, ''), '<|', '<' || chr(8288) || '|') AS text
+  SELECT conv_id, turn, role IS NULL AS nobody,
+         replace(replace(replace(replace(replace(coalesce(role, 'unknown'), chr(8288), chr(8288) || chr(8288)), '<|', '<' || chr(8288) || '|'), '|>', '|' || chr(8288) || '>'),
+           chr(10), chr(8288) || 'n'), chr(13), chr(8288) || 'r') AS speaker,
+         replace(replace(coalesce(text, ''), chr(8288), chr(8288) || chr(8288)), '<|', '<' || chr(8288) || '|') AS text
   FROM conversations),
 people AS (SELECT DISTINCT conv_id AS of_, speaker AS perspective FROM rows WHERE NOT nobody AND speaker <> 'system'),
 seen AS (
