@@ -16,12 +16,14 @@ SPACE = "\\x20\\x09-\\x0D"
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that the cluster shares and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is configured,
-    as in tests. The files outlive executors, so later stages survive their loss.
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is configured and all runs
+    in one process, as in tests. The files outlive executors, so later stages survive their loss.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fieldloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -51,6 +53,17 @@ def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, parts: int = 16) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``on``; rows of ``left`` that share one are dealt out by ``by``.
+
+    So a key of a large share of the rows takes ``parts`` tasks; ``right`` is copied as often.
+    """
+    (salt,) = scratch([*left.columns, *right.columns], "salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, [on, salt]).drop(salt)
+
+
 def slices(batches: Iterator[pa.Array], size: int = 2 << 20) -> Iterator[pa.Array]:
     """The batches in slices of about ``size`` bytes, one row at least, so that a task's memory does not follow the batch size."""
     for batch in batches:

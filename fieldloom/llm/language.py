@@ -15,15 +15,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import slices
+from fieldloom.llm._util import cut_lineage, slices
 
 WINDOW = 256
 PAD = 256
 UNDETERMINED = "und"
-#: Labelled documents of each language that are learnt from, one window each; a bound on what the driver holds.
-SAMPLE = 400
+#: Labelled documents of each language that are learnt from, one window each, and languages; bounds on what the driver holds.
+SAMPLE, CLASSES = 400, 256
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -178,26 +179,31 @@ def _predict(scorer: _Scorer, texts: list[str | None]) -> tuple[list[str], list[
     return np.where(found, np.array(scorer.net.classes, object)[best], UNDETERMINED).tolist(), np.where(found, p.max(axis=1), 0.0).tolist()
 
 
+def bounded_sample(rows: DataFrame, sizes: DataFrame) -> list:
+    """Rows (label, id, text-like columns) of each label, at most its ``size`` in ``sizes`` (label, n, size), by hashes of id and content.
+
+    A hash threshold set by the label's count ``n`` passes about twice as many; of these the first by hash are taken, so the number
+    is bounded whatever repeats. Few labels are expected; see ``CLASSES``.
+    """
+    others = [c for c in rows.columns if c != "label"]
+    hashed = rows.join(F.broadcast(sizes), "label").withColumn("at", F.xxhash64(F.lit("sample"), *others))  # one row a label
+    passed = hashed.where(F.pmod("at", F.lit(1_000_000)) < (2e6 * F.col("size") / F.col("n")).cast("long") + 1)
+    order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("order"), "at"), *others))
+    return passed.withColumn("order", order).where(F.col("order") <= F.col("size")).orderBy("label", "order").select("label", "window").collect()
+
+
 def labelled_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, chars: int = WINDOW) -> list[tuple[str, str]]:
-    """(label, window) of about ``sample`` rows of each label, one window of each row's text, chosen by hashes of ids.
+    """(label, window) of ``sample`` rows at most of each label, one window of each row's text, chosen by hashes.
 
-    A bounded sample of labelled rows for a classifier: a label's rows pass by a hash below a threshold that its
-    count sets. Rows of the held-out fold, without label or without text are never among them.
+    Rows of the held-out fold, without label or without text are never among them. Of more than CLASSES labels the most frequent are learnt.
     """
+    text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    rows = rows.where(F.col("label").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("id")))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a label
-    if not counts:
-        return []
-    pass_ = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000))
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(2e6 * sample / n) + 1))])
-    start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    chosen = rows.where(pass_ < limit[F.col("label")]).select("label", F.xxhash64(F.lit("order"), "id").alias("at"), "id", F.substr("text", start.cast("int"), F.lit(chars)).alias("window"))
-    by_label: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["at"], str(r["id"]), r["window"])):  # about 2 * sample rows a label
-        if len(by_label.setdefault(r.label, [])) < sample:
-            by_label[r.label].append(r.window)
-    return [(label, w) for label in sorted(by_label) for w in by_label[label]]
+    rows = rows.where(F.col("label").isNotNull() & (F.length(text) > 0) & ~held_out(F.col("id")))
+    sizes = cut_lineage(rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES).withColumn("size", F.lit(sample)))
+    start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.length(text) - chars, F.lit(0)) + 1) + 1
+    windows = rows.select("label", "id", F.substr(text, start.cast("int"), F.lit(chars)).alias("window"))
+    return [(r.label, r.window) for r in bounded_sample(windows, sizes)]
 
 
 def train_language_net(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
@@ -232,12 +238,18 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives an empty result.
     """
     net = train_language_net(docs, id_col, text_col, lang_col)
-    found = docs.select(F.col(id_col).alias("__id"), predict_language(docs, net, text_col).alias("__found"))
-    return found.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), "__found.lang_pred", "__found.score")
+    found = docs.select(F.col(id_col).alias("id"), predict_language(docs, net, text_col).alias("found"))
+    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "found.lang_pred", "found.score")
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` with a language predicted with ``least_score`` or more, columns as they are."""
+    """The rows of ``docs`` with a language predicted with ``least_score`` or more, columns as they are, whatever their names.
+
+    Rows with a null or letterless text go. Repeated and null ids are judged row by row. Where no row may be learnt from, as none is
+    labelled or none has an id outside the held-out fold, all rows with a letter stay.
+    """
     net = train_language_net(docs, id_col, text_col, lang_col)
-    found = docs.withColumn("__found", predict_language(docs, net, text_col))
-    return found.where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least_score)).drop("__found")
+    if net is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    found = docs.select(F.struct("*").alias("row"), predict_language(docs, net, text_col).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least_score)).select("row.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices
+from fieldloom.llm._util import cut_lineage, slices, spread_join
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once.
@@ -192,7 +192,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = cut_lineage(both.groupBy(a.alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
         while True:  # pointer doubling
             up = step.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            far = cut_lineage(step.join(up, "root").select("id", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")))
+            far = cut_lineage(spread_join(step, up, "root", "id").select("id", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved")))
             step = far.select("id", "root")
             if far.where("moved").isEmpty():
                 break
@@ -200,19 +200,21 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             labels = step
         else:
             up = step.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            labels = cut_lineage(labels.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+            known = up.join(labels.select("root").distinct(), "root", "right").select("root", F.coalesce("top", "root").alias("top"))
+            labels = cut_lineage(spread_join(labels, known, "root", "id").select("id", F.col("top").alias("root")))
         left, right = step.select(F.col("id").alias("a"), F.col("root").alias("x")), step.select(F.col("id").alias("b"), F.col("root").alias("y"))
-        moved = edges.join(left, "a").join(right, "b").where("x != y")
+        moved = spread_join(spread_join(edges, left, "a", "b"), right, "b", "a").where("x != y")
         edges = cut_lineage(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
     return labels if labels is not None else edges.select(a.alias("id"), b.alias("root"))
 
 
-def _rooted(points: DataFrame, k: int) -> DataFrame:
-    """``points``, one row for each fingerprint ``fp``, with the ``root`` of its component."""
+def _rooted(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``points``, one row for each fingerprint ``fp``: those that link, with the ``root`` of their component, and those that don't."""
     roots = components(near_links(points.select("fp"), k)).withColumnRenamed("id", "fp")
-    return points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    both = cut_lineage(points.join(roots, "fp", "left"))
+    return both.where(F.col("root").isNotNull()), both.where(F.col("root").isNull()).drop("root")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, width: int = 4) -> DataFrame:
@@ -224,9 +226,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = cut_lineage(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("fp")))
     points = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
     # A component's smallest document: the minimum over its fingerprints.
-    rooted = _rooted(points, k)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    linked, alone = _rooted(points, k)
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = spread_join(linked.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
+    classes = classes.unionAll(alone.select("fp", F.col("least").alias("component_id")))
     out = prints.join(classes, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -242,6 +245,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.struct("*").alias("row"), simhash(text, width).alias("fp"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
     rows = cut_lineage(rows)
     points = cut_lineage(rows.where(~F.col("void")).groupBy("fp").agg(F.min("first").alias("first")))
-    kept = _rooted(points, k).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("kept"))
+    linked, alone = _rooted(points, k)
+    kept = linked.groupBy("root").agg(F.min("first").alias("first")).select("first").unionAll(alone.select("first")).select(F.col("first.n").alias("kept"))
     found = rows.select("row", "void", "first.n").join(kept, F.col("n") == F.col("kept"), "left")
     return found.where(F.col("void") | F.col("kept").isNotNull()).select("row.*")

@@ -21,8 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import slices, small_side
-from fieldloom.llm.language import held_out
+from fieldloom.llm._util import cut_lineage, slices
+from fieldloom.llm.language import bounded_sample, held_out
 
 #: Labelled rows of each class that are learnt from, and characters of each; bounds on what the driver holds.
 SAMPLE = {1: 2000, 0: 6000}
@@ -168,24 +168,19 @@ class _Scorer:
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> ToxicModel | None:
     """A model from labelled rows outside the held-out fold, None unless both classes have some.
 
-    About ``sample`` rows of each class, chosen by hashes of ids, and one window of SAMPLE_CHARS characters of each: a bounded
-    sample. Of contradicting labels of one id the higher one counts.
+    At most ``sample`` rows of each class, chosen by hashes, and one window of SAMPLE_CHARS characters of each: a bounded sample. Of contradicting labels of one id the higher one counts.
     """
     sample = sample or SAMPLE
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    if set(counts) != {0, 1}:
-        return None
-    limit = F.when(F.col("label") == 1, F.lit(int(1.5e6 * sample[1] / counts[1]) + 1)).otherwise(F.lit(int(1.5e6 * sample[0] / counts[0]) + 1))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < limit)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(small_side(chosen), "id")
-    start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    windows = rows.select("label", F.xxhash64(F.lit("order"), "id").alias("at"), "id", F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("window"))
+    text = F.col("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(text) > 0).join(known, "id")
+    start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    windows = rows.select("label", "id", F.substr(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("window"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("n")).withColumn("size", F.when(F.col("label") == 1, F.lit(sample[1])).otherwise(F.lit(sample[0])))
     by_class: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(windows.collect(), key=lambda r: (r["at"], str(r["id"]), r["window"])):
-        if len(by_class[r.label]) < sample[r.label]:
-            by_class[r.label].append(r.window)
+    for r in bounded_sample(windows, cut_lineage(sizes)):
+        by_class[r.label].append(r.window)
     return ToxicModel.train(by_class[1], by_class[0]) if min(map(len, by_class.values())) >= 3 else None
 
 
@@ -211,5 +206,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels, languages, sources and ids are no inputs of a score. A null id is held out. An empty table gives an empty result.
     """
     model = train_toxicity(docs, labels, id_col, text_col, label_col)
-    found = docs.select(F.col(id_col).alias("__id"), toxicity(docs, model, text_col).alias("__score"))
-    return found.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    found = docs.select(F.col(id_col).alias("id"), toxicity(docs, model, text_col).alias("score"))
+    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

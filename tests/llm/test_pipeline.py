@@ -1,6 +1,7 @@
 """Every pipeline stage against a brute-force version on a small table, each on what the stage before kept."""
 
 import os
+import random
 import re
 
 import duckdb
@@ -68,8 +69,8 @@ def test_language_stage(stages):
 
 def test_near_duplicate_stage(stages):
     docs = rows(stages[2])
-    prints = {i: brute_fingerprint(r.text) for i, r in docs.items()}
-    roots = brute_roots(sorted(set(prints.values())), 4)
+    prints = {i: brute_fingerprint(r.text, 5) for i, r in docs.items()}
+    roots = brute_roots(sorted(set(prints.values())), 5)
     want = {}
     for i in sorted(docs):
         want.setdefault(roots[prints[i]], i)
@@ -100,6 +101,45 @@ def test_encoding_stage(stages):
     assert sorted((r.doc_id, list(r.ids)) for r in stages[5].collect()) == want
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, words long, row string, found string, kept string, fp long, salt int, size long"
+
+
+def odd_rows(ids):
+    """Documents with nulls everywhere, empty and long texts, ties and repeats, and columns named like intermediate ones."""
+    rng = random.Random(9)
+    parts = [a + b + c for a in "bdlmnrst" for b in "aeiou" for c in ("n", "r", "")]
+    prose = lambda n: " ".join("".join(rng.choices(parts, k=2)) for _ in range(n))
+    out = [(ids(i), prose(60 + i), "en", ["a", "b", None][i % 3], i, 1, "r", "f", None, i, 2, 3) for i in range(60)]
+    out += out[:3] + [(ids(99), prose(30000), None, "a", 1, 1, None, None, "k", 1, 1, 1), (None, None, None, None, None, None, None, None, None, None, None, None)] * 2
+    return out + [(ids(100), "", "en", "a", 0, 1, "r", "f", "k", 1, 1, 1), (None, " \n", "de", None, 0, 1, "r", "f", "k", 1, 1, 1)]
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i // 2])
+def test_stages_on_odd_rows(spark, ids):
+    """Every stage keeps columns and clean rows whatever the ids are."""
+    given = odd_rows(ids)
+    docs = spark.createDataFrame(given, ODD).repartition(3)
+    good = [r for r in given if r[1] and len(r[1].split()) >= 50]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < 4:
+            assert out.columns == docs.columns
+        got = out.collect()
+        if k < 2:
+            assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, good)), name
+            docs = spark.createDataFrame(got, ODD)
+        elif k == 2:  # all but the four exact repeats
+            assert len({r.text for r in got}) == len(got) == len({r[1] for r in good})
+            docs = spark.createDataFrame(got, ODD)
+        elif k == 3:
+            want = sum(len(t.split()) for t in {r[1] for r in good})
+            assert sum(len(r.text.split()) for r in got) == pytest.approx(1.5 * want, abs=3) and all(r.row in ("r", None) for r in got)
+            docs = spark.createDataFrame(got, ODD)
+        else:
+            assert len(got) == docs.count() and all(r.n_tokens == len(r.ids) for r in got)
+    assert [stage(spark, docs.limit(0), SF).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
 def test_run_applies_all_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.ids_sha256) for r in got.collect()) == sorted((r.doc_id, r.ids_sha256) for r in stages[5].collect())

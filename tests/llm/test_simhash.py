@@ -8,12 +8,12 @@ import xxhash
 from fieldloom.llm.simhash import components, near_links, simhash_components, simhash_dedup
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, width=4):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
