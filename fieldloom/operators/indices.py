@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import gamma_mle, gamma_p, norm_ppf
 from fieldloom.operators.profiles import rolling_gaussian
-from fieldloom.operators.trends import linear_trend
+from fieldloom.operators.trends import linear_trend, real_spread
 
 
 def fill_small_gaps(series: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def standardized_index(series: DataFrame, window: int | None = None, dist: str =
 
     Small gaps are filled, the series smoothed by a Gaussian ``window`` and its linear trend removed if its slope is
     significant. Day 366 counts as 365. A day with an exact 0 in any year is 0 in all. Else ``gaussian`` gives the distance from
-    the mean in population deviations, null where all are equal; ``gamma`` the normal quantile of a fitted gamma's probability.
+    the mean in population deviations, null where all are equal but for rounding; ``gamma`` the normal quantile of a fitted gamma's probability.
     All of it stays partitioned by region.
     """
     if dist not in ("gaussian", "gamma"):
@@ -61,7 +61,8 @@ def standardized_index(series: DataFrame, window: int | None = None, dist: str =
         return rows.groupBy("adm").applyInPandas(_gamma_index, "adm string, date date, value double")
     w = W.partitionBy("adm", "doy")
     zero = F.coalesce(F.max(F.col("value") == 0).over(w), F.lit(False))
-    z = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w))
+    spread = real_spread(F.stddev_pop("value").over(w), F.max(F.abs(F.col("value"))).over(w))
+    z = (F.col("value") - F.avg("value").over(w)) / spread
     return rows.select("adm", "date", F.when(zero, F.when(F.col("value").isNotNull(), F.lit(0.0))).otherwise(z).alias("value"))
 
 

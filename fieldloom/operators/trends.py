@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from fieldloom.functions.numeric import t_two_sided_p
 
 
+#: Deviations below this share of a series' largest value are rounding, not variation.
+LEAST_SPREAD = 1e-9
+
+
+def real_spread(deviation: Column, largest: Column) -> Column:
+    """``deviation``, null where it is rounding."""
+    return F.when(deviation > LEAST_SPREAD * largest, deviation)
+
+
 def slope_p_value(t: Column, dof: Column) -> Column:
     """Two-sided p-value of a slope from its t statistic and degrees of freedom; runs on one row a series."""
 
@@ -44,10 +53,15 @@ def fitted_line(df: DataFrame, group: Sequence[str], x: str = "harv_year", y: st
 
 
 def standardized_yield(df: DataFrame, group: Sequence[str], x: str = "harv_year", y: str = "yield") -> DataFrame:
-    """Residual of the line divided by the residuals' population deviation, ``standardized_yield``; null if all are zero."""
+    """Residual of the line divided by the residuals' population deviation, ``standardized_yield``.
+
+    Null in series of fewer than three rows, which a line meets exactly, and where the deviation is mere rounding (``LEAST_SPREAD`` of
+    the largest value), as all residuals are zero then.
+    """
+    w = W.partitionBy(*group)
     rows = fitted_line(df, group, x, y, "__fit").withColumn("__r", F.col(y) - F.col("__fit"))
-    z = F.try_divide(F.col("__r"), F.stddev_pop("__r").over(W.partitionBy(*group)))
-    return rows.withColumn("standardized_yield", z).drop("__fit", "__r")
+    spread = F.when(F.count("__r").over(w) > 2, real_spread(F.stddev_pop("__r").over(w), F.max(F.abs(F.col(y))).over(w)))
+    return rows.withColumn("standardized_yield", F.col("__r") / spread).drop("__fit", "__r")
 
 
 def region_counts(df: DataFrame, by: Sequence[str] = ("adm",)) -> DataFrame:

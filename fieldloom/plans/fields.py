@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import indices, profiles, season, zonal
 from fieldloom.plans import fixtures as fx
-from fieldloom.plans.fixtures import rnd, sql, steady
+from fieldloom.plans.fixtures import least_squares, recursive, rnd, slope_p, sql, steady
 from fieldloom.plans.registry import Registry, table
 from fieldloom.plans.yields import rounded
 
@@ -148,19 +148,33 @@ def o44(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", doy.alias("doy"), profiles.year_day_to_date(F.year("o_orderdate"), doy - 399).cast("string").alias("day"))
 
 
-@query("o45_fourier_profile")
+def _waves(doy: str, n: int = 5) -> str:
+    return "[0.5, " + ", ".join(f"{f}(2 * pi() * {k} * {doy} / 365)" for k in range(1, n + 1) for f in ("cos", "sin")) + "]"
+
+
+def _powers(doy: str, degree: int = 4) -> str:
+    return "[" + ", ".join(f"pow(({doy} - 183) / 182.0::DOUBLE, {k})" for k in range(degree + 1)) + "]"
+
+
+def _profile_sql(basis, size: int) -> str:
+    return recursive(sql("daily", f"""+ obs AS (SELECT adm, value AS y, {basis("dayofyear(date)")} AS b FROM daily WHERE value IS NOT NULL), {least_squares("obs", size)},
+  days AS (SELECT range::INT AS doy, {basis("range")} AS h FROM range(1, 366)) SELECT adm, doy, round(list_inner_product(beta, h), 6) AS value FROM beta, days"""))
+
+
+@query("o45_fourier_profile", _profile_sql(_waves, 11))
 def o45(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squares of eleven terms, tested against numpy."""
     return rounded(profiles.fourier_profile(fx.daily_series(spark, sf_dir)), "value")
 
 
-@query("o46_fill_gaps_fourier")
+@query("o46_fill_gaps_fourier", recursive(sql("daily", f"""+ g AS (SELECT adm, date, CASE WHEN day(date) % 4 <> 0 THEN value END AS value, {_waves("dayofyear(date)")} AS b FROM daily),
+  obs AS (SELECT adm, value AS y, b FROM g WHERE value IS NOT NULL), {least_squares("obs", 11)}
+  SELECT adm, date::VARCHAR AS date, round(coalesce(value, list_inner_product(beta, b)), 6) AS value FROM g LEFT JOIN beta USING (adm)""")))
 def o46(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = fx.daily_series(spark, sf_dir).withColumn("value", F.when(F.dayofmonth("date") % 4 != 0, F.col("value")))
     return dated(rounded(profiles.fill_gaps_fourier(gaps), "value"))
 
 
-@query("o47_polynomial_profile")
+@query("o47_polynomial_profile", _profile_sql(_powers, 5))
 def o47(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiles.polynomial_profile(fx.daily_series(spark, sf_dir), 4), "value")
 
@@ -189,7 +203,9 @@ def o50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(rounded(profiles.rolling_gaussian(fx.gappy_series(spark, sf_dir), 6), "value"))
 
 
-@query("o50_rolling_gaussian_long")
+@query("o50_rolling_gaussian_long", sql("daily", """+ i AS (SELECT *, row_number() OVER (PARTITION BY adm ORDER BY date) AS i FROM daily),
+  p AS (SELECT a.adm, a.date, b.value, exp(-0.5 * (((b.i - a.i)::DOUBLE + 0.5) / 60) ** 2) AS w FROM i a JOIN i b ON a.adm = b.adm AND b.i BETWEEN a.i - 90 AND a.i + 89)
+  SELECT adm, date::VARCHAR AS date, round(sum(w * value) / sum(w) FILTER (value IS NOT NULL), 6) AS value FROM p GROUP BY 1, 2"""))
 def o50_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(rounded(profiles.rolling_gaussian(fx.daily_series(spark, sf_dir), 180), "value"))
 
@@ -262,7 +278,7 @@ def o57(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o58_index_gaussian", sql("daily", """+ d AS (SELECT adm, date, least(dayofyear(date), 365) AS doy, value FROM daily),
-  z AS (SELECT *, (value - avg(value) OVER w) / nullif(CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN stddev_pop(value) OVER w END, 0) AS z FROM d WINDOW w AS (PARTITION BY adm, doy))
+  z AS (SELECT *, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 1e-9 * max(abs(value)) OVER w THEN stddev_pop(value) OVER w END AS z FROM d WINDOW w AS (PARTITION BY adm, doy))
   SELECT adm, date::VARCHAR AS date, round(z, 5) AS value FROM z"""))
 def o58(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = indices.standardized_index(fx.daily_series(spark, sf_dir), detrend=False)
@@ -275,7 +291,9 @@ def o58_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(rounded(indices.standardized_index(fx.daily_series(spark, sf_dir), 30, "gamma", False), "value", digits=5))
 
 
-@query("o59_trend_report")
+@query("o59_trend_report", sql("daily", f"""+ q AS (SELECT *, row_number() OVER (PARTITION BY adm ORDER BY date) - 1 AS i FROM daily),
+  f AS (SELECT adm, regr_count(value, i) AS n, regr_slope(value, i) AS slope, regr_r2(value, i) AS r2 FROM q GROUP BY adm), t AS (SELECT *, {slope_p("r2", "n")} < 0.05 AS real FROM f)
+  SELECT count(*) AS series, round(avg(coalesce(real, false)::INT), 6) AS significant_share, round(avg(CASE WHEN real THEN (slope > 0)::INT END), 6) AS rising_share, round(avg(slope), 6) AS mean_slope FROM t"""))
 def o59(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(indices.trend_report(fx.daily_series(spark, sf_dir)), "significant_share", "rising_share", "mean_slope")
 
@@ -333,7 +351,13 @@ def o64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide, *[c for c in wide.columns if c not in ("adm", "harv_year")], digits=5)
 
 
-@query("o65_timeseries_tensor")
+@query("o65_timeseries_tensor", sql("daily cal win", """+ p AS (SELECT *, row_number() OVER (PARTITION BY adm, harv_year ORDER BY date) - 1 AS p, count(*) OVER (PARTITION BY adm, harv_year) AS n FROM season),
+  k AS (SELECT DISTINCT adm, harv_year, n FROM p), q AS (SELECT adm, harv_year, n, i, i * (n - 1) / 31.0::DOUBLE AS place FROM k, range(32) AS r(i)),
+  v AS (SELECT q.adm, q.harv_year, i::INT AS step, q.n = 32 AS same, place - floor(place) AS part, a.value AS x, b.value AS y, abs(a.value - 25) AS u, abs(b.value - 25) AS w FROM q
+    JOIN p a ON a.adm = q.adm AND a.harv_year = q.harv_year AND a.p = CASE WHEN q.n = 32 THEN i ELSE floor(place)::BIGINT END
+    JOIN p b ON b.adm = q.adm AND b.harv_year = q.harv_year AND b.p = least(floor(place)::BIGINT + 1, q.n - 1)),
+  t AS (SELECT adm, harv_year, step, CASE WHEN same THEN x ELSE x + (y - x) * part END AS x, CASE WHEN same THEN u ELSE u + (w - u) * part END AS u FROM v)
+  SELECT adm, harv_year, step, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 5) AS ndvi, round(u / stddev_pop(u) OVER (), 5) AS preci FROM t"""))
 def o65(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tensor's rows one by one."""
     tensor = season.timeseries_tensor(fx.nation_years(spark, sf_dir), fx.calendar(spark, sf_dir), _features(spark, sf_dir), ["ndvi", "preci"])

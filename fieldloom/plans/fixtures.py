@@ -43,6 +43,27 @@ def sql(names: str, body: str) -> str:
     return "WITH " + ",\n".join(CTES[n] for n in names.split()) + ("," if body.lstrip().startswith("+") else "") + "\n" + body.lstrip().removeprefix("+")
 
 
+def recursive(text: str) -> str:
+    """SQL whose common table expressions may refer to themselves."""
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def least_squares(rows: str, basis: int) -> str:
+    """CTEs from ``rows`` (adm, y, b: list of ``basis`` values) to ``beta`` (adm, beta), by Gauss and Jordan on the normal equations."""
+    line = lambda i: ", ".join([*[f"sum(b[{i}] * b[{j}])" for j in range(1, basis + 1)], f"sum(b[{i}] * y)"])
+    gram = ", ".join(f"[{line(i)}]" for i in range(1, basis + 1))
+    return f"""gram AS (SELECT adm, 1 AS k, [{gram}] AS m FROM {rows} GROUP BY adm),
+solve AS (SELECT * FROM gram UNION ALL SELECT adm, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END)
+  FROM solve WHERE k <= {basis}),
+beta AS (SELECT adm, list_transform(m, lambda r: r[{basis + 1}]) AS beta FROM solve WHERE k = {basis} + 1)"""
+
+
+def slope_p(r2: str, n: str, steps: int = 4000) -> str:
+    """SQL for a slope's two-sided p-value: the integral of cos^(dof - 1) from the angle of t on, as a share of the whole, by Simpson's rule."""
+    area = lambda a: f"(pi() / 2 - {a}) * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos({a} + (pi() / 2 - {a}) * i / {steps}), 0), {n} - 3)))"
+    return f"CASE WHEN {n} > 2 THEN CASE WHEN {r2} >= 1 THEN 0.0 ELSE ({area(f'atan(sqrt(greatest({r2}, 0) / (1 - {r2})))')}) / ({area('0.0::DOUBLE')}) END END"
+
+
 #: Added before rounding, so that exact halves go the same way whatever order they were summed in.
 NUDGE = 1e-9
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from fieldloom.functions.keys import assign_parent, attach_geometry, rename_valu
 from fieldloom.operators import benchmark, cleaning, trends
 from fieldloom.operators.metrics import region_performance
 from fieldloom.plans import fixtures as fx
-from fieldloom.plans.fixtures import REGION, rnd, sql, steady
+from fieldloom.plans.fixtures import REGION, rnd, slope_p, sql, steady
 from fieldloom.plans.registry import Registry, table
 from fieldloom.sources import reports
 
@@ -103,13 +105,27 @@ def o09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.load_yield(fx.yield_fact(spark, sf_dir), 1997, 2000), "production", "yield")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the warehouse, which executors and driver share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fieldloom-{name}-{uuid.uuid4().hex}"
+
+
+@query("o01_read_reports", sql("yf", "SELECT country, adm2, harv_year, round(production, 6) AS production FROM yf"))
+def o01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact written as delimited text without a header, and read back by position."""
+    path = _folder(spark, "o01")
+    fx.yield_fact(spark, sf_dir).write.option("sep", ";").option("nullValue", "-").csv(path)
+    schema = "a string, b string, c string, d string, e int, f double, g double, h double"
+    rows = reports.read_reports(spark, path, schema, ";", "-", False, {0: "country", 2: "adm2", 4: "harv_year", 6: "production"})
+    return rounded(rows, "production")
+
+
 @query("o10_write_table", sql("yf", "SELECT country, harv_year, count(*) AS n, round(sum(area), 2) AS area FROM yf GROUP BY ALL"))
 def o10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as a partitioned table into the shared warehouse, and read back."""
-    name = "fieldloom_o10"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    fx.yield_fact(spark, sf_dir).repartition("country").write.partitionBy("country").saveAsTable(name)
-    return spark.table(name).groupBy("country", "harv_year").agg(F.count("*").alias("n"), rnd(F.sum("area"), 2).alias("area"))
+    """Written into the shared warehouse, partitioned by country, and read back."""
+    path = _folder(spark, "o10")
+    reports.write_table(fx.yield_fact(spark, sf_dir), path, ["country"])
+    return spark.read.parquet(path).groupBy("country", "harv_year").agg(F.count("*").alias("n"), rnd(F.sum("area"), 2).alias("area"))
 
 
 @query("o11_with_adm", sql("yf", "SELECT DISTINCT country, adm1, CASE WHEN adm2 = 'BUILDING' THEN 'None' ELSE adm2 END AS adm2, CASE WHEN adm2 = 'BUILDING' THEN '[' || country || ' ' || adm1 || ']' ELSE '[' || country || ' ' || adm1 || ' ' || adm2 || ']' END AS adm FROM yf"))
@@ -246,14 +262,14 @@ def o26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trends.linear_trend(fx.yield_fact(spark, sf_dir), ["adm1", "adm2"]).select("adm1", "adm2", "n", "slope", "r2"), "slope", "r2")
 
 
-@query("o26_slope_significance")
+@query("o26_slope_significance", sql("mf", f"""+ f AS (SELECT adm, regr_count(yield, harv_year)::BIGINT AS n, regr_r2(yield, harv_year) AS r2 FROM mf GROUP BY adm)
+  SELECT adm, n, round({slope_p("r2", "n")}, 6) AS p_value FROM f"""))
 def o26_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slopes' p-values, which SQL has no function for."""
     return rounded(trends.linear_trend(fx.monthly_fact(spark, sf_dir), ["adm"]).select("adm", "n", "p_value"), "p_value")
 
 
 @query("o27_standardized_yield", sql("yf", """+ f AS (SELECT *, yield - (avg(yield) OVER w + regr_slope(yield, harv_year) OVER w * (harv_year - avg(harv_year) OVER w)) AS r FROM yf WINDOW w AS (PARTITION BY country, adm1, adm2))
-  SELECT country, adm1, adm2, harv_year, round(r / nullif(stddev_pop(r) OVER (PARTITION BY country, adm1, adm2), 0), 5) AS standardized_yield FROM f WHERE harv_year > 0"""))
+  SELECT country, adm1, adm2, harv_year, round(r / CASE WHEN count(r) OVER w > 2 AND stddev_pop(r) OVER w > 1e-9 * max(abs(yield)) OVER w THEN stddev_pop(r) OVER w END, 5) AS standardized_yield FROM f WINDOW w AS (PARTITION BY country, adm1, adm2)"""))
 def o27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trends.standardized_yield(fx.yield_fact(spark, sf_dir), REGION).select(*KEYS, "standardized_yield"), "standardized_yield", digits=5)
 
@@ -281,7 +297,12 @@ def o73_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(benchmark.benchmark_predictions(fx.keyed_fact(spark, sf_dir), "knn").select("adm", "harv_year", "y_bench"), "y_bench")
 
 
-@query("o73_benchmark_quadratic")
+@query("o73_benchmark_quadratic", sql("yf", """+ o AS (SELECT a.adm, a.harv_year, (b.harv_year - a.harv_year)::DOUBLE AS c, b.yield AS y FROM yk a LEFT JOIN yk b ON a.adm = b.adm AND a.harv_year <> b.harv_year),
+  m AS (SELECT adm, harv_year, count(y) AS n, avg(c) AS mx, avg(c*c) AS mq, avg(y) AS my FROM o GROUP BY ALL),
+  s AS (SELECT adm, harv_year, any_value(n) AS n, any_value(mx) AS mx, any_value(mq) AS mq, any_value(my) AS my, sum((c-mx)*(c-mx)) AS xx, sum((c-mx)*(c*c-mq)) AS xq, sum((c*c-mq)*(c*c-mq)) AS qq, sum((c-mx)*(y-my)) AS xy, sum((c*c-mq)*(y-my)) AS qy
+    FROM o JOIN m USING (adm, harv_year) GROUP BY ALL)
+  SELECT adm, harv_year, round(CASE WHEN n >= 1 THEN CASE WHEN xx*qq - xq*xq > 1e-9*xx*qq THEN my - (xy*qq - qy*xq) / (xx*qq - xq*xq) * mx - (qy*xx - xy*xq) / (xx*qq - xq*xq) * mq
+    ELSE my - coalesce(CASE WHEN xx > 1e-9 THEN xy / xx END, 0) * mx END END, 6) AS y_bench FROM s"""))
 def o73_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(benchmark.benchmark_predictions(fx.keyed_fact(spark, sf_dir), "quadratic").select("adm", "harv_year", "y_bench"), "y_bench")
 

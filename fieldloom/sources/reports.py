@@ -119,8 +119,12 @@ def load_yield(df: DataFrame, first_year: int = 2001, last_year: int = 2023, exp
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), kind: str = "parquet", mode: str = "overwrite") -> None:
-    """Write as Parquet partitioned by columns, or as CSV with a header. Rows of a partition are brought together first."""
-    rows = df.repartition(*[F.col(c) for c in partition_by]) if partition_by else df
+    """Write as Parquet partitioned by columns, or as CSV with a header.
+
+    Rows of a partition are brought together first by a rebalancing shuffle, in which a partition value with many rows is split
+    over several tasks, and small ones share a task.
+    """
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
     writer = rows.write.mode(mode).partitionBy(*partition_by)
     if kind == "csv":
         writer.option("header", True).csv(path)
