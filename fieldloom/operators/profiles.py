@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions.lineage import cut_lineage
 from fieldloom.functions.numeric import gaussian_smooth
 
 PERIOD = 365
@@ -181,17 +183,36 @@ def fill_from_donor(calendar: DataFrame, donors: Sequence[tuple[str, str]], colu
 def fill_from_nearest(calendar: DataFrame, centroids: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Regions without values take those of the nearest region that has them, by squared distance of centroids; ties by name.
 
-    The regions without values are compared with all others; there are few of them, which is checked.
+    Centroids meet by square tiles: a region looks in its own tile and the eight around it, and is done if what it finds is nearer
+    than a tile's width. Those that are not look again in tiles twice as wide, until one tile holds everything.
     """
     rows = centroids.join(calendar, "adm", "left")
-    empty = rows.where(F.col(columns[0]).isNull()).select(F.col("adm").alias("to"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    if empty.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 regions without values")
+    rows = cut_lineage(rows.select("adm", "lon", "lat", *columns))
     full = rows.where(F.col(columns[0]).isNotNull())
-    distance = (F.col("x") - F.col("lon")) ** 2 + (F.col("y") - F.col("lat")) ** 2
-    nearest = full.crossJoin(F.broadcast(empty)).groupBy("to").agg(F.min_by(F.struct(*columns), F.struct(distance, F.col("adm"))).alias("v"))
-    filled = nearest.select(F.col("to").alias("adm"), "v.*")
-    return full.select("adm", *columns).unionByName(filled)
+    box = full.agg(*[f(c).cast("double").alias(f"{k}_{c}") for c in ("lon", "lat") for k, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n")).head()
+    left = rows.where(F.col(columns[0]).isNull()).select(F.col("adm").alias("to"), F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    given = full.select("adm", *columns)
+    if not box.n:
+        return given
+    extent = max(box.high_lon - box.low_lon, box.high_lat - box.low_lat) or 1.0
+    width, out = extent / max(1.0, box.n**0.5), [given]
+    square = (F.col("x") - F.col("lon")) ** 2 + (F.col("y") - F.col("lat")) ** 2
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    while True:
+        whole = width >= extent
+        tile = lambda c: F.lit(0).cast("long") if whole else F.floor(F.col(c) / F.lit(width))  # noqa: E731, B023
+        spread = left.withColumns({"i": tile("x"), "j": tile("y")})
+        if not whole:
+            spread = spread.withColumn("i", around("i")).withColumn("j", around("j"))
+        met = spread.join(full.withColumns({"i": tile("lon"), "j": tile("lat")}), ["i", "j"])
+        best = met.groupBy("to").agg(F.min(F.struct(square.alias("d"), "adm", *columns)).alias("v"))
+        near = cut_lineage(best if whole else best.where(F.sqrt("v.d") < width))
+        out.append(near.select(F.col("to").alias("adm"), *[F.col(f"v.{c}").alias(c) for c in columns]))
+        if whole:
+            return reduce(DataFrame.unionByName, out)
+        left, width = cut_lineage(left.join(near.select("to"), "to", "left_anti")), 2 * width
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, out)
 
 
 def rotate_profile(profile: DataFrame, calendar: DataFrame, length: int = 250) -> DataFrame:

@@ -7,8 +7,7 @@ side is broadcast if it is small enough (see ``join_mask``), else both sides shu
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -85,37 +84,38 @@ def null_codes(pixels: DataFrame, max_valid: float = 200.0, value: str = "value"
     return pixels.withColumn(value, F.when(F.col(value) <= max_valid, F.col(value)))
 
 
-def region_pixels(grid: DataFrame, polygons: DataFrame, batch_regions: int = 512) -> DataFrame:
+def region_pixels(grid: DataFrame, polygons: DataFrame, tile: float | None = None) -> DataFrame:
     """(adm, row, col): the cells whose centre (lon, lat) lies in a region; a cell may lie in several.
 
-    ``polygons`` has (adm, rings: array of rings of (lon, lat)); there are as many as regions, so they come to the driver in
-    groups of ``batch_regions`` and are broadcast, and each task tests its cells within every region's bounding box.
+    ``polygons`` has (adm, rings: array of rings of points (lon, lat)). Cells and the regions whose bounding box reaches there meet by
+    square tiles ``tile`` wide, in workers; the grid is read once. By default a tile is as wide as the regions' boxes on average.
     """
-
-    def inside(shapes: list[tuple[str, list[np.ndarray]]]):
-        boxes = [(np.concatenate(r).min(0), np.concatenate(r).max(0)) for _, r in shapes]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                row, col, lon, lat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "lon", "lat"))
-                for (adm, rings), (low, high) in zip(shapes, boxes):
-                    near = np.flatnonzero((lon >= low[0]) & (lon <= high[0]) & (lat >= low[1]) & (lat <= high[1]))
-                    hit = near[points_in_rings(lon[near], lat[near], rings)]
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array([adm] * len(hit)), pa.array(row[hit], pa.int32()), pa.array(col[hit], pa.int32())], ["adm", "row", "col"])
-
-        return run
-
-    cells = grid.select(F.col("row").cast("int"), F.col("col").cast("int"), F.col("lon").cast("double"), F.col("lat").cast("double"))
-    shapes, parts = [], []
-    for r in polygons.select("adm", "rings").toLocalIterator():
-        shapes.append((r.adm, [np.array([(p[0], p[1]) for p in ring], float) for ring in r.rings if len(ring) > 2]))
-        if len(shapes) == batch_regions:
-            parts.append(cells.mapInArrow(inside([s for s in shapes if s[1]]), "adm string, row int, col int"))
-            shapes = []
-    if shapes or not parts:
-        parts.append(cells.mapInArrow(inside([s for s in shapes if s[1]]), "adm string, row int, col int"))
-    return reduce(DataFrame.unionAll, parts)
+    side = lambda c: F.transform(F.flatten("rings"), lambda p: p[c].cast("double"))
+    box = {f"{c}_{k}": f(side(c)) for c in ("lon", "lat") for k, f in (("low", F.array_min), ("high", F.array_max))}
+    shapes = polygons.select("adm", "rings").where(F.size(F.flatten("rings")) > 2).withColumns(box)
+    if tile is None:
+        wide = shapes.agg(F.avg(F.greatest(F.col("lon_high") - F.col("lon_low"), F.col("lat_high") - F.col("lat_low")))).head()[0]
+        tile = wide or 1.0
+    number = lambda c: F.floor(c / F.lit(float(tile)))
+    reach = lambda c: F.explode(F.sequence(number(F.col(f"{c}_low")), number(F.col(f"{c}_high"))))
+    there = shapes.withColumn("tile_x", reach("lon")).withColumn("tile_y", reach("lat")).select("tile_x", "tile_y", "adm", "rings")
+    cells = grid.select(F.col("row").cast("int"), F.col("col").cast("int"), F.col("lon").cast("double"), F.col("lat").cast("double")).where("lon IS NOT NULL AND lat IS NOT NULL")
+    cells = cells.select(number(F.col("lon")).alias("tile_x"), number(F.col("lat")).alias("tile_y"), "row", "col", "lon", "lat")
+
+    def inside(cells: pa.Table, regions: pa.Table) -> pa.Table:
+        row, col, lon, lat = (cells.column(c).to_numpy() for c in ("row", "col", "lon", "lat"))
+        found = []
+        for adm, parts in zip(regions.column("adm").to_pylist(), regions.column("rings").to_pylist()):
+            rings = [np.array([(p["lon"], p["lat"]) for p in ring], float) for ring in parts if len(ring) > 2]
+            if not rings:
+                continue
+            low, high = np.concatenate(rings).min(0), np.concatenate(rings).max(0)
+            near = np.flatnonzero((lon >= low[0]) & (lon <= high[0]) & (lat >= low[1]) & (lat <= high[1]))
+            hit = near[points_in_rings(lon[near], lat[near], rings)]
+            found.append(pa.table({"adm": pa.array([adm] * len(hit), pa.string()), "row": pa.array(row[hit], pa.int32()), "col": pa.array(col[hit], pa.int32())}))
+        return pa.concat_tables(found) if found else pa.table({"adm": pa.array([], pa.string()), "row": pa.array([], pa.int32()), "col": pa.array([], pa.int32())})
+
+    return cells.groupBy("tile_x", "tile_y").cogroup(there.groupBy("tile_x", "tile_y")).applyInArrow(inside, "adm string, row int, col int")
 
 
 def merge_regions(df: DataFrame, mapping: Sequence[tuple[Sequence[str], str]], column: str = "adm", attributes: Sequence[str] = (), order: str | None = None) -> DataFrame:

@@ -47,17 +47,34 @@ def test_regions(spark):
     ring = lambda *p: [tuple(map(float, x)) for x in p]
     shapes = spark.createDataFrame([("a", [ring((0, 0), (2, 0), (2, 2), (0, 2))]), ("b", [ring((1, 0), (3, 0), (3, 1), (1, 1))])], "adm string, rings array<array<struct<lon:double,lat:double>>>")
     grid = spark.range(9).select((F.col("id") % 3).cast("int").alias("col"), F.expr("cast(id div 3 as int)").alias("row")).withColumns({"lon": F.col("col") + 0.5, "lat": F.col("row") + 0.5})
-    for size in (1, 512):
-        got = sorted(map(tuple, zonal.region_pixels(grid, shapes, size).collect()))
+    for tile in (None, 0.4, 1.0, 7.0):
+        got = sorted(map(tuple, zonal.region_pixels(grid, shapes, tile).collect()))
         assert got == [("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("a", 1, 1), ("b", 0, 1), ("b", 0, 2)]
     merged = zonal.merge_regions(zonal.region_pixels(grid, shapes), [(["a"], "x"), (["x", "b"], "y")])
     assert merged.count() == 5 and {r.adm for r in merged.collect()} == {"y"}
+    empty = spark.createDataFrame([("n", []), ("m", None)], shapes.schema)
+    assert zonal.region_pixels(grid, empty).count() == 0 and zonal.region_pixels(grid, shapes.unionAll(empty)).count() == 6
     rows = spark.createDataFrame([("a", 1, "p"), ("b", 2, "q")], "adm string, ord int, kind string")
     assert zonal.merge_regions(rows, [(["a", "b"], "n")], attributes=["kind"], order="ord").head().kind == "q"
     with pytest.raises(Exception, match="no size"):
         zonal.zonal_static(spark.createDataFrame([("size", 0, 0, None)], "property string, row int, col int, value double"), spark.createDataFrame([("a", 0, 0)], "adm string, row int, col int"), ["size"]).collect()
 
 
+def test_nearest_donors_against_brute_force(spark):
+    """Scattered and crowded centroids, far ones, and ties, which go by name."""
+    rng = np.random.default_rng(8)
+    spots = [*rng.uniform(0, 10, (60, 2)), *rng.normal(5, 0.01, (40, 2)), [500.0, -300.0], [20.0, 20.0], [5.0, 5.0], [5.0, 5.0]]
+    names = [f"r{i:03d}" for i in range(len(spots))]
+    centroids = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in zip(names, spots)], "adm string, lon double, lat double")
+    for known in (set(names[::2]), set(names[:1]), set(names) - {"r100"}):
+        calendar = spark.createDataFrame([(n, i) for i, n in enumerate(names) if n in known], "adm string, sos int")
+        got = dict(map(tuple, profiles.fill_from_nearest(calendar, centroids, ["sos"]).collect()))
+        for i, n in enumerate(names):
+            near = min(known, key=lambda k: (((spots[i] - np.array(spots[names.index(k)])) ** 2).sum(), k)) if n not in known else n
+            assert got[n] == names.index(near)
+    assert profiles.fill_from_nearest(calendar.limit(0), centroids, ["sos"]).count() == 0
+
+
 def daily(spark, values, adm="a", start=dt.date(2001, 1, 1)):
     return spark.createDataFrame([(adm, start + dt.timedelta(i), None if v is None or np.isnan(v) else float(v)) for i, v in enumerate(values)], "adm string, date date, value double")
 
