@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions.numeric import tau_p_value
 from fieldloom.functions.stats import correlation
 
 
@@ -54,10 +57,11 @@ def between_feature_correlation(features: DataFrame, level: str = "season") -> D
     return each.where(F.col("r").isNotNull() & ~F.isnan("r")).groupBy("f", "g").agg(F.avg("r").alias("r"))
 
 
-def feature_target_correlation(features: DataFrame, target: str = "yield", method: str = "pearson") -> DataFrame:
+def feature_target_correlation(features: DataFrame, target: str = "yield", method: str = "pearson", alpha: float = 0.1) -> DataFrame:
     """(feature, r): correlation with the target in each region, averaged over regions, of rows (adm, feature, harv_year, value, target).
 
-    ``kendall`` is tau-b; a region's rows are its years, so pairs of years in it are few. Undefined ones are skipped.
+    ``kendall`` is tau-b; a region's rows are its years, so pairs of years in it are few. Undefined ones are skipped, and taus
+    whose p-value exceeds ``alpha``.
     """
     if method == "pearson":
         each = features.groupBy("adm", "feature").agg(correlation("value", target).alias("r"))
@@ -66,10 +70,29 @@ def feature_target_correlation(features: DataFrame, target: str = "yield", metho
         later = rows.select("adm", "feature", F.col("harv_year").alias("h2"), F.col("value").alias("v2"), F.col("y").alias("y2"))
         pairs = rows.join(later, ["adm", "feature"]).where("harv_year < h2").select("adm", "feature", F.signum(F.col("v2") - F.col("value")).alias("a"), F.signum(F.col("y2") - F.col("y")).alias("b"))
         norm = F.sqrt(F.sum(F.abs("a")) * F.sum(F.abs("b")))
-        each = pairs.groupBy("adm", "feature").agg(F.try_divide(F.sum(F.col("a") * F.col("b")), norm).alias("r"))
+        agree = F.col("a") * F.col("b")
+        each = pairs.groupBy("adm", "feature").agg(F.try_divide(F.sum(agree), norm).alias("r"), F.sum(agree).alias("s"), F.count_if(agree < 0).alias("against"))
+        # Every row stands for its tie's share of the sums over ties.
+        tied = rows
+        for c in ("value", "y"):
+            tied = tied.withColumn(f"t_{c}", F.count("*").over(W.partitionBy("adm", "feature", c)).cast("double"))
+        t = {c: F.col(f"t_{c}") for c in ("value", "y")}
+        ties = [F.sum(f).alias(f"{k}_{c}") for c in t for k, f in (("pairs", (t[c] - 1) / 2), ("cubes", (t[c] - 1) * (t[c] - 2)), ("fifths", (t[c] - 1) * (2 * t[c] + 5)))]
+        each = each.join(tied.groupBy("adm", "feature").agg(F.count("*").alias("n"), *ties), ["adm", "feature"])
+        each = each.where(_tau_p_value(*[F.col(c).cast("double") for c in ("s", "against", "n", "pairs_value", "pairs_y", "cubes_value", "cubes_y", "fifths_value", "fifths_y")]) <= alpha)
     return each.where(F.col("r").isNotNull() & ~F.isnan("r")).groupBy("feature").agg(F.avg("r").alias("r"))
 
 
+def _tau_p_value(*columns: Column) -> Column:
+    """Two-sided p-value of each tau from its counts, one row a region and feature."""
+
+    @F.pandas_udf("double")
+    def p_value(*counts: pd.Series) -> pd.Series:
+        return pd.Series([tau_p_value(*c) for c in zip(*counts)], dtype="float64")
+
+    return p_value(*columns)
+
+
 def kmeans_regions(profiles: DataFrame, k: int, features: str = "features", seed: int = 42, max_iter: int = 20) -> DataFrame:
     """Rows with ``cluster`` of k-means on an array column."""
     rows = profiles.withColumn("__v", array_to_vector(F.col(features).cast("array<double>")))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import gp_predict, lasso_weights
@@ -22,23 +24,48 @@ def log_uniform_grid(ranges: Mapping[str, tuple[float, float]], n: int, seed: in
     return [{k: float(np.exp(rng.uniform(np.log(a), np.log(b)))) for k, (a, b) in ranges.items()} for _ in range(n)]
 
 
-def _fit_predict(model: str, params: Mapping[str, float], x: np.ndarray, t: np.ndarray, y: np.ndarray, x_new: np.ndarray, t_new: np.ndarray) -> np.ndarray:
-    """Predictions of one small model; columns are scaled by the training rows."""
+def _gp(params: Mapping[str, float], x: np.ndarray, t: np.ndarray, y: np.ndarray, x_new: np.ndarray, t_new: np.ndarray) -> np.ndarray:
+    """Predictions of a Gaussian process; columns are scaled by the training rows."""
     m, s = x.mean(0), x.std(0)
     s = np.where(s > 0, s, 1.0)
-    a, b = (x - m) / s, (x_new - m) / s
-    if model == "gp":
-        span = (t.max() - t.min()) or 1.0
-        one = lambda v: np.c_[v, np.ones(len(v))]
-        return gp_predict(one(a), (t - t.mean()) / span, y, one(b), (t_new - t.mean()) / span, params["sigma"], params["l_s"], params["l_t"], params["noise"])
-    gram, cross = a.T @ a / len(a), a.T @ (y - y.mean()) / len(a)
-    if model == "lasso":
-        w = lasso_weights(gram, cross, params["alpha"])
-    elif model == "ridge":
-        w = np.linalg.solve(gram + params["alpha"] * np.eye(len(gram)), cross)
-    else:
-        raise ValueError(f"unknown model {model}")
-    return y.mean() + b @ w
+    span = (t.max() - t.min()) or 1.0
+    one = lambda v: np.c_[(v - m) / s, np.ones(len(v))]
+    return gp_predict(one(x), (t - t.mean()) / span, y, one(x_new), (t_new - t.mean()) / span, params["sigma"], params["l_s"], params["l_t"], params["noise"])
+
+
+@dataclass
+class Sums:
+    """What rows (x, y) add up to, enough to fit a linear model on them and to score one."""
+
+    n: float
+    x: np.ndarray
+    y: float
+    xx: np.ndarray
+    xy: np.ndarray
+    yy: float
+
+    def __add__(self, other: "Sums") -> "Sums":
+        return Sums(*(getattr(self, f) + getattr(other, f) for f in ("n", "x", "y", "xx", "xy", "yy")))
+
+    def of(self, columns: Sequence[int]) -> "Sums":
+        return Sums(self.n, self.x[columns], self.y, self.xx[np.ix_(columns, columns)], self.xy[columns], self.yy)
+
+    def fit(self, model: str, alpha: float) -> tuple[np.ndarray, float]:
+        """(weights, intercept) of a ridge or lasso on columns scaled by these rows' mean and population deviation."""
+        mean_x, mean_y = self.x / self.n, self.y / self.n
+        cov = self.xx / self.n - np.outer(mean_x, mean_x)
+        spread = np.diag(cov)
+        spread = np.sqrt(np.where(spread > 1e-12 * np.diag(self.xx) / self.n, spread, 0.0))
+        s = np.where(spread > 0, spread, 1.0)
+        gram = np.where(np.outer(spread, spread) > 0, cov / np.outer(s, s), 0.0)
+        cross = np.where(spread > 0, (self.xy / self.n - mean_x * mean_y) / s, 0.0)
+        w = lasso_weights(gram, cross, alpha) if model == "lasso" else np.linalg.solve(gram + alpha * np.eye(len(gram)), cross)
+        return w / s, float(mean_y - (w / s) @ mean_x)
+
+    def error(self, w: np.ndarray, intercept: float) -> float:
+        """Mean squared error of a linear model on these rows."""
+        squares = self.yy + self.n * intercept**2 + w @ self.xx @ w + 2 * (intercept * (w @ self.x) - intercept * self.y - w @ self.xy)
+        return float(max(squares, 0.0) / self.n)
 
 
 def inner_folds(years: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -68,47 +95,128 @@ def fold_model(
     error passes ``upper`` in any inner fold is pruned. The best is refitted on all training years; if none is left the benchmark
     column is the prediction. ``selection`` (split, year_out, features array) names each fold's features; ``keep`` always stays.
 
-    A task gets one split, small enough for a worker, once for all its folds; a split with more rows than that belongs to
-    ``distributed_model``.
+    ``ridge`` and ``lasso`` need sums of products by split and year only, from one aggregation; a task fits all folds of a split from
+    these, and predictions are made where the rows are. ``gp`` brings each fold's rows into one task: splits must be small.
     """
+    if model not in ("ridge", "lasso", "gp"):
+        raise ValueError(f"unknown model {model}")
     columns = [*dict.fromkeys([*keep, *features])]
-    rows = df.select(F.col(split).alias("split"), "adm", F.col("harv_year").cast("int").alias("harv_year"), F.col(y).cast("double").alias("__y"), F.col(benchmark).cast("double").alias("__bench"), *[F.col(c).cast("double").alias(f"__x_{c}") for c in columns])
-    schema = "split string, year_out int, adm string, harv_year int, y_pred double, train_mse double, n_trials int"
+    x = [F.col(c).cast("double") for c in columns]
+    rows = df.select(F.col(split).alias("split"), "adm", F.col("harv_year").cast("int").alias("harv_year"), F.col(y).cast("double").alias("y"), F.col(benchmark).cast("double").alias("bench"), F.array(*x).alias("x"))
+    rows = rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    wanted = F.array(*[F.lit(columns.index(c)) for c in keep]).cast("array<int>")
+    if selection is not None:
+        place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
+        chosen = selection.select(F.col("split").alias("of"), F.col("year_out").cast("int").alias("year_out"), F.transform("features", lambda c: place[c]).alias("chosen"))
+    else:
+        chosen = None
     params = [dict(g) for g in grid]
+    fits = _linear_fits if model != "gp" else _gp_fits
+    return fits(rows, chosen, wanted, len(columns), model, params, n_folds, upper, seed)
+
+
+def _columns_of(folds: DataFrame, chosen: DataFrame | None, wanted: Column, size: int) -> DataFrame:
+    """Folds (split, year_out, ...) with the places ``names`` of their columns; a fold that nothing was selected for has the kept ones."""
+    if chosen is None:
+        return folds.withColumn("names", F.sequence(F.lit(0), F.lit(size - 1)))
+    found = folds.join(chosen.withColumnRenamed("of", "split"), ["split", "year_out"], "left")
+    return found.withColumn("names", F.array_distinct(F.concat(wanted, F.coalesce("chosen", F.array().cast("array<int>"))))).drop("chosen")
 
-    def run(part: pd.DataFrame, chosen: dict[int, list[str]] | None) -> pd.DataFrame:
-        part = part.dropna(subset=["__y", *[f"__x_{c}" for c in columns]]).sort_values(["harv_year", "adm"], kind="stable")
-        years, out = part["harv_year"].to_numpy(), []
-        for held in sorted(set(years.tolist())):
-            names = columns if chosen is None else [*keep, *[c for c in chosen.get(held, []) if c not in keep]]
-            x, y_all, t = part[[f"__x_{c}" for c in names]].to_numpy(float), part["__y"].to_numpy(float), years.astype(float)
-            test, train = np.flatnonzero(years == held), np.flatnonzero(years != held)
-            best, best_error = None, np.inf
-            if len(train) > 1:
-                folds = inner_folds(years[train], n_folds, seed)
-                for p in params:
-                    errors = []
-                    for f in range(folds.max() + 1):
-                        a, b = train[folds != f], train[folds == f]
-                        if not len(a) or not len(b):
+
+def _best(params: Sequence[Mapping[str, float]], errors) -> tuple[Mapping[str, float] | None, float]:
+    """The parameters with the least mean of ``errors(parameters)``, None if all were pruned (None)."""
+    best, least = None, np.inf
+    for p in params:
+        found = errors(p)
+        if found and np.mean(found) < least:
+            best, least = p, float(np.mean(found))
+    return best, least
+
+
+def _linear_fits(rows: DataFrame, chosen: DataFrame | None, wanted: Column, size: int, model: str, params: list, n_folds: int, upper: float, seed: int) -> DataFrame:
+    centre = rows.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(size)]).alias("x"), F.avg("y").alias("y")).head()
+    middle, middle_y = [float(v or 0.0) for v in centre.x], float(centre.y or 0.0)
+    near = rows.withColumn("c", F.array(*[F.col("x")[i] - middle[i] for i in range(size)])).withColumn("d", F.col("y") - middle_y)
+    c, d = F.col("c"), F.col("d")
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = near.groupBy("split", F.col("harv_year").alias("year_out")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(d).alias("sy"), F.sum(d * d).alias("syy"), *[F.sum(c[i]).alias(f"s{i}") for i in range(size)],
+        *[F.sum(c[i] * d).alias(f"y{i}") for i in range(size)], *[F.sum(c[i] * c[j]).alias(f"p{i}_{j}") for i, j in pairs],
+    )
+    packed = sums.select("split", "year_out", F.array("n", "sy", "syy", *[f"s{i}" for i in range(size)], *[f"y{i}" for i in range(size)], *[f"p{i}_{j}" for i, j in pairs]).alias("v"))
+    packed = _columns_of(packed, chosen, wanted, size)
+
+    def unpack(v: np.ndarray) -> Sums:
+        xx = np.zeros((size, size))
+        upper_ = np.triu_indices(size)
+        xx[upper_] = v[3 + 2 * size :]
+        return Sums(v[0], v[3 : 3 + size], v[1], xx + np.triu(xx, 1).T, v[3 + size : 3 + 2 * size], v[2])
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("year_out", kind="stable")
+        years = part["year_out"].to_numpy()
+        of_year = [unpack(np.asarray(v, float)) for v in part["v"]]
+        out = []
+        for held, names in zip(years.tolist(), part["names"]):
+            names = [int(i) for i in names]
+            train = [(year, s.of(names)) for year, s in zip(years.tolist(), of_year) if year != held]
+            best, error, weights, intercept = None, np.inf, np.zeros(size), 0.0
+            if sum(s.n for _, s in train) > 1 and names:
+                place = dict(zip([year for year, _ in train], inner_folds(np.array([year for year, _ in train]), n_folds, seed).tolist()))
+
+                def errors(p: Mapping[str, float]) -> list[float] | None:
+                    found = []
+                    for fold in sorted(set(place.values())):
+                        inside, outside = ([s for year, s in train if (place[year] == fold) == own] for own in (True, False))
+                        if not outside:
                             continue
-                        errors.append(float(np.mean((_fit_predict(model, p, x[a], t[a], y_all[a], x[b], t[b]) - y_all[b]) ** 2)))
-                        if errors[-1] > upper:
-                            break
-                    else:
-                        if errors and np.mean(errors) < best_error:
-                            best, best_error = p, float(np.mean(errors))
-            predicted = part["__bench"].to_numpy(float)[test] if best is None else _fit_predict(model, best, x[train], t[train], y_all[train], x[test], t[test])
-            out.append(pd.DataFrame({"split": part["split"].iloc[0], "year_out": held, "adm": part["adm"].to_numpy()[test], "harv_year": years[test], "y_pred": predicted, "train_mse": None if best is None else best_error, "n_trials": len(params)}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    if selection is None:
-        return rows.groupBy("split").applyInPandas(lambda part: run(part, None), schema)
-
-    def both(part: pd.DataFrame, sel: pd.DataFrame) -> pd.DataFrame:
-        return run(part, {int(a): list(b) for a, b in zip(sel["year_out"], sel["features"])}) if len(part) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    return rows.groupBy("split").cogroup(selection.groupBy("split")).applyInPandas(both, schema)
+                        found.append(reduce(Sums.__add__, inside).error(*reduce(Sums.__add__, outside).fit(model, p["alpha"])))
+                        if found[-1] > upper:
+                            return None
+                    return found
+
+                best, error = _best(params, errors)
+                if best is not None:
+                    w, intercept = reduce(Sums.__add__, [s for _, s in train]).fit(model, best["alpha"])
+                    weights[names] = w
+            out.append((part["split"].iloc[0], held, None if best is None else weights.tolist(), float(intercept - weights @ np.array(middle) + middle_y), None if best is None else error))
+        return pd.DataFrame(out, columns=["split", "year_out", "w", "w0", "train_mse"])
+
+    fits = packed.groupBy("split").applyInPandas(solve, f"split {dict(rows.dtypes)['split']}, year_out int, w array<double>, w0 double, train_mse double")
+    dot = F.aggregate(F.zip_with("w", "x", lambda a, b: a * b), F.col("w0"), lambda s, v: s + v)
+    found = rows.join(fits, (rows["harv_year"] == fits["year_out"]) & rows["split"].eqNullSafe(fits["split"])).drop(fits["split"])
+    return found.select("split", "year_out", "adm", "harv_year", F.when(F.col("w").isNull(), F.col("bench")).otherwise(dot).alias("y_pred"), "train_mse", F.lit(len(params)).alias("n_trials"))
+
+
+def _gp_fits(rows: DataFrame, chosen: DataFrame | None, wanted: Column, size: int, model: str, params: list, n_folds: int, upper: float, seed: int) -> DataFrame:
+    folds = _columns_of(rows.select("split", F.col("harv_year").alias("year_out")).distinct(), chosen, wanted, size)
+    schema = f"split {dict(rows.dtypes)['split']}, year_out int, adm string, harv_year int, y_pred double, train_mse double, n_trials int"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["harv_year", "adm"], kind="stable")
+        years, held, names = part["harv_year"].to_numpy(), part["year_out"].iloc[0], [int(i) for i in part["names"].iloc[0]]
+        x, y, t = np.stack(part["x"].to_numpy())[:, names].astype(float), part["y"].to_numpy(float), years.astype(float)
+        test, train = np.flatnonzero(years == held), np.flatnonzero(years != held)
+        best, error = None, np.inf
+        if len(train) > 1:
+            place = inner_folds(years[train], n_folds, seed)
+
+            def errors(p: Mapping[str, float]) -> list[float] | None:
+                found = []
+                for fold in range(place.max() + 1):
+                    a, b = train[place != fold], train[place == fold]
+                    if not len(a) or not len(b):
+                        continue
+                    found.append(float(np.mean((_gp(p, x[a], t[a], y[a], x[b], t[b]) - y[b]) ** 2)))
+                    if found[-1] > upper:
+                        return None
+                return found
+
+            best, error = _best(params, errors)
+        predicted = part["bench"].to_numpy(float)[test] if best is None else _gp(best, x[train], t[train], y[train], x[test], t[test])
+        return pd.DataFrame({"split": part["split"].iloc[0], "year_out": held, "adm": part["adm"].to_numpy()[test], "harv_year": years[test], "y_pred": predicted, "train_mse": None if best is None else error, "n_trials": len(params)})
+
+    return rows.join(folds, "split").groupBy("split", "year_out").applyInPandas(run, schema)
 
 
 def distributed_model(df: DataFrame, features: Sequence[str], y: str, model: str = "rf", seed: int = 42, **params) -> tuple[Model, VectorAssembler]:

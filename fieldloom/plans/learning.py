@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import cluster, folds, metrics, models, selection, soil
 from fieldloom.plans import fixtures as fx
-from fieldloom.plans.fixtures import rnd, sql, steady
+from fieldloom.plans.fixtures import recursive, rnd, sql, steady
 from fieldloom.plans.registry import Registry, table
 from fieldloom.plans.yields import rounded
 
@@ -75,7 +75,22 @@ def _vectors(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("adm"), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
-@query("o72_soil_pca")
+def _top(matrix: str, out: str) -> str:
+    """CTEs to ``out`` (v, m): the first eigenvector of a 6 x 6 matrix, its largest loading positive, and the matrix without it; by squaring."""
+    return f"""{out}_p AS (SELECT 1 AS k, m FROM {matrix} UNION ALL SELECT k + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_inner_product(r, c) / pow(list_sum(list_transform(range(1, 7), lambda i: m[i][i])), 2))) FROM {out}_p WHERE k < 40),
+{out}_j AS (SELECT m, list_position(list_transform(range(1, 7), lambda i: m[i][i]), list_max(list_transform(range(1, 7), lambda i: m[i][i]))) AS j FROM {out}_p WHERE k = 40),
+{out}_v AS (SELECT list_transform(m[j], lambda x: x / sqrt(list_inner_product(m[j], m[j]))) AS v FROM {out}_j),
+{out}_l AS (SELECT x.v AS v, y.m AS m, list_inner_product(x.v, list_transform(y.m, lambda r: list_inner_product(r, x.v))) AS l FROM {out}_v x, {matrix} y),
+{out} AS (SELECT v, list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS m FROM {out}_l)"""
+
+
+_COVARIANCE = "[" + ", ".join("[" + ", ".join(f"covar_pop(e[{i}]::DOUBLE, e[{j}]::DOUBLE)" for j in range(1, 7)) + "]" for i in range(1, 7)) + "]"
+_SCORE = " + ".join(f"(e[{i}]::DOUBLE - m{i}) * {{v}}[{i}]" for i in range(1, 7))
+
+
+@query("o72_soil_pca", recursive(f"""WITH x AS (SELECT vec_id AS adm, embedding AS e FROM embeddings), ok AS (SELECT e FROM x WHERE {" AND ".join(f"e[{i}] IS NOT NULL" for i in range(1, 7))}),
+  c AS (SELECT {_COVARIANCE} AS m FROM ok), a AS (SELECT {", ".join(f"avg(e[{i}]::DOUBLE) AS m{i}" for i in range(1, 7))} FROM ok), {_top("c", "one")}, {_top("one", "two")}
+  SELECT adm, round({_SCORE.format(v="one.v")}, 6) AS soil_1, round({_SCORE.format(v="two.v")}, 6) AS soil_2 FROM x, a, one, two"""))
 def o72(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(soil.soil_pca(_vectors(spark, sf_dir), SOIL, 2), "soil_1", "soil_2")
 
@@ -93,7 +108,18 @@ def _learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["before", "size", "noisy", "again"]
 
 
-@query("o74_mutual_information")
+_ROWS = """ln AS (SELECT country, adm, harv_year, yield, coalesce(lag(yield) OVER (PARTITION BY adm ORDER BY harv_year), y_bench) AS before, ln(area) AS size, y_pred AS noisy FROM pred WHERE run_id = 'run1'),
+wide AS (SELECT *, 2 * size + 1 + before / 1000 AS again FROM ln)"""
+_DIGAMMA = "coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0::DOUBLE / i)), 0)"
+
+
+@query("o74_mutual_information", sql("yf pred", "+" + _ROWS + f""", long AS (UNPIVOT wide ON before, size, noisy, again INTO NAME feature VALUE x),
+  fold AS (SELECT split, year_out, feature, row_number() OVER () AS id, x, yield AS y FROM (SELECT DISTINCT country AS split, harv_year AS year_out FROM wide) JOIN long ON country = split AND harv_year <> year_out WHERE x IS NOT NULL AND yield IS NOT NULL),
+  z AS (SELECT split, year_out, feature, id, (x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS x, (y - avg(y) OVER w) / coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS y, count(*) OVER w AS n FROM fold WINDOW w AS (PARTITION BY split, year_out, feature)),
+  near AS (SELECT a.id, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS reach FROM z a JOIN z b USING (split, year_out, feature) WHERE a.id <> b.id GROUP BY a.id),
+  c AS (SELECT a.split, a.year_out, a.feature, a.id, any_value(a.n) AS n, count(*) FILTER (abs(a.x - b.x) < reach - 1e-9) AS cx, count(*) FILTER (abs(a.y - b.y) < reach - 1e-9) AS cy FROM z a JOIN near USING (id) JOIN z b ON a.split = b.split AND a.year_out = b.year_out AND a.feature = b.feature AND a.id <> b.id GROUP BY ALL),
+  i AS (SELECT split, year_out, feature, 1.5 + any_value({_DIGAMMA.format(n="n")}) - avg({_DIGAMMA.format(n="cx + 1")} + {_DIGAMMA.format(n="cy + 1")}) AS mi FROM c GROUP BY ALL)
+  SELECT split, year_out, feature, round(mi, 6) AS mi FROM i WHERE mi > 1e-3"""))
 def o74(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = folds.with_roles(_learning_rows(spark, sf_dir), "country").where("role = 'train'")
     return rounded(selection.mutual_information(train, FEATURES, "yield"), "mi")
@@ -120,6 +146,16 @@ def o77(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.fold_model(_learning_rows(spark, sf_dir), "country", FEATURES, model="ridge", grid=grid, upper=2.0), "y_pred", "train_mse")
 
 
+@query("o77_ridge_two_features", sql("yf pred", "+" + _ROWS + """, p AS (SELECT a.country, a.adm, a.harv_year, a.before AS b0, a.size AS s0, b.before AS b, b.size AS s, b.yield AS y FROM wide a JOIN wide b ON a.country = b.country AND a.harv_year <> b.harv_year),
+  m AS (SELECT country, adm, harv_year, any_value(b0) AS b0, any_value(s0) AS s0, avg(b) AS mb, avg(s) AS ms, avg(y) AS my, stddev_pop(b) AS db, stddev_pop(s) AS ds, covar_pop(b, s) / (stddev_pop(b) * stddev_pop(s)) AS r,
+    covar_pop(b, y) / stddev_pop(b) AS cb, covar_pop(s, y) / stddev_pop(s) AS cs FROM p GROUP BY ALL)
+  SELECT country AS split, harv_year AS year_out, adm, round(my + (b0 - mb) / db * (cb * 1.5 - cs * r) / (2.25 - r * r) + (s0 - ms) / ds * (cs * 1.5 - cb * r) / (2.25 - r * r), 6) AS y_pred FROM m"""))
+def o77_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One given penalty and no pruning, so that the folds' fits can be written down."""
+    out = models.fold_model(_learning_rows(spark, sf_dir), "country", ["before", "size"], grid=[{"alpha": 0.5}], upper=1e9, keep=[])
+    return rounded(out.select("split", "year_out", "adm", "y_pred"), "y_pred")
+
+
 @query("o77_fold_model_selected_lasso")
 def o77_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _learning_rows(spark, sf_dir)
@@ -300,9 +336,16 @@ def o96(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cluster.feature_target_correlation(_with_target(spark, sf_dir)), "r")
 
 
-@query("o96_kendall", sql("yf", _FEATURES + """, t AS (SELECT adm, feature, harv_year, value, yield FROM ft JOIN yk USING (adm, harv_year) WHERE step = 1),
+@query("o96_kendall", recursive(sql("yf", _FEATURES + """, t AS (SELECT adm, feature, harv_year, value, yield FROM ft JOIN yk USING (adm, harv_year) WHERE step = 1),
   p AS (SELECT a.adm, a.feature, sign(b.value - a.value) AS x, sign(b.yield - a.yield) AS y FROM t a JOIN t b ON a.adm = b.adm AND a.feature = b.feature AND a.harv_year < b.harv_year),
-  c AS (SELECT adm, feature, sum(x * y) / nullif(sqrt(sum(abs(x)) * sum(abs(y))), 0) AS r FROM p GROUP BY ALL) SELECT feature, round(avg(r), 6) AS r FROM c WHERE r IS NOT NULL GROUP BY 1"""))
+  c AS (SELECT adm, feature, sum(x * y) AS s, count(*) FILTER (x * y < 0) AS against, sum(x * y) / nullif(sqrt(sum(abs(x)) * sum(abs(y))), 0) AS r FROM p GROUP BY ALL),
+  u AS (SELECT adm, feature, count(*) OVER (PARTITION BY adm, feature, value)::DOUBLE AS tx, count(*) OVER (PARTITION BY adm, feature, yield)::DOUBLE AS ty FROM t),
+  v AS (SELECT adm, feature, count(*)::DOUBLE AS n, sum(tx - 1) / 2 AS bx, sum(ty - 1) / 2 AS b_y, sum((tx - 1) * (tx - 2)) AS cx, sum((ty - 1) * (ty - 2)) AS cy, sum((tx - 1) * (2 * tx + 5)) AS fx, sum((ty - 1) * (2 * ty + 5)) AS fy FROM u GROUP BY ALL),
+  inv AS (SELECT 1 AS n, [1.0::DOUBLE] AS k UNION ALL SELECT n + 1, list_transform(range(0, n * (n + 1) // 2 + 1), lambda i: list_sum(k[greatest(i - n, 0) + 1:least(i + 1, len(k))])) FROM inv WHERE n < 33),
+  q AS (SELECT c.*, v.* EXCLUDE (adm, feature), least(against, n * (n - 1) / 2 - against)::INT AS few,
+    (n * (n - 1) * (2 * n + 5) - fx - fy) / 18 + 2 * bx * b_y / (n * (n - 1)) + CASE WHEN n > 2 THEN cx * cy / (9 * n * (n - 1) * (n - 2)) ELSE 0 END AS spread FROM c JOIN v USING (adm, feature)),
+  w AS (SELECT q.*, CASE WHEN bx = 0 AND b_y = 0 AND q.n <= 33 THEN 2 * list_sum(inv.k[1:few + 1]) / list_sum(inv.k) <= 0.1 ELSE spread > 0 AND abs(s) / sqrt(spread) >= 1.6448536269514722 END AS clear FROM q LEFT JOIN inv ON inv.n = q.n)
+  SELECT feature, round(avg(r), 6) AS r FROM w WHERE r IS NOT NULL AND clear GROUP BY 1""")))
 def o96_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cluster.feature_target_correlation(_with_target(spark, sf_dir), method="kendall"), "r")
 

@@ -1,9 +1,11 @@
+from itertools import combinations, permutations
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.numeric import digamma, knn_information
+from fieldloom.functions.numeric import digamma, knn_information, tau_p_value
 from fieldloom.operators import cluster, folds, metrics, models, selection, soil
 
 
@@ -74,6 +76,58 @@ def test_fold_models(spark, model, grid):
     assert (pruned.y_pred == 0).all() and pruned.train_mse.isna().all()
 
 
+def direct(model, p, x, t, y, x_new, t_new):
+    """Predictions straight from the rows."""
+    m, s = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    a, b = (x - m) / s, (x_new - m) / s
+    if model == "gp":
+        span = (t.max() - t.min()) or 1.0
+        u, v = (t - t.mean()) / span, (t_new - t.mean()) / span
+        kernel = lambda c, e, d, f: p["sigma"] * np.exp(-((c[:, None] - d[None]) ** 2).sum(-1) / p["l_s"] ** 2 - (e[:, None] - f[None]) ** 2 / p["l_t"] ** 2)
+        return kernel(b, v, a, u) @ np.linalg.inv(kernel(a, u, a, u) + p["noise"] * np.eye(len(a))) @ y
+    if model == "ridge":
+        w = np.linalg.solve(a.T @ a / len(a) + p["alpha"] * np.eye(a.shape[1]), a.T @ (y - y.mean()) / len(a))
+    else:
+        w = np.zeros(a.shape[1])
+        for _ in range(3000):  # proximal gradient steps
+            z = w - (a.T @ (a @ w - (y - y.mean())) / len(a)) / a.shape[1]
+            w = np.sign(z) * np.maximum(np.abs(z) - p["alpha"] / a.shape[1], 0)
+    return y.mean() + b @ w
+
+
+@pytest.mark.parametrize("model,grid", [
+    ("ridge", [{"alpha": 1.0}, {"alpha": 0.03}, {"alpha": 0.3}]), ("lasso", [{"alpha": 0.2}, {"alpha": 0.02}]),
+    ("gp", [{"sigma": 1.0, "l_s": 2.0, "l_t": 1.0, "noise": 0.1}, {"sigma": 3.0, "l_s": 1.0, "l_t": 2.0, "noise": 0.3}]),
+])
+@pytest.mark.parametrize("upper", [1e9, 3.0])
+def test_fold_models_against_rows(spark, model, grid, upper):
+    """Every fold's prediction, error and pruning by plain numpy on the fold's own rows; folds have their own columns."""
+    rng = np.random.default_rng(7)
+    rows = [("p" if i % 3 else "q", f"r{i % 15}", 2000 + i // 15, *map(float, rng.normal(size=3) * [1, 5, 1] + [0, 100, 0]), 7.0) for i in range(90)]
+    df = spark.createDataFrame([(*r, float(r[3] - 0.1 * r[4] + 0.3 * (r[2] - 2000) + rng.normal()), -1.0) for r in rows], "split string, adm string, harv_year int, a double, b double, c double, same double, yield double, y_bench double")
+    chosen = [("p", 2001, ["a"]), ("p", 2002, ["c", "b"]), ("q", 2001, ["b", "a", "same"]), ("q", 2003, [])]
+    sel = spark.createDataFrame(chosen, "split string, year_out int, features array<string>")
+    out = models.fold_model(df, "split", ["a", "b", "c", "same"], model=model, grid=grid, upper=upper, selection=sel, n_folds=3)
+    got = {(r.split, r.adm, r.harv_year): r for r in out.collect()}
+    pdf = df.toPandas()
+    assert len(got) == len(pdf)
+    for (split, held), test in pdf.groupby(["split", "harv_year"]):
+        names = ["harv_year", *dict((c[:2], c[2]) for c in chosen).get((split, held), [])]
+        train = pdf[(pdf.split == split) & (pdf.harv_year != held)]
+        place = models.inner_folds(train.harv_year.to_numpy(), 3, 42)
+        fit = lambda p, a, b: direct(model, p, a[names].to_numpy(float), a.harv_year.to_numpy(float), a["yield"].to_numpy(), b[names].to_numpy(float), b.harv_year.to_numpy(float))
+        scores = []
+        for p in grid:
+            errors = [np.mean((fit(p, train[place != f], train[place == f]) - train[place == f]["yield"]) ** 2) for f in range(place.max() + 1)]
+            scores.append(np.inf if max(errors) > upper else np.mean(errors))
+        best = int(np.argmin(scores))
+        want = fit(grid[best], train, test) if np.isfinite(scores[best]) else np.full(len(test), -1.0)
+        for (_, row), y in zip(test.iterrows(), want):
+            r = got[split, row.adm, held]
+            assert r.y_pred == pytest.approx(y, abs=1e-5) and r.n_trials == len(grid)
+            assert (r.train_mse is None) if not np.isfinite(scores[best]) else r.train_mse == pytest.approx(scores[best], rel=1e-5)
+
+
 def test_selected_features_per_fold(spark):
     df = learning_rows(spark)
     only = spark.createDataFrame([("s", y, ["a", "b"] if y != 2004 else ["noise"]) for y in range(2000, 2010)], "split string, year_out int, features array<string>")
@@ -87,6 +141,15 @@ def test_large_split_models(spark):
     for model, most in (("rf", 3.0), ("gbt", 3.0), ("lasso", 0.01)):
         out = models.distributed_predictions(df, 2005, ["a", "b"], "yield", model).toPandas()
         assert len(out) == 12 and np.mean((out.y_pred - out["yield"]) ** 2) < most
+    one = models.feature_importance(df, ["a", "b", "noise"], "yield", [2005], "gbt", maxDepth=1, maxIter=1).collect()
+    pdf = df.toPandas()
+    pdf = pdf[pdf.harv_year != 2005]
+
+    def gained(c):  # the largest fall in squared error of any single cut
+        y = pdf.sort_values(c)["yield"].to_numpy()
+        return max(y.var() * len(y) - y[:i].var() * i - y[i:].var() * (len(y) - i) for i in range(1, len(y)))
+
+    assert {r.feature: r.importance for r in one} == {c: float(c == max(("a", "b", "noise"), key=gained)) for c in ("a", "b", "noise")}
     gain = {r.feature: r.importance for r in models.feature_importance(df, ["a", "noise"], "yield", [2005], numTrees=10).collect()}
     assert gain["a"] > gain["noise"] and sum(gain.values()) == pytest.approx(1)
 
@@ -153,7 +216,20 @@ def test_region_pairs(spark, blocks):
 def test_correlation_of_constants_is_null(spark):
     df = spark.createDataFrame([("a", "f", i, 1.0, float(i)) for i in range(4)] + [("b", "f", i, float(i), float(-i)) for i in range(4)], "adm string, feature string, harv_year int, value double, yield double")
     assert cluster.feature_target_correlation(df).head().r == pytest.approx(-1)
-    assert cluster.feature_target_correlation(df, method="kendall").head().r == pytest.approx(-1)
+    kendall = lambda n: cluster.feature_target_correlation(df.where(f"harv_year < {n}"), method="kendall").collect()
+    assert [r.r for r in kendall(4)] == [pytest.approx(-1)] and kendall(3) == []  # p-values 1/12 and 1/3
+
+
+def test_tau_p_values():
+    """Exact ones by all orders, approximate ones by their agreement with exact ones where there are many values."""
+    orders = list(permutations(range(5)))
+    wrong = [sum(a > b for a, b in combinations(o, 2)) for o in orders]
+    for against in range(11):
+        few = min(against, 10 - against)
+        want = min(1.0, sum(w <= few or w >= 10 - few for w in wrong) / len(orders))
+        assert tau_p_value(10 - 2 * against, against, 5, 0, 0, 0, 0, 0, 0) == pytest.approx(want)
+    exact = tau_p_value(100, 214, 33, 0, 0, 0, 0, 0, 0)
+    assert tau_p_value(100, 214, 33, 1e-12, 0, 0, 0, 0, 0) == pytest.approx(exact, rel=0.05)
 
 
 def test_clusters_and_events(spark):
@@ -161,6 +237,21 @@ def test_clusters_and_events(spark):
     df = spark.createDataFrame(x, "k int, features array<double>")
     out = {r.k: r.cluster for r in cluster.kmeans_regions(df, 2).collect()}
     assert len({out[i] for i in range(0, 30, 2)}) == 1 and out[0] != out[1]
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(size=(40, 3)) + c for c in ([0, 0, 0], [6, 0, 0], [0, 7, 0], [3, 3, 9])])
+    many = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "k int, features array<double>")
+    within = {}
+    for k in (2, 4):
+        own = np.array([r.cluster for r in cluster.kmeans_regions(many, k).orderBy("k").collect()])
+        distances = ((points[:, None] - np.array([points[own == c].mean(0) for c in range(k)])) ** 2).sum(-1)
+        assert (distances.argmin(1) == own).all()  # each point is nearest to the mean of its own cluster
+        within[k] = distances.min(1).sum()
+    found = {r.k: (r.wcss, r.silhouette) for r in cluster.kmeans_elbow(many, 4).collect()}
+    assert found[4][0] == pytest.approx(within[4] / within[2]) and max(found, key=lambda k: found[k][1]) == 4
+    between = np.array([[((p - points[own == c]) ** 2).sum(-1).sum() / (np.sum(own == c) - (own[i] == c)) for c in range(4)] for i, p in enumerate(points)])
+    inner = between[np.arange(160), own]
+    other = np.where(np.arange(4) == own[:, None], np.inf, between).min(1)
+    assert found[4][1] == pytest.approx(((other - inner) / np.maximum(inner, other)).mean())
     elbow = [(r.k, r.wcss) for r in cluster.kmeans_elbow(df, 3).orderBy("k").collect()]
     assert elbow[0] == (2, 1.0) and elbow[1][1] < 1
     events = spark.createDataFrame([(2000, 3), (2000, 4), (2005, 1)], "year int, fatalities int")
@@ -177,7 +268,7 @@ def test_information_takes_all_rows(spark):
         a, b = ((v - v.mean()) / v.std() for v in (x, y))
         dx, dy = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
         reach = np.sort(np.maximum(dx, dy), axis=1)[:, 3:4]
-        counts = [np.maximum((d < reach).sum(1) - (reach[:, 0] > 0), 0) for d in (dx, dy)]
+        counts = [np.maximum((d < reach - 1e-9).sum(1) - (reach[:, 0] > 1e-9), 0) for d in (dx, dy)]
         want = digamma(np.array([3.0]))[0] + digamma(np.array([float(n)]))[0] - sum(digamma(c + 1).mean() for c in counts)
         assert knn_information(x, y) == pytest.approx(max(0.0, want), abs=1e-9)
     x = rng.normal(size=25_000)
