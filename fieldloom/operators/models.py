@@ -230,17 +230,25 @@ def distributed_model(df: DataFrame, features: Sequence[str], y: str, model: str
     return estimator.fit(assembler.transform(df)), assembler
 
 
-def distributed_predictions(df: DataFrame, year_out: int, features: Sequence[str], y: str, model: str = "rf", seed: int = 42, **params) -> DataFrame:
-    """The held-out year's rows with ``y_pred`` of a model trained on the other years."""
-    fitted, assembler = distributed_model(df.where(F.col("harv_year") != year_out), features, y, model, seed, **params)
-    out = fitted.transform(assembler.transform(df.where(F.col("harv_year") == year_out)))
-    return out.withColumnRenamed("prediction", "y_pred").drop("__features")
+def held_out_years(df: DataFrame, years: Sequence[int] | None) -> list[int]:
+    """The given years, or all of ``df``: a short list of folds."""
+    return sorted(years if years is not None else (int(r.harv_year) for r in df.select("harv_year").where("harv_year IS NOT NULL").distinct().collect()))
 
 
-def feature_importance(df: DataFrame, features: Sequence[str], y: str, years: Sequence[int], model: str = "rf", seed: int = 42, **params) -> DataFrame:
-    """(year_out, feature, importance): gain importance in the tree model of each of the given held-out years."""
+def distributed_predictions(df: DataFrame, years: int | Sequence[int] | None, features: Sequence[str], y: str, model: str = "rf", seed: int = 42, **params) -> DataFrame:
+    """The rows of the held-out years (all, if none are given) with ``y_pred`` of a model trained on the other years' rows."""
+    out = []
+    for year in held_out_years(df, [years] if isinstance(years, int) else years):  # each one a distributed job
+        fitted, assembler = distributed_model(df.where(F.col("harv_year") != year), features, y, model, seed, **params)
+        rows = fitted.transform(assembler.transform(df.where(F.col("harv_year") == year)))
+        out.append(rows.withColumnRenamed("prediction", "y_pred").drop("__features"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def feature_importance(df: DataFrame, features: Sequence[str], y: str, years: Sequence[int] | None = None, model: str = "rf", seed: int = 42, **params) -> DataFrame:
+    """(year_out, feature, importance): gain importance in the tree model of each held-out year, all if none are given."""
     rows = []
-    for year in years:  # a short list of folds, each one a distributed job
+    for year in held_out_years(df, years):  # each one a distributed job
         fitted, _ = distributed_model(df.where(F.col("harv_year") != year), features, y, model, seed, **params)
         rows += [(int(year), c, float(v)) for c, v in zip(features, fitted.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "year_out int, feature string, importance double")

@@ -166,7 +166,8 @@ def o77_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o77_distributed_forest")
 def o77_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = models.distributed_predictions(_learning_rows(spark, sf_dir), 1999, FEATURES, "yield", "rf", numTrees=10, maxDepth=4)
+    """Every held-out year, all splits together."""
+    out = models.distributed_predictions(_learning_rows(spark, sf_dir), None, FEATURES, "yield", "rf", numTrees=10, maxDepth=4)
     return rounded(out.select("adm", "harv_year", "y_pred"), "y_pred")
 
 
@@ -178,7 +179,8 @@ def o78(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o79_feature_importance")
 def o79(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.feature_importance(_learning_rows(spark, sf_dir), FEATURES, "yield", [1998, 1999], numTrees=10, maxDepth=4), "importance")
+    """Every held-out year, all splits together."""
+    return rounded(models.feature_importance(_learning_rows(spark, sf_dir), FEATURES, "yield", None, numTrees=10, maxDepth=4), "importance")
 
 
 @query("o80_attach_transfer_features", sql("yf", """+ d AS (SELECT country AS source, harv_year AS year_out, adm, harv_year, yield FROM yk), t AS (SELECT source, year_out, adm, harv_year, round(yield * 2, 6) AS transfer_feature_1 FROM d WHERE (year_out + length(source)) % 3 <> 0),

@@ -76,15 +76,19 @@ def o04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.blank_to_null(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("value")), ["value"])
 
 
-@query("o05_wide_to_long", sql("ev", "SELECT adm, date::VARCHAR AS date, value FROM ev WHERE day(date) BETWEEN 3 AND 12"))
+#: All days of the events.
+_DAYS = [f"2024-01-{d:02d}" for d in range(1, 32)]
+
+
+@query("o05_wide_to_long", sql("ev", "SELECT adm, date::VARCHAR AS date, value FROM ev"))
 def o05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = reports.long_to_wide(fx.event_series(spark, sf_dir), ["adm"], [f"2024-01-{d:02d}" for d in range(3, 13)])
+    wide = reports.long_to_wide(fx.event_series(spark, sf_dir), ["adm"], _DAYS)
     return reports.wide_to_long(wide, ["adm"]).where(F.col("value").isNotNull()).withColumn("date", F.col("date").cast("string"))
 
 
-@query("o06_long_to_wide", sql("ev", """SELECT adm, max(value) FILTER (date = '2024-01-05') AS "2024_01_05", max(value) FILTER (date = '2024-01-06') AS "2024_01_06" FROM ev GROUP BY adm"""))
+@query("o06_long_to_wide", sql("ev", "SELECT adm, " + ", ".join(f"""max(value) FILTER (date = '{d}') AS "{d.replace('-', '_')}\"""" for d in _DAYS) + " FROM ev GROUP BY adm"))
 def o06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.long_to_wide(fx.event_series(spark, sf_dir), ["adm"], ["2024-01-05", "2024-01-06"])
+    return reports.long_to_wide(fx.event_series(spark, sf_dir), ["adm"], _DAYS)
 
 
 @query("o07_file_date", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS a, o_orderdate::DATE::VARCHAR AS b, o_orderdate::DATE::VARCHAR AS c FROM orders")
