@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.lineage import cut_lineage as cut_lineage
+
 #: White space that separates words; the same six characters as ``bytes.split`` uses.
 SPACE = "\\x20\\x09-\\x0D"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the cluster shares and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is configured and all runs
-    in one process, as in tests. The files outlive executors, so later stages survive their loss.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fieldloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def size_words(text: Column) -> Column:
     """Number of words of a text, 0 for null; JVM-side."""
     squeezed = F.regexp_replace(text, f"[^{SPACE}]+", "w")

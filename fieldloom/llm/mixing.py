@@ -20,7 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 
 #: Hexadecimal digits of a hash, of which an order has three, and how many of them tell ranges apart in one pass.
-_HASH, _DIGITS = 32, 3
+_HASH, _DIGITS = 32, 2
 #: Ends of the digits that a pass looks at; past four passes into one hash only ties are left, which the next hash tells apart.
 _PASSES = tuple(start * _HASH + _DIGITS * i for start in range(3) for i in range(1, 5))
 

@@ -13,7 +13,7 @@ dealt into blocks and compared by pairs of blocks in separate tasks. Components
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +21,53 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices, spread_join
+from fieldloom.llm._util import cut_lineage, slices, small_side, spread_join
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once.
 BLOCK = 4096
 #: Keys with up to so many fingerprints are compared by shifted vectors, many keys at once.
 _SHORT = 6
+#: The same where each close pair counts.
+_SHORT_PAIRS = 12
 #: Hot keys up to which their table is broadcast; beyond, it is joined by a shuffle.
 _BROADCAST_KEYS = 100_000
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def _fingerprint(text: str | None, width: int, seed: int) -> int:
+def _shingled(text: str | None, width: int) -> list[bytes]:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+        return [b" ".join(words)]
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+
+
+def _fingerprint(shingles: list[bytes], seed: int) -> int:
+    if not shingles:
+        return 0
     hashes = np.frombuffer(b"".join(map(partial(xxhash.xxh64_digest, seed=seed), shingles)), np.uint8).reshape(-1, 8)
     counts = np.bincount((hashes + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     bits = (counts.ravel() * 2 > len(hashes)).astype(np.uint8)
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
-def simhash(text: Column, width: int = 4, seed: int = 42) -> Column:
-    """64-bit fingerprint, a signed long, of a whole text's ``width``-word shingles, repeats included.
+def simhash(text: Column, width: int = 4, seeds: tuple[int, ...] = (42,)) -> Column:
+    """64-bit fingerprints, signed longs, one for each seed in a struct (fp_0, fp_1, ..), of a whole text's ``width``-word shingles, repeats included.
 
     Letters A-Z are lower-cased; words are runs of characters other than the six ASCII white-space characters. A shorter text
     has its whole word sequence as its only shingle; null and wordless texts have fingerprint 0.
     """
 
-    @F.arrow_udf("long")
+    names = [f"fp_{s}" for s in range(len(seeds))]
+
+    @F.arrow_udf(", ".join(f"{name} long" for name in names))
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in slices(batches):
-            yield pa.array([_fingerprint(t, width, seed) for t in batch.to_pylist()], pa.int64())
+            found = [[_fingerprint(shingles, seed) for seed in seeds] for shingles in (_shingled(t, width) for t in batch.to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in range(len(seeds))], names)
 
     return fingerprints(text)
 
@@ -114,14 +123,14 @@ def _forest(keys: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.concatenate(a), np.concatenate(b)
 
 
-def _link_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _link_runs(batches: Iterator[pa.RecordBatch], k: int, find) -> Iterator[pa.RecordBatch]:
     """Links of rows (block, fp) sorted by block; a run of equal blocks may span batches."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def links(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, points = (np.concatenate(x) for x in zip(*parts))
         if len(keys) > 1:
-            a, b = _forest(keys, points, k)
+            a, b = find(keys, points, k)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
     for batch in batches:
@@ -137,14 +146,51 @@ def _link_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         yield from links(held)
 
 
-def near_links(points: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
+def _close_pairs(run: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``k`` bits: all of them if they are few, else for each point its nearest one before it in a random order."""
+    run = run[np.random.default_rng(seed).permutation(len(run))]
+    a, b, dense = [], [], 0
+    for start in range(0, len(run), 512):
+        far = np.bitwise_count(run[start : start + 512, None] ^ run[None])
+        far[np.arange(len(far))[:, None] + start <= np.arange(len(run))] = BITS + 1
+        i, j = np.nonzero(far <= k)
+        if len(i) > 4 * len(far):
+            j = far.argmin(axis=1)
+            i = np.flatnonzero(far[np.arange(len(far)), j] <= k)
+            j = j[i]
+        a.append(run[start + i])
+        b.append(run[j])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs(keys: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs under each key. Both arrays are sorted by key."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    short = np.repeat((sizes > 1) & (sizes <= _SHORT_PAIRS), sizes)
+    for step in range(1, _SHORT_PAIRS):
+        i = np.flatnonzero(short[:-step] & (keys[step:] == keys[:-step]))
+        i = i[np.bitwise_count(points[i] ^ points[i + step]) <= k]
+        a.append(points[i])
+        b.append(points[i + step])
+    for start, size in zip(starts[sizes > _SHORT_PAIRS], sizes[sizes > _SHORT_PAIRS]):
+        x, y = _close_pairs(points[start : start + size], k, int(keys[start]) & 0xFFFFFFFF)
+        a.append(x)
+        b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_links(points: DataFrame, k: int = 4, block: int = BLOCK, segments: int | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within ``k`` bits.
 
+    With a number of ``segments``, too few for ``k``, the links are close pairs that agree but for one bit in a segment: not all within
+    ``k`` bits, and between points that are close themselves, for a check of each.
     ``points`` has one column ``fp`` of distinct longs, written to shared storage beforehand, as it is read three times.
     """
     if not 0 <= k < 2 * BITS // 3:
         raise ValueError("k must lie between 0 and 41 bits")
-    fp, parts = F.col("fp"), _segments(k)
+    fp, parts = F.col("fp"), _segments(k if segments is None else 2 * segments - 1)
     keys = F.explode(F.array(*[x for s, (shift, width) in enumerate(parts) for x in _keys_of(_value(fp, shift, width), s, width)]))
     variants = points.select(keys.alias("key"), "fp")
 
@@ -173,7 +219,7 @@ def near_links(points: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
     )
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "block").sortWithinPartitions("block", "fp")
-    return sorted_.mapInArrow(partial(_link_runs, k=k), "a long, b long")
+    return sorted_.mapInArrow(partial(_link_runs, k=k, find=_forest if segments is None else _pairs), "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -223,7 +269,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Every row is kept: repeated ids keep a row each, null ids take part and are never the smallest unless alone. Null and
     wordless texts have fingerprint zero and link like any other. An empty table gives an empty result.
     """
-    prints = cut_lineage(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("fp")))
+    prints = cut_lineage(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width)["fp_0"].alias("fp")))
     points = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
     # A component's smallest document: the minimum over its fingerprints.
     linked, alone = _rooted(points, k)
@@ -234,6 +280,69 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: For near-duplicates by similarity: fingerprints with seeds of their own, their segments, and bits by which a pair to check may differ.
+SEEDS, SEGMENTS, MOST_BITS = (42, 43), 4, 14
+
+
+def _shingles(text: Column, width: int) -> Column:
+    """Sorted distinct hashes of a text's shingles."""
+
+    @F.arrow_udf("array<long>")
+    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in slices(batches):
+            out = []
+            for t in batch.to_pylist():
+                out.append(np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, _shingled(t, width))), np.int64)))
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return hashes(text)
+
+
+def _similar_links(points: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between points, of candidates from every seed's fingerprint, that share at least ``similarity`` of their shingles.
+
+    ``points`` has (point, fp_0, fp_1, ..), a row for all with the same fingerprints; ``texts`` (point, text), of candidates to be met only.
+    """
+    found = []
+    for s in range(len(SEEDS)):
+        own = cut_lineage(points.groupBy(f"fp_{s}").agg(F.collect_set("point").alias("points")))  # mostly one, as the seeds are independent
+        links = near_links(own.select(F.col(f"fp_{s}").alias("fp")), MOST_BITS, segments=SEGMENTS).distinct()
+        a = own.select(F.col(f"fp_{s}").alias("a"), F.explode("points").alias("x"))
+        b = own.select(F.col(f"fp_{s}").alias("b"), F.explode("points").alias("y"))
+        found.append(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        several = own.where(F.size("points") > 1).withColumn("a", F.array_min("points"))
+        found.append(several.select("a", F.explode("points").alias("b")))
+    pairs = cut_lineage(reduce(DataFrame.unionAll, found).where("a <> b").distinct())
+    ends = cut_lineage(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "point"))
+    sets = cut_lineage(texts.join(small_side(ends), "point").select("point", _shingles(F.col("text"), width).alias("set")))
+    left, right = sets.select(F.col("point").alias("a"), F.col("set").alias("s")), sets.select(F.col("point").alias("b"), F.col("set").alias("t"))
+    met = spread_join(spread_join(pairs, left, "a", "b"), right, "b", "a")
+    shared = F.size(F.array_intersect("s", "t"))
+    return met.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+
+def similarity_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Keep one row of each component of near-duplicates, linked by ``similarity`` of their shingle sets; columns as they are.
+
+    Candidates agree but for one bit in one of SEGMENTS segments of one of the fingerprints (SEEDS) and differ there in MOST_BITS bits
+    at most; each is checked on its whole texts. The row kept is the one with the smallest id, null ids last, then by a hash of the
+    text; rows alike in both are told apart by a stored number. Rows with neither id nor text are taken for copies of nothing and stay.
+    """
+    doc_id, text = F.col(id_col), F.col(text_col)
+    first = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("n"))
+    rows = docs.select(F.struct("*").alias("row"), simhash(text, width, SEEDS).alias("fp"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
+    rows = cut_lineage(rows.select("row", "fp.*", "first", "void"))
+    names = [f"fp_{s}" for s in range(len(SEEDS))]
+    points = rows.where(~F.col("void")).groupBy(*names).agg(F.min("first").alias("first"))
+    points = cut_lineage(points.withColumn("point", F.col("first.n")))  # named by its first row
+    texts = rows.select(F.col("first.n").alias("point"), F.col(f"row.`{text_col}`").alias("text"))
+    roots = components(_similar_links(points.select("point", *names), texts, width, similarity)).withColumnRenamed("id", "point")
+    rooted = cut_lineage(points.join(roots, "point", "left"))
+    kept = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first")).select("first").unionAll(rooted.where("root IS NULL").select("first"))
+    found = rows.select("row", "void", "first.n").join(kept.select(F.col("first.n").alias("kept")), F.col("n") == F.col("kept"), "left")
+    return found.where(F.col("void") | F.col("kept").isNotNull()).select("row.*")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, width: int = 4) -> DataFrame:
     """Keep one row of each component of near-duplicates; columns as they are.
 
@@ -242,7 +351,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     doc_id, text = F.col(id_col), F.col(text_col)
     first = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("n"))
-    rows = docs.select(F.struct("*").alias("row"), simhash(text, width).alias("fp"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
+    rows = docs.select(F.struct("*").alias("row"), simhash(text, width)["fp_0"].alias("fp"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
     rows = cut_lineage(rows)
     points = cut_lineage(rows.where(~F.col("void")).groupBy("fp").agg(F.min("first").alias("first")))
     linked, alone = _rooted(points, k)

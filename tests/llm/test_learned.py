@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -14,7 +15,8 @@ from fieldloom.llm import neighbours
 from fieldloom.llm.language import ByteNet, identify_languages, language_filter
 from fieldloom.llm.neighbours import nearest_neighbours
 from fieldloom.llm.token_counts import count_tokens, frequent_pieces
-from fieldloom.llm.toxicity import score_toxicity
+from fieldloom.llm.toxicity import STEPS, _grams, _unexplained, score_toxicity, train_toxicity
+from fieldloom.llm.toxicity import WINDOW as WINDOW_BYTES
 from tests.llm.test_bpe import texts
 
 STEMS = {"aa": ["the", "and", "ing", "er", "on"], "bb": ["sch", "ung", "der", "ei", "lich"], "cc": ["ció", "ñar", "los", "ez", "que"]}
@@ -67,6 +69,34 @@ def test_network_gradients():
         assert (up - down) / (2 * step) == pytest.approx(g[at], rel=0.15, abs=1e-3)
 
 
+def brute_toxicity(model, text):
+    """A score by the plain formula: bytes of each window after each dictionary, steps, and the curve."""
+
+    def compressed(data, dictionary):
+        raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(9, source_size=2 * WINDOW_BYTES, dict_size=len(dictionary), min_match=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress(data))
+
+    gains, words = [], []
+    for word in (text or "").lower().encode().split():
+        words.append(word)
+        if sum(map(len, words)) + len(words) >= WINDOW_BYTES:
+            gains.append(words)
+            words = []
+    gains = [b" " + b" ".join(w) + b" " for w in [*gains, *([words] if words else [])]]
+    gains = [compressed(w, model.ordinary) - compressed(w, model.toxic) for w in gains]
+    n, low, high = len(gains), *STEPS
+    plain, above = sum(min(max(g, 0), high) for g in gains), sum(min(max(g - low, 0), high) for g in gains)
+    z = np.dot(model.weights, [plain / (n + 2), above / (n + 2), above / np.sqrt(n + 1), 1.0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_what_ordinary_text_leaves_unexplained():
+    reference = np.unique(_grams(b" the quick brown fox jumps over it "))
+    assert _unexplained("The quick zebra fox jumps over IT", reference) == b"zebra"
+    assert _unexplained("", reference) == b"  " and _unexplained("the quick brown fox", reference) == b""
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     insults = ["numbskull", "dunderhead", "blockhead", "nitwit", "scoundrel"]
@@ -86,6 +116,9 @@ def test_toxicity_held_out(spark):
     by = {r.doc_id: r for r in got if r.doc_id != 0}
     held = [i for i in range(1, 900) if out(i)]
     assert np.mean([by[i].predicted == labels[i][1] for i in held]) > 0.95
+    model = train_toxicity(docs, marks)
+    for i in (*held[:40], 5000, 5001, 5002):
+        assert by[i].score == pytest.approx(brute_toxicity(model, rows[i][1] if i < 900 else rows[i - 4100][1]), abs=1e-12)
     assert by[5000].predicted == by[5001].predicted == 0
     assert {r.score for r in score_toxicity(docs, marks.where("toxic = 0")).collect()} == {0.0}
     assert score_toxicity(docs.limit(0), marks).count() == 0

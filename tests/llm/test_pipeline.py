@@ -14,7 +14,7 @@ import corpus_pipeline
 from fieldloom.llm.language import PAD, WINDOW, train_language_net
 from fieldloom.llm.queries import REGISTRY
 from tests.llm.test_mixing import brute_targets, order
-from tests.llm.test_simhash import brute_fingerprint, brute_roots
+from tests.llm.test_simhash import similar_heads
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -69,12 +69,7 @@ def test_language_stage(stages):
 
 def test_near_duplicate_stage(stages):
     docs = rows(stages[2])
-    prints = {i: brute_fingerprint(r.text, 5) for i, r in docs.items()}
-    roots = brute_roots(sorted(set(prints.values())), 5)
-    want = {}
-    for i in sorted(docs):
-        want.setdefault(roots[prints[i]], i)
-    assert set(rows(stages[3])) == set(want.values())
+    assert set(rows(stages[3])) == similar_heads({i: r.text for i, r in docs.items()})
 
 
 def test_mixing_stage(stages):

@@ -1,11 +1,12 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
-from fieldloom.llm.simhash import components, near_links, simhash_components, simhash_dedup
+from fieldloom.llm.simhash import components, near_links, similarity_dedup, simhash_components, simhash_dedup
 
 
 def brute_fingerprint(text, width=4):
@@ -18,6 +19,27 @@ def brute_fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def similar_heads(texts, width=5, similarity=0.8):
+    """Smallest ids of the components of texts that share so much of their shingle sets, all pairs compared."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.encode().lower().split()
+        sets[i] = {b" ".join(words[j : j + width]) for j in range(max(1, len(words) - width + 1))}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(texts), 2):
+        shared = len(sets[a] & sets[b])
+        if shared >= similarity * (len(sets[a]) + len(sets[b]) - shared):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {find(i) for i in texts}
+
+
 def brute_roots(points, k):
     """Smallest point that each point reaches."""
     root = {p: p for p in points}
@@ -118,3 +140,26 @@ def test_dedup_keeps_one_row_without_ids_and_with_repeated_ids(spark):
     assert kept.columns == df.columns
     got = sorted((r.text[0], r.doc_id or -1) for r in kept.collect())
     assert got == [("a", 1), ("b", -1), ("c", 2), ("d", 2)]
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Copies with 0 to 14% of their words replaced, in groups of two and of hundreds, and unrelated texts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts, ids = {}, iter(range(100000))
+    for size in (2, 3, 5, 40, 300, *[1] * 300):
+        base = [word() for _ in range(rng.randint(80, 300))]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(int(rng.random() * 0.02 * len(copy))):
+                copy[rng.randrange(len(copy))] = word()
+            texts[next(ids)] = " ".join(copy)
+    want = similar_heads(texts)
+    df = spark.createDataFrame([(i, t, "p", 1) for i, t in texts.items()], "doc_id long, text string, point string, n int").repartition(4)
+    kept = similarity_dedup(df)
+    assert kept.columns == df.columns
+    got = {r.doc_id for r in kept.collect()}
+    assert want <= got | want and len(got - want) <= 0.03 * len(texts) and len(want - got) == 0
+    assert similarity_dedup(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(None, "a b c", "p", 1)] * 3 + [(None, None, "p", 1)] * 2 + [(4, "", "p", 1), (5, None, "p", 1)], df.schema)
+    assert sorted(map(str, similarity_dedup(one).select("doc_id", "text").collect())) == sorted(map(str, one.select("doc_id", "text").where("text IS NULL AND doc_id IS NULL").collect() + one.select("doc_id", "text").where("text = 'a b c'").limit(1).collect() + one.select("doc_id", "text").where("doc_id = 4").collect()))
