@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices, small_side, spread_join
+from fieldloom.llm._util import cut_lineage, slices, spread_join
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once.
@@ -147,9 +148,9 @@ def _link_runs(batches: Iterator[pa.RecordBatch], k: int, find) -> Iterator[pa.R
 
 
 def _close_pairs(run: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``k`` bits: all of them if they are few, else for each point its nearest one before it in a random order."""
-    run = run[np.random.default_rng(seed).permutation(len(run))]
-    a, b, dense = [], [], 0
+    """Pairs within ``k`` bits: all of them if they are few, else for each point its nearest one before it in one of four orders."""
+    run = run[np.argsort(run * np.uint64(0x9E3779B97F4A7C15 + 2 * seed), kind="stable")]
+    a, b = [], []
     for start in range(0, len(run), 512):
         far = np.bitwise_count(run[start : start + 512, None] ^ run[None])
         far[np.arange(len(far))[:, None] + start <= np.arange(len(run))] = BITS + 1
@@ -175,7 +176,7 @@ def _pairs(keys: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np
         a.append(points[i])
         b.append(points[i + step])
     for start, size in zip(starts[sizes > _SHORT_PAIRS], sizes[sizes > _SHORT_PAIRS]):
-        x, y = _close_pairs(points[start : start + size], k, int(keys[start]) & 0xFFFFFFFF)
+        x, y = _close_pairs(points[start : start + size], k, int(keys[start]) & 3)
         a.append(x)
         b.append(y)
     return np.concatenate(a), np.concatenate(b)
@@ -280,8 +281,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near-duplicates by similarity: fingerprints with seeds of their own, their segments, and bits by which a pair to check may differ.
-SEEDS, SEGMENTS, MOST_BITS = (42, 43), 4, 14
+#: For near-duplicates by similarity: fingerprints with seeds of their own, their segments, and bits by which a pair to check may differ
+#: in the one where it met, and in all together.
+SEEDS, SEGMENTS, MOST_BITS, MOST_IN_ALL = (42, 43), 4, 14, 28
 
 
 def _shingles(text: Column, width: int) -> Column:
@@ -298,34 +300,51 @@ def _shingles(text: Column, width: int) -> Column:
     return hashes(text)
 
 
+def _candidates(points: DataFrame) -> DataFrame:
+    """Pairs (a, b, bits) of points (point, fp_0, fp_1, ..) that are close in some fingerprint and in all of them together."""
+    found, names = [], [f"fp_{s}" for s in range(len(SEEDS))]
+    for name in names:
+        own = cut_lineage(points.groupBy(F.col(name).alias("fp")).agg(F.collect_list(F.struct("point", *names)).alias("points")))  # few, as the seeds are independent
+        links = near_links(own.select("fp"), MOST_BITS, segments=SEGMENTS).distinct()
+        x = own.select(F.col("fp").alias("a"), F.explode("points").alias("x"))
+        y = own.select(F.col("fp").alias("b"), F.explode("points").alias("y"))
+        found.append(links.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("x", "y"))
+        found.append(own.where(F.size("points") > 1).withColumn("x", F.array_min("points")).select("x", F.explode("points").alias("y")))
+    bits = reduce(Column.__add__, [F.bit_count(F.col("x")[n].bitwiseXOR(F.col("y")[n])) for n in names])
+    pairs = reduce(DataFrame.unionAll, found).select(F.least("x.point", "y.point").alias("a"), F.greatest("x.point", "y.point").alias("b"), bits.alias("bits"))
+    return cut_lineage(pairs.where((F.col("a") != F.col("b")) & (F.col("bits") <= MOST_IN_ALL)).distinct())
+
+
 def _similar_links(points: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between points, of candidates from every seed's fingerprint, that share at least ``similarity`` of their shingles.
+    """Links (a, b) among the candidates that share at least ``similarity`` of their shingles, enough of them for all components.
 
     ``points`` has (point, fp_0, fp_1, ..), a row for all with the same fingerprints; ``texts`` (point, text), of candidates to be met only.
+    Each point's few closest partners are checked first; after that only pairs that these links have not joined yet.
     """
-    found = []
-    for s in range(len(SEEDS)):
-        own = cut_lineage(points.groupBy(f"fp_{s}").agg(F.collect_set("point").alias("points")))  # mostly one, as the seeds are independent
-        links = near_links(own.select(F.col(f"fp_{s}").alias("fp")), MOST_BITS, segments=SEGMENTS).distinct()
-        a = own.select(F.col(f"fp_{s}").alias("a"), F.explode("points").alias("x"))
-        b = own.select(F.col(f"fp_{s}").alias("b"), F.explode("points").alias("y"))
-        found.append(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        several = own.where(F.size("points") > 1).withColumn("a", F.array_min("points"))
-        found.append(several.select("a", F.explode("points").alias("b")))
-    pairs = cut_lineage(reduce(DataFrame.unionAll, found).where("a <> b").distinct())
-    ends = cut_lineage(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "point"))
-    sets = cut_lineage(texts.join(small_side(ends), "point").select("point", _shingles(F.col("text"), width).alias("set")))
+    pairs = _candidates(points)
+    ends = cut_lineage(pairs.select(F.col("a").alias("point")).unionAll(pairs.select("b")).distinct())
+    sets = cut_lineage(texts.join(ends.hint("merge"), "point").select("point", _shingles(F.col("text"), width).alias("set")))
     left, right = sets.select(F.col("point").alias("a"), F.col("set").alias("s")), sets.select(F.col("point").alias("b"), F.col("set").alias("t"))
-    met = spread_join(spread_join(pairs, left, "a", "b"), right, "b", "a")
-    shared = F.size(F.array_intersect("s", "t"))
-    return met.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+    def checked(some: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("s", "t"))
+        met = some.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        return cut_lineage(met.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
+
+    closest = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
+    ranked = cut_lineage(pairs.withColumn("place", closest))
+    near = checked(ranked.where(F.col("place") <= 3))
+    roots = components(near)
+    x, y = roots.select(F.col("id").alias("a"), F.col("root").alias("x")), roots.select(F.col("id").alias("b"), F.col("root").alias("y"))
+    apart = ranked.where(F.col("place") > 3).join(x.hint("merge"), "a", "left").join(y.hint("merge"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    return near.unionAll(checked(apart))
 
 
 def similarity_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each component of near-duplicates, linked by ``similarity`` of their shingle sets; columns as they are.
 
-    Candidates agree but for one bit in one of SEGMENTS segments of one of the fingerprints (SEEDS) and differ there in MOST_BITS bits
-    at most; each is checked on its whole texts. The row kept is the one with the smallest id, null ids last, then by a hash of the
+    Candidates agree but for one bit in one of SEGMENTS segments of one of the fingerprints (SEEDS), differ there in MOST_BITS bits at
+    most, and in MOST_IN_ALL in all; they are checked on their whole texts. The row kept is the one with the smallest id, null ids last, then by a hash of the
     text; rows alike in both are told apart by a stored number. Rows with neither id nor text are taken for copies of nothing and stay.
     """
     doc_id, text = F.col(id_col), F.col(text_col)
@@ -337,7 +356,7 @@ def similarity_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points = cut_lineage(points.withColumn("point", F.col("first.n")))  # named by its first row
     texts = rows.select(F.col("first.n").alias("point"), F.col(f"row.`{text_col}`").alias("text"))
     roots = components(_similar_links(points.select("point", *names), texts, width, similarity)).withColumnRenamed("id", "point")
-    rooted = cut_lineage(points.join(roots, "point", "left"))
+    rooted = cut_lineage(points.join(roots.hint("merge"), "point", "left"))
     kept = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first")).select("first").unionAll(rooted.where("root IS NULL").select("first"))
     found = rows.select("row", "void", "first.n").join(kept.select(F.col("first.n").alias("kept")), F.col("n") == F.col("kept"), "left")
     return found.where(F.col("void") | F.col("kept").isNotNull()).select("row.*")
