@@ -179,9 +179,11 @@ def _predict(scorer: _Scorer, texts: list[str | None]) -> tuple[list[str], list[
     return np.where(found, np.array(scorer.net.classes, object)[best], UNDETERMINED).tolist(), np.where(found, p.max(axis=1), 0.0).tolist()
 
 
-def bounded_sample(rows: DataFrame, sizes: DataFrame) -> list:
+def bounded_sample(rows: DataFrame, sizes: DataFrame, window: Column | None = None) -> list:
     """Rows (label, id, text-like columns) of each label, at most its ``size`` in ``sizes`` (label, n, size), by hashes of id and content.
 
+    They come as (label, window), where ``window`` is worked out for chosen rows only.
+
     A hash threshold set by the label's count ``n`` passes about twice as many; of these the first by hash are taken, so the number
     is bounded whatever repeats. Few labels are expected; see ``CLASSES``.
     """
@@ -189,7 +191,7 @@ def bounded_sample(rows: DataFrame, sizes: DataFrame) -> list:
     hashed = rows.join(F.broadcast(sizes), "label").withColumn("at", F.xxhash64(F.lit("sample"), *others))  # one row a label
     passed = hashed.where(F.pmod("at", F.lit(1_000_000)) < (2e6 * F.col("size") / F.col("n")).cast("long") + 1)
     order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("order"), "at"), *others))
-    return passed.withColumn("order", order).where(F.col("order") <= F.col("size")).orderBy("label", "order").select("label", "window").collect()
+    return passed.withColumn("order", order).where(F.col("order") <= F.col("size")).orderBy("label", "order").select("label", F.col("window") if window is None else window.alias("window")).collect()
 
 
 def labelled_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, chars: int = WINDOW) -> list[tuple[str, str]]:

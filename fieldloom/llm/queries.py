@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.bpe import bpe_decode, bpe_encode
 from fieldloom.llm.chat import rotate_perspectives
+from fieldloom.llm.importance import importance_ranks
 from fieldloom.llm.language import identify_languages
 from fieldloom.llm.mixing import mix_plan
 from fieldloom.llm.neighbours import nearest_neighbours
+from fieldloom.llm.passages import score_quality
 from fieldloom.llm.quality import quality_verdicts
+from fieldloom.llm.repair import damaged, repair_reports
 from fieldloom.llm.simhash import simhash_components
 from fieldloom.llm.token_counts import count_tokens
 from fieldloom.llm.toxicity import score_toxicity
@@ -260,3 +263,108 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest other vectors of every vector whose id is divisible by 20."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def _crc32_sql(strings: str) -> str:
+    """CTEs that end in ``crc(s, crc)``: the CRC-32 of every ``s`` of the CTE ``strings``.
+
+    A checksum is the exclusive or of what each byte leaves after the zero bytes behind it, and of what the initial value leaves.
+    """
+    return f"""
+bits(b, v, n) AS (
+  SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM bits WHERE n < 8),
+steps AS (SELECT b, v FROM bits WHERE n = 8),
+hexed AS (SELECT s, hex(encode(s)) AS h, length(hex(encode(s))) // 2 AS n FROM (SELECT DISTINCT s FROM {strings})),
+longest AS (SELECT max(n) AS n FROM hexed),
+left_by(hh, v, k) AS (
+  SELECT printf('%02X', b), v, 0 FROM steps
+  UNION ALL SELECT hh, xor(steps.v, left_by.v >> 8), k + 1 FROM left_by JOIN steps ON b = left_by.v & 255 WHERE k < (SELECT n FROM longest)),
+start(v, k) AS (
+  SELECT 4294967295::BIGINT, 0
+  UNION ALL SELECT xor(steps.v, start.v >> 8), k + 1 FROM start JOIN steps ON b = start.v & 255 WHERE k < (SELECT n FROM longest)),
+bytes AS (SELECT s, substr(h, 2 * i + 1, 2) AS hh, n - 1 - i AS k FROM (SELECT *, unnest(range(n)) AS i FROM hexed)),
+summed AS (SELECT s, bit_xor(v) AS v FROM bytes JOIN left_by USING (hh, k) GROUP BY s),
+crc AS (SELECT s, xor(xor(coalesce(summed.v, 0), start.v), 4294967295) AS crc FROM hexed JOIN start ON k = n LEFT JOIN summed USING (s))"""
+
+
+_OP11_SQL = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, true AS own, row_number() OVER () AS row, text FROM documents UNION ALL SELECT NULL, false, -row_number() OVER (), text FROM benchmark),
+worded AS (
+  SELECT doc_id, own, row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT own, row, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT own, row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS sizes(n))),
+{_crc32_sql("runs")},
+features AS (SELECT own, row, crc % 10000 AS bucket FROM runs JOIN crc USING (s)),
+shares AS (
+  SELECT range AS bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t, (SELECT count(*) FROM features WHERE own)::DOUBLE AS s_all, (SELECT count(*) FROM features WHERE NOT own)::DOUBLE AS t_all
+  FROM range(10000) LEFT JOIN (SELECT bucket AS range, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM features GROUP BY bucket) USING (range)),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM shares),
+weights AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE own GROUP BY row),
+scored AS (
+  SELECT doc_id, row, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (row) WHERE own),
+placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, row) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, place AS rank FROM scored LEFT JOIN (SELECT row, place FROM placed WHERE place <= 5 * n // 100) USING (row)
+"""
+
+
+@REGISTRY.query("op11_importance", _OP11_SQL)
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of one in twenty towards the benchmark's distribution."""
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+@REGISTRY.query("op12_passage_quality")
+def op12_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
+
+
+_OP13_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+{_crc32_sql("given")},
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT given.*, crc % 20 AS how FROM given JOIN crc USING (s)), (VALUES (1), (2)) AS copies(copy) WHERE how <> 0 AND (copy = 1 OR how = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini FROM hurt),
+rows AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault, ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM numbered),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM rows GROUP BY conv_id),
+moves(state, x, after, role) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+inserted(state, k, after, said) AS (
+  VALUES (0, 0, 0, ''), (1, 0, 1, ''), (2, 0, 2, ''), (3, 0, 3, ''), (0, 1, 2, chr(10) || 'user:'), (1, 1, 2, chr(10) || 'user:'), (2, 1, 3, chr(10) || 'assistant:'), (3, 1, 2, chr(10) || 'user:'),
+  (0, 2, 3, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 2, 3, chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 2, chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 2, 3, chr(10) || 'user:' || chr(10) || 'assistant:')),
+edits(state, x, edit, price, after, role) AS (
+  SELECT state, NULL::VARCHAR, 'D', 4, state, NULL::VARCHAR FROM (VALUES (0), (1), (2), (3)) AS s(state)
+  UNION ALL SELECT state, x, 'K', 0, after, NULL::VARCHAR FROM moves UNION ALL SELECT state, '', 'K', 0, state, NULL::VARCHAR FROM (VALUES (0), (1), (2), (3)) AS s(state)
+  UNION ALL SELECT state, NULL::VARCHAR, 'R', 3, after, role FROM moves WHERE x <> 's'),
+heads AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0, 'audit': '', 'said': ''}} AS best FROM (SELECT DISTINCT conv_id FROM given)
+  UNION ALL
+  SELECT h.conv_id, r.i, e.after,
+         min({{'cost': (h.best).cost + 3 * k + price + CASE WHEN fault = 3 AND edit <> 'D' THEN 3 ELSE 0 END, 'audit': (h.best).audit || repeat('I', k) || edit,
+               'said': (h.best).said || ins.said || CASE WHEN edit = 'D' THEN '' ELSE chr(10) || coalesce(e.role, r.role) || ':' || r.text END}})
+  FROM heads h JOIN rows r ON r.conv_id IS NOT DISTINCT FROM h.conv_id AND r.i = h.i + 1 JOIN inserted ins ON ins.state = h.state
+  JOIN edits e ON e.state = ins.after AND (e.x IS NULL OR e.x = r.ini) AND (edit = 'D' OR fault NOT IN (1, 2))
+  GROUP BY h.conv_id, r.i, e.after),
+ends_ AS (
+  SELECT h.conv_id, min({{'cost': (h.best).cost + 3 * k, 'audit': (h.best).audit || repeat('I', k), 'said': (h.best).said || ins.said}}) AS best
+  FROM heads h LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM h.conv_id JOIN inserted ins ON ins.state = h.state WHERE h.i = coalesce(c.n, 0) AND ins.after IN (0, 3) GROUP BY h.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, (best).cost::BIGINT AS cost, (best).audit AS audit, sha256(substr((best).said, 2)) AS repaired_sha256
+FROM ends_ e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@REGISTRY.query("op13_repair", _OP13_SQL)
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair_reports(damaged(table(spark, sf_dir, "conversations")), F.col("present"))
