@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm._util import cut_lineage, slices
-from fieldloom.llm.language import bounded_sample, held_out
+from fieldloom.llm.language import held_out
 
 #: Words of a passage.
 PASSAGE = 50
@@ -140,23 +141,30 @@ class PassageModel:
 def train_passage_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> PassageModel | float:
     """A model from labelled rows outside the held-out fold; where they lack a class, the smoothed share of label 1 among them.
 
-    At most ``sample`` rows of each class with words, chosen by hashes, and ``BAG`` passages of each: a bounded sample. Labels other than 0 and 1 are
-    none; of contradicting labels of one id the lower one counts.
+    At most ``sample`` ids of each class, chosen by their hashes, one text with words of each, and ``BAG`` passages of it: a bounded sample.
+    Labels other than 0 and 1 are none; of contradicting labels of one id the lower one counts. Only ids and labels are shuffled to choose.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).join(known, "id")
-    sizes = cut_lineage(rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("size", F.lit(sample)))
-    total = {r.label: r.n for r in sizes.collect()}  # two rows at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    there = cut_lineage(texts.select("id").distinct().join(known, "id"))
+    total = {r.label: r.n for r in there.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
     if len(total) < 2:
         return (total.get(1, 0) + 1) / (sum(total.values()) + 2)
+    at = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000))
+    # A threshold passes about twice as many as are wanted; of these the first by hash are taken.
+    passed = there.where(at < F.when(F.col("label") == 1, F.lit(int(2e6 * sample / total[1]) + 1)).otherwise(F.lit(int(2e6 * sample / total[0]) + 1)))
+    order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("order"), "id"), "id"))
+    chosen = F.broadcast(passed.withColumn("order", order).where(F.col("order") <= sample))  # 2 * sample rows at most
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    rows = texts.join(chosen, "id").groupBy("label", "order").agg(first).select("label", "order", F.col("first.text").alias("text"))
 
     @F.arrow_udf("binary")
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in slices(batches):
             yield pa.array([passages(t, BAG).tobytes() for t in batch.to_pylist()], pa.binary())
 
-    found = bounded_sample(rows, sizes, measured(F.col("text")))
+    found = rows.select("label", "order", measured(F.col("text")).alias("window")).orderBy("label", "order").collect()
     bags = [np.frombuffer(r.window, np.float32).reshape(-1, WIDTH).astype(float) for r in found]
     y = np.array([r.label for r in found])
     share = np.array([total[0], total[1]]) / sum(total.values())

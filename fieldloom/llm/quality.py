@@ -5,9 +5,9 @@ summed up in a quantile sketch with bins of bounded relative width, as in DDSket
 its leading ``BITS`` binary digits. Bins add up, so sketches of parts merge exactly, in any order and number; a quantile's rank is exact, and
 its value is too low by less than one part in ``2 ** (BITS - 1)``. A sketch has at most ``64 * 2 ** (BITS - 1)`` bins, and no value is clipped.
 
-Fences come from quantiles of these sketches. A source's sketch is merged with its language's, scaled down to ``PRIOR`` documents, and a
-language's with the one of everything: groups with few documents lean on their parent, without a switch. As a group full of junk
-would lift its own fences, a fence lies at most ``REACH`` times as far from the parent's median as the parent's own fence does.
+Fences come from quantiles of these sketches, for everything, each language, and each source in a language. A group's own fence and its
+parent's are averaged, by its documents and ``PRIOR``: groups with few documents lean on their parent, without a switch. As a group full of
+junk would lift its own fences, a fence lies at most ``REACH`` times as far from the parent's median as the parent's own fence does.
 """
 
 from __future__ import annotations
@@ -54,10 +54,8 @@ METRICS = (
 )
 #: Binary digits of a value that its bin keeps.
 BITS = 8
-#: Documents that a parent's sketch counts for in its children's.
-PRIOR = 100
-#: What a document counts in a merged sketch, so that the parent's share comes in whole numbers.
-_UNIT = 1000
+#: Documents that a parent's fence counts for in its children's.
+PRIOR = 50
 #: How many times as far as the parent's own fence a fence may lie from the parent's median.
 REACH = 1.5
 #: Lines and words that every text is taken to have besides its own, without repeats, so that one repeat in few is not much.
@@ -141,45 +139,39 @@ def merged(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
-def _with_prior(own: DataFrame, by: tuple[str, ...], parent: DataFrame | None, on: tuple[str, ...]) -> DataFrame:
-    """Sketches of the groups of ``own``, in units, each merged with that of its parent, scaled down to ``PRIOR`` documents."""
-    scaled = own.withColumn("n", F.col("n") * _UNIT)
-    if parent is None:
-        return scaled
-    share = F.expr(f"n * {PRIOR * _UNIT} div sum(n) OVER (PARTITION BY {', '.join((*on, 'metric'))})")
-    prior = parent.select(*on, "metric", "bin", share.alias("n")).where("n > 0")
-    groups = own.select(*by, "metric").distinct()
-    added = groups.join(prior, [*on, "metric"]).select(*by, "metric", "bin", "n")  # as many rows as groups and bins
-    return merged(scaled.unionByName(added), by)
+def _quantiles(own: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
+    """(g_lang, g_source, and for each metric a struct of n, median and own fence) for each source, each language (g_source null) and everything."""
+    levels = [[], ["g_lang"], ["g_lang", "g_source"]]
+    sets = [[F.col(c) for c in ("metric", "bin", *by)] for by in levels]
+    every = own.groupingSets(sets, "metric", "bin", "g_lang", "g_source").agg(F.sum("n").alias("n"))
+    group = W.partitionBy("g_lang", "g_source", "metric")  # as many rows as a sketch has bins
+    ranked = every.withColumn("upto", F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bin")))
+    found = ranked.groupBy("g_lang", "g_source", "metric").agg(F.max("total").alias("n"), at(50).alias("median"), *[at(p).alias(f"q{p}") for p in sorted({m.percent for m in metrics})])
+    columns = []
+    for m in metrics:
+        far = F.greatest(m.sign * (F.col(f"q{m.percent}") - F.col("median")), F.lit(m.least))
+        fence = F.struct("n", "median", (F.col("median") + m.sign * m.stretch * far).cast("double").alias("fence"))
+        columns.append(F.max(F.when(F.col("metric") == m.value, fence)).alias(m.name))
+    return found.groupBy("g_lang", "g_source").agg(*columns)
 
 
 def fences(own: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
     """(g_lang, g_source, one fence per metric) for each group of the sketches (g_lang, g_source, metric, bin, n)."""
-    levels = [(), ("g_lang",), ("g_lang", "g_source")]
-    parent = limits = None
-    for depth, by in enumerate(levels):
-        on = levels[max(0, depth - 1)]
-        parent = cut_lineage(_with_prior(own if by == levels[-1] else merged(own, by), by, parent, on))
-        group = W.partitionBy(*by, "metric")
-        ranked = parent.withColumn("upto", F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
-        at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bin")))
-        found = ranked.groupBy(*by, "metric").agg(at(50).alias("median"), *[at(p).alias(f"q{p}") for p in sorted({m.percent for m in metrics})])
-        columns = []
+    found = cut_lineage(_quantiles(own, metrics))
+    above = found.where("g_lang IS NULL").drop("g_lang", "g_source")
+    for own_keys, on in ((F.col("g_lang").isNotNull() & F.col("g_source").isNull(), []), (F.col("g_source").isNotNull(), ["g_lang"])):
+        up = above.select(*on, *[F.col(m.name).alias(f"{m.name}_above") for m in metrics])
+        found_here = found.where(own_keys)
+        joined = found_here.join(small_side(cut_lineage(up)), on) if on else found_here.join(F.broadcast(up), F.lit(True))  # one row for everything
         for m in metrics:
-            far = F.greatest(m.sign * (F.col(f"q{m.percent}") - F.col("median")), F.lit(m.least))
-            fence = F.struct(F.col("median").alias("median"), (F.col("median") + m.sign * m.stretch * far).cast("double").alias("fence"))
-            columns.append(F.max(F.when(F.col("metric") == m.value, fence)).alias(m.name))
-        found = found.groupBy(*by).agg(*columns)
-        if depth:
-            above = limits.select(*on, *[F.col(m.name).alias(f"{m.name}_above") for m in metrics])
-            found = found.join(F.broadcast(above), list(on)) if on else found.join(F.broadcast(above), F.lit(True))  # one row, then one a language
-            for m in metrics:
-                x, up = F.col(m.name), F.col(f"{m.name}_above")
-                bound = up["median"] + REACH * (up["fence"] - up["median"])
-                fence = F.least(x["fence"], bound) if m.sign > 0 else F.greatest(x["fence"], bound)
-                found = found.withColumn(m.name, F.struct(x["median"].alias("median"), fence.alias("fence")))
-        limits = cut_lineage(found.select(*by, *[m.name for m in metrics]))
-    return limits.select("g_lang", "g_source", *[F.col(m.name)["fence"].alias(m.name) for m in metrics])
+            x, parent = F.col(m.name), F.col(f"{m.name}_above")
+            fence = (x["n"] * x["fence"] + PRIOR * parent["fence"]) / (x["n"] + PRIOR)
+            bound = parent["median"] + REACH * (parent["fence"] - parent["median"])
+            fence = F.least(fence, bound) if m.sign > 0 else F.greatest(fence, bound)
+            joined = joined.withColumn(m.name, F.struct(x["n"].alias("n"), x["median"].alias("median"), fence.alias("fence")))
+        above = joined.select("g_lang", *(["g_source"] if on else []), *[m.name for m in metrics])
+    return cut_lineage(above.select("g_lang", "g_source", *[F.col(m.name)["fence"].alias(m.name) for m in metrics]))
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, **carried: Column) -> DataFrame:

@@ -205,28 +205,21 @@ long AS (
   UNPIVOT (SELECT g_lang, g_source, symbols, dup_lines, repeats, chars FROM metrics WHERE NOT base_failed)
   ON symbols, dup_lines, repeats, chars INTO NAME metric VALUE v),
 s2 AS (SELECT g_lang, g_source, metric, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS bin, count(*) AS n FROM long GROUP BY ALL),
-p0 AS (SELECT metric, bin, 1000 * sum(n)::BIGINT AS n FROM s2 GROUP BY ALL),
-p1 AS (
-  SELECT g_lang, metric, bin, sum(n)::BIGINT AS n FROM (
-    SELECT g_lang, metric, bin, 1000 * sum(n)::BIGINT AS n FROM s2 GROUP BY ALL
-    UNION ALL SELECT g_lang, metric, bin, n * 100000 // t FROM (SELECT *, (sum(n) OVER (PARTITION BY metric))::BIGINT AS t FROM p0) JOIN (SELECT DISTINCT g_lang, metric FROM s2) USING (metric)) GROUP BY ALL),
-p2 AS (
-  SELECT g_lang, g_source, metric, bin, sum(n)::BIGINT AS n FROM (
-    SELECT g_lang, g_source, metric, bin, 1000 * n AS n FROM s2
-    UNION ALL SELECT g_lang, g_source, metric, bin, n * 100000 // t FROM (SELECT *, (sum(n) OVER (PARTITION BY g_lang, metric))::BIGINT AS t FROM p1) JOIN (SELECT DISTINCT g_lang, g_source, metric FROM s2) USING (g_lang, metric)) GROUP BY ALL),
 every AS (
-  SELECT 0 AS lvl, '' AS g_lang, '' AS g_source, metric, bin, n FROM p0 UNION ALL SELECT 1, g_lang, '', metric, bin, n FROM p1 UNION ALL SELECT 2, g_lang, g_source, metric, bin, n FROM p2),
+  SELECT 0 AS lvl, '' AS g_lang, '' AS g_source, metric, bin, sum(n)::BIGINT AS n FROM s2 GROUP BY ALL
+  UNION ALL SELECT 1, g_lang, '', metric, bin, sum(n)::BIGINT FROM s2 GROUP BY ALL
+  UNION ALL SELECT 2, g_lang, g_source, metric, bin, n FROM s2),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY lvl, g_lang, g_source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lvl, g_lang, g_source, metric) AS total FROM every WHERE n > 0),
+  SELECT *, sum(n) OVER (PARTITION BY lvl, g_lang, g_source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lvl, g_lang, g_source, metric) AS total FROM every),
 q AS (
-  SELECT lvl, g_lang, g_source, metric, min(bin) FILTER (100 * upto >= 50 * total) AS mid, min(bin) FILTER (100 * upto >= 5 * total) AS q5,
+  SELECT lvl, g_lang, g_source, metric, max(total)::BIGINT AS n, min(bin) FILTER (100 * upto >= 50 * total) AS mid, min(bin) FILTER (100 * upto >= 5 * total) AS q5,
          min(bin) FILTER (100 * upto >= 90 * total) AS q90, min(bin) FILTER (100 * upto >= 99 * total) AS q99 FROM ranked GROUP BY ALL),
 f AS (
-  SELECT lvl, g_lang, g_source, metric AS name, mid, mid + 3 * greatest(CASE metric WHEN 'symbols' THEN q90 ELSE q99 END - mid, CASE metric WHEN 'symbols' THEN 30 ELSE 40 END)::DOUBLE AS top FROM q WHERE metric <> 'chars'
-  UNION ALL SELECT lvl, g_lang, g_source, 'chars', mid, mid + 5 * greatest(q90 - mid, 4)::DOUBLE FROM q WHERE metric = 'chars'
-  UNION ALL SELECT lvl, g_lang, g_source, 'short', -mid, -mid + 5 * greatest(mid - q5, 3)::DOUBLE FROM q WHERE metric = 'chars'),
-f1 AS (SELECT f.g_lang, f.name, f.mid, least(f.top, u.mid + 1.5::DOUBLE * (u.top - u.mid)) AS top FROM f JOIN f u ON u.lvl = 0 AND u.name = f.name WHERE f.lvl = 1),
-f2 AS (SELECT f.g_lang, f.g_source, f.name, least(f.top, u.mid + 1.5::DOUBLE * (u.top - u.mid)) AS top FROM f JOIN f1 u ON u.g_lang = f.g_lang AND u.name = f.name WHERE f.lvl = 2),
+  SELECT lvl, g_lang, g_source, metric AS name, n, mid, mid + 3 * greatest(CASE metric WHEN 'symbols' THEN q90 ELSE q99 END - mid, CASE metric WHEN 'symbols' THEN 30 ELSE 40 END)::DOUBLE AS top FROM q WHERE metric <> 'chars'
+  UNION ALL SELECT lvl, g_lang, g_source, 'chars', n, mid, mid + 5 * greatest(q90 - mid, 4)::DOUBLE FROM q WHERE metric = 'chars'
+  UNION ALL SELECT lvl, g_lang, g_source, 'short', n, -mid, -mid + 5 * greatest(mid - q5, 3)::DOUBLE FROM q WHERE metric = 'chars'),
+f1 AS (SELECT f.g_lang, f.name, f.mid, least((f.n * f.top + 50 * u.top) / (f.n + 50), u.mid + 1.5::DOUBLE * (u.top - u.mid)) AS top FROM f JOIN f u ON u.lvl = 0 AND u.name = f.name WHERE f.lvl = 1),
+f2 AS (SELECT f.g_lang, f.g_source, f.name, least((f.n * f.top + 50 * u.top) / (f.n + 50), u.mid + 1.5::DOUBLE * (u.top - u.mid)) AS top FROM f JOIN f1 u ON u.g_lang = f.g_lang AND u.name = f.name WHERE f.lvl = 2),
 fences AS (
   SELECT g_lang, g_source, max(top) FILTER (name = 'symbols') AS s, max(top) FILTER (name = 'dup_lines') AS d, max(top) FILTER (name = 'repeats') AS r,
          max(top) FILTER (name = 'chars') AS ch, -max(top) FILTER (name = 'short') AS cl FROM f2 GROUP BY ALL),

@@ -98,3 +98,14 @@ def test_filter_judges_each_row_by_itself(spark):
     kept = quality_filter(df)
     assert kept.columns == df.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, df.where("text <> 'too short'").collect()))
+
+
+def test_fences_adapt_at_every_size(spark):
+    """What is usual in a forum is rejected in prose of 100, 400 or 2,000 documents; a source of few documents leans on its language."""
+    lines = lambda i, n, again: "\n".join([plain(f"{i}l{k}", 8) for k in range(n - again)] + [plain(f"{i}l0", 8)] * again)
+    for size in (5, 100, 400, 2000):
+        rows = [(i, lines(i, 30, 0), "en", "prose") for i in range(size)] + [(10_000 + i, lines(i, 30, i % 9), "en", "forum") for i in range(400)]
+        rows += [(5000, lines("a", 40, 15), "en", "prose"), (5001, lines("b", 40, 10), "en", "forum")]
+        got = {r.doc_id: r.kept for r in quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got[5001] and all(got[i] for i in range(size)) and all(got[10_000 + i] for i in range(400))
+        assert got[5000] == (size == 5), size
