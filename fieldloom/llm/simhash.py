@@ -19,18 +19,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices, spread_join
+from fieldloom.llm._util import cut_lineage, slices, small_side, spread_join
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once.
 BLOCK = 4096
 #: Keys with up to so many fingerprints are compared by shifted vectors, many keys at once.
 _SHORT = 6
-#: The same where each close pair counts.
-_SHORT_PAIRS = 12
 #: Hot keys up to which their table is broadcast; beyond, it is joined by a shuffle.
 _BROADCAST_KEYS = 100_000
 
@@ -55,8 +52,8 @@ def _fingerprint(shingles: list[bytes], seed: int) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
-def simhash(text: Column, width: int = 4, seeds: tuple[int, ...] = (42,)) -> Column:
-    """64-bit fingerprints, signed longs, one for each seed in a struct (fp_0, fp_1, ..), of a whole text's ``width``-word shingles, repeats included.
+def simhash(text: Column, width: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> Column:
+    """64-bit fingerprints, signed longs, one for each seed in a struct (fp_0, fp_1, ..), of a whole text's ``width``-word shingles, repeats included or each once.
 
     Letters A-Z are lower-cased; words are runs of characters other than the six ASCII white-space characters. A shorter text
     has its whole word sequence as its only shingle; null and wordless texts have fingerprint 0.
@@ -67,7 +64,8 @@ def simhash(text: Column, width: int = 4, seeds: tuple[int, ...] = (42,)) -> Col
     @F.arrow_udf(", ".join(f"{name} long" for name in names))
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in slices(batches):
-            found = [[_fingerprint(shingles, seed) for seed in seeds] for shingles in (_shingled(t, width) for t in batch.to_pylist())]
+            all_shingles = (_shingled(t, width) for t in batch.to_pylist())
+            found = [[_fingerprint(shingles, seed) for seed in seeds] for shingles in (list(set(x)) if distinct else x for x in all_shingles)]
             yield pa.StructArray.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in range(len(seeds))], names)
 
     return fingerprints(text)
@@ -147,51 +145,14 @@ def _link_runs(batches: Iterator[pa.RecordBatch], k: int, find) -> Iterator[pa.R
         yield from links(held)
 
 
-def _close_pairs(run: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``k`` bits: all of them if they are few, else for each point its nearest one before it in one of four orders."""
-    run = run[np.argsort(run * np.uint64(0x9E3779B97F4A7C15 + 2 * seed), kind="stable")]
-    a, b = [], []
-    for start in range(0, len(run), 512):
-        far = np.bitwise_count(run[start : start + 512, None] ^ run[None])
-        far[np.arange(len(far))[:, None] + start <= np.arange(len(run))] = BITS + 1
-        i, j = np.nonzero(far <= k)
-        if len(i) > 4 * len(far):
-            j = far.argmin(axis=1)
-            i = np.flatnonzero(far[np.arange(len(far)), j] <= k)
-            j = j[i]
-        a.append(run[start + i])
-        b.append(run[j])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _pairs(keys: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Close pairs under each key. Both arrays are sorted by key."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    short = np.repeat((sizes > 1) & (sizes <= _SHORT_PAIRS), sizes)
-    for step in range(1, _SHORT_PAIRS):
-        i = np.flatnonzero(short[:-step] & (keys[step:] == keys[:-step]))
-        i = i[np.bitwise_count(points[i] ^ points[i + step]) <= k]
-        a.append(points[i])
-        b.append(points[i + step])
-    for start, size in zip(starts[sizes > _SHORT_PAIRS], sizes[sizes > _SHORT_PAIRS]):
-        x, y = _close_pairs(points[start : start + size], k, int(keys[start]) & 3)
-        a.append(x)
-        b.append(y)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def near_links(points: DataFrame, k: int = 4, block: int = BLOCK, segments: int | None = None) -> DataFrame:
+def near_links(points: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within ``k`` bits.
 
-    With a number of ``segments``, too few for ``k``, the links are close pairs that agree but for one bit in a segment: not all within
-    ``k`` bits, and between points that are close themselves, for a check of each.
     ``points`` has one column ``fp`` of distinct longs, written to shared storage beforehand, as it is read three times.
     """
     if not 0 <= k < 2 * BITS // 3:
         raise ValueError("k must lie between 0 and 41 bits")
-    fp, parts = F.col("fp"), _segments(k if segments is None else 2 * segments - 1)
+    fp, parts = F.col("fp"), _segments(k)
     keys = F.explode(F.array(*[x for s, (shift, width) in enumerate(parts) for x in _keys_of(_value(fp, shift, width), s, width)]))
     variants = points.select(keys.alias("key"), "fp")
 
@@ -220,7 +181,7 @@ def near_links(points: DataFrame, k: int = 4, block: int = BLOCK, segments: int
     )
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "block").sortWithinPartitions("block", "fp")
-    return sorted_.mapInArrow(partial(_link_runs, k=k, find=_forest if segments is None else _pairs), "a long, b long")
+    return sorted_.mapInArrow(partial(_link_runs, k=k, find=_forest), "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -281,9 +242,145 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near-duplicates by similarity: fingerprints with seeds of their own, their segments, and bits by which a pair to check may differ
-#: in the one where it met, and in all together.
-SEEDS, SEGMENTS, MOST_BITS, MOST_IN_ALL = (42, 43), 4, 14, 28
+#: For near-duplicates by similarity: the share of pairs just at the wanted similarity that are to meet under some key, how many standard
+#: deviations more bits such a pair may differ in, and texts of a group that a task compares with each other.
+RECALL, SPREAD, TILE = 0.99, 3.2, 256
+
+
+def _bit_difference(similarity: float) -> float:
+    """The chance that a fingerprint bit differs between equally long texts that share this part of all their shingles."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _plan(points: int, similarity: float, block: int = BLOCK) -> tuple[int, int, int]:
+    """(segments of a fingerprint, fingerprints, bits by which a pair may differ in all) for so many points.
+
+    Segments are the shortest under which a key's unrelated points stay few; fingerprints as many as ``RECALL`` takes.
+    """
+    p = _bit_difference(similarity)
+    segments = next((n for n in range(5, 2, -1) if points >> (BITS // n - 1) <= block // 4), 2)
+    width = BITS // segments
+    meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    prints = next(n for n in range(1, 65) if 1 - (1 - meets) ** (segments * n) >= RECALL)
+    bits = BITS * prints
+    return segments, prints, int(np.ceil(bits * p + SPREAD * np.sqrt(bits * p * (1 - p))))
+
+
+def _far(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Bits by which points differ over all their fingerprints."""
+    return reduce(np.add, [np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b)])
+
+
+def _tree(prints: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what pairs within ``most`` bits connect, over the closest ones: a minimum spanning forest by Prim's method.
+
+    The way between two points in it leads over no larger difference than their own, so it does not pass by unrelated points.
+    """
+    n = len(prints[0])
+    left = np.ones(n, bool)
+    best, origin, a, b = np.full(n, most + 1, np.int16), np.zeros(n, np.int64), [], []
+    for _ in range(n):
+        at = int(np.where(left, best, 32767).argmin())
+        if best[at] <= most:
+            a.append(origin[at])
+            b.append(at)
+        left[at] = False
+        far = _far([x[at] for x in prints], prints)
+        closer = left & (far < best)
+        best[closer], origin[closer] = far[closer], at
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _close(keys: np.ndarray, prints: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that connect, under each key, what pairs within ``most`` bits connect. Rows are sorted by key."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    short = np.repeat((sizes > 1) & (sizes <= _SHORT), sizes)
+    for step in range(1, _SHORT):
+        i = np.flatnonzero(short[:-step] & (keys[step:] == keys[:-step]))
+        i = i[_far([x[i] for x in prints], [x[i + step] for x in prints]) <= most]
+        a.append(i)
+        b.append(i + step)
+    for start, size in zip(starts[sizes > _SHORT].tolist(), sizes[sizes > _SHORT].tolist()):
+        run = [x[start : start + size] for x in prints]
+        near = np.zeros(size, bool)
+        for at in range(0, size, 256):
+            block = _far([x[at : at + 256, None] for x in run], [x[None] for x in run]) <= most
+            block[np.arange(len(block)), at + np.arange(len(block))] = False
+            near[at : at + 256] = block.any(axis=1)
+        some = np.flatnonzero(near)
+        if len(some):
+            x, y = _tree([r[some] for r in run], most)
+            a.append(start + some[x])
+            b.append(start + some[y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _close_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows (block, point, fp_0, ..) sorted by block; a run of equal blocks may span batches."""
+    held: list[list[np.ndarray]] = []
+
+    def links(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, points, *prints = (np.concatenate(x) for x in zip(*parts))
+        if len(keys) > 1:
+            a, b = _close(keys, [x.view(np.uint64) for x in prints], most)
+            yield pa.RecordBatch.from_arrays([pa.array(points[x]) for x in (a, b)], ["a", "b"])
+
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last or (held and held[-1][0][-1] != rows[0][-1]):
+            yield from links([*held, [x[:last] for x in rows]])
+            held = []
+        held.append([x[last:] for x in rows])
+    if held:
+        yield from links(held)
+
+
+def close_links(points: DataFrame, segments: int, most: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect points which agree but for one bit in a segment of a fingerprint and differ in ``most`` bits at most in all.
+
+    ``points`` has distinct longs ``point`` and fingerprints fp_0, fp_1, .., stored, as it is read three times. Keys are those of
+    ``near_links``, for each fingerprint; so are hot keys dealt into pairs of blocks.
+    """
+    prints = [c for c in points.columns if c.startswith("fp_")]
+    cuts = [i * BITS // segments for i in range(segments + 1)]
+    parts = [(p, s, cuts[s], cuts[s + 1] - cuts[s]) for p in range(len(prints)) for s in range(segments)]
+    values = F.explode(F.array(*[_value(F.col(prints[p]), shift, width) + F.lit((p * segments + s) << 40) for p, s, shift, width in parts]))
+    # A key's rows come from two values of its segment; see near_links.
+    many = cut_lineage(points.select(values.alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > block // 2))
+    low, hot = F.col("value").bitwiseAND(F.lit((1 << 40) - 1)), None
+    for place, (*_, width) in enumerate(parts):
+        own = many.where(F.shiftright("value", 40) == place).select(F.explode(F.array(*_keys_of(low, place, width))).alias("key"), "n")
+        hot = own if hot is None else hot.unionAll(own)
+    some = not many.isEmpty()
+    names = ["key", "point", *prints]
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every point under the keys of its segments' one-wildcard variants."""
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                found = {n: batch.column(n).to_numpy().view(np.uint64) for n in names[1:]}
+                for place, (p, _, shift, width) in enumerate(parts):
+                    value = (found[prints[p]] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                    for i in range(width):
+                        keys = (value & np.uint64(~(1 << i) & ((1 << 40) - 1))) + np.uint64((place * 64 + i) << 40)
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, *found.values())], names)
+
+    keyed = points.select(*names[1:]).mapInArrow(variants, ", ".join(f"{n} long" for n in names))
+    if some:
+        hot = cut_lineage(hot.groupBy("key").agg((F.floor((F.sum("n") + F.lit(block // 2)) / F.lit(block // 2)) + 1).cast("int").alias("parts")))
+        own, other = F.expr("pmod(xxhash64(point), parts)"), F.col("other").cast("long")
+        pairs = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = keyed.join(small_side(hot), "key", "left").withColumn("other", pairs)
+        dealt = dealt.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(own, other), F.greatest(own, other))))
+        keyed = dealt.select(*names)
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_close_runs, most=most), "a long, b long")
 
 
 def _shingles(text: Column, width: int) -> Column:
@@ -300,63 +397,99 @@ def _shingles(text: Column, width: int) -> Column:
     return hashes(text)
 
 
-def _candidates(points: DataFrame) -> DataFrame:
-    """Pairs (a, b, bits) of points (point, fp_0, fp_1, ..) that are close in some fingerprint and in all of them together."""
-    found, names = [], [f"fp_{s}" for s in range(len(SEEDS))]
-    for name in names:
-        own = cut_lineage(points.groupBy(F.col(name).alias("fp")).agg(F.collect_list(F.struct("point", *names)).alias("points")))  # few, as the seeds are independent
-        links = near_links(own.select("fp"), MOST_BITS, segments=SEGMENTS).distinct()
-        x = own.select(F.col("fp").alias("a"), F.explode("points").alias("x"))
-        y = own.select(F.col("fp").alias("b"), F.explode("points").alias("y"))
-        found.append(links.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("x", "y"))
-        found.append(own.where(F.size("points") > 1).withColumn("x", F.array_min("points")).select("x", F.explode("points").alias("y")))
-    bits = reduce(Column.__add__, [F.bit_count(F.col("x")[n].bitwiseXOR(F.col("y")[n])) for n in names])
-    pairs = reduce(DataFrame.unionAll, found).select(F.least("x.point", "y.point").alias("a"), F.greatest("x.point", "y.point").alias("b"), bits.alias("bits"))
-    return cut_lineage(pairs.where((F.col("a") != F.col("b")) & (F.col("bits") <= MOST_IN_ALL)).distinct())
+def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets share at least ``similarity`` of all their members."""
+    size, n = np.array([len(s) for s in sets]), len(sets)
+    owner, member = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, name, count = np.unique(member, return_inverse=True, return_counts=True)
+    often = count[name] > 1
+    owner, name = owner[often], np.unique(name[often], return_inverse=True)[1]
+    shared, order = np.zeros((n, n), np.int64), np.argsort(name, kind="stable")
+    owner, name = owner[order], name[order]
+    for start in range(0, int(name[-1]) + 1 if len(name) else 0, 4096):
+        rows = slice(*np.searchsorted(name, [start, start + 4096]))
+        there = np.zeros((n, 4096), bool)
+        there[owner[rows], name[rows] - start] = True
+        bits = np.packbits(there, axis=1).view(np.uint64)
+        bits = bits[:, bits.any(axis=0)]
+        for i in range(n):
+            shared[i] += np.bitwise_count(bits[i] & bits).sum(axis=1)
+    # Sets are sorted arrays of distinct hashes: equal ones, the empty ones too, share all.
+    return shared >= similarity * (size[:, None] + size[None] - shared)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows (block, point, set) sorted by block that connect, in each block, all pairs of sets as similar as asked."""
+    key, points, sets = None, [], []
+
+    def links() -> pa.RecordBatch:
+        near, a, b, left = _similar(sets, similarity), [], [], np.ones(len(sets), bool)
+        while left.any():
+            edge = [int(left.argmax())]
+            left[edge[0]] = False
+            while edge:
+                at = edge.pop()
+                found = np.flatnonzero(left & near[at])
+                left[found] = False
+                a += [points[at]] * len(found)
+                b += [points[i] for i in found]
+                edge += found.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-
-def _similar_links(points: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) among the candidates that share at least ``similarity`` of their shingles, enough of them for all components.
-
-    ``points`` has (point, fp_0, fp_1, ..), a row for all with the same fingerprints; ``texts`` (point, text), of candidates to be met only.
-    Each point's few closest partners are checked first; after that only pairs that these links have not joined yet.
+    for batch in batches:
+        blocks, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        column = batch.column(2)
+        for i in range(batch.num_rows):
+            if blocks[i] != key:
+                if len(points) > 1:
+                    yield links()
+                key, points, sets = blocks[i], [], []
+            points.append(own[i])
+            sets.append(column[i].values.to_numpy())
+    if len(points) > 1:
+        yield links()
+
+
+def _similar_links(points: DataFrame, texts: DataFrame, segments: int, most: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all texts whose points are connected by ``close_links`` and which share ``similarity`` of their shingles.
+
+    ``texts`` has (point, text). What close points connect is a group; its texts are compared with each other, group by group, exactly. A
+    group of more than ``TILE`` texts is dealt into tiles, each pair of which is compared in a task of its own.
     """
-    pairs = _candidates(points)
-    ends = cut_lineage(pairs.select(F.col("a").alias("point")).unionAll(pairs.select("b")).distinct())
-    sets = cut_lineage(texts.join(ends.hint("merge"), "point").select("point", _shingles(F.col("text"), width).alias("set")))
-    left, right = sets.select(F.col("point").alias("a"), F.col("set").alias("s")), sets.select(F.col("point").alias("b"), F.col("set").alias("t"))
-
-    def checked(some: DataFrame) -> DataFrame:
-        shared = F.size(F.array_intersect("s", "t"))
-        met = some.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-        return cut_lineage(met.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
-
-    closest = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
-    ranked = cut_lineage(pairs.withColumn("place", closest))
-    near = checked(ranked.where(F.col("place") <= 3))
-    roots = components(near)
-    x, y = roots.select(F.col("id").alias("a"), F.col("root").alias("x")), roots.select(F.col("id").alias("b"), F.col("root").alias("y"))
-    apart = ranked.where(F.col("place") > 3).join(x.hint("merge"), "a", "left").join(y.hint("merge"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
-    return near.unionAll(checked(apart))
+    groups = components(close_links(points, segments, most)).withColumnRenamed("id", "point")
+    sizes = groups.groupBy("root").agg((F.floor((F.count("*") - 1) / TILE) + 1).cast("int").alias("parts"))
+    placed = cut_lineage(spread_join(groups, sizes, "root", "point"))
+    sets = texts.join(small_side(placed), "point").select("point", "root", "parts", _shingles(F.col("text"), width).alias("set"))
+    own, other = F.expr("pmod(xxhash64(point), parts)"), F.col("other").cast("long")
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.select(F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("block"), "point", "set")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(n, "block").sortWithinPartitions("block").mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
 
 
 def similarity_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each component of near-duplicates, linked by ``similarity`` of their shingle sets; columns as they are.
 
-    Candidates agree but for one bit in one of SEGMENTS segments of one of the fingerprints (SEEDS), differ there in MOST_BITS bits at
-    most, and in MOST_IN_ALL in all; they are checked on their whole texts. The row kept is the one with the smallest id, null ids last, then by a hash of the
-    text; rows alike in both are told apart by a stored number. Rows with neither id nor text are taken for copies of nothing and stay.
+    Candidates agree but for one bit in a segment of a fingerprint of their distinct shingles; ``_plan`` chooses segments and fingerprints by the
+    number of different texts, such that of pairs just as similar as asked ``RECALL`` meet, and more of those that are more similar.
+    Groups of close candidates are compared exactly on their whole texts. The row kept is the one with the smallest id, null ids last, then
+    by a hash of the text; rows alike in both are told apart by a stored number. Rows with neither id nor text are taken for copies of
+    nothing and stay. An empty table gives an empty result.
     """
     doc_id, text = F.col(id_col), F.col(text_col)
+    segments, prints, most = _plan(docs.count(), similarity)
+    names = [f"fp_{s}" for s in range(prints)]
     first = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("n"))
-    rows = docs.select(F.struct("*").alias("row"), simhash(text, width, SEEDS).alias("fp"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
-    rows = cut_lineage(rows.select("row", "fp.*", "first", "void"))
-    names = [f"fp_{s}" for s in range(len(SEEDS))]
-    points = rows.where(~F.col("void")).groupBy(*names).agg(F.min("first").alias("first"))
-    points = cut_lineage(points.withColumn("point", F.col("first.n")))  # named by its first row
+    copy = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), text), F.lit("")), 256))
+    fp = simhash(text, width, tuple(range(42, 42 + prints)), distinct=True)
+    rows = docs.select(F.struct("*").alias("row"), fp.alias("fp"), copy.alias("copy"), first.alias("first"), (doc_id.isNull() & text.isNull()).alias("void"))
+    rows = cut_lineage(rows.select("row", "fp.*", "copy", "first", "void"))
+    # Exact copies are one point, named by its first row.
+    heads = rows.where(~F.col("void")).groupBy("copy").agg(F.min("first").alias("first"), *[F.min(c).alias(c) for c in names])
+    heads = cut_lineage(heads.select("first", F.col("first.n").alias("point"), *names))
     texts = rows.select(F.col("first.n").alias("point"), F.col(f"row.`{text_col}`").alias("text"))
-    roots = components(_similar_links(points.select("point", *names), texts, width, similarity)).withColumnRenamed("id", "point")
-    rooted = cut_lineage(points.join(roots.hint("merge"), "point", "left"))
+    roots = components(_similar_links(heads.select("point", *names), texts, segments, most, width, similarity)).withColumnRenamed("id", "point")
+    rooted = cut_lineage(heads.select("first", "point").join(roots, "point", "left"))
     kept = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first")).select("first").unionAll(rooted.where("root IS NULL").select("first"))
     found = rows.select("row", "void", "first.n").join(kept.select(F.col("first.n").alias("kept")), F.col("n") == F.col("kept"), "left")
     return found.where(F.col("void") | F.col("kept").isNotNull()).select("row.*")
