@@ -413,7 +413,7 @@ def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         bits = np.packbits(there, axis=1).view(np.uint64)
         bits = bits[:, bits.any(axis=0)]
         for i in range(n):
-            shared[i] += np.bitwise_count(bits[i] & bits).sum(axis=1)
+            shared[i] += np.bitwise_count(bits[i] & bits).sum(axis=1, dtype=np.int64)
     # Sets are sorted arrays of distinct hashes: equal ones, the empty ones too, share all.
     return shared >= similarity * (size[:, None] + size[None] - shared)
 
