@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,12 +139,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
 
 
 def fit(rows: DataFrame, k: int, recall: float) -> Quantiser:
-    """A quantiser for rows (row, id, vector), from a sample by hashes of the rows' numbers, or all if they are few."""
+    """A quantiser for rows (row, id, vector), from a sample by hashes of the rows' numbers; all of them take part if they are few."""
     total = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1_000_000)) < int(1.2e6 * SAMPLE / max(1, total)) + 1)
-    sample = sorted((r.row, r.vector) for r in chosen.select("row", "vector").limit(2 * SAMPLE).collect())[:SAMPLE]
-    if len(sample) < min(total, 256):
-        sample = sorted((r.row, r.vector) for r in rows.select("row", "vector").limit(SAMPLE).collect())
+    sample = chosen.select("row", "vector").orderBy(F.xxhash64(F.lit("order"), "row"), "row").limit(SAMPLE).collect()
+    sample = sorted((r.row, r.vector) for r in sample)
     return train_quantiser(np.array([v for _, v in sample]), total, k, recall)
 
 
@@ -183,14 +182,15 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
     total = int(sizes.sum())
     buckets = context.broadcast(_buckets(sizes))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lists of each query, by bucket: the best ones, and more until they hold enough rows."""
+    def visit(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+        """The lists of each query, by bucket: the best ones, and more until they hold enough rows; or every list, and no least score."""
         for batch in batches:
             x = _matrix(batch.column("vector")).astype(np.float32)
             order = np.argsort(-(x @ shared.value.centroids.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             needed = np.maximum(shared.value.visits, (held < 2 * k + 2).sum(axis=1) + 1)
-            least = shared.value.least(x, keep, total)
+            least = shared.value.least(x, keep, total) if not every else np.full(len(x), -np.inf, np.float32)
+            needed = needed if not every else np.full(len(x), len(sizes))
             of, where, lists = [], [], []
             for i, (o, n) in enumerate(zip(order, needed)):
                 by_bucket: dict[int, list[int]] = {}
@@ -205,23 +205,33 @@ def _of_one_length(rows: DataFrame, is_query: Column, k: int, recall: float) ->
             yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("vector").take(of), pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32())), least], ["id", "vector", "bucket", "lists", "least"])
 
     asked = cut_lineage(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    right = asked.mapInArrow(visit, "id long, vector array<double>, bucket int, lists array<int>, least float").withColumn("queries", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    first = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(buckets.value[i][0]))]) if counts else F.lit(None)
-    parts = F.create_map(*[x for i in counts for x in (F.lit(i), F.lit(len(buckets.value[i])))]) if counts else F.lit(None)
-    bucket = (first[F.col("list")] + F.pmod(F.xxhash64("row"), parts[F.col("list")])).cast("int")
-    left = indexed.withColumn("bucket", bucket).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = buckets.value  # a list has a place in both arrays
+    first, parts = (F.element_at(F.lit([f(b) for b in held]), F.col("list") + 1) for f in (lambda b: b[0], len))
+    bucketed = indexed.withColumn("bucket", (first + F.pmod(F.xxhash64("row"), parts)).cast("int"))
 
     def search(codes: pa.Table, asked: pa.Table) -> pa.Table:
         if not codes.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
         return _search(shared.value, codes.combine_chunks(), asked.combine_chunks(), keep)
 
-    key = ["bucket", "queries"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, row long, vec_id long, near float")
-    # Every task sends what reaches a query's least score, its bucket's ``keep`` best at most; the best of all are met with their vectors.
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "row"))
-    best = near.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "row", "vec_id")
+    def best_of(queries: DataFrame, every: bool) -> DataFrame:
+        """(query_id, row, vec_id) of the best candidates by their codes."""
+        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+        right = queries.mapInArrow(partial(visit, every=every), "id long, vector array<double>, bucket int, lists array<int>, least float")
+        right = right.withColumn("queries", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        left = bucketed.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        key = ["bucket", "queries"]
+        near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, row long, vec_id long, near float")
+        # Every task sends what reaches a query's least score, its bucket's ``keep`` best at most; the best of all are met with their vectors.
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "row"))
+        return near.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "row", "vec_id")
+
+    best = cut_lineage(best_of(asked, False))
+    # The sample that sets the least score may hold the query's own rows, and its lists may hold few others: such queries are asked again, everywhere.
+    got = best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("got"))
+    short = cut_lineage(asked.join(got, "id", "left").where(F.coalesce("got", F.lit(0)) < min(k, total - 1)).select("id", "vector"))
+    if not short.isEmpty():
+        best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionAll(best_of(short, True))
     best = best.join(rows.select("row", "vector"), "row").join(small_side(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))), "query_id")
     score = F.aggregate(F.zip_with("vector", "asked", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return best.select("query_id", "vec_id", score.alias("score"))

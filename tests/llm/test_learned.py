@@ -176,3 +176,19 @@ def test_neighbours_of_few_rows(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows) == [(0, 1, 20, 1.0), (0, 2, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 0.5)]
     assert nearest_neighbours(few.limit(0), F.col("id") % 20 == 0).count() == 0
     assert nearest_neighbours(few.limit(1), F.col("id") % 20 == 0).count() == 0
+
+
+def test_neighbours_of_a_query_with_many_rows_of_its_own(spark):
+    """Rows with the query's id are near it and no candidates; a cluster that the sample hardly knows is found as well."""
+    rng = np.random.default_rng(6)
+    rows = [(0, (np.full(8, 3.0) + 0.1 * rng.standard_normal(8)).tolist()) for _ in range(400)] + [(i, rng.standard_normal(8).tolist()) for i in range(1, 401)]
+    rows += [(1001 + i, (np.array([9.0, -9.0] * 4) + 0.01 * rng.standard_normal(8)).tolist()) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest_neighbours(df, F.col("id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q, best in brute_neighbours(rows, 20):
+        assert len(got[q]) == 20 and q not in got[q]
+        hits += (Counter(i for _, i in best) & Counter(got[q])).total()
+    assert hits >= 0.9 * 20 * len(got) and len(got) == 21
