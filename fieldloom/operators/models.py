@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import gp_predict, lasso_weights
+from fieldloom.operators.trees import split_key, tree_fits
 
 
 def log_uniform_grid(ranges: Mapping[str, tuple[float, float]], n: int, seed: int = 42) -> list[dict[str, float]]:
@@ -96,23 +97,65 @@ def fold_model(
     column is the prediction. ``selection`` (split, year_out, features array) names each fold's features; ``keep`` always stays.
 
     ``ridge`` and ``lasso`` need sums of products by split and year only, from one aggregation; a task fits all folds of a split from
-    these, and predictions are made where the rows are. ``gp`` brings each fold's rows into one task: splits must be small.
+    these, and predictions are made where the rows are. ``rf`` and ``gbt`` are grown from sums over bins, for all folds at once, and no
+    split is gathered (see ``trees``). ``gp`` brings each fold's rows into one task: splits must be small.
     """
-    if model not in ("ridge", "lasso", "gp"):
+    if model not in ("ridge", "lasso", "gp", "rf", "gbt"):
         raise ValueError(f"unknown model {model}")
+    if model in ("rf", "gbt"):
+        return tree_models(df, split, features, y, model, grid, n_folds, upper, selection, keep, benchmark, seed)[0]
+    rows, chosen, wanted, columns = _fold_rows(df, split, features, y, selection, keep, benchmark)
+    params = [dict(g) for g in grid]
+    fits = _linear_fits if model != "gp" else _gp_fits
+    return fits(rows, chosen, wanted, len(columns), model, params, n_folds, upper, seed)
+
+
+def _fold_rows(df: DataFrame, split: str, features: Sequence[str], y: str, selection: DataFrame | None, keep: Sequence[str], benchmark: str) -> tuple[DataFrame, DataFrame | None, Column, list[str]]:
+    """Rows (split, adm, harv_year, y, bench, x) without nulls, places of selected columns by fold, those of the kept ones, and the columns' names."""
     columns = [*dict.fromkeys([*keep, *features])]
     x = [F.col(c).cast("double") for c in columns]
     rows = df.select(F.col(split).alias("split"), "adm", F.col("harv_year").cast("int").alias("harv_year"), F.col(y).cast("double").alias("y"), F.col(benchmark).cast("double").alias("bench"), F.array(*x).alias("x"))
     rows = rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     wanted = F.array(*[F.lit(columns.index(c)) for c in keep]).cast("array<int>")
-    if selection is not None:
-        place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
-        chosen = selection.select(F.col("split").alias("of"), F.col("year_out").cast("int").alias("year_out"), F.transform("features", lambda c: place[c]).alias("chosen"))
-    else:
-        chosen = None
-    params = [dict(g) for g in grid]
-    fits = _linear_fits if model != "gp" else _gp_fits
-    return fits(rows, chosen, wanted, len(columns), model, params, n_folds, upper, seed)
+    if selection is None:
+        return rows, None, wanted, columns
+    place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
+    chosen = selection.select(F.col("split").alias("of"), F.col("year_out").cast("int").alias("year_out"), F.transform("features", lambda c: place[c]).alias("chosen"))
+    return rows, chosen, wanted, columns
+
+
+def tree_models(
+    df: DataFrame,
+    split: str,
+    features: Sequence[str],
+    y: str = "yield",
+    model: str = "rf",
+    grid: Sequence[Mapping[str, float]] = ({},),
+    n_folds: int = 5,
+    upper: float = 0.5,
+    selection: DataFrame | None = None,
+    keep: Sequence[str] = ("harv_year",),
+    benchmark: str = "y_bench",
+    seed: int = 42,
+    cuts: Mapping[str, Sequence[float]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions as of ``fold_model``, and the importances (split, year_out, feature, importance) of each fold's refitted model.
+
+    ``rf`` takes trees, depth, min_leaf and share (of the features, offered to a node), ``gbt`` trees, depth, min_leaf and rate. An importance
+    is a feature's part of the fold's gains in squared error; folds whose parameters were all pruned have none. ``cuts`` gives every
+    column's cut points, quantiles of the split if it is not given. Rows without a split form a split.
+    """
+    rows, chosen, wanted, columns = _fold_rows(df, split, features, y, selection, keep, benchmark)
+    rows = rows.where(F.col("harv_year").isNotNull())
+    folds = _columns_of(rows.select("split", F.col("harv_year").alias("year_out")).distinct(), chosen, wanted, len(columns))
+    known = folds.select(split_key(F.col("split")).alias("of"), "split").distinct()
+    folds = folds.select(split_key(F.col("split")).alias("of"), "year_out", "names")
+    edges = None if cuts is None else [cuts[c] for c in columns]
+    keyed = rows.select(split_key(F.col("split")).alias("of"), "adm", "harv_year", "y", "bench", "x")
+    found, gains = tree_fits(keyed, folds, len(columns), model, grid, n_folds, upper, seed, edges)
+    predictions = found.join(known, "of").select("split", "year_out", "adm", "harv_year", "y_pred", "train_mse", F.lit(len(grid)).alias("n_trials"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("place") + 1)
+    return predictions, gains.join(known, "of").select("split", "year_out", name.alias("feature"), F.col("gain").alias("importance"))
 
 
 def _columns_of(folds: DataFrame, chosen: DataFrame | None, wanted: Column, size: int) -> DataFrame:
