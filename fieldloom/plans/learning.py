@@ -171,6 +171,53 @@ def o77_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("adm", "harv_year", "y_pred"), "y_pred")
 
 
+TREE_GRIDS = {"rf": [{"trees": 8, "depth": 3}, {"trees": 8, "depth": 2, "min_leaf": 3}], "gbt": [{"trees": 5, "depth": 2, "rate": 0.3}, {"trees": 5, "depth": 1, "rate": 0.5}]}
+
+
+@query("o77_fold_forest")
+def o77_fold_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest for every held-out year of every split, with tuned parameters."""
+    return rounded(models.fold_model(_learning_rows(spark, sf_dir), "country", FEATURES, model="rf", grid=TREE_GRIDS["rf"], upper=2.0), "y_pred", "train_mse")
+
+
+@query("o77_fold_boosted")
+def o77_fold_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for every held-out year of every split, with tuned parameters."""
+    return rounded(models.fold_model(_learning_rows(spark, sf_dir), "country", FEATURES, model="gbt", grid=TREE_GRIDS["gbt"], upper=2.0), "y_pred", "train_mse")
+
+
+#: Cut points of the one-cut trees.
+STUMP_CUTS = {"before": [1.8, 1.9, 2.0, 2.1, 2.2, 2.3, 2.4], "size": [6.6, 6.9, 7.2, 7.5, 7.8]}
+_STUMP = "+" + _ROWS + f""", cuts AS (SELECT 0 AS f, unnest({STUMP_CUTS["before"]}) AS cut UNION ALL SELECT 1, unnest({STUMP_CUTS["size"]})),
+  fold AS (SELECT DISTINCT country AS split, harv_year AS year_out FROM wide),
+  train AS (SELECT split, year_out, adm, yield AS y, before, size FROM fold JOIN wide ON country = split AND harv_year <> year_out),
+  means AS (SELECT split, year_out, avg(y) AS m FROM train GROUP BY ALL),
+  sides AS (SELECT split, year_out, f, cut, any_value(m) AS m, count(*) FILTER (v <= cut) AS nl, count(*) FILTER (v > cut) AS nr, coalesce(sum(y - m) FILTER (v <= cut), 0) AS sl, coalesce(sum(y - m) FILTER (v > cut), 0) AS sr
+    FROM (SELECT t.*, f, cut, m, CASE f WHEN 0 THEN before ELSE size END AS v FROM train t JOIN means USING (split, year_out), cuts) GROUP BY ALL),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, year_out ORDER BY round(sl * sl / nl + sr * sr / nr, 6) DESC, f, cut) AS place FROM sides WHERE nl > 0 AND nr > 0) WHERE place = 1)"""
+
+
+@query("o77_stump", sql("yf pred", _STUMP + """
+  SELECT split, year_out, adm, round(m + CASE WHEN CASE f WHEN 0 THEN before ELSE size END <= cut THEN sl / nl ELSE sr / nr END, 6) AS y_pred FROM best JOIN wide ON country = split AND harv_year = year_out"""))
+def o77_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One boosted tree of one cut at given points, so that the folds' fits can be written down."""
+    out = models.tree_models(_learning_rows(spark, sf_dir), "country", ["before", "size"], model="gbt", grid=[{"trees": 1, "depth": 1, "rate": 1.0}], upper=1e9, keep=[], cuts=STUMP_CUTS)[0]
+    return rounded(out.select("split", "year_out", "adm", "y_pred"), "y_pred")
+
+
+@query("o79_fold_importance", sql("yf pred", _STUMP + """
+  SELECT split, year_out, feature, CASE WHEN f = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance FROM best, (VALUES (0, 'before'), (1, 'size')) AS names(i, feature)"""))
+def o79_fold_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importances of ``o77_stump``: the cut's feature has all of the gain."""
+    return models.tree_models(_learning_rows(spark, sf_dir), "country", ["before", "size"], model="gbt", grid=[{"trees": 1, "depth": 1, "rate": 1.0}], upper=1e9, keep=[], cuts=STUMP_CUTS)[1]
+
+
+@query("o79_forest_importance")
+def o79_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain importances of the forest of every held-out year of every split."""
+    return rounded(models.tree_models(_learning_rows(spark, sf_dir), "country", FEATURES, model="rf", grid=TREE_GRIDS["rf"], upper=2.0)[1], "importance")
+
+
 @query("o78_gaussian_process")
 def o78(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = [{"sigma": 1.0, "l_s": 2.0, "l_t": 1.0, "noise": 0.1}]
@@ -281,28 +328,28 @@ def o91(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.shortfall(fx.predictions(spark, sf_dir).where("run_id = 'run1'"), [1996, 1997, 1998], 2000), "actual", "predicted")
 
 
-@query("o100_fold_metrics", sql("yf pred", f"""+ r AS (SELECT country AS split, 1999 AS year_out, CASE WHEN harv_year = 1999 THEN 'test' ELSE 'train' END AS role, * FROM pred WHERE run_id = 'run2'),
-  l AS (SELECT *, (sum(yield) OVER w - yield) / nullif(count(*) OVER w - 1, 0) AS m FROM r WINDOW w AS (PARTITION BY split, year_out, role))
-  SELECT split, year_out, round(avg({_E}) FILTER (role = 'train'), 6) AS train_mse, round(1 - sum({_E}) FILTER (role = 'train') / sum((yield - m) * (yield - m)) FILTER (role = 'train'), 5) AS train_r2,
-  round(avg({_E}) FILTER (role = 'test'), 6) AS test_mse, round(CASE WHEN count(*) FILTER (role = 'test') > 3 THEN 1 - sum({_E}) FILTER (role = 'test') / sum((yield - m) * (yield - m)) FILTER (role = 'test') END, 5) AS test_r2, max(n_opt_trials)::INT AS n_opt_trials FROM l GROUP BY 1, 2"""))
+@query("o100_fold_metrics", sql("yf pred", f"""+ f AS (SELECT DISTINCT country AS split, harv_year AS year_out FROM pred),
+  r AS (SELECT f.*, CASE WHEN harv_year = year_out THEN 'test' ELSE 'train' END AS role, pred.* FROM f JOIN pred ON country = split),
+  l AS (SELECT *, (sum(yield) OVER w - yield) / nullif(count(*) OVER w - 1, 0) AS m FROM r WINDOW w AS (PARTITION BY run_id, split, year_out, role))
+  SELECT run_id, split, year_out, round(avg({_E}) FILTER (role = 'train'), 6) AS train_mse, round(1 - sum({_E}) FILTER (role = 'train') / sum((yield - m) * (yield - m)) FILTER (role = 'train'), 5) AS train_r2,
+  round(avg({_E}) FILTER (role = 'test'), 6) AS test_mse, round(CASE WHEN count(*) FILTER (role = 'test') > 3 THEN 1 - sum({_E}) FILTER (role = 'test') / sum((yield - m) * (yield - m)) FILTER (role = 'test') END, 5) AS test_r2, max(n_opt_trials)::INT AS n_opt_trials FROM l GROUP BY 1, 2, 3"""))
 def o100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.predictions(spark, sf_dir).where("run_id = 'run2'").withColumns({"split": F.col("country"), "year_out": F.lit(1999)})
-    rows = rows.withColumn("role", F.when(F.col("harv_year") == 1999, "test").otherwise("train"))
-    return rounded(rounded(metrics.fold_metrics(rows), "train_mse", "test_mse"), "train_r2", "test_r2", digits=5)
+    rows = folds.with_roles(fx.predictions(spark, sf_dir), "country")
+    return rounded(rounded(metrics.fold_metrics(rows, ("run_id", "split", "year_out")), "train_mse", "test_mse"), "train_r2", "test_r2", digits=5)
 
 
-@query("o93_pairwise_region_correlation", sql("yf", """+ p AS (SELECT adm, harv_year, yield FROM yk WHERE adm2 = 'BUILDING')
+@query("o93_pairwise_region_correlation", sql("yf", """+ p AS (SELECT adm, harv_year, yield FROM yk)
   SELECT a.adm AS a, b.adm AS b, count(*) AS n, round(corr(a.yield, b.yield), 6) AS r FROM p a JOIN p b ON a.harv_year = b.harv_year AND a.adm <= b.adm GROUP BY ALL HAVING count(*) >= 5"""))
 def o93(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cluster.pairwise_region_correlation(fx.keyed_fact(spark, sf_dir).where("adm2 = 'BUILDING'"), blocks=4), "r")
+    return rounded(cluster.pairwise_region_correlation(fx.keyed_fact(spark, sf_dir), blocks=4), "r")
 
 
-@query("o94_within_group_correlation", sql("yf", """+ p AS (SELECT adm, country, harv_year, yield FROM yk WHERE adm2 = 'BUILDING'),
+@query("o94_within_group_correlation", sql("yf", """+ p AS (SELECT adm, country, harv_year, yield FROM yk),
   c AS (SELECT a.adm AS a, b.adm AS b, any_value(a.country) AS ca, any_value(b.country) AS cb, corr(a.yield, b.yield) AS r FROM p a JOIN p b ON a.harv_year = b.harv_year GROUP BY ALL HAVING count(*) >= 5),
   o AS (SELECT ca AS cluster, avg(r) AS m FROM c WHERE ca = cb GROUP BY 1)
   SELECT cluster, round(m, 6) AS mean_r FROM o UNION ALL SELECT 'all', round(avg(r), 6) FROM c UNION ALL SELECT 'within', round(avg(m), 6) FROM o"""))
 def o94(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.keyed_fact(spark, sf_dir).where("adm2 = 'BUILDING'")
+    rows = fx.keyed_fact(spark, sf_dir)
     groups = rows.select("adm", F.col("country").alias("cluster")).distinct()
     return rounded(cluster.within_group_correlation(cluster.pairwise_region_correlation(rows, blocks=4), groups), "mean_r")
 
