@@ -56,6 +56,12 @@ def slices(batches: Iterator[pa.Array], size: int = 2 << 20) -> Iterator[pa.Arra
         step = max(1, int(len(batch) * size / max(1, batch.nbytes)))
         for start in range(0, len(batch), step):
             yield batch.slice(start, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Return the memory that Arrow has freed but holds, as a worker lives on after a task."""
+    pa.default_memory_pool().release_unused()
 
 
 _KEPT: dict[str, object] = {}

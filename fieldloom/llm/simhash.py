@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices, small_side, spread_join
+from fieldloom.llm._util import cut_lineage, give_back, slices, small_side, spread_join
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once.
@@ -338,6 +338,7 @@ def _close_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         held.append([x[last:] for x in rows])
     if held:
         yield from links(held)
+    give_back()
 
 
 def close_links(points: DataFrame, segments: int, most: int, block: int = BLOCK) -> DataFrame:
@@ -352,11 +353,6 @@ def close_links(points: DataFrame, segments: int, most: int, block: int = BLOCK)
     values = F.explode(F.array(*[_value(F.col(prints[p]), shift, width) + F.lit((p * segments + s) << 40) for p, s, shift, width in parts]))
     # A key's rows come from two values of its segment; see near_links.
     many = cut_lineage(points.select(values.alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > block // 2))
-    low, hot = F.col("value").bitwiseAND(F.lit((1 << 40) - 1)), None
-    for place, (*_, width) in enumerate(parts):
-        own = many.where(F.shiftright("value", 40) == place).select(F.explode(F.array(*_keys_of(low, place, width))).alias("key"), "n")
-        hot = own if hot is None else hot.unionAll(own)
-    some = not many.isEmpty()
     names = ["key", "point", *prints]
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +368,11 @@ def close_links(points: DataFrame, segments: int, most: int, block: int = BLOCK)
                         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, *found.values())], names)
 
     keyed = points.select(*names[1:]).mapInArrow(variants, ", ".join(f"{n} long" for n in names))
-    if some:
+    if not many.isEmpty():
+        low, hot = F.col("value").bitwiseAND(F.lit((1 << 40) - 1)), None
+        for place, (*_, width) in enumerate(parts):
+            own = many.where(F.shiftright("value", 40) == place).select(F.explode(F.array(*_keys_of(low, place, width))).alias("key"), "n")
+            hot = own if hot is None else hot.unionAll(own)
         hot = cut_lineage(hot.groupBy("key").agg((F.floor((F.sum("n") + F.lit(block // 2)) / F.lit(block // 2)) + 1).cast("int").alias("parts")))
         own, other = F.expr("pmod(xxhash64(point), parts)"), F.col("other").cast("long")
         pairs = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -445,9 +445,10 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
                     yield links()
                 key, points, sets = blocks[i], [], []
             points.append(own[i])
-            sets.append(column[i].values.to_numpy())
+            sets.append(column[i].values.to_numpy().copy())  # not the whole batch with it
     if len(points) > 1:
         yield links()
+    give_back()
 
 
 def _similar_links(points: DataFrame, texts: DataFrame, segments: int, most: int, width: int, similarity: float) -> DataFrame:
