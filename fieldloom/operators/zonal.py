@@ -8,6 +8,7 @@ side is broadcast if it is small enough (see ``join_mask``), else both sides shu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +23,15 @@ from fieldloom.functions.stats import correlation
 BROADCAST_CELLS = 2_000_000
 
 
+class Grid(NamedTuple):
+    """Where cell (row, col) of a grid begins and ends on each axis: at row0 + row * row_step, with a positive step."""
+
+    row0: float
+    row_step: float
+    col0: float
+    col_step: float
+
+
 def join_mask(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     """Pixels with the regions and weights of their cell; the mask is broadcast only after a check of its size."""
     side = F.broadcast(mask) if mask.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else mask
@@ -39,6 +49,27 @@ def regrid_average(pixels: DataFrame, rows: int, cols: int, by: Sequence[str] =
     return pixels.groupBy(*by, block("row", rows), block("col", cols)).agg(F.avg(value).alias(value))
 
 
+def regrid_overlap(pixels: DataFrame, source: Grid, target: Grid, by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """(by, row, col, value, covered): means over target cells, source cells weighing by the area that they share with the target's.
+
+    Any ratio and offset of the grids. Null cells are left out and the others' weights renormalised; ``covered`` is the part of the
+    target cell that cells with a value cover. Target cells without any have no row. The shared parts follow from the axes alone, so
+    nothing is joined: every source cell is sent to the target cells that it reaches.
+    """
+    rows = pixels.where(F.col(value).isNotNull())
+    for c, x0, dx, to0, to in (("row", source.row0, source.row_step, target.row0, target.row_step), ("col", source.col0, source.col_step, target.col0, target.col_step)):
+        low = F.lit(float(x0)) + F.col(c) * F.lit(float(dx))
+        place = lambda x: (x - F.lit(float(to0))) / F.lit(float(to))  # noqa: E731, B023
+        reached = F.explode(F.sequence(F.floor(place(low)), F.ceil(place(low + F.lit(float(dx)))) - 1))
+        rows = rows.withColumn(f"__{c}", reached)
+        start = F.lit(float(to0)) + F.col(f"__{c}") * F.lit(float(to))
+        shared = F.least(low + F.lit(float(dx)), start + F.lit(float(to))) - F.greatest(low, start)
+        rows = rows.withColumn(f"__w_{c}", shared / F.lit(float(to))).where(F.col(f"__w_{c}") > 1e-9)
+    w = F.col("__w_row") * F.col("__w_col")
+    out = rows.groupBy(*by, F.col("__row").cast("int").alias("row"), F.col("__col").cast("int").alias("col"))
+    return out.agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value), F.sum(w).alias("covered"))
+
+
 def regrid_bilinear(pixels: DataFrame, targets: DataFrame, scale_row: float, scale_col: float, by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Values at target cells (row, col), which lie at (row * scale_row, col * scale_col) of the source grid.
 
@@ -84,21 +115,41 @@ def null_codes(pixels: DataFrame, max_valid: float = 200.0, value: str = "value"
     return pixels.withColumn(value, F.when(F.col(value) <= max_valid, F.col(value)))
 
 
-def region_pixels(grid: DataFrame, polygons: DataFrame, tile: float | None = None) -> DataFrame:
+#: Cells along the side of a tile at most, where the cells' size is known.
+TILE_CELLS = 256
+
+
+def _crossed(lon: np.ndarray, lat: np.ndarray, half: tuple[float, float], rings: list[np.ndarray]) -> np.ndarray:
+    """Whether an edge of the rings meets the cells around (lon, lat), their borders included: no axis tells segment and rectangle apart."""
+    hit = np.zeros(len(lon), bool)
+    for ring in rings:
+        for p, q in zip(ring, np.roll(ring, -1, axis=0)):
+            low, high = np.minimum(p, q), np.maximum(p, q)
+            near = np.flatnonzero((lon >= low[0] - half[0]) & (lon <= high[0] + half[0]) & (lat >= low[1] - half[1]) & (lat <= high[1] + half[1]) & ~hit)
+            d = q - p
+            hit[near] = np.abs(d[0] * (lat[near] - p[1]) - d[1] * (lon[near] - p[0])) <= half[0] * abs(d[1]) + half[1] * abs(d[0])
+    return hit
+
+
+def region_pixels(grid: DataFrame, polygons: DataFrame, tile: float | None = None, touched: tuple[float, float] | None = None) -> DataFrame:
     """(adm, row, col): the cells whose centre (lon, lat) lies in a region; a cell may lie in several.
 
-    ``polygons`` has (adm, rings: array of rings of points (lon, lat)). Cells and the regions whose bounding box reaches there meet by
-    square tiles ``tile`` wide, in workers; the grid is read once. By default a tile is as wide as the regions' boxes on average.
+    With ``touched``, the cells' (width, height), a cell belongs to every region that it shares a point with, its border included, so that
+    regions smaller than a cell have one too. ``polygons`` has (adm, rings: array of rings of points (lon, lat)). Cells and the regions
+    whose bounding box reaches there meet by square tiles ``tile`` wide, in workers; the grid is read once. By default a tile is as
+    wide as the regions' boxes on average, and at most TILE_CELLS cells wide where their size is known.
     """
+    half = (touched[0] / 2, touched[1] / 2) if touched else (0.0, 0.0)
     side = lambda c: F.transform(F.flatten("rings"), lambda p: p[c].cast("double"))
     box = {f"{c}_{k}": f(side(c)) for c in ("lon", "lat") for k, f in (("low", F.array_min), ("high", F.array_max))}
     shapes = polygons.select("adm", "rings").where(F.size(F.flatten("rings")) > 2).withColumns(box)
     if tile is None:
         wide = shapes.agg(F.avg(F.greatest(F.col("lon_high") - F.col("lon_low"), F.col("lat_high") - F.col("lat_low")))).head()[0]
         tile = wide or 1.0
+        tile = min(tile, TILE_CELLS * max(touched)) if touched else tile
     number = lambda c: F.floor(c / F.lit(float(tile)))
-    reach = lambda c: F.explode(F.sequence(number(F.col(f"{c}_low")), number(F.col(f"{c}_high"))))
-    there = shapes.withColumn("tile_x", reach("lon")).withColumn("tile_y", reach("lat")).select("tile_x", "tile_y", "adm", "rings")
+    reach = lambda c, more: F.explode(F.sequence(number(F.col(f"{c}_low") - more), number(F.col(f"{c}_high") + more)))
+    there = shapes.withColumn("tile_x", reach("lon", half[0])).withColumn("tile_y", reach("lat", half[1])).select("tile_x", "tile_y", "adm", "rings")
     cells = grid.select(F.col("row").cast("int"), F.col("col").cast("int"), F.col("lon").cast("double"), F.col("lat").cast("double")).where("lon IS NOT NULL AND lat IS NOT NULL")
     cells = cells.select(number(F.col("lon")).alias("tile_x"), number(F.col("lat")).alias("tile_y"), "row", "col", "lon", "lat")
 
@@ -110,8 +161,11 @@ def region_pixels(grid: DataFrame, polygons: DataFrame, tile: float | None = Non
             if not rings:
                 continue
             low, high = np.concatenate(rings).min(0), np.concatenate(rings).max(0)
-            near = np.flatnonzero((lon >= low[0]) & (lon <= high[0]) & (lat >= low[1]) & (lat <= high[1]))
-            hit = near[points_in_rings(lon[near], lat[near], rings)]
+            near = np.flatnonzero((lon >= low[0] - half[0]) & (lon <= high[0] + half[0]) & (lat >= low[1] - half[1]) & (lat <= high[1] + half[1]))
+            member = points_in_rings(lon[near], lat[near], rings)
+            if touched:
+                member = member | _crossed(lon[near], lat[near], half, rings)
+            hit = near[member]
             found.append(pa.table({"adm": pa.array([adm] * len(hit), pa.string()), "row": pa.array(row[hit], pa.int32()), "col": pa.array(col[hit], pa.int32())}))
         return pa.concat_tables(found) if found else pa.table({"adm": pa.array([], pa.string()), "row": pa.array([], pa.int32()), "col": pa.array([], pa.int32())})
 

@@ -39,13 +39,22 @@ def o30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(zonal.regrid_average(_cells(spark, sf_dir), 4, 8), "value")
 
 
-@query("o31_regrid_bilinear", sql("pixels", _CELLS + """, t AS (SELECT (range // 20)::INT AS row, (range % 20)::INT AS col FROM range(400)),
+@query("o30_regrid_overlap", sql("pixels", _CELLS + """, w AS (SELECT value, r, c, (least(-1.0::DOUBLE + (row + 1) * 0.75::DOUBLE, 0.3::DOUBLE + (r + 1) * 2.0::DOUBLE) - greatest(-1.0::DOUBLE + row * 0.75::DOUBLE, 0.3::DOUBLE + r * 2.0::DOUBLE)) / 2.0::DOUBLE AS wr,
+    (least((col + 1) * 1.0::DOUBLE, 0.25::DOUBLE + (c + 1) * 1.6::DOUBLE) - greatest(col * 1.0::DOUBLE, 0.25::DOUBLE + c * 1.6::DOUBLE)) / 1.6::DOUBLE AS wc FROM cells, range(-2, 50) AS a(r), range(-2, 50) AS b(c) WHERE value IS NOT NULL)
+  SELECT r::INT AS row, c::INT AS col, round(sum(wr * wc * value) / sum(wr * wc), 6) AS value, round(sum(wr * wc), 6) AS covered FROM w WHERE wr > 1e-9 AND wc > 1e-9 GROUP BY 1, 2"""))
+def o30_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target cells that are no whole multiples of the source's, and begin elsewhere."""
+    out = zonal.regrid_overlap(_cells(spark, sf_dir), zonal.Grid(-1.0, 0.75, 0.0, 1.0), zonal.Grid(0.3, 2.0, 0.25, 1.6))
+    return rounded(out, "value", "covered")
+
+
+@query("o31_regrid_bilinear", sql("pixels", _CELLS + """, t AS (SELECT (range // 64)::INT AS row, (range % 64)::INT AS col FROM range(4096)),
   p AS (SELECT row, col, row * 3.1::DOUBLE AS y, col * 2.7::DOUBLE AS x FROM t),
   n AS (SELECT row AS tr, col AS tc, (floor(y) + a)::INT AS row, (floor(x) + b)::INT AS col,
     (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM p, (VALUES (0), (1)) AS i(a), (VALUES (0), (1)) AS j(b))
   SELECT tr AS row, tc AS col, round(sum(w * value) / sum(w), 6) AS value FROM n JOIN cells USING (row, col) WHERE w > 0 AND value IS NOT NULL GROUP BY 1, 2"""))
 def o31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = fx.grid(spark).where("row < 20 AND col < 20")
+    targets = fx.grid(spark)
     return rounded(zonal.regrid_bilinear(_cells(spark, sf_dir), targets, 3.1, 2.7), "value")
 
 
@@ -66,10 +75,25 @@ def o33(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o34_region_pixels", """WITH c AS (SELECT DISTINCT (l_partkey % 64)::INT AS row, (l_suppkey % 64)::INT AS col FROM lineitem), n AS (SELECT n_name AS adm, n_nationkey % 5 * 12 AS x, n_nationkey // 5 * 12 AS y FROM nation)
   SELECT adm, row, col FROM n, c WHERE col + 0.5 > x AND col + 0.5 < x + 13 AND row + 0.5 > y AND row + 0.5 < y + 11""")
 def o34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = fx.pixels(spark, sf_dir).select("row", "col").distinct().withColumns({"lon": F.col("col") + 0.5, "lat": F.col("row") + 0.5})
+    return zonal.region_pixels(_centres(spark, sf_dir), _rectangles(spark, sf_dir))
+
+
+def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.pixels(spark, sf_dir).select("row", "col").distinct().withColumns({"lon": F.col("col") + 0.5, "lat": F.col("row") + 0.5})
+
+
+def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each nation, 13 by 11 cells, which overlaps its neighbours."""
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("adm"), (F.col("n_nationkey") % 5 * 12).cast("double").alias("x"), F.expr("cast(n_nationkey div 5 * 12 as double)").alias("y"))
     point = lambda x, y: F.struct((F.col("x") + x).alias("lon"), (F.col("y") + y).alias("lat"))
-    return zonal.region_pixels(cells, n.select("adm", F.array(F.array(point(0, 0), point(13, 0), point(13, 11), point(0, 11))).alias("rings")))
+    return n.select("adm", F.array(F.array(point(0, 0), point(13, 0), point(13, 11), point(0, 11))).alias("rings"))
+
+
+@query("o34_touched_pixels", """WITH c AS (SELECT DISTINCT (l_partkey % 64)::INT AS row, (l_suppkey % 64)::INT AS col FROM lineitem), n AS (SELECT n_name AS adm, n_nationkey % 5 * 12 AS x, n_nationkey // 5 * 12 AS y FROM nation)
+  SELECT adm, row, col FROM n, c WHERE col + 1 >= x AND col <= x + 13 AND row + 1 >= y AND row <= y + 11""")
+def o34_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell that shares a point with a region."""
+    return zonal.region_pixels(_centres(spark, sf_dir), _rectangles(spark, sf_dir), touched=(1.0, 1.0))
 
 
 @query("o35_merge_regions", sql("pixels mask", """+ m AS (SELECT CASE WHEN adm IN ('R0', 'R1', 'R2') THEN 'B' ELSE adm END AS adm, row, col FROM mask)

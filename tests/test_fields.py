@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions.numeric import points_in_rings
 from fieldloom.operators import indices, profiles, season, zonal
 from fieldloom.streaming.zonal import write_stream, zonal_means
 
@@ -218,3 +219,49 @@ def test_stream_of_pixels(spark, tmp_path):
     assert run()
     got = sorted((r.adm, r.start.day, r.n, r.mean) for r in spark.read.schema("adm string, start timestamp, n long, mean double").parquet(str(tmp_path / "out")).collect())
     assert ("b", 2, 1, 5.0) in got and got[0][:2] == ("a", 1) and not any(d == 20 for _, d, _, _ in got)
+
+
+def test_touched_cells_against_plain_geometry(spark):
+    """A cell is touched if a point of a fine sample of the region, edges included, lies in it or the cell's centre in the region."""
+    cells = [(r, c, c * 0.7, r * 0.4) for r in range(12) for c in range(14)]
+    shapes = {"triangle": [[(0.31, 0.22), (5.03, 1.13), (2.17, 3.91)]], "speck": [[(3.6, 2.11), (3.62, 2.11), (3.61, 2.13)]], "hole": [[(1.11, 0.53), (8.07, 0.61), (8.13, 4.02), (1.02, 3.9)], [(2.93, 1.22), (6.1, 1.19), (6.03, 3.31), (3.02, 3.37)]]}
+    df = spark.createDataFrame(cells, "row int, col int, lon double, lat double")
+    point = lambda p: {"lon": p[0], "lat": p[1]}
+    polygons = spark.createDataFrame([(n, [[point(p) for p in ring] for ring in rings]) for n, rings in shapes.items()], "adm string, rings array<array<struct<lon:double,lat:double>>>")
+    want = set()
+    for name, rings in shapes.items():
+        edge = np.concatenate([p + np.linspace(0, 1, 4001)[:, None] * (q - p) for ring in rings for p, q in zip(np.array(ring), np.roll(np.array(ring), -1, axis=0))])
+        for r, c, lon, lat in cells:
+            on_edge = ((np.abs(edge[:, 0] - lon) <= 0.35) & (np.abs(edge[:, 1] - lat) <= 0.2)).any()
+            within = points_in_rings(np.array([lon]), np.array([lat]), [np.array(ring) for ring in rings])[0]
+            if on_edge or within:
+                want.add((name, r, c))
+    for tile in (None, 1.0, 50.0):
+        got = [tuple(x) for x in zonal.region_pixels(df, polygons, tile, touched=(0.7, 0.4)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    centres = {tuple(x) for x in zonal.region_pixels(df, polygons).collect()}
+    assert centres < want and not any(n == "speck" for n, *_ in centres) and sum(n == "speck" for n, *_ in want) == 1
+    assert zonal.region_pixels(df.limit(0), polygons, touched=(1.0, 1.0)).count() == 0
+
+
+@pytest.mark.parametrize("source,target", [((0, 1, 0, 1), (0, 2, 0, 3)), ((0.5, 0.25, -3, 0.7), (-1.1, 1.0, -2.9, 0.45)), ((0, 1, 0, 1), (0.4, 0.3, 0.1, 0.37))])
+def test_overlap_weights(spark, source, target):
+    """Against a fine sample of every axis; a constant stays itself; what the target covers adds up."""
+    rng = np.random.default_rng(3)
+    values = {(r, c): None if (r + c) % 5 == 0 else float(rng.normal()) for r in range(5) for c in range(6)}
+    df = spark.createDataFrame([(r, c, v, "d") for (r, c), v in values.items()], "row int, col int, value double, date string")
+    got = {(r.row, r.col): (r.value, r.covered) for r in zonal.regrid_overlap(df, zonal.Grid(*source), zonal.Grid(*target), by=["date"]).collect()}
+    shared = lambda i, k, axis: max(0.0, min(source[axis] + (i + 1) * source[axis + 1], target[axis] + (k + 1) * target[axis + 1]) - max(source[axis] + i * source[axis + 1], target[axis] + k * target[axis + 1])) / target[axis + 1]
+    want = {}
+    for (r, c), v in values.items():
+        for k in range(-30, 30):
+            for m in range(-30, 30):
+                w = shared(r, k, 0) * shared(c, m, 2)
+                if v is not None and shared(r, k, 0) > 1e-9 and shared(c, m, 2) > 1e-9:
+                    a, b = want.get((k, m), (0.0, 0.0))
+                    want[k, m] = (a + w * v, b + w)
+    assert set(got) == set(want)
+    for k, (a, b) in want.items():
+        assert got[k] == (pytest.approx(a / b), pytest.approx(b))
+    area = sum(v is not None for v in values.values()) * source[1] * source[3]
+    assert sum(b for _, b in got.values()) * target[1] * target[3] == pytest.approx(area)
