@@ -8,8 +8,8 @@ side is broadcast if it is small enough (see ``join_mask``), else both sides shu
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numeric import points_in_rings
+from fieldloom.functions.quantiles import grouped_quantiles, null_safe
 from fieldloom.functions.stats import correlation
 
 #: Mask rows (region, cell) up to which the mask is broadcast.
@@ -220,13 +221,16 @@ def zonal_mean_quality(pixels: DataFrame, mask: DataFrame, by: Sequence[str] = (
 def zonal_weighted_mean(pixels: DataFrame, mask: DataFrame, by: Sequence[str] = ("date",), spread_limit: float | None = None, exact: bool = True, value: str = "value") -> DataFrame:
     """(adm, by, mean, low, high[, wide]): mean weighted by crop share over non-null pixels, and their 2.5 and 97.5 % quantiles.
 
-    Null without any weight. ``exact=False`` takes approximate quantiles, which merge from sketches and never hold a region's pixels.
+    Null without any weight. Exact quantiles come from counts of narrowing ranges (``grouped_quantiles``), ``exact=False`` takes approximate
+    ones, which merge from sketches; neither holds a region's pixels.
     """
     v, w = _value(value), F.col("weight")
-    present = F.when((w > 0), v)
-    quantiles = F.percentile(present, F.array(F.lit(0.025), F.lit(0.975))) if exact else F.approx_percentile(present, F.array(F.lit(0.025), F.lit(0.975)), F.lit(10000))
-    out = join_mask(pixels, mask).groupBy("adm", *by).agg(F.sum(v * w).alias("__s"), F.sum(F.when(v.isNotNull(), w)).alias("__w"), quantiles.alias("__q"))
-    out = out.select("adm", *by, F.try_divide("__s", "__w").alias("mean"), F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"))
+    met = join_mask(pixels, mask)
+    present = F.when(w > 0, v)
+    out = met.groupBy("adm", *by).agg(F.sum(v * w).alias("__s"), F.sum(F.when(v.isNotNull(), w)).alias("__w"), *([] if exact else [F.approx_percentile(present, F.array(F.lit(0.025), F.lit(0.975)), F.lit(10000)).alias("quantiles")]))
+    if exact:
+        out = null_safe(out, grouped_quantiles(met.withColumn("__present", present), ["adm", *by], "__present", [0.025, 0.975]), ["adm", *by])
+    out = out.select("adm", *by, F.try_divide("__s", "__w").alias("mean"), F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
     return out if spread_limit is None else out.withColumn("wide", F.col("high") - F.col("low") > spread_limit)
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.functions import numeric as N
 
@@ -81,3 +82,24 @@ def test_vif_lasso_and_process():
     y = np.sin(6 * t)
     out = N.gp_predict(t[:, None], t, y, t[::7, None], t[::7], 1.0, 0.3, 1.0, 1e-4)
     np.testing.assert_allclose(out, y[::7], atol=0.02)
+
+
+@pytest.mark.parametrize("array,parts", [(4096, 256), (8, 4), (1, 2)])
+def test_grouped_quantiles_are_exact(spark, monkeypatch, array, parts):
+    """Against numpy, and against what one buffer a group gives: ties, outliers, infinities, nulls, single values and a large group."""
+    from fieldloom.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "ARRAY", array)
+    monkeypatch.setattr(quantiles, "PARTS", parts)
+    rng = np.random.default_rng(2)
+    groups = {"many": rng.normal(size=700), "ties": rng.integers(0, 3, 300).astype(float), "one": np.array([4.0]), "far": np.array([1e-300, 2.0, 3.0, -1.7e308, 1.7e308] * 9), None: np.array([1.0, 2.0]), "same": np.full(50, 7.5)}
+    rows = [(k, float(x)) for k, values in groups.items() for x in values] + [("many", None), ("nothing", None), ("nothing", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    wanted = [0.0, 0.025, 0.3, 0.5, 0.975, 1.0]
+    got = {r.k: r.quantiles for r in quantiles.grouped_quantiles(df, ["k"], "x", wanted).collect()}
+    one = {r.k: r.q for r in df.where("NOT isnan(x)").groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, wanted))).alias("q")).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert got[k] == pytest.approx(np.quantile(values, wanted).tolist() if k != "far" else one[k], rel=1e-12)
+        assert got[k] == pytest.approx(one[k], rel=1e-12)
+    assert quantiles.grouped_quantiles(df.limit(0), ["k"], "x", wanted).count() == 0
