@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.gram import gram_sums, unpacked
 from fieldloom.functions.numeric import gp_predict, lasso_weights
 from fieldloom.operators.trees import split_key, tree_fits
 
@@ -180,20 +181,13 @@ def _linear_fits(rows: DataFrame, chosen: DataFrame | None, wanted: Column, size
     centre = rows.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(size)]).alias("x"), F.avg("y").alias("y")).head()
     middle, middle_y = [float(v or 0.0) for v in centre.x], float(centre.y or 0.0)
     near = rows.withColumn("c", F.array(*[F.col("x")[i] - middle[i] for i in range(size)])).withColumn("d", F.col("y") - middle_y)
-    c, d = F.col("c"), F.col("d")
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = near.groupBy("split", F.col("harv_year").alias("year_out")).agg(
-        F.count("*").cast("double").alias("n"), F.sum(d).alias("sy"), F.sum(d * d).alias("syy"), *[F.sum(c[i]).alias(f"s{i}") for i in range(size)],
-        *[F.sum(c[i] * d).alias(f"y{i}") for i in range(size)], *[F.sum(c[i] * c[j]).alias(f"p{i}_{j}") for i, j in pairs],
-    )
-    packed = sums.select("split", "year_out", F.array("n", "sy", "syy", *[f"s{i}" for i in range(size)], *[f"y{i}" for i in range(size)], *[f"p{i}_{j}" for i, j in pairs]).alias("v"))
+    near = near.select("split", F.col("harv_year").alias("year_out"), F.concat(F.array(F.lit(1.0)), "c", F.array("d")).alias("z"))
+    packed = gram_sums(near, ["split", "year_out"], "z", size + 2)
     packed = _columns_of(packed, chosen, wanted, size)
 
     def unpack(v: np.ndarray) -> Sums:
-        xx = np.zeros((size, size))
-        upper_ = np.triu_indices(size)
-        xx[upper_] = v[3 + 2 * size :]
-        return Sums(v[0], v[3 : 3 + size], v[1], xx + np.triu(xx, 1).T, v[3 + size : 3 + 2 * size], v[2])
+        m = unpacked(v, size + 2)
+        return Sums(m[0, 0], m[0, 1:-1], m[0, -1], m[1:-1, 1:-1], m[1:-1, -1], m[-1, -1])
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("year_out", kind="stable")

@@ -275,3 +275,41 @@ def test_information_takes_all_rows(spark):
     y = x + rng.normal(size=25_000)
     df = spark.createDataFrame(pd.DataFrame({"split": "s", "year_out": 1, "a": x, "yield": y}))
     assert selection.mutual_information(df, ["a"], "yield").head().mi == pytest.approx(knn_information(x, y), abs=1e-9)
+
+
+def test_wide_ridge_is_planned_and_fitted_in_seconds(spark):
+    """300 features: the plan does not grow with their square; one fold against numpy."""
+    import time
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 300))
+    y = x[:, 0] - 2 * x[:, 299] + 0.1 * rng.normal(size=240)
+    names = [f"f{i}" for i in range(300)]
+    rows = [("s", f"r{i % 40}", 2000 + i // 40, float(y[i]), 0.0, x[i].tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "split string, adm string, harv_year int, yield double, y_bench double, x array<double>")
+    df = df.select("split", "adm", "harv_year", "yield", "y_bench", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    start = time.perf_counter()
+    out = models.fold_model(df, "split", names, grid=[{"alpha": 1.0}], upper=1e9, keep=[], n_folds=2)
+    assert time.perf_counter() - start < 20
+    got = {(r.adm, r.year_out): r.y_pred for r in out.collect()}
+    train, test = np.arange(240) >= 40, np.arange(240) < 40
+    m, s = x[train].mean(0), x[train].std(0)
+    z = (x[train] - m) / s
+    w = np.linalg.solve(z.T @ z / 200 + np.eye(300), z.T @ (y[train] - y[train].mean()) / 200)
+    want = (x[test] - m) / s @ w + y[train].mean()
+    assert [got[f"r{i}", 2000] for i in range(40)] == pytest.approx(want.tolist(), abs=1e-8)
+
+
+def test_gram_sums(spark):
+    from fieldloom.functions.gram import gram_sums, unpacked
+
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(50, 17))
+    rows = [(["a", "b", None][i % 3], i % 2, z[i].tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, j int, z array<double>").repartition(4)
+    got = {(r.k, r.j): unpacked(np.array(r.v), 17) for r in gram_sums(df, ["k", "j"], "z", 17).collect()}
+    assert len(got) == 6
+    for (k, j), m in got.items():
+        own = z[[i for i, r in enumerate(rows) if r[:2] == (k, j)]]
+        assert np.allclose(m, own.T @ own) and (m == m.T).all()
+    assert gram_sums(df.limit(0), ["k"], "z", 17).count() == 0
