@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm._util import cut_lineage, slices
+from fieldloom.llm._util import cut_lineage, slices, small_side
 
 WINDOW = 256
 PAD = 256
 UNDETERMINED = "und"
-#: Labelled documents of each language that are learnt from, one window each, and languages; bounds on what the driver holds.
-SAMPLE, CLASSES = 400, 256
+#: Labelled documents of each language that are learnt from, one window each, and of all languages together: with more languages than
+#: ``ALL`` / ``SAMPLE`` each has fewer, one at least. Bounds on what the driver holds.
+SAMPLE, ALL = 400, 100_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -183,10 +184,10 @@ def bounded_sample(rows: DataFrame, sizes: DataFrame) -> list:
     """Rows (label, id, text-like columns) of each label, at most its ``size`` in ``sizes`` (label, n, size), by hashes of id and content.
 
     A hash threshold set by the label's count ``n`` passes about twice as many; of these the first by hash are taken, so the number
-    is bounded whatever repeats. Few labels are expected; see ``CLASSES``.
+    is bounded whatever repeats.
     """
     others = [c for c in rows.columns if c != "label"]
-    hashed = rows.join(F.broadcast(sizes), "label").withColumn("at", F.xxhash64(F.lit("sample"), *others))  # one row a label
+    hashed = rows.join(small_side(sizes), "label").withColumn("at", F.xxhash64(F.lit("sample"), *others))
     passed = hashed.where(F.pmod("at", F.lit(1_000_000)) < (2e6 * F.col("size") / F.col("n")).cast("long") + 1)
     order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("order"), "at"), *others))
     return passed.withColumn("order", order).where(F.col("order") <= F.col("size")).orderBy("label", "order").select("label", "window").collect()
@@ -195,12 +196,13 @@ def bounded_sample(rows: DataFrame, sizes: DataFrame) -> list:
 def labelled_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, chars: int = WINDOW) -> list[tuple[str, str]]:
     """(label, window) of ``sample`` rows at most of each label, one window of each row's text, chosen by hashes.
 
-    Rows of the held-out fold, without label or without text are never among them. Of more than CLASSES labels the most frequent are learnt.
+    Rows of the held-out fold, without label or without text are never among them. Every label is learnt; see ``ALL``.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & (F.length(text) > 0) & ~held_out(F.col("id")))
-    sizes = cut_lineage(rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES).withColumn("size", F.lit(sample)))
+    counts = cut_lineage(rows.groupBy("label").agg(F.count("*").alias("n")))
+    sizes = counts.withColumn("size", F.lit(max(1, min(sample, ALL // max(1, counts.count())))))
     start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.length(text) - chars, F.lit(0)) + 1) + 1
     windows = rows.select("label", "id", F.substr(text, start.cast("int"), F.lit(chars)).alias("window"))
     return [(r.label, r.window) for r in bounded_sample(windows, sizes)]

@@ -166,7 +166,7 @@ class _Scorer:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> ToxicModel | None:
-    """A model from labelled rows outside the held-out fold, None unless both classes have some.
+    """A model from labelled rows outside the held-out fold, None unless both classes have three, one for each calibration fold.
 
     At most ``sample`` rows of each class, chosen by hashes, and one window of SAMPLE_CHARS characters of each: a bounded sample. Of contradicting labels of one id the higher one counts.
     """

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import neighbours
+from fieldloom.llm import language, neighbours
 from fieldloom.llm.language import ByteNet, identify_languages, language_filter
 from fieldloom.llm.neighbours import nearest_neighbours
 from fieldloom.llm.token_counts import count_tokens, frequent_pieces
@@ -192,3 +192,14 @@ def test_neighbours_of_a_query_with_many_rows_of_its_own(spark):
         assert len(got[q]) == 20 and q not in got[q]
         hits += (Counter(i for _, i in best) & Counter(got[q])).total()
     assert hits >= 0.9 * 20 * len(got) and len(got) == 21
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """More languages than rows of each may be taken: all are classes, and the sample keeps its bound."""
+    monkeypatch.setattr(language, "ALL", 900)
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 12)}{j % 3}" for j in range(20)), f"l{i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows = language.labelled_windows(df, "doc_id", "text", "lang")
+    per = Counter(label for label, _ in windows)
+    assert len(per) == 300 and max(per.values()) <= 3 and len(windows) <= 900
+    assert language.labelled_windows(df.limit(0), "doc_id", "text", "lang") == []
