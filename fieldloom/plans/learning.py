@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import cluster, folds, metrics, models, selection, soil
+from fieldloom.functions.lineage import shared_folder
+from fieldloom.operators import cluster, folds, metrics, models, runs, selection, soil
 from fieldloom.plans import fixtures as fx
 from fieldloom.plans.fixtures import recursive, rnd, sql, steady
 from fieldloom.plans.registry import Registry, table
@@ -146,16 +149,29 @@ def o77(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.fold_model(_learning_rows(spark, sf_dir), "country", FEATURES, model="ridge", grid=grid, upper=2.0), "y_pred", "train_mse")
 
 
-@query("o77_ridge_two_features", sql("yf pred", "+" + _ROWS + """, p AS (SELECT a.country, a.adm, a.harv_year, a.before AS b0, a.size AS s0, b.before AS b, b.size AS s, b.yield AS y FROM wide a JOIN wide b ON a.country = b.country AND a.harv_year <> b.harv_year),
+_RIDGE = sql("yf pred", "+" + _ROWS + """, p AS (SELECT a.country, a.adm, a.harv_year, a.before AS b0, a.size AS s0, b.before AS b, b.size AS s, b.yield AS y FROM wide a JOIN wide b ON a.country = b.country AND a.harv_year <> b.harv_year),
   m AS (SELECT country, adm, harv_year, any_value(b0) AS b0, any_value(s0) AS s0, avg(b) AS mb, avg(s) AS ms, avg(y) AS my, stddev_pop(b) AS db, stddev_pop(s) AS ds, covar_pop(b, s) / (stddev_pop(b) * stddev_pop(s)) AS r,
     covar_pop(b, y) / stddev_pop(b) AS cb, covar_pop(s, y) / stddev_pop(s) AS cs FROM p GROUP BY ALL)
-  SELECT country AS split, harv_year AS year_out, adm, round(my + (b0 - mb) / db * (cb * 1.5 - cs * r) / (2.25 - r * r) + (s0 - ms) / ds * (cs * 1.5 - cb * r) / (2.25 - r * r), 6) AS y_pred FROM m"""))
+  SELECT country AS split, harv_year AS year_out, adm, round(my + (b0 - mb) / db * (cb * 1.5 - cs * r) / (2.25 - r * r) + (s0 - ms) / ds * (cs * 1.5 - cb * r) / (2.25 - r * r), 6) AS y_pred FROM m""")
+
+
+@query("o77_ridge_two_features", _RIDGE)
 def o77_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One given penalty and no pruning, so that the folds' fits can be written down."""
     out = models.fold_model(_learning_rows(spark, sf_dir), "country", ["before", "size"], grid=[{"alpha": 0.5}], upper=1e9, keep=[])
     return rounded(out.select("split", "year_out", "adm", "y_pred"), "y_pred")
 
 
+@query("o66_resumed_run", _RIDGE)
+def o66_resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge of ``o77_ridge_two_features`` in a run that was stopped after one of three steps and taken up again."""
+    fit = lambda rows: models.fold_model(rows, "country", ["before", "size"], grid=[{"alpha": 0.5}], upper=1e9, keep=[])
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    rows = _learning_rows(spark, sf_dir)
+    runs.run_folds(rows, "country", fit, path, steps=3, only=[1])
+    return rounded(runs.run_folds(rows, "country", fit, path, steps=3).select("split", "year_out", "adm", "y_pred"), "y_pred")
+
+
 @query("o77_fold_model_selected_lasso")
 def o77_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _learning_rows(spark, sf_dir)
