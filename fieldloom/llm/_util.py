@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,9 +60,14 @@ def slices(batches: Iterator[pa.Array], size: int = 2 << 20) -> Iterator[pa.Arra
     give_back()
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def give_back() -> None:
-    """Return the memory that Arrow has freed but holds, as a worker lives on after a task."""
+    """Return the memory that Arrow and the C library have freed but hold, as a worker lives on after a task."""
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 _KEPT: dict[str, object] = {}
