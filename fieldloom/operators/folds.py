@@ -22,6 +22,32 @@ def one_hot_regions(df: DataFrame, regions: Sequence[str], col: str = "adm") ->
     return df.withColumns({f"{col}_{r}": F.coalesce((F.col(col) == r).cast("int"), F.lit(0)) for r in regions})
 
 
+def region_codes(df: DataFrame, col: str = "adm", scope: str = "block") -> DataFrame:
+    """(col, place, n, high, low): a place for each region in order of its name, and what its indicator column holds once scaled.
+
+    ``high`` stands in the region's own rows and ``low`` in all others. They are what ``make_x`` makes of ``one_hot_regions`` with the same scope,
+    worked out from the regions' counts alone; null where a column would be constant. Rows without a region count in the moments.
+    """
+    counts = df.groupBy(col).agg(F.count("*").alias("n"))
+    rows, known = F.sum("n").over(W.partitionBy()), F.count(col).over(W.partitionBy())  # as many rows as regions
+    placed = counts.withColumns({"__rows": rows, "__known": known, "__inside": F.sum(F.when(F.col(col).isNotNull(), F.col("n"))).over(W.partitionBy())}).where(F.col(col).isNotNull())
+    mean = F.col("__inside") / (F.col("__rows") * F.col("__known")) if scope == "block" else F.col("n") / F.col("__rows")
+    deviation = F.when(F.col("n") < F.col("__rows"), F.sqrt(mean - mean * mean))
+    place = (F.row_number().over(W.orderBy(col)) - 1).alias("place")
+    return placed.select(col, place, "n", F.try_divide(1 - mean, deviation).alias("high"), F.try_divide(-mean, deviation).alias("low"))
+
+
+def coded_regions(df: DataFrame, codes: DataFrame, col: str = "adm", few: int = 100_000) -> DataFrame:
+    """``df`` with ``{col}_code``: (place, high, low) of its region as one column in place of an indicator for each; null for unknown regions.
+
+    A row's scaled indicator vector is ``low`` of every region, but ``high`` at ``place``. So a linear model's part in it is the sum of all weights times
+    their ``low``, once for all rows, plus the weight at ``place`` times ``high - low``.
+    """
+    side = codes.select(F.col(col).alias("__region"), F.struct("place", "high", "low").alias(f"{col}_code"))
+    side = F.broadcast(side) if side.limit(few + 1).count() <= few else side
+    return df.join(side, F.col(col) == F.col("__region"), "left").drop("__region")
+
+
 def make_x(df: DataFrame, blocks: Sequence[Sequence[str]], scope: str = "block") -> DataFrame:
     """Scale blocks of columns and drop constant ones; all moments come from one aggregation.
 

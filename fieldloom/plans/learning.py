@@ -33,6 +33,13 @@ def o67(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.groupBy("country", "harv_year").agg(F.sum("adm2_BUILDING").alias("b"), F.sum("adm2_MACHINERY").alias("m"))
 
 
+@query("o67_region_codes", sql("yf", """+ c AS (SELECT adm, count(*) AS n FROM yk GROUP BY adm), t AS (SELECT sum(n)::DOUBLE AS rows, count(*) AS known FROM c)
+  SELECT adm, (row_number() OVER (ORDER BY adm) - 1)::INT AS place, n, round((1 - n / rows) / sqrt(n / rows - n / rows * n / rows), 6) AS high, round(-n / rows / sqrt(n / rows - n / rows * n / rows), 6) AS low FROM c, t"""))
+def o67_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region's place and scaled indicator, each column by itself."""
+    return rounded(folds.region_codes(fx.keyed_fact(spark, sf_dir), scope="column"), "high", "low")
+
+
 @query("o68_make_x", sql("yf", """+ s AS (SELECT sum(area) + sum(production) AS t, sum(area * area) + sum(production * production) AS q, 2 * count(*) AS n, avg(harv_year) AS my, stddev_pop(harv_year) AS sy FROM yf)
   SELECT country, adm1, adm2, round((harv_year - my) / sy, 5) AS harv_year, round((area - t / n) / sqrt(q / n - (t / n) * (t / n)), 5) AS area, round((production - t / n) / sqrt(q / n - (t / n) * (t / n)), 5) AS production FROM yf, s"""))
 def o68(spark: SparkSession, sf_dir: str) -> DataFrame:

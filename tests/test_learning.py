@@ -313,3 +313,28 @@ def test_gram_sums(spark):
         own = z[[i for i, r in enumerate(rows) if r[:2] == (k, j)]]
         assert np.allclose(m, own.T @ own) and (m == m.T).all()
     assert gram_sums(df.limit(0), ["k"], "z", 17).count() == 0
+
+
+@pytest.mark.parametrize("scope", ["block", "column"])
+def test_region_codes_equal_indicator_columns(spark, scope):
+    """50 regions as one column against 50 scaled columns; 10,000 regions stay one column."""
+    rows = [(f"r{i * i % 50:02d}", i) for i in range(400)] + [(f"r{i:02d}", 1000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "adm string, i int").repartition(3)
+    names = sorted({r for r, _ in rows})
+    dense = folds.make_x(folds.one_hot_regions(df, names), [[f"adm_{n}" for n in names]], scope=scope)
+    want = {r.i: [r[f"adm_{n}"] for n in names] for r in dense.collect()}
+    codes = folds.region_codes(df, scope=scope)
+    table = {r.adm: r for r in codes.collect()}
+    assert [table[n].place for n in names] == list(range(50))
+    coded = folds.coded_regions(df, codes)
+    assert coded.columns == ["adm", "i", "adm_code"]
+    for r in coded.collect():
+        got = [table[n].low for n in names]
+        got[r.adm_code.place] = r.adm_code.high
+        assert got == pytest.approx(want[r.i])
+    many = spark.range(20_000).select(F.concat(F.lit("r"), (F.col("id") % 10_000).cast("string")).alias("adm"))
+    wide = folds.coded_regions(many, folds.region_codes(many, scope=scope))
+    assert len(wide.columns) == 2 and wide.agg(F.countDistinct("adm_code.place")).first()[0] == 10_000
+    odd = spark.createDataFrame([(None,), ("x",), ("x",)], "adm string")
+    assert {r.adm: r.adm_code is None for r in folds.coded_regions(odd, folds.region_codes(odd, scope=scope)).collect()} == {None: True, "x": False}
+    assert folds.region_codes(df.limit(0)).count() == 0
