@@ -271,28 +271,27 @@ def _far(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return reduce(np.add, [np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b)])
 
 
-def _tree(prints: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what pairs within ``most`` bits connect, over the closest ones: a minimum spanning forest by Prim's method.
+def _stars(prints: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, member) for every point but the first of each component, where points within ``most`` bits are linked."""
+    n = len(prints[0])
+    first, left = np.arange(n), np.arange(n)
+    while left.size:
+        seed, left = left[0], left[1:]
+        edge = np.array([seed])
+        while edge.size and left.size:
+            block, edge = edge[:64], edge[64:]
+            near = (_far([x[left][None] for x in prints], [x[block, None] for x in prints]) <= most).any(axis=0)
+            first[left[near]] = seed
+            edge = np.concatenate([edge, left[near]])
+            left = left[~near]
+    members = np.flatnonzero(first != np.arange(n))
+    return first[members], members
 
-    The way between two points in it leads over no larger difference than their own, so it does not pass by unrelated points.
+
+def _close(keys: np.ndarray, points: np.ndarray, prints: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that connect, under each key, what pairs within ``most`` bits connect: each point with the smallest one that it reaches,
+    so that components settle in few rounds. Rows are sorted by key.
     """
-    n = len(prints[0])
-    left = np.ones(n, bool)
-    best, origin, a, b = np.full(n, most + 1, np.int16), np.zeros(n, np.int64), [], []
-    for _ in range(n):
-        at = int(np.where(left, best, 32767).argmin())
-        if best[at] <= most:
-            a.append(origin[at])
-            b.append(at)
-        left[at] = False
-        far = _far([x[at] for x in prints], prints)
-        closer = left & (far < best)
-        best[closer], origin[closer] = far[closer], at
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def _close(keys: np.ndarray, prints: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs that connect, under each key, what pairs within ``most`` bits connect. Rows are sorted by key."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -311,7 +310,8 @@ def _close(keys: np.ndarray, prints: list[np.ndarray], most: int) -> tuple[np.nd
             near[at : at + 256] = block.any(axis=1)
         some = np.flatnonzero(near)
         if len(some):
-            x, y = _tree([r[some] for r in run], most)
+            some = some[np.argsort(points[start + some])]
+            x, y = _stars([r[some] for r in run], most)
             a.append(start + some[x])
             b.append(start + some[y])
     return np.concatenate(a), np.concatenate(b)
@@ -324,7 +324,7 @@ def _close_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
     def links(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, points, *prints = (np.concatenate(x) for x in zip(*parts))
         if len(keys) > 1:
-            a, b = _close(keys, [x.view(np.uint64) for x in prints], most)
+            a, b = _close(keys, points, [x.view(np.uint64) for x in prints], most)
             yield pa.RecordBatch.from_arrays([pa.array(points[x]) for x in (a, b)], ["a", "b"])
 
     for batch in batches:
