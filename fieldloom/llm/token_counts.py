@@ -1,10 +1,11 @@
 """Token counts of texts by a map-side lookup of pre-token lengths in two tiers.
 
-A first pass sums up in every task which pre-tokens are frequent, in a summary of bounded size; the summaries (not the pre-tokens)
-merge in a tree of small tasks into one table. The table of the frequent pre-tokens' lengths is broadcast. A second pass looks up
-each pre-token there, then in its worker's own caches, which outlive a task, and merges what neither holds, the misses of some
-megabytes of text at once. Only lengths are kept, no ids. Whether a pre-token is in a tier changes the
-speed only, never a count, and no pre-token is shuffled.
+A first pass, of a few tasks a core, sums up which pre-tokens are frequent, in a summary of bounded size a task. Their hashes and
+counts merge in a tree of small tasks; only the strings of the hashes that are left at its top, at most ``TABLE``, are then read from
+the summaries, each from one of them. So no pre-token is shuffled. The table of the frequent pre-tokens' lengths is broadcast. A second
+pass looks up each pre-token there first; only a miss asks the worker's own caches, which outlive a task, and what they lack is merged,
+the misses of some megabytes of text at once. Only lengths are kept, no ids. Whether a pre-token is in a tier changes the speed only,
+never a count.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from fieldloom.llm.bpe import CACHED_CHARS, Cache, Encoder, Vocabulary
 #: Pre-tokens in the broadcast table, and in every summary.
 TABLE = 16_384
 _FAN = 32
+#: Tasks a core of the pass that sums up; the number of summaries follows the cluster, not the data.
+SUMMARIES = 8
 #: Memory of each of a worker's two caches, of pieces and of chunks.
 CACHE_BYTES = 64 << 20
 
@@ -37,12 +41,26 @@ def _cut(counts: Counter, size: int) -> Counter:
     return Counter({k: n - least for k, n in top[:-1] if n > least})
 
 
-def _summary(counts: Counter, part: int) -> dict:
-    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-    return {"part": [part], "pieces": [[k for k, _ in top]], "counts": [[n for _, n in top]]}
+_SUMMARY = pa.schema([("part", pa.int32()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("pieces", pa.list_(pa.string()))])
+_MERGED = pa.schema([("part", pa.int32()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("sources", pa.list_(pa.int32()))])
+_STRINGS = pa.schema([("hash", pa.int64()), ("piece", pa.string())])
 
 
-_SUMMARY = pa.schema([("part", pa.int32()), ("pieces", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+def _hash(piece: str) -> int:
+    return xxhash.xxh3_64_intdigest(piece.encode()) - (1 << 63)
+
+
+def _merge(rows: pa.Table, size: int) -> pa.Table:
+    """One row of some: the most frequent hashes, their counts, and for each the summary that its string can be read from."""
+    total, sources = Counter(), {}
+    for _, hashes, counts, parts in sorted(zip(*(rows[c].to_pylist() for c in ("part", "hashes", "counts", "sources")))):
+        total.update(dict(zip(hashes, counts)))
+        for h, part in zip(hashes, parts):
+            sources.setdefault(h, part)
+        total = _cut(total, 4 * size)
+    top = sorted(_cut(total, size).items(), key=lambda x: (-x[1], x[0]))
+    columns = [[rows["part"][0].as_py() // _FAN], [[h for h, _ in top]], [[n for _, n in top]], [[sources[h] for h, _ in top]]]
+    return pa.table(columns, schema=_MERGED)
 
 
 def frequent_pieces(docs: DataFrame, text_col: str, path: str, size: int = TABLE) -> list[str]:
@@ -69,23 +87,36 @@ def frequent_pieces(docs: DataFrame, text_col: str, path: str, size: int = TABLE
                 if len(chunk) < 256:  # the table is for the frequent ones
                     for piece in encoder.pieces(before + chunk):
                         pieces[piece] += n
-        yield pa.RecordBatch.from_pydict(_summary(_cut(pieces, size), TaskContext.get().partitionId()), _SUMMARY)
-
-    def merge(rows: pa.Table) -> pa.Table:
-        total = Counter()
-        for part, pieces, counts in sorted(zip(*(rows[c].to_pylist() for c in ("part", "pieces", "counts")))):
-            total.update(dict(zip(pieces, counts)))
-            total = _cut(total, 4 * size)
-        return pa.table(_summary(_cut(total, size), rows["part"][0].as_py() // _FAN), _SUMMARY)
+        top = sorted(_cut(pieces, size).items(), key=lambda x: (-x[1], x[0]))
+        row = [TaskContext.get().partitionId()], [[_hash(p) for p, _ in top]], [[n for _, n in top]], [[p for p, _ in top]]
+        yield pa.RecordBatch.from_pydict(dict(zip(_SUMMARY.names, row)), _SUMMARY)
 
-    schema = "part int, pieces array<string>, counts array<long>"
-    summaries = cut_lineage(docs.select(text_col).mapInArrow(summarise, schema))
+    few = docs.select(text_col).coalesce(SUMMARIES * docs.sparkSession.sparkContext.defaultParallelism)
+    summaries = cut_lineage(few.mapInArrow(summarise, "part int, hashes array<long>, counts array<long>, pieces array<string>"))
     parts = (summaries.agg(F.max("part")).head()[0] or 0) + 1
-    while parts > 1:
-        summaries = summaries.groupBy(F.floor(F.col("part") / _FAN)).applyInArrow(merge, schema)
+    merged = summaries.select("part", "hashes", "counts", F.transform("hashes", lambda h: F.col("part")).alias("sources"))
+    while True:
+        merged = merged.groupBy(F.floor(F.col("part") / _FAN)).applyInArrow(lambda rows: _merge(rows, size), "part int, hashes array<long>, counts array<long>, sources array<int>")
         parts = -(-parts // _FAN)
-    found = summaries.select("pieces").collect()  # one row of `size` strings
-    return found[0].pieces if found else []
+        if parts == 1:
+            break
+    found = merged.select("hashes", "counts", "sources").collect()  # one row of `size` hashes
+    if not found:
+        return []
+    counts, wanted = dict(zip(found[0].hashes, found[0].counts)), {}
+    for h, part in zip(found[0].hashes, found[0].sources):
+        wanted.setdefault(part, set()).add(h)
+    named = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes, pieces in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "pieces"))):
+                own = named.value.get(part, ())
+                kept = {h: p for h, p in zip(hashes, pieces) if h in own}
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], schema=_STRINGS)
+
+    rows = summaries.select("part", "hashes", "pieces").mapInArrow(strings, "hash long, piece string").collect()  # `size` strings, one a hash
+    return [r.piece for r in sorted(rows, key=lambda r: (-counts[r.hash], r.piece))]
 
 
 #: Byte lengths up to which pieces are merged many at once, as rows of one matrix each.
@@ -97,6 +128,9 @@ class LengthCounter:
 
     def __init__(self, vocabulary: Vocabulary, table: dict[str, int]) -> None:
         self.encoder, self.v, self.table = Encoder(vocabulary), vocabulary, table
+        blank = "" if vocabulary.lower else " "
+        # What stands between two blanks and is one pre-token, with the blank before it, is found in the table without being cut.
+        self.whole = {p[len(blank) :]: n for p, n in table.items() if len(p) > len(blank) and p.startswith(blank) and self.encoder.pieces(p) == [p]}
         self.of_piece, self.of_chunk = Cache(size=CACHE_BYTES), Cache(size=CACHE_BYTES)
         pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in vocabulary.merges.items())
         self.pairs, self.ranks, self.new = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ([-1], [0], [0])))
@@ -181,12 +215,12 @@ class LengthCounter:
         starts = list(set(firsts))
         of_start = dict(zip(starts, self._new_chunks(starts, "")))
         blank, cache = "" if self.v.lower else " ", self.of_chunk
-        lengths = list(map(cache.get, rests))
+        lengths = list(map(self.whole.get, rests))
         places = [i for i, n in enumerate(lengths) if n is None]
         if places:
             found, missing, older = {}, [], cache.before
             for c in {rests[i] for i in places}:
-                if n := older.get(c):
+                if n := cache.get(c) or older.get(c):
                     found[c] = n
                 else:
                     missing.append(c)

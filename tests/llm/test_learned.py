@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldloom.llm import language, neighbours
+from fieldloom.llm.bpe import Encoder, Vocabulary
 from fieldloom.llm.language import ByteNet, identify_languages, language_filter
 from fieldloom.llm.neighbours import nearest_neighbours
-from fieldloom.llm.token_counts import count_tokens, frequent_pieces
+from fieldloom.llm.token_counts import LengthCounter, count_tokens, frequent_pieces
 from fieldloom.llm.toxicity import STEPS, _grams, _unexplained, score_toxicity, train_toxicity
 from fieldloom.llm.toxicity import WINDOW as WINDOW_BYTES
 from tests.llm.test_bpe import texts
@@ -137,6 +138,23 @@ def test_token_counts_equal_the_library(spark, name):
     assert df.limit(0).select(count_tokens(df.limit(0), path)).count() == 0
 
 
+def test_frequent_pieces_of_many_summaries(spark):
+    """The same as by counting in one place, when pieces are spread unevenly over 40 tasks; a table is asked before any cache."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    names = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    every = [" " + " ".join(rng.choices(names[: 20 + i], [1 / (j + 1) for j in range(20 + i)], k=300)) for i in range(180)]
+    encoder, want = Encoder(Vocabulary.load(path)), Counter()
+    for t in every:
+        want.update(p for c in t.split(" ")[2:] for p in encoder.pieces(" " + c))
+    df = spark.createDataFrame([(t,) for t in every], "text string").repartition(40)
+    got = frequent_pieces(df, "text", path, 1000)
+    assert set(want) <= set(got) and got[:3] == [p for p, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))][:3]
+    counter = LengthCounter(Vocabulary.load(path), {" word": 7})
+    assert [*counter.counts(["a word word", None])] == [15, 0] and [*counter.counts(["a word"])] == [8]
+    assert "word" not in counter.of_chunk and " word" not in counter.of_piece
+
+
 def brute_neighbours(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     asked = {}
