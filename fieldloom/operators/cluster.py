@@ -93,13 +93,29 @@ def _tau_p_value(*columns: Column) -> Column:
     return p_value(*columns)
 
 
-def kmeans_regions(profiles: DataFrame, k: int, features: str = "features", seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """Rows with ``cluster`` of k-means on an array column."""
+def kmeans_regions(profiles: DataFrame, k: int, features: str = "features", seed: int = 42, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
+    """Rows with ``cluster`` of k-means on an array column; stops when no centre moves by more than ``tol``."""
     rows = profiles.withColumn("__v", array_to_vector(F.col(features).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__v", predictionCol="cluster").fit(rows)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="__v", predictionCol="cluster").fit(rows)
     return model.transform(rows).drop("__v")
 
 
+def misplaced(found: DataFrame, features: str = "features", slack: float = 1e-9) -> DataFrame:
+    """One row (points, clusters, misplaced): how many points lie nearer, by more than ``slack``, to the mean of another cluster than to their own's.
+
+    ``found`` has ``cluster`` and vectors of equal length. Means are sums by cluster and place; one array of them goes to the points.
+    """
+    rows = found.select("cluster", F.col(features).cast("array<double>").alias("v"))
+    sums = rows.select("cluster", F.posexplode("v").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("x"))
+    means = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("m"))
+    every = means.agg(F.collect_list(F.struct("cluster", "m")).alias("means"))  # one row of k means
+    gap = lambda m: F.aggregate(F.zip_with("v", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    least = F.array_min(F.transform("means", lambda c: gap(c["m"])))
+    own = F.element_at(F.filter("means", lambda c: c["cluster"] == F.col("cluster")), 1)["m"]
+    wrong = F.count_if(gap(own) > least + slack)
+    return rows.crossJoin(F.broadcast(every)).agg(F.count("*").alias("points"), F.count_distinct("cluster").alias("clusters"), wrong.alias("misplaced"))
+
+
 def kmeans_elbow(profiles: DataFrame, max_k: int, features: str = "features", seed: int = 42, max_iter: int = 20) -> DataFrame:
     """(k, wcss, silhouette) for k from 2: within-cluster squares relative to the largest, and the squared-Euclidean silhouette."""
     rows = profiles.select(array_to_vector(F.col(features).cast("array<double>")).alias("__v")).cache()

@@ -65,13 +65,14 @@ def fold_correlations(df: DataFrame, split: str, features: Sequence[str]) -> Dat
 def mi_vif_selection(df: DataFrame, split: str, features: Sequence[str], y: str, limit: float = 5.0, k: int = 3) -> DataFrame:
     """(split, year_out, rank, feature): in each fold features by information, less those that inflate variance beyond ``limit``.
 
-    ``df`` has (split column, harv_year, features, y). The training rows of a fold are those of its split's other years.
+    ``df`` has (split column, harv_year, features, y). The training rows of a fold are those of its split's other years. Features that
+    tell equally much, but for the rounding of sums, come in order of their names.
     """
     from fieldloom.operators.folds import with_roles
 
     train = with_roles(df, split).where("role = 'train'")
     information = mutual_information(train, features, y, k)
-    ranked = information.groupBy(*FOLD).agg(F.array_sort(F.collect_list(F.struct((-F.col("mi")).alias("m"), "feature"))).alias("f"))
+    ranked = information.groupBy(*FOLD).agg(F.array_sort(F.collect_list(F.struct(F.round(-F.col("mi"), 12).alias("m"), "feature"))).alias("f"))
     both = ranked.select(*FOLD, F.transform("f", lambda x: x["feature"]).alias("f")).join(fold_correlations(df, split, features), list(FOLD))
     names = list(features)
 

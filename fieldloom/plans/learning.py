@@ -123,13 +123,21 @@ wide AS (SELECT *, 2 * size + 1 + before / 1000 AS again FROM ln)"""
 _DIGAMMA = "coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0::DOUBLE / i)), 0)"
 
 
-@query("o74_mutual_information", sql("yf pred", "+" + _ROWS + f""", long AS (UNPIVOT wide ON before, size, noisy, again INTO NAME feature VALUE x),
-  fold AS (SELECT split, year_out, feature, row_number() OVER () AS id, x, yield AS y FROM (SELECT DISTINCT country AS split, harv_year AS year_out FROM wide) JOIN long ON country = split AND harv_year <> year_out WHERE x IS NOT NULL AND yield IS NOT NULL),
-  z AS (SELECT split, year_out, feature, id, (x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS x, (y - avg(y) OVER w) / coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS y, count(*) OVER w AS n FROM fold WINDOW w AS (PARTITION BY split, year_out, feature)),
+def _information(features: str) -> str:
+    """CTEs to ``i`` (split, year_out, feature, mi): the nearest-neighbour estimate for each fold and feature, by all pairs of its rows."""
+    return f"""+{_ROWS}, long AS (UNPIVOT wide ON {features} INTO NAME feature VALUE x),
+  fold AS (SELECT split, year_out, feature, row_number() OVER () AS id, x, yield AS y FROM (SELECT DISTINCT country AS split, harv_year AS year_out FROM wide)
+    JOIN long ON country = split AND harv_year <> year_out WHERE x IS NOT NULL AND yield IS NOT NULL),
+  z AS (SELECT split, year_out, feature, id, (x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS x,
+    (y - avg(y) OVER w) / coalesce(nullif(stddev_pop(y) OVER w, 0), 1) AS y, count(*) OVER w AS n FROM fold WINDOW w AS (PARTITION BY split, year_out, feature)),
   near AS (SELECT a.id, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS reach FROM z a JOIN z b USING (split, year_out, feature) WHERE a.id <> b.id GROUP BY a.id),
-  c AS (SELECT a.split, a.year_out, a.feature, a.id, any_value(a.n) AS n, count(*) FILTER (abs(a.x - b.x) < reach - 1e-9) AS cx, count(*) FILTER (abs(a.y - b.y) < reach - 1e-9) AS cy FROM z a JOIN near USING (id) JOIN z b ON a.split = b.split AND a.year_out = b.year_out AND a.feature = b.feature AND a.id <> b.id GROUP BY ALL),
-  i AS (SELECT split, year_out, feature, 1.5 + any_value({_DIGAMMA.format(n="n")}) - avg({_DIGAMMA.format(n="cx + 1")} + {_DIGAMMA.format(n="cy + 1")}) AS mi FROM c GROUP BY ALL)
-  SELECT split, year_out, feature, round(mi, 6) AS mi FROM i WHERE mi > 1e-3"""))
+  c AS (SELECT a.split, a.year_out, a.feature, a.id, any_value(a.n) AS n, count(*) FILTER (abs(a.x - b.x) < reach - 1e-9) AS cx,
+    count(*) FILTER (abs(a.y - b.y) < reach - 1e-9) AS cy FROM z a JOIN near USING (id)
+    JOIN z b ON a.split = b.split AND a.year_out = b.year_out AND a.feature = b.feature AND a.id <> b.id GROUP BY ALL),
+  i AS (SELECT split, year_out, feature, 1.5 + any_value({_DIGAMMA.format(n="n")}) - avg({_DIGAMMA.format(n="cx + 1")} + {_DIGAMMA.format(n="cy + 1")}) AS mi FROM c GROUP BY ALL)"""
+
+
+@query("o74_mutual_information", sql("yf pred", _information(", ".join(FEATURES)) + " SELECT split, year_out, feature, round(mi, 6) AS mi FROM i WHERE mi > 1e-3"))
 def o74(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = folds.with_roles(_learning_rows(spark, sf_dir), "country").where("role = 'train'")
     return rounded(selection.mutual_information(train, FEATURES, "yield"), "mi")
@@ -140,6 +148,20 @@ def o75(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.mi_vif_selection(_learning_rows(spark, sf_dir), "country", FEATURES, "yield")
 
 
+@query("o75_two_features", sql("yf pred", _information(", ".join(FEATURES)) + """,
+  f AS (SELECT DISTINCT country AS split, harv_year AS year_out FROM wide),
+  r AS (SELECT split, year_out, corr(size, again) AS near, corr(before, noisy) AS far FROM f JOIN wide ON country = split AND harv_year <> year_out GROUP BY ALL),
+  p AS (SELECT *, CASE WHEN feature IN ('size', 'again') THEN 'near' ELSE 'far' END AS pair FROM i WHERE mi > 1e-3),
+  o AS (SELECT *, row_number() OVER (PARTITION BY pair, split, year_out ORDER BY round(mi, 12) DESC, feature) AS place FROM p)
+  SELECT pair, split, year_out, place::INT AS rank, feature FROM o JOIN r USING (split, year_out)
+  WHERE place = 1 OR 1 / (1 - pow(CASE pair WHEN 'near' THEN near ELSE far END, 2)) <= 5"""))
+def o75_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two features: the one that tells more, and the other unless it inflates the variance, as it does where they share a part (``near``)."""
+    rows = _learning_rows(spark, sf_dir)
+    near, far = (selection.mi_vif_selection(rows, "country", two, "yield").select(F.lit(name).alias("pair"), "*") for name, two in (("near", ["size", "again"]), ("far", ["before", "noisy"])))
+    return near.unionAll(far)
+
+
 @query("o76_selection_frequency", sql("yf", """+ k AS (SELECT DISTINCT country AS split, harv_year AS year_out FROM yf), s AS (SELECT * FROM k, (VALUES ('ndvi_1'), ('ndvi_2'), ('temp_1')) AS f(feature) WHERE (year_out + length(split) + length(feature) + ascii(right(feature, 1))) % 3 <> 0),
   n AS (SELECT feature, count(*) AS n FROM s GROUP BY 1), e AS (SELECT * FROM (VALUES ('ndvi_1'), ('ndvi_2'), ('temp_1'), ('temp_2')) AS f(feature) LEFT JOIN n USING (feature))
   SELECT left(feature, length(feature) - 2) AS base, round(max(coalesce(n, 0) / (SELECT count(*) FROM k)) FILTER (right(feature, 1) = '1'), 6) AS "1", round(max(coalesce(n, 0) / (SELECT count(*) FROM k)) FILTER (right(feature, 1) = '2'), 6) AS "2" FROM e GROUP BY 1"""))
@@ -427,6 +449,13 @@ def o97(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans_regions(table(spark, sf_dir, "embeddings"), 7, "embedding").select("vec_id", "cluster")
 
 
+@query("o97_kmeans_settled", "SELECT count(*) AS points, 7::BIGINT AS clusters, 0::BIGINT AS misplaced FROM embeddings")
+def o97_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Once settled, every point is nearest to the mean of its own cluster: those of which that is not so are counted."""
+    found = cluster.kmeans_regions(table(spark, sf_dir, "embeddings"), 7, "embedding", max_iter=500, tol=0.0)
+    return cluster.misplaced(found, "embedding")
+
+
 @query("o98_kmeans_elbow")
 def o98(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cluster.kmeans_elbow(table(spark, sf_dir, "embeddings"), 4, "embedding"), "wcss", "silhouette")

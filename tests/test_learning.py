@@ -338,3 +338,16 @@ def test_region_codes_equal_indicator_columns(spark, scope):
     odd = spark.createDataFrame([(None,), ("x",), ("x",)], "adm string")
     assert {r.adm: r.adm_code is None for r in folds.coded_regions(odd, folds.region_codes(odd, scope=scope)).collect()} == {None: True, "x": False}
     assert folds.region_codes(df.limit(0)).count() == 0
+
+
+def test_misplaced_points_are_counted(spark):
+    """Against numpy, on clusters that are not settled; empty rows give zeros, and settled k-means has none."""
+    x = np.random.default_rng(7).normal(size=(400, 3))
+    given = np.arange(400) % 4
+    rows = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(given, x)], "cluster int, v array<double>")
+    means = np.array([x[given == c].mean(0) for c in range(4)])
+    gaps = ((x[:, None] - means) ** 2).sum(2)
+    want = (gaps[np.arange(400), given] > gaps.min(1) + 1e-9).sum()
+    assert tuple(cluster.misplaced(rows, "v").head()) == (400, 4, want) and want > 100
+    assert tuple(cluster.misplaced(cluster.kmeans_regions(rows.drop("cluster"), 4, "v", max_iter=500, tol=0.0), "v").head()) == (400, 4, 0)
+    assert tuple(cluster.misplaced(rows.limit(0), "v").head()) == (0, 0, 0)
