@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.functions.numeric import gamma_mle, gamma_p, norm_ppf
+from fieldloom.functions.gamma import gamma_score, gamma_shape
 from fieldloom.operators.profiles import rolling_gaussian
 from fieldloom.operators.trends import linear_trend, real_spread
 
@@ -44,8 +42,8 @@ def standardized_index(series: DataFrame, window: int | None = None, dist: str =
 
     Small gaps are filled, the series smoothed by a Gaussian ``window`` and its linear trend removed if its slope is
     significant. Day 366 counts as 365. A day with an exact 0 in any year is 0 in all. Else ``gaussian`` gives the distance from
-    the mean in population deviations, null where all are equal but for rounding; ``gamma`` the normal quantile of a fitted gamma's probability.
-    All of it stays partitioned by region.
+    the mean in population deviations, null where all are equal but for rounding; ``gamma`` the normal quantile of the probability under
+    a gamma fitted to the day's positive values, null where it has none. Windows by region and day do all of it; no Python.
     """
     if dist not in ("gaussian", "gamma"):
         raise ValueError(f"unknown distribution {dist}")
@@ -57,26 +55,14 @@ def standardized_index(series: DataFrame, window: int | None = None, dist: str =
         line = F.coalesce(F.col("intercept") + F.col("slope") * F.col("position"), F.lit(0.0))
         rows = _positions(rows).join(fits, "adm", "left").withColumn("value", F.col("value") - line).select("adm", "date", "value")
     rows = rows.withColumn("doy", F.least(F.dayofyear("date"), F.lit(365)))
-    if dist == "gamma":
-        return rows.groupBy("adm").applyInPandas(_gamma_index, "adm string, date date, value double")
     w = W.partitionBy("adm", "doy")
     zero = F.coalesce(F.max(F.col("value") == 0).over(w), F.lit(False))
+    if dist == "gamma":
+        positive = F.when(F.col("value") > 0, F.col("value"))
+        fit = rows.select("adm", "date", "value", zero.alias("__zero"), F.avg(positive).over(w).alias("__mean"), F.avg(F.log(positive)).over(w).alias("__log"))
+        fit = fit.withColumn("__shape", gamma_shape(F.col("__mean"), F.col("__log")))
+        score = F.when(F.col("value").isNotNull() & F.col("__mean").isNotNull(), gamma_score(F.col("__shape"), F.col("value") / F.col("__mean")))
+        return fit.select("adm", "date", F.when(F.col("__zero"), F.when(F.col("value").isNotNull(), F.lit(0.0))).otherwise(score).alias("value"))
     spread = real_spread(F.stddev_pop("value").over(w), F.max(F.abs(F.col("value"))).over(w))
     z = (F.col("value") - F.avg("value").over(w)) / spread
     return rows.select("adm", "date", F.when(zero, F.when(F.col("value").isNotNull(), F.lit(0.0))).otherwise(z).alias("value"))
-
-
-def _gamma_index(rows: pd.DataFrame) -> pd.DataFrame:
-    """The index of one region, all days of the year at once."""
-    v, day = rows["value"].to_numpy(float), rows["doy"].to_numpy(int)
-    ok = ~np.isnan(v)
-    positive = ok & (v > 0)
-    sums = lambda x, m: np.bincount(day[m], x[m], minlength=367)
-    n = np.bincount(day[positive], minlength=367)
-    zero = np.bincount(day[ok & (v == 0)], minlength=367) > 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log = np.log(np.where(positive, v, 1.0))
-        shape, scale = gamma_mle(np.where(n > 0, sums(v, positive) / n, 1.0), np.where(n > 0, sums(log, positive) / n, 0.0))
-        z = norm_ppf(gamma_p(shape[day], np.where(ok, v, 0.0) / scale[day]))
-    z = np.where(zero[day], 0.0, np.where(n[day] > 0, z, np.nan))
-    return pd.DataFrame({"adm": rows["adm"], "date": rows["date"], "value": [None if (not k or np.isnan(x)) else x for k, x in zip(ok, z)]})

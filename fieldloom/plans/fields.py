@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.gamma import QUANTILE
 from fieldloom.operators import indices, profiles, season, zonal
 from fieldloom.plans import fixtures as fx
 from fieldloom.plans.fixtures import least_squares, recursive, rnd, slope_p, sql, steady
@@ -309,9 +310,35 @@ def o58(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(rounded(index, "value", digits=5))
 
 
-@query("o58_index_gamma")
+def _ratio(i: int, x: str) -> str:
+    """One of the rational approximations of the normal quantile at ``x``."""
+    top, bottom = (f"list_reduce([{", ".join(f"{c!r}::DOUBLE" for c in QUANTILE[j])}], lambda s, c: s * ({x}) + c)" for j in (i, i + 1))
+    return f"{top} / {bottom}"
+
+
+_PSI = """(ln(a + 10) - 0.5 / (a + 10) - 1 / (12 * pow(a + 10, 2)) + 1 / (120 * pow(a + 10, 4)) - 1 / (252 * pow(a + 10, 6)) + 1 / (240 * pow(a + 10, 8))
+    - list_sum(list_transform(range(0, 10), lambda j: 1 / (a + j))))"""
+_PSI_SLOPE = """(1 / (a + 10) + 0.5 / pow(a + 10, 2) + 1 / (6 * pow(a + 10, 3)) - 1 / (30 * pow(a + 10, 5)) + 1 / (42 * pow(a + 10, 7))
+    + list_sum(list_transform(range(0, 10), lambda j: 1 / pow(a + j, 2))))"""
+
+
+@query("o58_index_gamma", sql("daily", f"""+ i AS (SELECT *, row_number() OVER (PARTITION BY adm ORDER BY date) AS i FROM daily),
+  p AS (SELECT a.adm, a.date, b.value, exp(-0.5 * (((b.i - a.i)::DOUBLE + 0.5) / 10) ** 2) AS w FROM i a JOIN i b ON a.adm = b.adm AND b.i BETWEEN a.i - 15 AND a.i + 14),
+  s AS (SELECT adm, date, least(dayofyear(date), 365) AS doy, sum(w * value) / sum(w) FILTER (value IS NOT NULL) AS v FROM p GROUP BY 1, 2),
+  m AS (SELECT adm, date, v / avg(v) OVER w AS r, greatest(ln(avg(v) OVER w) - avg(ln(v)) OVER w, 1e-12) AS g FROM s WINDOW w AS (PARTITION BY adm, doy)),
+  b AS (SELECT *, (3 - g + sqrt((g - 3) * (g - 3) + 24 * g)) / (12 * g) AS a0 FROM m),
+  k AS (SELECT adm, date, r, CASE WHEN g < 0.5 / 1e5 THEN a0 ELSE list_reduce(range(1, 8)::DOUBLE[], lambda a, _: a - (ln(a) - {_PSI} - g) / (1 / a - {_PSI_SLOPE}), a0) END AS a FROM b),
+  x AS (SELECT adm, date, a, r, a * r AS x, (ceil(greatest(a * r - a, 0) + 9 * sqrt(a * r) + 40))::BIGINT AS n,
+    (a + 9.5) * ln(a + 10) - a - 10 + 0.5 * ln(2 * pi()) + 1 / (12 * (a + 10)) - 1 / (360 * pow(a + 10, 3)) + 1 / (1260 * pow(a + 10, 5)) - list_sum(list_transform(range(0, 10), lambda j: ln(a + j))) - a * ln(a) + a AS rest
+    FROM k WHERE a < 1e5),
+  t AS (SELECT adm, date, a, r, rest, list_reduce(list_transform(range(n, 0, -1), lambda j: x / (a + j)), lambda s, q: 1 + s * q, 1.0::DOUBLE) AS total FROM x),
+  c AS (SELECT adm, date, least(exp(a * (ln(r) - r + 1) - rest) * total / a, 1) AS c FROM t),
+  q AS (SELECT adm, date, c, c - 0.5 AS q, sqrt(-ln(least(c, 1 - c))) AS t FROM c),
+  z AS (SELECT adm, date, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(0, "0.180625 - q * q")} WHEN t <= 5 THEN sign(q) * {_ratio(2, "t - 1.6")} ELSE sign(q) * {_ratio(4, "t - 5")} END AS z FROM q
+    UNION ALL SELECT adm, date, 3 * sqrt(a) * (cbrt(r) - 1 + 1 / (9 * a)) FROM k WHERE a >= 1e5)
+  SELECT adm, date::VARCHAR AS date, round(z, 5) AS value FROM z"""))
 def o58_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothed, not detrended, gamma; tested against numerical integration."""
+    """Smoothed, not detrended, gamma."""
     return dated(rounded(indices.standardized_index(fx.daily_series(spark, sf_dir), 30, "gamma", False), "value", digits=5))
 
 

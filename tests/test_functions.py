@@ -103,3 +103,27 @@ def test_grouped_quantiles_are_exact(spark, monkeypatch, array, parts):
         assert got[k] == pytest.approx(np.quantile(values, wanted).tolist() if k != "far" else one[k], rel=1e-12)
         assert got[k] == pytest.approx(one[k], rel=1e-12)
     assert quantiles.grouped_quantiles(df.limit(0), ["k"], "x", wanted).count() == 0
+
+
+def test_gamma_columns(spark):
+    """Shapes, probabilities and quantiles as columns equal the numpy ones; the far tails and large shapes too."""
+    from statistics import NormalDist
+
+    from fieldloom.functions import gamma as G
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for a in (0.05, 0.4, 1.0, 3.3, 40.0, 900.0, 3e4):
+        x = rng.gamma(a, 1 / a, 500)
+        rows += [(float(x.mean()), float(np.log(np.maximum(x, 1e-300)).mean()), a, float(r)) for r in (1e-3, 0.3, 0.97, 1.0, 1.02, 1.8, 3.0) if abs(math.log(r)) * math.sqrt(a) < 5]
+    df = spark.createDataFrame(rows, "mean double, log double, a double, r double")
+    got = df.select("*", G.gamma_shape(F.col("mean"), F.col("log")).alias("shape"), G.gamma_probability(F.col("a"), F.col("r")).alias("p"), G.digamma(F.col("a")).alias("d"), G.trigamma(F.col("a")).alias("t")).collect()
+    for g in got:
+        assert g.shape == pytest.approx(float(N.gamma_mle(np.array([g.mean]), np.array([g.log]))[0][0]), rel=1e-8)
+        assert g.p == pytest.approx(float(N.gamma_p(g.a, g.a * g.r)), rel=1e-8, abs=1e-12)
+        assert g.d == pytest.approx(float(N.digamma(np.array([g.a]))[0]), rel=1e-9) and g.t == pytest.approx(float(N.trigamma(np.array([g.a]))[0]), rel=1e-8)
+    ps = [1e-300, 1e-20, 1e-9, 0.01, 0.075, 0.2, 0.5, 0.925, 0.93, 1 - 1e-12]
+    q = spark.createDataFrame([(p,) for p in ps], "p double").select(G.normal_quantile(F.col("p")).alias("q")).collect()
+    assert [r.q for r in q] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-12, abs=1e-15)
+    ends = spark.createDataFrame([(2.0, 0.0), (2.0, -1.0), (5e11, 1.0), (1e5, 1.003), (99999.0, 1.003)], "a double, r double").select(G.gamma_score(F.col("a"), F.col("r")).alias("z")).collect()
+    assert ends[0].z == ends[1].z == -math.inf and ends[2].z == pytest.approx(0, abs=1e-6) and ends[3].z == pytest.approx(ends[4].z, abs=1e-4)
