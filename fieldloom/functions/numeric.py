@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from functools import cache
 from itertools import accumulate
-from statistics import NormalDist
 
 import numpy as np
 
@@ -113,12 +112,6 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.clip(out, 0, 1))
 
 
-def norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Quantile of the standard normal distribution; infinite at 0 and 1."""
-    inv = NormalDist().inv_cdf
-    return np.array([-math.inf if q <= 0 else math.inf if q >= 1 else inv(q) for q in np.ravel(p)]).reshape(np.shape(p))
-
-
 def gamma_mle(mean: np.ndarray, mean_log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shape, scale) of gamma distributions located at 0 with the largest likelihood, from means and mean logarithms."""
     s = np.maximum(np.log(mean) - mean_log, 1e-12)
