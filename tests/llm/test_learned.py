@@ -212,6 +212,18 @@ def test_neighbours_of_a_query_with_many_rows_of_its_own(spark):
     assert hits >= 0.9 * 20 * len(got) and len(got) == 21
 
 
+def test_codes_tell_long_vectors_that_the_sample_lacks():
+    """Codes are of directions: a vector far longer than the sample's is told as well as these, and huge ones do not overflow."""
+    rng = np.random.default_rng(8)
+    quantiser = neighbours.train_quantiser(rng.standard_normal((2000, 16)), 6000)
+    for scale in (1e-200, 1.0, 100.0, 1e200):
+        x = scale * rng.standard_normal((500, 16))
+        unit, length = neighbours.directions(x)
+        assert np.allclose(unit * length[:, None], x, rtol=1e-4, atol=scale * 1e-5)
+        own = quantiser.lists(unit)
+        assert np.abs(quantiser.decoded(own, quantiser.codes(unit, own)) - unit).max() < 0.3
+
+
 def test_every_language_is_learnt(spark, monkeypatch):
     """More languages than rows of each may be taken: all are classes, and the sample keeps its bound."""
     monkeypatch.setattr(language, "ALL", 900)
