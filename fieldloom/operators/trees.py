@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.lineage import cut_lineage
 
+#: Gains that differ by less than this part are equal; of equal ones the first counts, whatever order sums were taken in.
+TIE = 1e-9
 #: Bins of a feature, rows of a block, models that meet a block at once.
 BINS, ROWS, CHUNK = 32, 32_768, 32
 DEFAULTS = {"rf": {"trees": 20, "depth": 3, "min_leaf": 1, "share": 1 / 3}, "gbt": {"trees": 20, "depth": 2, "min_leaf": 1, "rate": 0.1}}
@@ -83,7 +85,7 @@ def best_cut(n: np.ndarray, s: np.ndarray, min_leaf: float) -> tuple[float, int]
     right, sum_right = n.sum() - left, s.sum() - sum_left
     fits = (left >= min_leaf) & (right >= min_leaf) & (left > 0) & (right > 0)
     gain = np.where(fits, sum_left**2 / np.where(fits, left, 1) + sum_right**2 / np.where(fits, right, 1) - s.sum() ** 2 / max(n.sum(), 1e-300), 0.0)
-    at = int(gain.argmax())
+    at = int((gain >= gain.max() * (1 - TIE)).argmax())
     return float(gain[at]), at
 
 
@@ -205,7 +207,7 @@ def _levelled(blocks: DataFrame, models: DataFrame, size: int) -> DataFrame:
                     tree = spec["trees"][h["tree"]]
                     tree.values[h["node"]] = float(s.sum() / n.sum()) if n.sum() else tree.values.get((h["node"] - 1) // 2, 0.0)
                     gain, cut = best_cut(n, s, spec["params"]["min_leaf"])
-                    if gain > best.get((h["tree"], h["node"]), (1e-12,))[0] and spec["level"] < spec["params"]["depth"]:
+                    if gain > best.get((h["tree"], h["node"]), (1e-12,))[0] * (1 + TIE) and spec["level"] < spec["params"]["depth"]:
                         best[h["tree"], h["node"]] = (gain, h["feature"], cut)
                 for (t, node), (gain, feature, cut) in best.items():
                     spec["trees"][t].cuts[node] = (feature, cut, gain)

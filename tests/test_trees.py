@@ -127,3 +127,37 @@ def test_draws_are_poisson():
     assert times.mean() == pytest.approx(1, abs=0.02) and times.var() == pytest.approx(1, abs=0.03) and times.max() <= 7
     assert (drawn_times(np.arange(50), 1, 42) != drawn_times(np.arange(50), 2, 42)).any()
     assert len(offered(range(9), 1 / 3, 0, 0, 1)) == 3 and offered([4], 0.1, 0, 0, 1) == [4]
+
+
+def test_cuts_that_gain_alike():
+    """Sums in another order do not decide between cuts: the first one counts."""
+    n = np.ones(3)
+    s = np.array([0.1 + 0.2, -0.3, 0.0])
+    assert best_cut(n, s, 1)[1] == 0
+    for tiny in (-1e-13, 0.0, 1e-13):
+        assert best_cut(np.ones(4), np.array([1.0, -1.0, 1.0 + tiny, -1.0]), 1)[1] == 0
+
+
+@pytest.mark.parametrize("name", ["o77_stump", "o79_fold_importance"])
+def test_one_cut_trees_whose_yields_hardly_differ(spark, tmp_path, name):
+    """Yields so alike that no cut point divides a fold, or that gains differ in their seventh digit only: rows and choices as in the SQL."""
+    import duckdb
+
+    from fieldloom.plans import all_queries
+
+    registry = all_queries()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE region AS SELECT i::BIGINT AS r_regionkey, ['AFRICA', 'ASIA'][i + 1] AS r_name FROM range(2) t(i)")
+    con.execute("CREATE TABLE nation AS SELECT i::BIGINT AS n_nationkey, 'N' || i AS n_name, (i % 2)::BIGINT AS n_regionkey FROM range(4) t(i)")
+    con.execute("CREATE TABLE customer AS SELECT i::BIGINT AS c_custkey, (i % 4)::BIGINT AS c_nationkey, 'S' || (i // 4) AS c_mktsegment FROM range(12) t(i)")
+    con.execute("CREATE TABLE orders AS SELECT i::BIGINT AS o_orderkey, (i % 12)::BIGINT AS o_custkey, make_date(1992 + (i // 12)::INT, 3, 1) AS o_orderdate FROM range(72) t(i)")
+    con.execute("""CREATE TABLE lineitem AS SELECT i::BIGINT AS l_orderkey, 1000.0::DOUBLE AS l_quantity,
+      CASE WHEN i % 2 = 1 THEN 2150 ELSE 2100 + (hash(i) % 7)::INT - 3 END * 1000.0::DOUBLE + hash(i * 5) % 97 AS l_extendedprice FROM range(72) t(i)""")
+    for t in ("region", "nation", "customer", "orders", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df = registry.queries[name](spark, str(tmp_path))
+    got = [tuple(r) for r in df.collect()]
+    want = con.execute(registry.sql[name]).fetchall()
+    key = lambda r: tuple(round(v, 5) if isinstance(v, float) else v for v in r)
+    assert len(got) == (72 if name == "o77_stump" else 24)
+    assert sorted(map(key, got)) == sorted(map(key, want))
