@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.lineage import cut_lineage
 from fieldloom.operators.folds import loyo_folds, pending_folds
 
 
@@ -31,7 +32,7 @@ def run_folds(df: DataFrame, split: str, fit: Callable[[DataFrame], DataFrame],
     """
     spark, kind = df.sparkSession, dict(df.dtypes)[split]
     schema = f"adm string, harv_year int, y_pred double, train_mse double, n_trials int, split {kind}, year_out int"
-    rows = df.where(F.col(split).isNotNull() & F.col("harv_year").isNotNull())
+    rows = cut_lineage(df.where(F.col(split).isNotNull() & F.col("harv_year").isNotNull()))  # read by every step
     # A fold has as many rows as its year, less those that the fit leaves out for a null target.
     expected = rows.where(F.col("yield").isNotNull()).groupBy(F.col(split).alias("split"), F.col("harv_year").alias("year_out")).agg(F.count("*").alias("n"))
     of = F.pmod(F.xxhash64(F.col("split").cast("string")), F.lit(steps))

@@ -92,12 +92,15 @@ def steady(text: str) -> str:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's sums with its customer's nation and segment. Lines are added up by order before they meet anything, orders meet the customers first."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    lines = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("l_quantity"), F.sum("cents").alias("cents"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = orders.join(customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    placed = placed.select("o_orderkey", "o_orderdate", "c_mktsegment", "n_name", "r_name")
+    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def yield_fact(spark: SparkSession, sf_dir: str) -> DataFrame:

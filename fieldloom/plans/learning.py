@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.lineage import shared_folder
+from fieldloom.functions.lineage import cut_lineage, shared_folder
 from fieldloom.operators import cluster, folds, metrics, models, runs, selection, soil
 from fieldloom.plans import fixtures as fx
 from fieldloom.plans.fixtures import recursive, rnd, sql, steady
@@ -106,13 +106,13 @@ def o72(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(country, adm, harv_year, yield, y_bench, features): lagged and mixed columns of the fact."""
+    """(country, adm, harv_year, yield, y_bench, features): lagged and mixed columns of the fact, stored, so that the tables are read once for all folds and steps."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("adm").orderBy("harv_year")
     rows = fx.predictions(spark, sf_dir).where("run_id = 'run1'").withColumn("before", F.coalesce(F.lag("yield").over(w), F.col("y_bench")))
     rows = rows.withColumns({"size": F.log("area"), "noisy": F.col("y_pred"), "again": 2 * F.log("area") + 1 + F.col("before") / 1000})
-    return rows.select("country", "adm1", "adm2", "adm", "harv_year", "area", "yield", "y_bench", "before", "size", "noisy", "again")
+    return cut_lineage(rows.select("country", "adm1", "adm2", "adm", "harv_year", "area", "yield", "y_bench", "before", "size", "noisy", "again"))
 
 
 FEATURES = ["before", "size", "noisy", "again"]
