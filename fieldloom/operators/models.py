@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.gram import gram_sums, unpacked
+from fieldloom.functions.lineage import cut_lineage
 from fieldloom.functions.numeric import gp_predict, lasso_weights
 from fieldloom.operators.trees import split_key, tree_fits
 
@@ -147,7 +148,7 @@ def tree_models(
     column's cut points, quantiles of the split if it is not given. Rows without a split form a split.
     """
     rows, chosen, wanted, columns = _fold_rows(df, split, features, y, selection, keep, benchmark)
-    rows = rows.where(F.col("harv_year").isNotNull())
+    rows = cut_lineage(rows.where(F.col("harv_year").isNotNull()))  # read for counts, blocks, quantiles and folds
     folds = _columns_of(rows.select("split", F.col("harv_year").alias("year_out")).distinct(), chosen, wanted, len(columns))
     known = folds.select(split_key(F.col("split")).alias("of"), "split").distinct()
     folds = folds.select(split_key(F.col("split")).alias("of"), "year_out", "names")
@@ -274,7 +275,7 @@ def held_out_years(df: DataFrame, years: Sequence[int] | None) -> list[int]:
 
 def distributed_predictions(df: DataFrame, years: int | Sequence[int] | None, features: Sequence[str], y: str, model: str = "rf", seed: int = 42, **params) -> DataFrame:
     """The rows of the held-out years (all, if none are given) with ``y_pred`` of a model trained on the other years' rows."""
-    out = []
+    out, df = [], cut_lineage(df)  # read for every year
     for year in held_out_years(df, [years] if isinstance(years, int) else years):  # each one a distributed job
         fitted, assembler = distributed_model(df.where(F.col("harv_year") != year), features, y, model, seed, **params)
         rows = fitted.transform(assembler.transform(df.where(F.col("harv_year") == year)))
@@ -284,7 +285,7 @@ def distributed_predictions(df: DataFrame, years: int | Sequence[int] | None, fe
 
 def feature_importance(df: DataFrame, features: Sequence[str], y: str, years: Sequence[int] | None = None, model: str = "rf", seed: int = 42, **params) -> DataFrame:
     """(year_out, feature, importance): gain importance in the tree model of each held-out year, all if none are given."""
-    rows = []
+    rows, df = [], cut_lineage(df.select("harv_year", *features, y))  # read for every year
     for year in held_out_years(df, years):  # each one a distributed job
         fitted, _ = distributed_model(df.where(F.col("harv_year") != year), features, y, model, seed, **params)
         rows += [(int(year), c, float(v)) for c, v in zip(features, fitted.featureImportances.toArray())]
