@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.lineage import cut_lineage
 from fieldloom.functions.numeric import greedy_vif, knn_information
 
 FOLD = ("split", "year_out")
@@ -70,6 +71,7 @@ def mi_vif_selection(df: DataFrame, split: str, features: Sequence[str], y: str,
     """
     from fieldloom.operators.folds import with_roles
 
+    df = cut_lineage(df.select(*dict.fromkeys([split, "harv_year", *features, y])))  # read for folds, information and correlations
     train = with_roles(df, split).where("role = 'train'")
     information = mutual_information(train, features, y, k)
     ranked = information.groupBy(*FOLD).agg(F.array_sort(F.collect_list(F.struct(F.round(-F.col("mi"), 12).alias("m"), "feature"))).alias("f"))

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.operators import models, runs
 
@@ -53,3 +54,30 @@ def test_a_fold_that_lost_rows_is_fitted_again(spark, tmp_path):
     assert sorted(map(tuple, runs.run_folds(df, "split", fit, path, steps=2).collect())) == want
     assert {f: t for f, t in files(path).items() if f in others} == others
     assert runs.run_folds(df.limit(0), "split", fit, str(tmp_path / "none")).count() == 0
+
+
+def test_input_is_read_once(spark, tmp_path):
+    """Whatever made the rows runs once: not for every step and fold of a run, tree, held-out year or selection."""
+    from fieldloom.operators import models, selection
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double", useArrow=False)
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = [(s, f"r{i % 5}", 2000 + i // 5, float(i * 7 % 11), float(i * 5 % 13), 1.0) for s in "pq" for i in range(30)]
+    plain = spark.createDataFrame(rows, "country string, adm string, harv_year int, a double, yield double, y_bench double")
+    df = plain.withColumn("a", seen.asNondeterministic()("a"))
+    fit = lambda part: models.fold_model(part, "country", ["a"], grid=[{"alpha": 0.5}], upper=1e9)
+    for job in (
+        lambda: runs.run_folds(df, "country", fit, f"{tmp_path}/run", steps=2),
+        lambda: models.tree_models(df, "country", ["a"], grid=[{"trees": 1, "depth": 1}], upper=1e9, n_folds=2)[0],
+        lambda: models.distributed_predictions(df, [2001, 2002], ["a"], "yield", "rf", numTrees=1, maxDepth=1),
+        lambda: models.feature_importance(df, ["a"], "yield", [2001, 2002], numTrees=1, maxDepth=1),
+        lambda: selection.mi_vif_selection(df, "country", ["a", "y_bench"], "yield"),
+    ):
+        before = read.value
+        job().collect()
+        assert read.value - before == 60
