@@ -187,10 +187,16 @@ def bounded_sample(rows: DataFrame, sizes: DataFrame) -> list:
     is bounded whatever repeats.
     """
     others = [c for c in rows.columns if c != "label"]
-    hashed = rows.join(small_side(sizes), "label").withColumn("at", F.xxhash64(F.lit("sample"), *others))
+    hashed = rows.withColumn("at", F.xxhash64(F.lit("sample"), *others))
+    return bounded_choice(hashed, sizes, *others).orderBy("label", "order").select("label", "window").collect()
+
+
+def bounded_choice(hashed: DataFrame, sizes: DataFrame, *ties: str) -> DataFrame:
+    """``hashed`` (label, at, ...) with ``order``: at most ``size`` rows of each label, by the hash ``at``, then by ``ties``."""
+    hashed = hashed.join(small_side(sizes), "label")
     passed = hashed.where(F.pmod("at", F.lit(1_000_000)) < (2e6 * F.col("size") / F.col("n")).cast("long") + 1)
-    order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("order"), "at"), *others))
-    return passed.withColumn("order", order).where(F.col("order") <= F.col("size")).orderBy("label", "order").select("label", "window").collect()
+    order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("order"), "at"), *ties))
+    return passed.withColumn("order", order).where(F.col("order") <= F.col("size"))
 
 
 def labelled_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, chars: int = WINDOW) -> list[tuple[str, str]]:

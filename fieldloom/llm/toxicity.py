@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm._util import cut_lineage, slices
-from fieldloom.llm.language import bounded_sample, held_out
+from fieldloom.llm.language import bounded_choice, held_out
 
 #: Labelled rows of each class that are learnt from, and characters of each; bounds on what the driver holds.
 SAMPLE = {1: 2000, 0: 6000}
@@ -174,16 +174,26 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(text) > 0).join(known, "id")
     start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    windows = rows.select("label", "id", F.substr(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("window"))
+    windows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(text) > 0).select("id", F.substr(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("window"))
+    windows = windows.withColumn("at", F.xxhash64(F.lit("sample"), "id", "window"))
     sizes = known.groupBy("label").agg(F.count("*").alias("n")).withColumn("size", F.when(F.col("label") == 1, F.lit(sample[1])).otherwise(F.lit(sample[0])))
     by_class: dict[int, list[str]] = {0: [], 1: []}
-    for r in bounded_sample(windows, cut_lineage(sizes)):
+    for r in _sampled_windows(windows, known, cut_lineage(sizes)):
         by_class[r.label].append(r.window)
     return ToxicModel.train(by_class[1], by_class[0]) if min(map(len, by_class.values())) >= 3 else None
 
 
+def _sampled_windows(windows: DataFrame, known: DataFrame, sizes: DataFrame) -> list:
+    """Rows (label, window) as ``bounded_sample`` takes them from ``windows`` (id, window, at) with the labels of ``known`` (id, label).
+
+    Labels and documents meet as ids and hashes; a window is read once its row is chosen, so that no text is shuffled but the sample's.
+    """
+    chosen = cut_lineage(bounded_choice(windows.select("id", "at").join(known, "id"), sizes, "id"))
+    texts = windows.join(F.broadcast(chosen.select("id", "at").distinct()), ["id", "at"]).groupBy("id", "at").agg(F.first("window").alias("window"))
+    return chosen.join(texts, ["id", "at"]).orderBy("label", "order").select("label", "window").collect()
+
+
 def toxicity(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") -> Column:
     """Score from 0 to 1 of each whole text, higher where label 1 is likelier; 0 for all texts without a model.
 

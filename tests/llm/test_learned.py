@@ -233,3 +233,18 @@ def test_every_language_is_learnt(spark, monkeypatch):
     per = Counter(label for label, _ in windows)
     assert len(per) == 300 and max(per.values()) <= 3 and len(windows) <= 900
     assert language.labelled_windows(df.limit(0), "doc_id", "text", "lang") == []
+
+
+def test_toxicity_sample_without_texts_in_the_shuffle(spark):
+    """Rows are chosen by ids and hashes and their texts read afterwards: what joining whole windows gives, copies and repeated ids included."""
+    from fieldloom.llm.language import bounded_sample
+    from fieldloom.llm.toxicity import _sampled_windows
+
+    rows = [(i % 90, f"text {i % 50}") for i in range(300)] + [(3, "same")] * 5
+    windows = spark.createDataFrame(rows, "id long, window string").repartition(4)
+    known = spark.createDataFrame([(i, i % 2) for i in range(80)], "id long, label int")
+    sizes = spark.createDataFrame([(0, 40, 30), (1, 40, 25)], "label int, n long, size int")
+    want = [(r.label, r.window) for r in bounded_sample(windows.join(known, "id").select("label", "id", "window"), sizes)]
+    hashed = windows.withColumn("at", F.xxhash64(F.lit("sample"), "id", "window"))
+    got = [(r.label, r.window) for r in _sampled_windows(hashed, known, sizes)]
+    assert got == want and len(got) == 55
